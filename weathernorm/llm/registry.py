@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from . import packing, token_counts
+from . import decontamination, mixing, packing, pii, token_counts
 
 
 def queries():
     return {
         "op3_token_counts": token_counts.op3_token_counts,
         "op5_packing": packing.op5_packing,
+        "op6_decontamination": decontamination.op6_decontamination,
+        "op7_mixing": mixing.op7_mixing,
+        "op9_pii": pii.op9_pii,
     }
 
 
 def oracle_sql():
-    return {}
+    return {"op6_decontamination": decontamination.ORACLE_SQL, "op7_mixing": mixing.ORACLE_SQL}
