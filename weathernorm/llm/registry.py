@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from . import decontamination, mixing, packing, pii, token_counts
+from . import decontamination, language, mixing, packing, pii, quality, token_counts, toxicity
 
 
 def queries():
     return {
+        "op1_quality": quality.op1_quality,
         "op3_token_counts": token_counts.op3_token_counts,
+        "op4_language": language.op4_language,
         "op5_packing": packing.op5_packing,
         "op6_decontamination": decontamination.op6_decontamination,
         "op7_mixing": mixing.op7_mixing,
         "op9_pii": pii.op9_pii,
+        "op10_toxicity": toxicity.op10_toxicity,
     }
 
 
