@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontamination, language, mixing, packing, pii, quality, token_counts, toxicity
+from . import decontamination, language, mixing, near_duplicates, packing, pii, quality, token_counts, toxicity
 
 
 def queries():
     return {
         "op1_quality": quality.op1_quality,
+        "op2_near_duplicates": near_duplicates.op2_near_duplicates,
         "op3_token_counts": token_counts.op3_token_counts,
         "op4_language": language.op4_language,
         "op5_packing": packing.op5_packing,
