@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, language, mixing, near_duplicates, packing, pii, quality, token_counts, toxicity
+from . import decontamination, language, mixing, near_duplicates, neighbours, packing, pii, quality, token_counts, toxicity
 
 
 def queries():
@@ -14,6 +14,7 @@ def queries():
         "op5_packing": packing.op5_packing,
         "op6_decontamination": decontamination.op6_decontamination,
         "op7_mixing": mixing.op7_mixing,
+        "op8_neighbours": neighbours.op8_neighbours,
         "op9_pii": pii.op9_pii,
         "op10_toxicity": toxicity.op10_toxicity,
     }
