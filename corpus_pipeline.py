@@ -1,7 +1,51 @@
-"""Corpus pipeline: filled below as its operators are written."""
-STAGES = []
+"""From raw documents to packed token ids, in five stages.
+
+Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and returns a DataFrame
+that is written as Parquet and read again as the next one's documents. All but the last return the
+columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from weathernorm.llm import decontamination, mixing, near_duplicates, packing, toxicity
+from weathernorm.llm.common import saved, table
+
+
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are predicted toxic go."""
+    return toxicity.without_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def single(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays."""
+    return near_duplicates.one_of_each(docs)
+
+
+def unseen(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a passage of the benchmark go."""
+    return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents come as often as their source's target share asks for, in a global random order."""
+    return mixing.mix(docs).select(*docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows of packed token ids."""
+    return packing.pack(docs)
+
+
+STAGES = [("toxicity", clean), ("near_duplicates", single), ("decontamination", unseen), ("mixing", mixed), ("token_ids", packed)]
+
+#: No SQL can express the models and the packing; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = saved(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return docs
