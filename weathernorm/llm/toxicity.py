@@ -34,6 +34,8 @@ LOOKALIKES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6":
 #: Words of the lexicon at most, and documents with it that a word needs in the sample.
 LEXICON, LEAST_DOCS = 300, 5
 CACHE_ENTRIES = 100_000
+#: Channel cost of a word's end between letters set apart.
+NEW_WORD = 1.0
 
 _INDEX = {c: k for k, c in enumerate(ALPHABET, 2)}
 _WORD = re.compile(r"[^\W\d_]+")
@@ -102,24 +104,27 @@ def lattice(span: str) -> list[list[tuple[str, float]]]:
             r += 1
         letters = [(x, 0.0) for x in LOOKALIKES.get(c, c)] if not c.isalpha() else [(c, 0.0)]
         if c.isalpha():
-            copies = [(1, 0.0)] if r == 1 else [(2, 0.0), (1, 3.0)] if r == 2 else [(1, 0.3), (2, 0.6)]
+            copies = [(r, 0.0)] if r <= 2 else [(1, 0.3), (2, 0.6)]
         else:
-            copies = [(1, 0.2)] if r == 1 else [(2, 0.2), (1, 2.0)] if r == 2 else [(1, 0.3), (2, 0.3)]
+            copies = [(r, 0.2)] if r <= 2 else [(1, 0.3), (2, 0.3)]
         out.append([(x * m, cost + extra) for x, cost in letters for m, extra in copies])
         k += r
     return out
 
 
-def viterbi(span: str, model: CharModel) -> str:
-    """The likeliest reading of a span: states are the last two letters."""
+def viterbi(span: str, model: CharModel, apart: bool = False) -> str:
+    """The likeliest reading of a span: states are the last two letters. In a span that was set apart letter
+    by letter, a word may end before any letter ("a i d i o t")."""
     states = {(0, 0): (0.0, "")}
-    for readings in lattice(span):
+    for k, readings in enumerate(lattice(span)):
+        if apart and k:
+            readings = [*readings, *((f" {x}", cost + NEW_WORD) for x, cost in readings)]
         new: dict[tuple[int, int], tuple[float, str]] = {}
         for (a, b), (score, said) in states.items():
             for reading, cost in readings:
                 x, y, s = a, b, score - cost
                 for ch in reading:
-                    z = _INDEX.get(ch, 1)
+                    z = 0 if ch == " " else _INDEX.get(ch, 1)
                     s += float(model.log[x, y, z])
                     x, y = y, z
                 if (x, y) not in new or s > new[x, y][0]:
@@ -134,12 +139,12 @@ class Restorer:
     def __init__(self, model: CharModel) -> None:
         self.model, self.cache = model, {}
 
-    def read(self, span: str) -> str:
-        got = self.cache.get(span)
+    def read(self, span: str, apart: bool = False) -> str:
+        got = self.cache.get((span, apart))
         if got is None:
             if len(self.cache) >= CACHE_ENTRIES:
                 self.cache.clear()
-            got = self.cache[span] = viterbi(span, self.model)
+            got = self.cache[span, apart] = viterbi(span, self.model, apart)
         return got
 
     def restored(self, low: str) -> list[str]:
@@ -159,7 +164,8 @@ class Restorer:
             solid = np.concatenate([[False], on | _is_sign(low), [False]])
             lone = solid[1:-1] & ~solid[:-2] & ~solid[2:]  # characters that stand alone
             if len(lone) > 4 and np.any(lone[:-4] & lone[2:-2] & lone[4:]):
-                out += [self.read(re.sub(r"[ .\-_*]", "", m.group())) for m in _SPACED.finditer(low)]
+                spans = [re.sub(r"[ .\-_*]", "", m.group()) for m in _SPACED.finditer(low)]
+                out += [self.read(x, apart) for x in spans for apart in (False, True)]  # as one word, and as several
         return out
 
     def words(self, text: str | None) -> set[str]:
