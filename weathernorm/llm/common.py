@@ -36,6 +36,14 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores after it if the table has such a column already."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def fold_is(doc_id: Column, folds: int, fold: int) -> Column:
     """crc32 of the id as text, modulo ``folds``, is ``fold``; NULL for a NULL id."""
     return (F.crc32(doc_id.cast("string")) % folds) == fold

@@ -19,7 +19,7 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import free_name, table
 
 WINDOW = 10
 #: More windows than these are not sent to the tasks (about 200 bytes each) but joined.
@@ -57,24 +57,24 @@ def windows(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
 
 
 def hash_table(found: DataFrame, count: int) -> tuple[Column, int]:
-    """The windows as one value: bucket number -> its windows."""
+    """The windows as one value: an array whose place is the bucket's number."""
     buckets = 1 << max(4, math.ceil(math.log2(4 * count + 1)))
     each = found.groupBy(F.pmod("h", F.lit(buckets)).cast("int").alias("b")).agg(F.collect_list(F.struct("h", "n", "window", "items")).alias("entries"))
-    gathered = each.groupBy().agg(F.map_from_entries(F.collect_list(F.struct("b", "entries"))).alias("m"))
     empty = F.array().cast("array<struct<h:bigint,n:int,window:string,items:array<string>>>")
-    # a map is searched from end to end, an array is not
-    spread = gathered.select(F.transform(F.sequence(F.lit(0), F.lit(buckets - 1)), lambda b: F.coalesce(F.try_element_at("m", b), empty)).alias("t"))
+    every = found.sparkSession.range(buckets).select(F.col("id").cast("int").alias("b")).join(each, "b", "left").select("b", F.coalesce("entries", empty).alias("entries"))
+    gathered = every.groupBy().agg(F.array_sort(F.collect_list(F.struct("b", "entries"))).alias("m"))
+    spread = gathered.select(F.transform("m", lambda x: x["entries"]).alias("t"))
     return spread.scalar(), buckets
 
 
-def scan(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, max_windows: int = MAX_WINDOWS) -> DataFrame:
-    """``docs`` and a column ``contamination``: n_words, hits (position, length, items of each window)."""
+def scan(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, max_windows: int = MAX_WINDOWS, name: str = "contamination") -> DataFrame:
+    """``docs`` and a column of what was found: n_words, hits (position, length, items of each window)."""
     found = windows(benchmark, size)
     counts = {r["n"]: r["count"] for r in found.groupBy("n").count().collect()}  # at most ``size`` rows
     if sum(counts.values()) > max_windows:
-        return _scan_joined(docs, found, sorted(counts))
+        return _scan_joined(docs, found, sorted(counts), name)
     if not counts:
-        return docs.withColumn("contamination", F.struct(F.size(words(F.col("text"))).alias("n_words"), F.array().cast("array<struct<i:int,n:int,items:array<string>>>").alias("hits")))
+        return docs.withColumn(name, F.struct(F.size(words(F.col("text"))).alias("n_words"), F.array().cast("array<struct<i:int,n:int,items:array<string>>>").alias("hits")))
     windows_table, buckets = hash_table(found, sum(counts.values()))
 
     def hits(w: Column, table: Column, n: int) -> Column:
@@ -86,23 +86,30 @@ def scan(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, max_windows:
         return F.transform(F.filter(at, lambda x: F.size(x["e"]) > 0), lambda x: F.struct(x["i"].alias("i"), F.lit(n).alias("n"), x["e"][0]["items"].alias("items")))
 
     # the optimiser merges both projections: the table stays one value by reference, never a row's own
-    given = F.struct(words(F.col("text")).alias("w"), F.col("contamination_table").alias("t"))
+    passing = free_name(docs, "contamination_table")
+    given = F.struct(words(F.col("text")).alias("w"), F.col(passing).alias("t"))
     found_in = bound(given, lambda x: F.struct(F.size(x["w"]).alias("n_words"), F.concat(*(hits(x["w"], x["t"], n) for n in sorted(counts))).alias("hits")))
-    return docs.withColumn("contamination_table", windows_table).withColumn("contamination", found_in).drop("contamination_table")
+    return docs.withColumn(passing, windows_table).withColumn(name, found_in).drop(passing)
 
 
-def _scan_joined(docs: DataFrame, found: DataFrame, lengths: list[int]) -> DataFrame:
+def _scan_joined(docs: DataFrame, found: DataFrame, lengths: list[int], name: str) -> DataFrame:
     """The same by a shuffle: rows are told apart by id and text, so equal rows get equal hits."""
-    key = F.struct("doc_id", F.md5("text").alias("text"))
-    told = docs.withColumn("row_key", F.xxhash64(F.to_json(key))).withColumn("row_text", F.md5("text"))
+    row, own = free_name(docs, "contamination_row"), free_name(docs, "contamination_hits")
+    told = docs.withColumn(row, F.sha2(F.to_json(F.struct("doc_id", "text")), 256))
     w = F.col("w")
-    each = told.select("row_key", "row_text", words(F.col("text")).alias("w")).dropDuplicates(["row_key", "row_text"])
-    at = F.concat(*(F.transform(F.when(F.size(w) >= n, F.sequence(F.lit(0), F.size(w) - n)).otherwise(F.array().cast("array<int>")), lambda i, n=n: F.struct(i.alias("i"), F.lit(n).alias("n"), F.array_join(F.slice(w, i + 1, n), " ").alias("window"))) for n in lengths))
-    hit = each.select("row_key", "row_text", F.inline(at)).join(found.select("n", "window", "items"), ["n", "window"])
-    per = hit.groupBy("row_key", "row_text").agg(F.collect_list(F.struct("i", "n", "items")).alias("hits"))
-    none = F.array().cast("array<struct<i:int,n:int,items:array<string>>>")
-    joined = told.join(per, ["row_key", "row_text"], "left")
-    return joined.withColumn("contamination", F.struct(F.size(words(F.col("text"))).alias("n_words"), F.coalesce("hits", none).alias("hits"))).select(*docs.columns, "contamination")
+    each = told.select(F.col(row).alias("row"), words(F.col("text")).alias("w")).dropDuplicates(["row"])
+    none = F.array().cast("array<int>")
+
+    def cut(n: int) -> Column:
+        starts = F.when(F.size(w) >= n, F.sequence(F.lit(0), F.size(w) - n)).otherwise(none)
+        return F.transform(starts, lambda i: F.struct(i.alias("i"), F.lit(n).alias("n"), F.array_join(F.slice(w, i + 1, n), " ").alias("window")))
+
+    at = F.concat(*map(cut, lengths))
+    hit = each.select("row", F.inline(at)).join(found.select("n", "window", "items"), ["n", "window"])
+    per = hit.groupBy("row").agg(F.collect_list(F.struct("i", "n", "items")).alias("hits")).toDF(row, own)
+    no_hits = F.array().cast("array<struct<i:int,n:int,items:array<string>>>")
+    joined = told.join(per, row, "left")
+    return joined.withColumn(name, F.struct(F.size(words(F.col("text"))).alias("n_words"), F.coalesce(own, no_hits).alias("hits"))).select(*docs.columns, name)
 
 
 def hit_positions(hits: Column) -> Column:
@@ -127,14 +134,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame
 def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", **options) -> DataFrame:
     """The documents without those hit (``remove="documents"``), or with the words hit cut out of them
     (``"spans"``: the text of a document hit becomes its other words, lower-cased, joined by blanks)."""
-    scanned = scan(docs, benchmark, **options)
-    hits = F.col("contamination.hits")
+    name = free_name(docs, "contamination")
+    scanned = scan(docs, benchmark, name=name, **options)
+    hits = F.col(name)["hits"]
     if remove == "documents":
-        return scanned.filter(F.size(hits) == 0).drop("contamination")
+        return scanned.filter(F.size(hits) == 0).drop(name)
     if remove != "spans":
         raise ValueError(f"remove must be documents or spans, not {remove!r}")
     left = bound(words(F.col("text")), lambda w: bound(F.array_except(F.sequence(F.lit(0), F.size(w) - 1), hit_positions(hits)), lambda at: F.array_join(F.transform(at, lambda i: F.get(w, i)), " ")))
-    return scanned.withColumn("text", F.when(F.size(hits) > 0, left).otherwise(F.col("text"))).drop("contamination")
+    return scanned.withColumn("text", F.when(F.size(hits) > 0, left).otherwise(F.col("text"))).drop(name)
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
