@@ -91,7 +91,10 @@ def fit_metrics(pred: DataFrame, by: Sequence[str]) -> DataFrame:
     aggs = []
     for s in sets:
         y, p = (F.when(F.col("set") == s, F.col(c)) for c in ("value", "predicted"))
-        aggs += [F.sqrt(F.avg(F.pow(y - p, 2))).alias(f"rmse_{s}"), F.pow(F.corr(y, p), 2).alias(f"rsquared_{s}")]
+        # corr() fails on a constant; this is NULL then
+        y = F.when(p.isNotNull(), y)
+        r2 = F.try_divide(F.pow(F.covar_pop(y, p), 2), F.var_pop(y) * F.var_pop(p))
+        aggs += [F.sqrt(F.avg(F.pow(y - p, 2))).alias(f"rmse_{s}"), r2.alias(f"rsquared_{s}")]
     return ok.groupBy(*by).agg(*aggs)
 
 
@@ -139,9 +142,10 @@ def coverage(df: DataFrame, by: Sequence[str], polls: Sequence[str]) -> DataFram
 
 
 def importance_summary(importance: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Median and total influence of each variable, its lags included; ordered by rank."""
+    """Median and total influence of each variable over all fits, its lags counted with it."""
+    fits = [c for c in importance.columns if c not in ("variable", "influence")]
     var = F.regexp_replace("variable", r"_lag\d+$", "")
-    per = importance.groupBy(*by, "config_id", "replicate", var.alias("variable")).agg(F.sum("influence").alias("influence")) if "replicate" in importance.columns else importance
+    per = importance.groupBy(*fits, var.alias("variable")).agg(F.sum("influence").alias("influence"))
     return per.groupBy(*by, "variable").agg(F.median("influence").alias("median_influence"), F.sum("influence").alias("total_influence"))
 
 

@@ -7,7 +7,8 @@ from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -62,8 +63,6 @@ def split_sets(df: DataFrame, key: Sequence[str], fraction: float = 0.9, trainin
     if training_start:
         ok = ok & (F.col("date") >= F.lit(training_start).cast("date"))
     h = F.md5(F.concat_ws("~", *(F.col(k).cast("string") for k in key), F.col("date").cast("string"), F.lit(str(seed)), F.lit(str(replicate))))
-    from pyspark.sql import Window
-
     w = Window.partitionBy(*key)
     pre = F.sum(before.cast("int")).over(w)
     n = F.greatest(F.lit(1), F.floor(F.lit(fraction) * pre))
@@ -100,7 +99,8 @@ def _schema(df: DataFrame, key: Sequence[str], more: str) -> T.StructType:
 
 def fit(df: DataFrame, key: Sequence[str], columns: Sequence[str], trees: int = 200, rate: float = 0.1, splits: int = 2, cv_folds: int = 3, link_name: str = "linear", replicates: int = 1, fraction: float = 0.9, training_end: str | None = None, training_start: str | None = None, excluded: Sequence[str] = (), seed: int = 42, config_id: int = 0) -> tuple[DataFrame, DataFrame]:
     """Rows with their sets (by replicate), and the models: a row a (series, configuration, replicate) with
-    n_trees_opt, status ("ok" or what went wrong) and the model as JSON.
+    n_trees_opt, status ("ok" or what went wrong) and the model as JSON. The rows are persisted; the
+    caller may unpersist them when all results are written.
 
     The number of trees is where the mean error over folds is least; fold fits and the final fits are
     two stages, both dealt out over all tasks. Without folds the out-of-bag estimate decides.
@@ -111,7 +111,8 @@ def fit(df: DataFrame, key: Sequence[str], columns: Sequence[str], trees: int =
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionByName(p)
-    rows = rows.withColumn("config_id", F.lit(config_id))
+    # folds, final fits and predictions all read the prepared rows: a lost part is made again from its inputs
+    rows = rows.withColumn("config_id", F.lit(config_id)).persist(StorageLevel.MEMORY_AND_DISK)
     group = [*key, "config_id", "replicate"]
     train = rows.filter((F.col("set") == "training") & F.col("_y").isNotNull()).select(*group, "date", "_y", *columns)
     columns = list(columns)

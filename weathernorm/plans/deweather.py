@@ -44,8 +44,8 @@ def deweather_yoy(meas: DataFrame, weather: DataFrame, weather_vars: Sequence[st
     the year before are kept out of the training. Months are configurations of one plan."""
     spark, out = meas.sparkSession, None
     for k, month in enumerate(months):
-        days = spark.range(1).select(F.explode(yoy_dates(F.lit(month).cast("date"))).cast("string").alias("d"))
-        excluded = [r["d"] for r in days.collect()]  # at most 62 dates
+        days = spark.range(1).select(yoy_dates(F.lit(month).cast("date")).alias("d")).first()["d"]  # at most 62 dates
+        excluded = [d.isoformat() for d in days]
         found = deweather(meas, weather, weather_vars, "anomaly", key, excluded=excluded, config_id=k, **options)["result"]
         part = yoy_attribution(found, key, month)
         out = part if out is None else out.unionByName(part)
