@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -81,7 +81,7 @@ def impact_filter(df: DataFrame, polls: Sequence[str], least: int | None = None)
 
 
 def fill_series(df: DataFrame, key: Sequence[str], columns: Sequence[str], date: str = "date", max_gap: int = 5) -> DataFrame:
-    """Fills weather columns of each series, all on one sort of the series by date:
+    """Fills weather columns of each series, all on one sort of the series by date and one back:
 
     a column without any value becomes 0; ``precip*`` and ``fire_*`` get 0 for NULL; temperatures,
     pressures, dewpoints, ceilings, boundary layers and sunshine are interpolated in date over runs of
@@ -89,7 +89,9 @@ def fill_series(df: DataFrame, key: Sequence[str], columns: Sequence[str], date:
     """
     whole = Window.partitionBy(*key)
     ordered = whole.orderBy(date)
-    before, after = ordered.rowsBetween(Window.unboundedPreceding, 0), ordered.rowsBetween(0, Window.unboundedFollowing)
+    # a frame that ends at the series' end is computed anew for each row; the reverse order is not
+    before = ordered.rowsBetween(Window.unboundedPreceding, 0)
+    after = whole.orderBy(F.desc("_rn")).rowsBetween(Window.unboundedPreceding, 0)
     zero = [c for c in columns if c.startswith(("precip", "fire_"))]
     bent = [c for c in columns if c.startswith(("sunshine", "atmos_pres", "air_temp", "ceil_hgt", "pbl_", "dewpoint_temp"))]
     out = df.withColumn("_rn", F.row_number().over(ordered)).withColumn("_t", F.unix_date(date).cast("double"))
@@ -97,7 +99,7 @@ def fill_series(df: DataFrame, key: Sequence[str], columns: Sequence[str], date:
     ends = {}
     for c in bent:
         here = F.when(F.col(c).isNotNull(), F.struct(F.col(c).alias("v"), F.col("_t").alias("t"), F.col("_rn").alias("r")))
-        ends |= {f"_p_{c}": F.last(here, True).over(before), f"_q_{c}": F.first(here, True).over(after)}
+        ends |= {f"_p_{c}": F.last(here, True).over(before), f"_q_{c}": F.last(here, True).over(after)}
     out = out.withColumns(seen | ends)
     filled = {}
     for c in columns:
@@ -133,17 +135,18 @@ def previous_row(df: DataFrame, key: Sequence[str], column: str, order: str = "d
     return df.withColumn(f"lag1{column}", F.lag(column, 1).over(Window.partitionBy(*key).orderBy(order)))
 
 
-def rolling_mean(df: DataFrame, key: Sequence[str], column: str = "value", width: int = 7, max_nulls: int | None = None, min_values: int | None = None, date: str = "date") -> DataFrame:
-    """Right-aligned mean over ``width`` calendar days of the daily means; the first width - 1 days are
-    NULL, and so are days with more than ``max_nulls`` missing or fewer than ``min_values`` values."""
-    daily = df.groupBy(*key, date).agg(F.avg(column).alias(column))
+def rolling_mean(df: DataFrame, key: Sequence[str], column: str = "value", width: int = 7, max_nulls: int | None = None, min_values: int | None = None, date: str = "date", mean: Callable[[str], Column] = F.avg) -> DataFrame:
+    """Right-aligned mean (or another aggregate) over ``width`` calendar days of the daily ones; the first
+    width - 1 days are NULL, and so are days with more than ``max_nulls`` missing or fewer than
+    ``min_values`` values."""
+    daily = df.groupBy(*key, date).agg(mean(column).alias(column))
     w = Window.partitionBy(*key).orderBy(date).rowsBetween(-(width - 1), 0)
     ok = F.count(F.lit(1)).over(w) == width
     if max_nulls is not None:
         ok = ok & (F.count(F.lit(1)).over(w) - F.count(column).over(w) <= max_nulls)
     if min_values is not None:
         ok = ok & (F.count(column).over(w) >= min_values)
-    return calendar(daily, key, date).withColumn(column, F.when(ok, F.avg(column).over(w)))
+    return calendar(daily, key, date).withColumn(column, F.when(ok, mean(column).over(w)))
 
 
 def running_mode(df: DataFrame, key: Sequence[str], column: str, width: int, date: str = "date") -> DataFrame:

@@ -94,6 +94,11 @@ def fire_trajectory(points, fires):
 _REGIONS = ["click", "view", "purchase", "signup", "error"]
 
 
+@query("fire_by_region", f"WITH pairs AS ({_CIRCLE}) --FINAL-- SELECT d.location_id, d.date, " + ", ".join(f"coalesce(sum(frp) FILTER (region = '{r}'), 0) AS fire_frp_{r}" for r in _REGIONS) + f" FROM ({_DAYS.format('place_days')}) d LEFT JOIN pairs USING (location_id, date) GROUP BY ALL", " ".join(f"fire_frp_{r}" for r in _REGIONS), "place_days", "fires")
+def fire_by_region(days, fires):
+    return st.fires_split(days, fires, _REGIONS, 500.0, 72)
+
+
 @query("fire_by_age", f"WITH pairs AS ({_CIRCLE}) --FINAL-- SELECT d.location_id, d.date, " + ", ".join(f"coalesce(sum(frp) FILTER (age = {k}), 0) AS fire_frp_age{k}" for k in range(4)) + f" FROM ({_DAYS.format('place_days')}) d LEFT JOIN pairs USING (location_id, date) GROUP BY ALL", " ".join(f"fire_frp_age{k}" for k in range(4)), "place_days", "fires")
 def fire_by_age(days, fires):
     return st.fires_by_age(days, fires, 500.0, 72)
