@@ -32,7 +32,7 @@ LETTERS = 64
 ALPHABET = "abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïñòóôõöøùúûüýÿßœ"
 LOOKALIKES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "li", "+": "t", "(": "c", "€": "e", "£": "l", "*": "aeiou", "#": "h"}
 #: Words of the lexicon at most, and documents with it that a word needs in the sample.
-LEXICON, LEAST_DOCS = 300, 5
+LEXICON, LEAST_DOCS = 1000, 5
 CACHE_ENTRIES = 100_000
 #: Channel cost of a word's end between letters set apart.
 NEW_WORD = 1.0
@@ -199,15 +199,22 @@ def fit_words(x: list[list[int]], y: np.ndarray, size: int, ridge: float = 1.0,
     w[0] = math.log(prior / (1 - prior))
     if not size or not 0 < y.sum() < len(y):
         return float(w[0]), w[1:]
-    a = np.zeros((len(x), size + 1), np.float32)
+    # most documents have no word of the lexicon, or the same few: equal rows count as one
+    rows: dict[tuple[int, ...], list[float]] = {}
+    for r, label in zip(x, y.tolist(), strict=True):
+        sums = rows.setdefault(tuple(sorted(r)), [0.0, 0.0])
+        sums[0] += 1
+        sums[1] += label
+    a = np.zeros((len(rows), size + 1))
     a[:, 0] = 1
-    for i, r in enumerate(x):
+    for i, r in enumerate(rows):
         a[i, [k + 1 for k in r]] = 1
+    n, t = np.array(list(rows.values())).T
     keep = np.full(size + 1, ridge)
     keep[0] = 1e-3
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + np.diag(keep), a.T @ (y - p) - keep * np.concatenate([[0], w[1:]]))
+        step = np.linalg.solve((a * (n * p * (1 - p))[:, None]).T @ a + np.diag(keep), a.T @ (t - n * p) - keep * np.concatenate([[0], w[1:]]))
         w += np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-5:
             break
