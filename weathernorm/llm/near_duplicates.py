@@ -6,12 +6,15 @@
    that follows is about one representative a class, so copies cost nothing.
 2. Tries are sorted key order: texts below one node share a prefix, and are grouped by its hash. The
    search starts at full depth and shortens the prefix until a pair at the threshold is met with the
-   chance ``recall`` (``prefix_lengths``). At every length each text is compared to one leader of its
-   node, another in every tree and length. That is one pair a text and node, however large the node.
-3. Pairs are verified on the sets themselves. Verified pairs join texts to clusters (connected components,
-   by hooking and pointer jumping). Then, at the shortest prefix, the pairs of a node that are not yet
-   in the same cluster are verified too, so that no link between clusters is lost.
-4. Inside a cluster all links are counted exactly, in blocks of ``BLOCK`` texts: a task holds two blocks.
+   chance ``recall`` (``prefix_lengths``). Texts that share no node at the shortest prefix share none.
+   At every length each text is compared to one leader of its node, another in every tree and length:
+   one pair a text and node, however large the node. Pairs are verified on the sets themselves;
+   verified pairs join texts to clusters (connected components, by hooking and pointer jumping).
+3. Then, at the shortest prefix, what is not yet in the same cluster is compared: all pairs of a node
+   of up to ``SMALL`` texts; in larger nodes blocks of ``BLOCK`` texts are held against each other in
+   one task, which counts the common elements of their sets and gives a spanning forest of the links
+   that it finds, never the pairs. So no link between clusters is lost, and rows stay linear.
+4. Inside a cluster all links are counted exactly, in the same blocks.
 
 The result has one row per document: its class, its cluster and its numbers of links.
 
@@ -34,8 +37,8 @@ from .common import saved, table
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.999
 TREES, DEPTH = 16, 6
-#: Texts of a block in which links are counted.
-BLOCK = 1024
+#: Texts of a block in which links are counted, and of a node whose pairs are listed.
+BLOCK, SMALL = 1024, 48
 #: Pairs whose signatures agree in less than this share of places are not verified: at the threshold the
 #: chance of so few is below 1e-6.
 LEAST_AGREEMENT = 0.55
@@ -189,34 +192,65 @@ def components(edges: DataFrame, name: str) -> DataFrame:
             return labels
 
 
+def _similar(sets: list[np.ndarray]) -> np.ndarray:
+    """Which of some sets are similar enough, exactly: common elements by products of 0/1 strips."""
+    size = np.array([len(x) for x in sets])
+    _, at = np.unique(np.concatenate(sets), return_inverse=True)
+    often = np.bincount(at) > 1  # an element of one set only is common to none
+    row = np.repeat(np.arange(len(sets)), size)[often[at]]
+    column = (np.cumsum(often) - 1)[at[often[at]]]
+    common, shared = np.zeros((len(sets), len(sets)), np.float32), int(often.sum())
+    for k in range(0, shared, 4096):
+        use = (column >= k) & (column < k + 4096)
+        m = np.zeros((len(sets), min(4096, shared - k)), np.float32)
+        m[row[use], column[use] - k] = 1
+        common += m @ m.T
+    common = common.astype(np.float64)
+    out = common / (size[:, None] + size[None, :] - common) >= THRESHOLD
+    np.fill_diagonal(out, False)
+    return out
+
+
+def _in_blocks(members: DataFrame, by: str) -> DataFrame:
+    """Deals the members of each group to the pairs of its blocks (``x`` <= ``y``)."""
+    sizes = members.groupBy(by).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    own = members.join(sizes, by).withColumn("block", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("blocks")).cast("int"))
+    each = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return each.withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other"))
+
+
+def _forest(members: DataFrame) -> DataFrame:
+    """(a, b): spanning forests of the links inside each node. ``members``: (key, rep, set)."""
+
+    def link(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        rep, near = pdf["rep"].tolist(), _similar([np.frombuffer(x, np.uint64) for x in pdf["set"]])
+        left, edges = np.ones(len(rep), bool), []
+        for root in range(len(rep)):
+            todo = [root] if left[root] else []
+            left[root] = False
+            while todo:
+                i = todo.pop()
+                new = np.flatnonzero(near[i] & left)
+                left[new] = False
+                edges += [(rep[i], rep[j]) for j in new]
+                todo += new.tolist()
+        return pd.DataFrame(edges, columns=["a", "b"])
+
+    return _in_blocks(members, "key").select("key", "x", "y", "rep", "set").groupBy("key", "x", "y").applyInPandas(link, "a binary, b binary")
+
+
 def _links_inside(members: DataFrame) -> DataFrame:
     """(rep, links, copies): of each member of a cluster, the other members that are similar enough and
-    the documents in their classes. ``members``: (rep, cluster, n_docs, set, block, blocks)."""
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = members.withColumn("other", other).select("cluster", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "rep", "n_docs", "set")
+    the documents in their classes. ``members``: (rep, cluster, n_docs, set)."""
 
     def count(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        sets = [np.frombuffer(s, np.uint64) for s in pdf["set"]]
-        size = np.array([len(s) for s in sets])
-        elements, at = np.unique(np.concatenate(sets), return_inverse=True)
-        often = np.bincount(at) > 1
-        row = np.repeat(np.arange(len(sets)), size)[often[at]]
-        column = (np.cumsum(often) - 1)[at[often[at]]]
-        common = np.zeros((len(sets), len(sets)), np.float32)
-        for k in range(0, int(often.sum()), 8192):  # a strip of the shared elements at a time
-            use = (column >= k) & (column < k + 8192)
-            m = np.zeros((len(sets), min(8192, int(often.sum()) - k)), np.float32)
-            m[row[use], column[use] - k] = 1
-            common += m @ m.T
-        similar = common >= THRESHOLD * (size[:, None] + size[None, :] - common) - 1e-4
-        exact = common / (size[:, None] + size[None, :] - common) >= THRESHOLD
-        similar &= exact
-        np.fill_diagonal(similar, False)
-        block = pdf["block"].to_numpy()
-        if key[1] != key[2]:
-            similar &= block[:, None] != block[None, :]
-        return pd.DataFrame({"rep": pdf["rep"], "links": similar.sum(1), "copies": similar @ pdf["n_docs"].to_numpy()})
+        near = _similar([np.frombuffer(x, np.uint64) for x in pdf["set"]])
+        if key[1] != key[2]:  # pairs of one block are counted where the block is alone
+            block = pdf["block"].to_numpy()
+            near &= block[:, None] != block[None, :]
+        return pd.DataFrame({"rep": pdf["rep"], "links": near.sum(1), "copies": near @ pdf["n_docs"].to_numpy()})
 
+    dealt = _in_blocks(members, "cluster").select("cluster", "x", "y", "block", "rep", "n_docs", "set")
     each = dealt.groupBy("cluster", "x", "y").applyInPandas(count, "rep binary, links long, copies long")
     return each.groupBy("rep").agg(F.sum("links").alias("links"), F.sum("copies").alias("copies"))
 
@@ -243,40 +277,41 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # ids may be NULL or repeat: a class is known by its digest
     reps = saved(classes.withColumn("rep", F.col("digest")), "near-classes")
 
-    nodes = _nodes(reps, lengths)
+    # only texts that share a node at the shortest prefix go on
+    shared = _nodes(reps, lengths[-1:]).select("rep", "key")
+    crowds = saved(shared.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "near-crowds")
+    some = saved(shared.join(crowds, "key").select("rep", "key", "n"), "near-nodes")
+    active = saved(reps.join(some.select("rep").distinct(), "rep", "left_semi").select("rep", "rep_id", "digest", "sig", "n_docs"), "near-active")
+
     # a leader of each node, another in every tree and at every length
+    nodes = _nodes(active, lengths)
     leader = nodes.groupBy("length", "key").agg(F.min_by("rep", F.xxhash64("rep", "key")).alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "length", "leader")
     starred = nodes.join(leader, ["length", "key"]).filter("rep <> leader").select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()
-    likely = saved(_likely(starred, reps), "near-pairs")
-    ends = likely.select(F.col("a").alias("rep")).union(likely.select("b")).distinct()
-    shared = nodes.filter(F.col("length") == lengths[-1])
-    crowd = shared.groupBy("key").count().filter("count > 1").select("key")
-    some = saved(shared.join(crowd, "key", "left_semi").select("rep", "key"), "near-nodes")
-
-    known = reps.select("rep", "rep_id", "digest")
-    sets = saved(_sets(docs, known.join(ends, "rep", "left_semi")), "near-sets")
+    likely = saved(_likely(starred, active), "near-pairs")
+    crowded = some.filter(F.col("n") > SMALL)
+    ends = likely.select(F.col("a").alias("rep")).union(likely.select("b")).union(crowded.select("rep")).distinct()
+    known = active.select("rep", "rep_id", "digest")
+    sets = saved(_sets(docs, saved(known.join(ends, "rep", "left_semi"), "near-wanted")), "near-sets")
     first = saved(_verified(likely, sets), "near-links")
     labels = components(first, "near-first")
 
-    # pairs that share a node at the shortest prefix, and no cluster yet
-    apart = some.join(labels, "rep", "left").select("key", "rep", F.coalesce("cluster", "rep").alias("cluster"))
+    # what shares a node at the shortest prefix, and no cluster yet
+    apart = some.join(labels, "rep", "left").select("key", "n", "rep", F.coalesce("cluster", "rep").alias("cluster"))
     mixed = apart.groupBy("key").agg(F.min("cluster").alias("low"), F.max("cluster").alias("high")).filter("low <> high").select("key")
-    apart = apart.join(mixed, "key", "left_semi")
-    left, right = apart.toDF("key", "a", "cluster_a"), apart.toDF("key", "b", "cluster_b")
-    crossing = left.join(right, "key").filter("cluster_a < cluster_b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    crossing = crossing.join(likely.select("a", "b"), ["a", "b"], "left_anti")
-    more = saved(_likely(crossing, reps), "near-crossing")
-    others = more.select(F.col("a").alias("rep")).union(more.select("b")).distinct().join(sets.select("rep"), "rep", "left_anti")
+    apart = saved(apart.join(mixed, "key", "left_semi"), "near-apart")
+    few = apart.filter(F.col("n") <= SMALL).select("key", "rep", "cluster")
+    crossing = few.toDF("key", "a", "cluster_a").join(few.toDF("key", "b", "cluster_b"), "key").filter("cluster_a < cluster_b")
+    crossing = crossing.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(likely.select("a", "b"), ["a", "b"], "left_anti")
+    more = saved(_likely(crossing, active), "near-crossing")
+    others = saved(known.join(more.select(F.col("a").alias("rep")).union(more.select("b")).distinct().join(sets.select("rep"), "rep", "left_anti"), "rep", "left_semi"), "near-wanted")
     if not others.isEmpty():
-        sets = sets.union(saved(_sets(docs, known.join(others, "rep", "left_semi")), "near-sets"))
-    second = saved(_verified(more, sets), "near-links")
+        sets = sets.union(saved(_sets(docs, others), "near-sets"))
+    many = apart.filter(F.col("n") > SMALL).select("key", "rep").join(sets, "rep")
+    second = saved(_verified(more, sets).union(_forest(many)), "near-links")
     if not second.isEmpty():
         labels = components(first.union(second), "near-second")
 
-    sizes = labels.groupBy("cluster").count()
-    members = labels.join(sizes, "cluster").join(reps.select("rep", "n_docs"), "rep").join(sets, "rep")
-    blocks = F.ceil(F.col("count") / BLOCK).cast("int")
-    members = members.select("rep", "cluster", "n_docs", "set", F.pmod(F.xxhash64("rep", F.lit(1)), blocks).cast("int").alias("block"), blocks.alias("blocks"))
+    members = labels.join(active.select("rep", "n_docs"), "rep").join(sets, "rep").select("rep", "cluster", "n_docs", "set")
     links = _links_inside(members)
     named = labels.join(reps.select("rep", "rep_id"), "rep").groupBy("cluster").agg(F.min("rep_id").alias("cluster_id"))
     found = labels.join(named, "cluster").join(links, "rep", "left").select("rep", "cluster_id", "links", "copies")
