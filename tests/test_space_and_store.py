@@ -87,3 +87,39 @@ def test_entry_and_queries(spark):
 
     assert e.entry(spark).count() >= 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_snapshot_is_computed_once(spark, tmp_path):
+    path, calls = f"file://{tmp_path}/snap", []
+
+    def compute():
+        calls.append(1)
+        return spark.createDataFrame([(1, 2.0)], "location_id int, value double")
+
+    assert tables.snapshot(spark, path, compute).columns == ["location_id"]
+    assert tables.snapshot(spark, path, compute).count() == 1 and calls == [1]
+
+
+def test_fire_archive_replaces_days(spark, tmp_path):
+    head = "latitude,longitude,acq_date,acq_time,frp\n"
+    for k, rows in enumerate(["1,2,2024-01-01,0100,5\n1,2,2024-01-02,0100,6\n", "1,2,2024-01-02,0200,7\n"]):
+        (tmp_path / f"{k}.csv").write_text(head + rows)
+        tables.split_fires(spark, f"file://{tmp_path}/{k}.csv", f"file://{tmp_path}/fires")
+    assert sorted(r["frp"] for r in spark.read.parquet(f"file://{tmp_path}/fires").collect()) == [5.0, 7.0]
+
+
+def test_result_and_fire_sinks(spark, tmp_path):
+    s = store.Store(spark, f"file://{tmp_path}/r", store.RESULT_KEY)
+    row = spark.createDataFrame([("1", "2024-01-01", "trend", 3.0)], "location_id string, date string, variable string, value double")
+    for _ in range(2):
+        s.put_results(row, poll="pm25", unit="ug", source="s", process_id="p")
+    assert s.read().count() == 1
+    fires = store.Store(spark, f"file://{tmp_path}/f", store.ARTEFACT_KEY)
+    key = {"duration_hour": 72, "hours": [12, 0], "height": None, "met_type": "gdas1", "buffer_km": 10, "fire_source": "viirs", "fire_split_regions": None}
+    fires.put_fires(spark.createDataFrame([("1", 2.0), ("2", None)], "location_id string, fire_frp double"), key)
+    assert fires.find(hours=[0, 12], fire_split_regions="none").count() == 2
+    assert fires.find(duration_hour=24).count() == 0
+    fires.purge(["fire_frp"])
+    assert fires.keys().count() == 1
+    doubled = fires.apply(lambda pdf: pdf.assign(fire_frp=pdf["fire_frp"] * 2), fires.read().schema)
+    assert doubled.first()["fire_frp"] == 4.0
