@@ -53,26 +53,20 @@ def fuzzy_city(stations: DataFrame, cities: DataFrame) -> DataFrame:
     """Cities of nearly the same name (edit distance 1 after folding) and country, by the station's city and
     then by its region; of each station the first match, NULL without one.
 
-    Names within one edit share their first or their second half (of either's length), so the join is
-    on (half, length) keys rather than on all pairs.
+    Names within one edit share a text that is either of them, or one of them less a letter, so the join
+    is on these texts (a name has one more than letters) rather than on all pairs.
     """
 
-    def halves(name: Column, lengths: Sequence[int]) -> Column:
-        """Keys of a name for texts that are longer by each of ``lengths``."""
-        n = F.length(name)
-        keys = []
-        for d in lengths:
-            m = n + d  # the other's length
-            cut = F.floor(F.least(n, m) / 2).cast("int")
-            keys += [F.concat(F.lit("a"), n if d is None else F.least(n, m), F.lit(":"), F.greatest(n, m), F.lit(":"), F.substring(name, F.lit(1), cut)), F.concat(F.lit("z"), F.least(n, m), F.lit(":"), F.greatest(n, m), F.lit(":"), F.right(name, cut))]
-        return F.array_distinct(F.array(*keys))
+    def shortened(name: Column) -> Column:
+        less = F.transform(F.sequence(F.lit(1), F.length(name)), lambda i: F.concat(F.substring(name, F.lit(1), i - 1), F.substring(name, i + 1, F.length(name))))
+        return F.array_distinct(F.concat(F.array(name), F.when(F.length(name) > 0, less).otherwise(F.array().cast("array<string>"))))
 
     target = cities.select(F.col("id").alias("city_id"), F.col("name").alias("city_name"), fold_name(F.col("name")).alias("_name"), F.lower("country").alias("_country"))
-    target = target.withColumn("_key", F.explode(halves(F.col("_name"), (-1, 0, 1))))
+    target = target.withColumn("_key", F.explode(shortened(F.col("_name"))))
     found = []
     for order, column in enumerate(("city", "region")):
         s = stations.select("station_id", fold_name(F.col(column)).alias("_own"), F.lower("country").alias("_own_country"))
-        s = s.withColumn("_key", F.explode(halves(F.col("_own"), (-1, 0, 1))))
+        s = s.withColumn("_key", F.explode(shortened(F.col("_own"))))
         near = (F.levenshtein("_own", "_name", 1) >= 0) & (F.levenshtein("_own_country", "_country", 1) >= 0)
         found.append(s.join(target, "_key").filter(near).select("station_id", "city_id", "city_name", F.lit(order).alias("_order")))
     best = found[0].unionByName(found[1]).groupBy("station_id").agg(F.min_by(F.struct("city_id", "city_name"), F.struct("_order", "city_id")).alias("b"))
