@@ -7,9 +7,9 @@
 2. Tries are sorted key order: texts below one node share a prefix, and are grouped by its hash. The
    search starts at full depth and shortens the prefix until a pair at the threshold is met with the
    chance ``recall`` (``prefix_lengths``). Texts that share no node at the shortest prefix share none.
-   At every length each text is compared to one leader of its node, another in every tree and length:
-   one pair a text and node, however large the node. Pairs are verified on the sets themselves;
-   verified pairs join texts to clusters (connected components, by hooking and pointer jumping).
+   At full depth each text is compared to one leader of its node, another in every tree: one pair a
+   text and node, however large the node. Pairs are verified on the sets themselves; verified pairs
+   join texts to clusters (connected components, by hooking and pointer jumping).
 3. Then, at the shortest prefix, what is not yet in the same cluster is compared: all pairs of a node
    of up to ``SMALL`` texts; in larger nodes blocks of ``BLOCK`` texts are held against each other in
    one task, which counts the common elements of their sets and gives a spanning forest of the links
@@ -38,7 +38,7 @@ from .common import saved, table
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.999
 TREES, DEPTH = 16, 6
 #: Texts of a block in which links are counted, and of a node whose pairs are listed.
-BLOCK, SMALL = 1024, 48
+BLOCK, SMALL = 1024, 12
 #: Pairs whose signatures agree in less than this share of places are not verified: at the threshold the
 #: chance of so few is below 1e-6.
 LEAST_AGREEMENT = 0.55
@@ -264,7 +264,8 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             ok = pa.array([hashlib.blake2b(x.tobytes(), digest_size=16).digest() == d for x, d in zip(s, batch.column(1).to_pylist(), strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), pa.array([x.tobytes() for x in s], pa.binary()).filter(ok)], ["rep", "set"])
 
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("rep_id"))).select("rep", "digest", "text").mapInArrow(run, "rep binary, set binary")
+    # always a shuffle of both: the wanted are a share of all documents, and their number no bound
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("rep_id"))).select("rep", "digest", "text").mapInArrow(run, "rep binary, set binary")
     return found.dropDuplicates(["rep"])
 
 
@@ -283,10 +284,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     some = saved(shared.join(crowds, "key").select("rep", "key", "n"), "near-nodes")
     active = saved(reps.join(some.select("rep").distinct(), "rep", "left_semi").select("rep", "rep_id", "digest", "sig", "n_docs"), "near-active")
 
-    # a leader of each node, another in every tree and at every length
-    nodes = _nodes(active, lengths)
-    leader = nodes.groupBy("length", "key").agg(F.min_by("rep", F.xxhash64("rep", "key")).alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "length", "leader")
-    starred = nodes.join(leader, ["length", "key"]).filter("rep <> leader").select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()
+    # a leader of each node at full depth, another in every tree
+    nodes = _nodes(active, lengths[:1]).select("rep", "key")
+    leader = nodes.groupBy("key").agg(F.min_by("rep", F.xxhash64("rep", "key")).alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "leader")
+    starred = nodes.join(leader, "key").filter("rep <> leader").select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()
     likely = saved(_likely(starred, active), "near-pairs")
     crowded = some.filter(F.col("n") > SMALL)
     ends = likely.select(F.col("a").alias("rep")).union(likely.select("b")).union(crowded.select("rep")).distinct()
