@@ -111,7 +111,7 @@ def node_keys(sig: np.ndarray, length: int) -> np.ndarray:
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """doc_id, digest (NULL without a word) and signature of every document."""
+    """doc_id, digest (NULL without a word), signature and the text's own hash of every document."""
 
     def run(batches):
         for batch in batches:
@@ -120,9 +120,9 @@ def signed(docs: DataFrame) -> DataFrame:
                 s = shingles(text)
                 digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 sig.append(signature(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digest, pa.binary()), pa.array(sig, pa.binary())], ["doc_id", "digest", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digest, pa.binary()), pa.array(sig, pa.binary()), batch.column(2)], ["doc_id", "digest", "sig", "text_hash"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, digest binary, sig binary")
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text", "xxhash64(text) text_hash").mapInArrow(run, "doc_id long, digest binary, sig binary, text_hash long")
 
 
 def _nodes(reps: DataFrame, lengths: list[int]) -> DataFrame:
@@ -270,7 +270,7 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, digest, class_id, cluster_id, n_class (documents of the class), n_class_links (other classes
+    """doc_id, text_hash, digest, class_id, cluster_id, n_class (documents of the class), n_class_links (other classes
     that are similar), n_links (other documents that are equal or similar); one row per document."""
     lengths = prefix_lengths()
     rows = saved(signed(docs), "near-signed")
@@ -317,9 +317,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     named = labels.join(reps.select("rep", "rep_id"), "rep").groupBy("cluster").agg(F.min("rep_id").alias("cluster_id"))
     found = labels.join(named, "cluster").join(links, "rep", "left").select("rep", "cluster_id", "links", "copies")
     by_class = reps.join(found, "rep", "left").select("digest", "rep_id", F.coalesce("cluster_id", "rep_id").alias("cluster_id"), "n_docs", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("copies", F.lit(0)).alias("copies"))
-    joined = rows.select("doc_id", "digest").join(by_class, "digest", "left")
+    joined = rows.select("doc_id", "text_hash", "digest").join(by_class, "digest", "left")
     return joined.select(
         "doc_id",
+        "text_hash",
         "digest",
         F.coalesce("rep_id", "doc_id").alias("class_id"),
         F.coalesce("cluster_id", "doc_id").alias("cluster_id"),
@@ -332,16 +333,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The documents without near-duplicates: of each cluster the row with the smallest id stays (of rows
     that repeat this id and its text, one); documents without a word all stay."""
-    found = near_duplicates(docs)
-    gone = found.filter((F.col("doc_id") != F.col("cluster_id")) & F.col("digest").isNotNull()).select("doc_id").distinct()
-    names = docs.columns
-    kept = docs.join(gone, "doc_id", "left_anti").select(*names)
-    again = found.filter(F.col("digest").isNotNull()).groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    found = near_duplicates(docs).filter("digest IS NOT NULL").select("doc_id", "text_hash", "cluster_id")
+    found = saved(found, "near-found")
+    names, row = docs.columns, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
+    gone = found.filter(~F.col("doc_id").eqNullSafe(F.col("cluster_id"))).select("doc_id", "text_hash").distinct().toDF("_id", "_hash")
+    again = found.groupBy("doc_id", "text_hash").count().filter("count > 1").select("doc_id", "text_hash").toDF("_id", "_hash")
+    kept = docs.join(gone, row, "left_anti")
     if again.isEmpty():
         return kept
-    once = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(again, "doc_id", "left_anti").select(*names).unionByName(once.select(*names))
+    once = kept.join(again, row, "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(again, row, "left_anti").select(*names).unionByName(once.select(*names))
 
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents")).drop("digest")
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("digest", "text_hash")
