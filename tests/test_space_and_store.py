@@ -5,7 +5,6 @@ import math
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from weathernorm.operators import space_time as st
 from weathernorm.plans import weather as plans

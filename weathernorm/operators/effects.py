@@ -13,7 +13,6 @@ from pyspark.sql import types as T
 from ..functions.columns import from_decimal_year, inverse_link
 from .aggregates import replicate_summary
 from .boost import Booster
-from .joins import time_effects
 from .model import _numbers, _schema, fire_groups, predict
 
 
@@ -133,6 +132,3 @@ def legacy_residuals(predictions: DataFrame, columns: Sequence[str]) -> DataFram
 def long_result(wide: DataFrame, key: Sequence[str], wanted: Sequence[str] = ("observed", "predicted", "anomaly", "trend", "predicted_nofire")) -> DataFrame:
     """(series, date, variable, value) of the output columns that there are."""
     return wide.unpivot([*key, "date"], [c for c in wide.columns if c in wanted or c.startswith("predicted_nofire")], "variable", "value")
-
-
-__all__ = ["anomaly", "partial_dependence", "trend", "no_fire", "normalised_trend", "composite_time_effect", "importance", "legacy_residuals", "long_result", "time_effects"]
