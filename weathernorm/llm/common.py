@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import contextlib
 import tempfile
 import uuid
 
@@ -62,17 +61,3 @@ def labels_of(labels: DataFrame, column: str) -> DataFrame:
         .groupBy("doc_id")
         .agg(F.max("label").alias("label"))
     )
-
-
-@contextlib.contextmanager
-def settings(spark: SparkSession, **values: str):
-    """Session settings for the jobs inside the block."""
-    names = {k.replace("__", "."): v for k, v in values.items()}
-    before = {k: spark.conf.get(k, None) for k in names}
-    try:
-        for k, v in names.items():
-            spark.conf.set(k, v)
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
