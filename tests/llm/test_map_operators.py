@@ -1,6 +1,7 @@
 """Operators 3, 5, 6, 7 and 9: against the libraries, brute force, round trips, and on odd tables."""
 
 import hashlib
+import math
 import random
 import re
 
@@ -134,6 +135,28 @@ def test_mixing_meets_the_shares(spark, make, odd, none):
         mixing.mix(make([(k, "x" * (1 if k else 100_000), "en", "a" if k else "b") for k in range(3)]), weights={"a": 1.0})
 
 
+@pytest.mark.parametrize("most", [20_000, 1])
+def test_rates_of_any_size_are_inverted(make, monkeypatch, most):
+    monkeypatch.setattr(mixing, "MAX_BROADCAST_SOURCES", most)
+    docs = make([(1, "x", "en", "rare"), (2, "y" * 4_000_000, "en", "hot")])
+    rate = 4_000_001 / (1 + 2000)
+    copies = {r["doc_id"]: r["n"] for r in mixing.mix(docs).groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
+    u = int(hashlib.md5(b"1:7").hexdigest()[:13], 16) / 16**13
+    terms = [math.exp(-rate + k * math.log(rate) - math.lgamma(k + 1)) for k in range(4000)]
+    assert copies[1] == int((np.cumsum(terms) <= u).sum())
+
+
+def test_large_rates_by_brute_force(spark, make):
+    for rate in (501.5, 39_000.0):
+        k = np.arange(int(rate + 10 * rate**0.5 + 25))
+        c = np.cumsum(np.exp(-rate + k * math.log(rate) - np.array([math.lgamma(x + 1) for x in k.tolist()])))
+        got = spark.range(500).select(mixing.uniform(F.col("id"), 3).alias("u")).withColumn("n", mixing.poisson_count(F.lit(rate), F.col("u"))).collect()
+        assert [r["n"] for r in got] == [int((c <= r["u"]).sum()) for r in got]
+    docs = make([(k, "x" * (1 if k else 100_000), "en", "a" if k else "b") for k in range(3)])
+    out = mixing.mix(docs, weights={"a": 1.0}, max_rate=None).groupBy("doc_id").agg(F.count("*").alias("n"), F.max("copy").alias("last"), F.max("copies").alias("copies")).collect()
+    assert len(out) == 2 and all(r["n"] == r["last"] == r["copies"] and abs(r["n"] - 50_001) < 10 * 50_001**0.5 for r in out)
+
+
 def test_many_sources_are_joined(make, monkeypatch):
     docs = make([(k, "abc" * (1 + k % 7), "en", f"s{k % 11}" if k % 5 else None) for k in range(500)])
     want = sorted((r["doc_id"], r["copy"]) for r in mixing.mix(docs).collect())

@@ -8,11 +8,14 @@ dealt out at random over all partitions and sorted by a random key in each, a gl
 
 Edge cases: a NULL source is a source of its own; a NULL or empty text has size 0, and a source of
 size 0 gets rate 0; a NULL id hashes as an empty one; rows of the same id get the same number of
-copies; other columns are kept; an empty table gives an empty result. Rates over 500 are refused.
+copies; other columns are kept; an empty table gives an empty result. A rate of any size is inverted exactly;
+only where ``weights`` are given are rates over ``max_rate`` refused (None: never), on both paths.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +25,10 @@ from .common import free_name, table
 MAX_BROADCAST_SOURCES = 20_000
 MAX_RATE = 500.0
 SALTS = 64
+#: Rates up to this are inverted by a table of the distribution, larger ones by a sum in each row.
+TABLE_RATE = 500.0
+#: Copies of a row that one array numbers at most.
+EACH = 65_536
 
 
 def uniform(doc_id: Column, seed: int) -> Column:
@@ -42,6 +49,25 @@ def poisson_cdf(rate: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), last), start, step)["c"]
 
 
+def poisson_count(rate: Column, u: Column) -> Column:
+    """How many k have P(N <= k) <= u, for large rates: the sum starts 10 deviations below the mean, where less
+    than 2^-52 lies below, with a first term by Stirling's series, and holds no array of terms."""
+    low = F.floor(rate - 10 * F.sqrt(rate))
+    # -rate + low * ln(rate) - ln(low!), with nothing large to cancel
+    x = (rate - low) / low
+    first = F.exp(low * (F.log1p(x) - x) - F.log(2 * math.pi * low) / 2 - 1 / (12 * low) + 1 / (360 * F.pow(low.cast("double"), F.lit(3.0))))
+    one = F.lit(1).cast("long")
+    start = F.struct(first.alias("p"), first.alias("c"), F.when(first <= u, low + one).otherwise(low).alias("n"))
+
+    def step(acc, k):
+        p = acc["p"] * rate / k
+        c = acc["c"] + p
+        return F.struct(p.alias("p"), c.alias("c"), F.when(c <= u, acc["n"] + one).otherwise(acc["n"]).alias("n"))
+
+    found = F.aggregate(F.sequence(low + one, F.ceil(rate + 10 * F.sqrt(rate) + 25)), start, step)["n"]
+    return F.when(u > 0, found).otherwise(F.lit(0).cast("long"))
+
+
 def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float = 0.5, epochs: float = 1.0) -> DataFrame:
     """(source, size, share, rate): one row per source; sums over all documents, combined map-side."""
     size = F.sum(F.coalesce(F.char_length("text"), F.lit(0)).cast("double"))
@@ -61,29 +87,37 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, alpha
     return joined.select("source", "size", share.alias("share"), rate.alias("rate"))
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float = 0.5, epochs: float = 1.0, seed: int = 7) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float = 0.5, epochs: float = 1.0, seed: int = 7, max_rate: float | None = MAX_RATE) -> DataFrame:
     """Each document ``copies`` times (``copy`` counts from 1), in a global random order. Where the table
     has columns of these names, the new ones get underscores after theirs."""
     names = docs.columns
     copies_name, copy_name, key_name = (free_name(docs, n) for n in ("copies", "copy", "mix_key"))
     spark = docs.sparkSession
     rated = source_rates(docs, weights, alpha, epochs)
-    found = rated.limit(MAX_BROADCAST_SOURCES + 1).collect()
+    few = rated.limit(MAX_BROADCAST_SOURCES + 1).collect()
     src, u = docs["source"], uniform(docs["doc_id"], seed)
-    if len(found) <= MAX_BROADCAST_SOURCES:
-        if too_high := [r["source"] for r in found if r["rate"] > MAX_RATE]:
-            raise ValueError(f"repetition rate over {MAX_RATE} for {too_high[:5]}")
-        small = spark.createDataFrame([(r["source"], r["rate"]) for r in found], "mix_source string, mix_rate double")
-        small = F.broadcast(small.withColumn("mix_cdf", poisson_cdf(F.col("mix_rate"))))
+    if weights is not None and max_rate is not None:
+        too_high = rated.filter(F.col("rate") > max_rate).limit(5).collect()
+        if too_high:
+            raise ValueError(f"repetition rate over {max_rate} for {[r['source'] for r in too_high]}")
+    cdf = F.when(F.col("mix_rate") <= TABLE_RATE, poisson_cdf(F.col("mix_rate")))
+    if len(few) <= MAX_BROADCAST_SOURCES:
+        small = spark.createDataFrame([(r["source"], r["rate"]) for r in few], "mix_source string, mix_rate double")
+        small = F.broadcast(small.withColumn("mix_cdf", cdf))
         joined = docs.join(small, src.eqNullSafe(F.col("mix_source")))
     else:
         salts = F.array(*map(F.lit, range(SALTS)))
-        small = rated.select(F.col("source").alias("mix_source"), F.least("rate", F.lit(MAX_RATE)).alias("mix_rate"), F.explode(salts).alias("mix_salt"))
-        small = small.withColumn("mix_cdf", poisson_cdf(F.col("mix_rate")))
+        small = rated.select(F.col("source").alias("mix_source"), F.col("rate").alias("mix_rate"), F.explode(salts).alias("mix_salt"))
+        small = small.withColumn("mix_cdf", cdf)
         joined = docs.withColumn("mix_own", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(small, src.eqNullSafe(F.col("mix_source")) & (F.col("mix_own") == F.col("mix_salt"))).drop("mix_own")
-    copies = F.size(F.filter("mix_cdf", lambda c: c <= u))
-    counted = joined.select(*(docs[n] for n in names), copies.cast("long").alias(copies_name)).filter(F.col(copies_name) > 0)
-    each = counted.withColumn(copy_name, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies_name))))
+    one = F.lit(1).cast("long")
+    by_table = F.size(F.filter("mix_cdf", lambda c: c <= u)).cast("long")
+    copies = F.when(F.col("mix_rate") <= TABLE_RATE, by_table).otherwise(poisson_count(F.col("mix_rate"), u))
+    counted = joined.select(*(docs[n] for n in names), copies.alias(copies_name)).filter(F.col(copies_name) > 0)
+    # numbered in runs, so that no array grows with a row's copies
+    run_name = free_name(counted, "mix_run")
+    runs = counted.withColumn(run_name, F.explode(F.sequence(one, F.col(copies_name), F.lit(EACH).cast("long"))))
+    each = runs.withColumn(copy_name, F.explode(F.sequence(F.col(run_name), F.least(F.col(copies_name), F.col(run_name) + (EACH - 1))))).drop(run_name)
     key = F.xxhash64("doc_id", copy_name, F.lit(seed))
     return each.withColumn(key_name, key).repartition(key_name).sortWithinPartitions(key_name).drop(key_name)
 
