@@ -134,6 +134,25 @@ def test_kneser_ney_sums_to_one():
         assert m.chance(asked).sum() == pytest.approx(1, abs=1e-6)
 
 
+def test_models_hold_every_gram(spark, monkeypatch):
+    docs = table(spark, SF, "documents").filter("doc_id % 5 = 0")
+    whole = sorted(language.languages(docs).collect())
+    g, n = zip(*[(r["gram"] & (2**64 - 1), r["n"]) for r in language.gram_counts(docs.filter("lang = 'fr'")).collect()], strict=True)
+    g, n = np.array(g, np.uint64), np.array(n)
+    monkeypatch.setattr(language, "GRAMS", 20)
+    few = language.learn(docs)
+    assert len(few.known) <= 80 and all(len(m.levels[0][1]) > 1000 for m in few.models)
+    m = few.models[few.names.index("fr")]
+    want = language.KneserNey(g, n)
+    asked = np.concatenate([g, g ^ np.uint64(1), g ^ np.uint64(1 << 50)])
+    assert np.allclose(m.chance(asked), want.chance(asked), rtol=1e-12)
+    b = -np.log2(want.chance(g))
+    assert few.own[few.names.index("fr")] == pytest.approx((b * n).sum() / n.sum())
+    cut = sorted(language.languages(docs).collect())
+    assert [r[:3] + r[4:] for r in cut] == [r[:3] + r[4:] for r in whole]
+    assert np.allclose([r["score"] for r in cut], [r["score"] for r in whole])
+
+
 def test_slices_make_the_same_grams(monkeypatch):
     text = "Hello, wörld!  123 again\nand " * 50
     whole = np.concatenate(list(language.grams(text)))

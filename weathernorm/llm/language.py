@@ -2,9 +2,10 @@
 
 Texts are letters, lower-cased, and one blank for each run of anything else. Each task counts the
 4-grams of its learning texts by language; the sums over the whole corpus give, by language, discounted
-4-gram counts and continuation counts of the shorter ones. A language's model is a set of sorted arrays
-of packed grams (four 16-bit characters; those past U+FFFF are hashed into 16 bits) with their terms,
-found by binary search. A text gets the language of the lowest cross-entropy a character; ``rejected``
+4-gram counts and continuation counts of the shorter ones, all computed in Spark over every gram. A
+language's model is a set of sorted arrays of packed grams (four 16-bit characters; those past U+FFFF are
+hashed into 16 bits) with their terms, found by binary search: files in the shared folder, which workers
+map. What the most frequent grams take is also computed once and broadcast. A text gets the language of the lowest cross-entropy a character; ``rejected``
 tells that this is further above what the language's own learning texts need than chance explains.
 
 Edge cases: NULL texts and texts without a letter are ``und`` with score 0; rows with a NULL language or
@@ -14,16 +15,19 @@ to learn from gives ``und`` everywhere; ties go to the first language by name.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold_is, held_out, saved, table
+from .common import fold_is, held_out, saved, scratch_dir, table
 
 ORDER = 4
-#: A language keeps so many 4-grams at most, the most frequent ones, and all languages so many: bounds
-#: the broadcast models. Others are scored by the shorter grams.
+#: Of so many 4-grams of a language at most, the most frequent ones, and of all languages together, the bits
+#: are broadcast. Those of others are computed from the stored models where they occur, with the same result.
 GRAMS, ALL_GRAMS = 300_000, 6_000_000
 #: Characters that a score's confidence counts at most, and the z-score of a rejection.
 CONFIDENT, REJECT_Z = 40, 6.0
@@ -140,29 +144,130 @@ class KneserNey:
         return p
 
 
+_SIDES = ("gram", "context")
+
+
+def stored(counted: DataFrame) -> str:
+    """Writes the levels of every language's model (:class:`KneserNey`, over all grams of (number, gram, n)) as
+    sorted arrays to a folder, and gives its name. A task sorts and streams one array at a time."""
+    spark = counted.sparkSession
+    at = f"{scratch_dir(spark)}/language-models-{uuid.uuid4().hex}"
+    filesystem, path = pafs.FileSystem.from_uri(at)
+    filesystem.create_dir(path)
+    found, arrays = counted, []
+    for k in range(ORDER, 0, -1):
+        once, twice = F.count(F.when(F.col("n") == 1, 1)), F.count(F.when(F.col("n") == 2, 1))
+        d = F.greatest(F.lit(0.1), F.least(F.lit(0.95), F.when(once > 0, once / (once + 2 * twice)).otherwise(0.5)))
+        discount = F.broadcast(found.groupBy("number").agg(d.alias("d")))
+        by_context = found.withColumn("context", F.shiftrightunsigned("gram", 16))
+        context = saved(by_context.groupBy("number", "context").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds")).join(discount, "number"), "language-contexts")
+        share = F.greatest(F.col("n") - F.col("d"), F.lit(0.0)) / F.col("total")
+        arrays.append(by_context.join(context, ["number", "context"]).select("number", F.lit(k).alias("level"), F.lit(0).alias("side"), F.col("gram").alias("key"), share.alias("value")))
+        arrays.append(context.select("number", F.lit(k), F.lit(1), "context", F.col("d") * F.col("kinds") / F.col("total")))
+        # a shorter gram counts the different characters before it
+        if k > 1:
+            found = saved(found.groupBy("number", F.col("gram").bitwiseAND(F.lit((1 << 16 * (k - 1)) - 1)).alias("gram")).agg(F.count(F.lit(1)).alias("n")), "language-shorter")
+
+    def write(batches):
+        filesystem, path = pafs.FileSystem.from_uri(at)
+        own, now, files, rows = uuid.uuid4().hex, None, [], 0
+
+        def close():
+            for name, file in files:  # whole arrays only get their names; a task that runs again replaces them
+                file.close()
+                filesystem.move(f"{path}/{name}.{own}", f"{path}/{name}")
+
+        for batch in batches:
+            which = [batch.column(c).to_numpy() for c in range(3)]
+            cuts = np.flatnonzero(np.any([np.diff(c) != 0 for c in which], axis=0)) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+                if a == b:
+                    continue
+                number, level, side = (int(c[a]) for c in which)
+                if (number, level, side) != now:
+                    close()
+                    now, names = (number, level, side), [f"{number}-{level}-{_SIDES[side]}.{x}" for x in ("keys", "values")]
+                    files = [(name, filesystem.open_output_stream(f"{path}/{name}.{own}")) for name in names]
+                for (_, file), c in zip(files, (3, 4), strict=True):
+                    file.write(batch.column(c).slice(a, b - a).to_numpy().tobytes())
+                rows += b - a
+        close()
+        yield pa.RecordBatch.from_arrays([pa.array([rows], pa.int64())], ["rows"])
+
+    every = arrays[0]
+    for x in arrays[1:]:
+        every = every.union(x)
+    # unsigned order: packed grams from 2^63 on are negative as long
+    dealt = every.repartition("number", "level", "side").sortWithinPartitions("number", "level", "side", F.col("key") < 0, "key")
+    dealt.mapInArrow(write, "rows long").agg(F.sum("rows")).collect()
+    return at
+
+
+def stored_model(at: str, number: int) -> KneserNey:
+    """A model whose arrays are mapped from the files, or read where the folder can't be mapped."""
+    filesystem, path = pafs.FileSystem.from_uri(at)
+
+    def array(name: str, kind: type) -> np.ndarray:
+        if isinstance(filesystem, pafs.LocalFileSystem):
+            return np.asarray(np.memmap(f"{path}/{name}", kind, "r"))
+        with filesystem.open_input_file(f"{path}/{name}") as file:
+            return np.frombuffer(file.read(), kind)
+
+    out = KneserNey.__new__(KneserNey)
+    out.alphabet = 65536
+    out.levels = [(k, *(array(f"{number}-{k}-{side}.{x}", t) for side in _SIDES for x, t in (("keys", np.uint64), ("values", np.float64)))) for k in range(ORDER, 0, -1)]
+    return out
+
+
 class Languages:
-    """The models of all languages, and one table of the bits that each known 4-gram takes in each."""
+    """The stored models of all languages, and one table of the bits that each frequent 4-gram takes in each."""
 
-    def __init__(self, counted: dict[str, tuple[np.ndarray, np.ndarray]]) -> None:
-        self.names = sorted(counted)
-        self.models = [KneserNey(*counted[x]) for x in self.names]
-        self.known = np.unique(np.concatenate([counted[x][0] for x in self.names])) if counted else np.zeros(0, np.uint64)
-        self.bits = np.stack([-np.log2(m.chance(self.known)) for m in self.models], 1).astype(np.float32) if counted else np.zeros((0, 0), np.float32)
+    def __init__(self, names: list[str], at: str | None, frequent: np.ndarray) -> None:
+        self.names, self.at, self._models = names, at, None
+        self.known = frequent
+        self.bits = np.stack([-np.log2(m.chance(frequent)) for m in self.models], 1).astype(np.float32) if names else np.zeros((0, 0), np.float32)
         self.own, self.spread = [], []
-        for j, x in enumerate(self.names):  # what a language's learning texts take, a character
-            b, n = self.bits[np.searchsorted(self.known, counted[x][0]), j].astype(float), counted[x][1]
-            mean = float((b * n).sum() / n.sum())
-            self.own.append(mean)
-            self.spread.append(float(np.sqrt((n * (b - mean) ** 2).sum() / n.sum())))
+
+    @property
+    def models(self) -> list[KneserNey]:
+        if self._models is None:
+            self._models = [stored_model(self.at, j) for j in range(len(self.names))]
+        return self._models
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_models": None}  # a worker maps the files itself
+
+    def measure(self, counted: DataFrame) -> None:
+        """What a language's learning texts take, a character: mean and deviation of the bits over all grams."""
+        sent = counted.sparkSession.sparkContext.broadcast(self)
+
+        def run(batches):
+            sums: dict[int, np.ndarray] = {}
+            for batch in batches:
+                number, g, n = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64), batch.column(2).to_numpy().astype(float)
+                for j in np.unique(number).tolist():
+                    own = number == j
+                    b = -np.log2(sent.value.models[j].chance(g[own]))
+                    sums[j] = sums.get(j, 0) + np.array([n[own].sum(), (n[own] * b).sum(), (n[own] * b * b).sum()])
+            rows = [(j, *map(float, x)) for j, x in sums.items()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate((pa.int32(), *[pa.float64()] * 3))], ["number", "n", "b", "bb"])
+
+        parts = counted.select("number", "gram", "n").mapInArrow(run, "number int, n double, b double, bb double")
+        for r in parts.groupBy("number").agg(F.sum("n").alias("n"), F.sum("b").alias("b"), F.sum("bb").alias("bb")).orderBy("number").collect():
+            mean = r["b"] / r["n"]
+            # the order of the sums isn't fixed: rounded
+            self.own.append(round(mean, 9))
+            self.spread.append(round(max(0.0, r["bb"] / r["n"] - mean * mean) ** 0.5, 6))
 
     def cost(self, g: np.ndarray) -> np.ndarray:
         """Bits of all grams together, by language."""
         at = np.minimum(np.searchsorted(self.known, g), max(0, len(self.known) - 1))
-        hit = self.known[at] == g
+        hit = self.known[at] == g if len(self.known) else np.zeros(len(g), bool)
         out = np.array([float(x) for x in self.bits[at[hit]].sum(0, dtype=np.float64)])
         if not hit.all():
             u, n = np.unique(g[~hit], return_counts=True)
-            out += np.array([float((-np.log2(m.chance(u)) * n).sum()) for m in self.models])
+            # in single precision, as the table is
+            out += np.array([float((-np.log2(m.chance(u)).astype(np.float32) * n.astype(np.float64)).sum()) for m in self.models])
         return out
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
@@ -186,14 +291,17 @@ def learn(docs: DataFrame) -> Languages:
     """Models of all languages of ``docs``."""
     counted = saved(gram_counts(docs), "language-grams")
     names = [r["lang"] for r in counted.select("lang").distinct().orderBy("lang").collect()]
-    most = min(GRAMS, ALL_GRAMS // max(1, len(names)))
-    out = {}
-    for name in names:
-        # a total order, so that a lost task gives the same grams again
-        rows = counted.filter(F.col("lang") == name).orderBy(F.desc("n"), "gram").select("gram", "n").limit(most).toPandas()
-        order = np.argsort(rows["gram"].to_numpy().view(np.uint64))
-        out[name] = (rows["gram"].to_numpy().view(np.uint64)[order], rows["n"].to_numpy()[order])
-    return Languages(out)
+    if not names:
+        return Languages([], None, np.zeros(0, np.uint64))
+    numbers = docs.sparkSession.createDataFrame(list(enumerate(names)), "number int, lang string")
+    numbered = counted.join(F.broadcast(numbers), "lang").select("number", "gram", "n")
+    most, frequent = min(GRAMS, ALL_GRAMS // len(names)), [np.zeros(0, np.uint64)]
+    for j in range(len(names)):
+        rows = numbered.filter(F.col("number") == j).orderBy(F.desc("n"), "gram").select("gram").limit(most).toPandas()
+        frequent.append(rows["gram"].to_numpy(dtype=np.int64).view(np.uint64))
+    out = Languages(names, stored(numbered), np.unique(np.concatenate(frequent)))
+    out.measure(numbered)
+    return out
 
 
 def languages(docs: DataFrame, folds: int = 3, fold: int = 1) -> DataFrame:
