@@ -111,6 +111,23 @@ def test_neighbours_recall_and_scores(spark):
     assert hit / total >= 0.9
 
 
+def test_every_query_has_k_neighbours(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.standard_normal((4, 64))
+    dense = [(centres[j % 4] + 0.01 * rng.standard_normal(64)).tolist() for j in range(1000)]
+    sparse = rng.standard_normal((500, 64)).tolist()
+    rows = [(j, v, 0) for j, v in enumerate(dense + sparse)]
+    asked = {j for j in range(1500) if j % 7 == 0}
+    got = neighbours.nearest(vectors(spark, rows), every=7).collect()
+    found = {j: {r["vec_id"] for r in got if r["query_id"] == j} for j in asked}
+    assert all(len(x) == 10 for x in found.values())
+    x = np.array([v for _, v, _ in rows])
+    true = {j: set(np.argsort(((x - x[j]) ** 2).sum(1), kind="stable")[1:11].tolist()) for j in asked}
+    assert np.mean([len(found[j] & true[j]) / 10 for j in asked if j >= 1000]) > 0.9
+    few = neighbours.nearest(vectors(spark, rows[995:1006]), every=1).collect()
+    assert len(few) == 110
+
+
 def test_neighbours_ties_and_odd_vectors(spark):
     rng = np.random.default_rng(1)
     rows = [(k, rng.normal(size=8).tolist(), 0) for k in range(1, 60)]

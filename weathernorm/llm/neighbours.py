@@ -7,7 +7,9 @@ substrings, each with an index of its own. Codes within a Hamming radius r diffe
 r // m bits in one of m substrings (pigeonhole), so probing each substring index within that radius
 meets every one of them; those within r are ranked by their exact distances on the original vectors.
 The radius is learned: on a sample of ``RADIUS_QUERIES`` queries held against every vector exactly, it
-covers the codes of ``COVER`` of the true neighbours.
+covers the codes of ``COVER`` of the true neighbours. Queries that find fewer than they should over all
+blocks, or a neighbour at the radius itself, are searched again with a growing radius, up to the code's
+length, where every vector is found.
 
 Work is dealt out in blocks: of the index (by hash of the vector, ``SHARD`` at most on average) and of
 the queries (``QUERY_BLOCK``); a task holds one block of each. Equal vectors are indexed once, with the
@@ -33,6 +35,8 @@ from .common import saved, table
 FIT_ROWS, RADIUS_QUERIES, COVER = 20_000, 200, 0.97
 ROTATIONS, ROUNDS = 4, 20
 SHARD, QUERY_BLOCK = 16_384, 2_048
+#: Bits that the radius grows by at first; each further round doubles them.
+WIDER = 8
 _ONES = np.array([bin(v).count("1") for v in range(1 << 16)], np.uint8)
 
 
@@ -163,31 +167,50 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
 
     n = distinct.count()
     shards = max(1, math.ceil(n / SHARD))
-    asked = own.filter(F.col("vec_id") % every == 0).select("v").distinct()
-    blocks = max(1, math.ceil(asked.count() / QUERY_BLOCK))
     number = lambda c, seed, parts: F.pmod(F.xxhash64(c, F.lit(seed)), F.lit(parts)).cast("int")
-    index = distinct.withColumn("shard", number("v", 5, shards)).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    queries = asked.withColumn("block", number("v", 6, blocks)).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-
-    def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        found: list[tuple] = []
-        if len(left) and len(right):
-            x, q = _matrix(left["v"], width), _matrix(right["v"], width)
-            cx, cq, ids = sent.value(x), sent.value(q), left["ids"].tolist()
-            first, index = np.array([i[0] for i in ids]), SubstringIndex(cx)
-            for i in range(len(q)):
-                at = index.within(cq[i], radius)
-                d = exact(q[i], x[at])
-                # a query's own vector may stand first: one more than k vectors
-                for j in _smallest(d, first[at], k + 1):
-                    found.append((right["v"].iloc[i], float(d[j]), ids[at[j]]))
-        return pd.DataFrame(found, columns=["v", "d", "ids"])
-
-    near = index.groupBy("block", "shard").cogroup(queries.groupBy("block", "shard")).applyInPandas(search, "v array<double>, d double, ids array<long>")
-    found = near.select("v", F.explode("ids").alias("vec_id"), "d")
-    # of each query vector the k + 1 nearest rows are enough for every query that equals it
-    pair = F.struct(F.col("d"), F.col("vec_id"))
-    top = found.groupBy("v").agg(F.slice(F.array_sort(F.collect_list(pair)), 1, k + 1).alias("near"))
+
+    def within(asked: DataFrame, count: int, radius: int) -> DataFrame:
+        """(v, near): of each query vector the k + 1 nearest rows found, enough for every query that equals it."""
+        blocks = max(1, math.ceil(count / QUERY_BLOCK))
+        index = distinct.withColumn("shard", number("v", 5, shards)).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        queries = asked.withColumn("block", number("v", 6, blocks)).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+
+        def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+            found: list[tuple] = []
+            if len(left) and len(right):
+                x, q = _matrix(left["v"], width), _matrix(right["v"], width)
+                cx, cq, ids = sent.value(x), sent.value(q), left["ids"].tolist()
+                first, index = np.array([i[0] for i in ids]), SubstringIndex(cx)
+                for i in range(len(q)):
+                    at = index.within(cq[i], radius)
+                    d = exact(q[i], x[at])
+                    # a query's own vector may stand first: one more than k vectors
+                    for j in _smallest(d, first[at], k + 1):
+                        found.append((right["v"].iloc[i], float(d[j]), int(_ONES[cx[at[j]] ^ cq[i]].sum()), ids[at[j]]))
+            return pd.DataFrame(found, columns=["v", "d", "h", "ids"])
+
+        near = index.groupBy("block", "shard").cogroup(queries.groupBy("block", "shard")).applyInPandas(search, "v array<double>, d double, h int, ids array<long>")
+        found = near.select("v", F.explode("ids").alias("vec_id"), "d", "h")
+        rows = F.struct(F.col("d"), F.col("vec_id"), F.col("h"))
+        return found.groupBy("v").agg(F.slice(F.array_sort(F.collect_list(rows)), 1, k + 1).alias("near"))
+
+    asked = own.filter(F.col("vec_id") % every == 0).select("v").distinct()
+    count, bits, step, parts = asked.count(), 16 * math.ceil(width * ROTATIONS / 16), WIDER, []
+    while True:
+        round_ = saved(within(asked, count, radius), "nn-found")
+        full = (F.size("near") > k) & (F.array_max(F.transform("near", lambda p: p["h"])) < radius)
+        if radius >= bits:
+            parts.append(round_)
+            break
+        parts.append(round_.filter(full))
+        asked = round_.filter(~full).select("v")
+        count = asked.count()
+        if not count:
+            break
+        radius, step = min(bits, radius + step), 2 * step
+    top = parts[0]
+    for part in parts[1:]:
+        top = top.union(part)
     each = own.filter(F.col("vec_id") % every == 0).distinct().withColumnRenamed("vec_id", "query_id").join(top, "v")
     others = F.slice(F.filter("near", lambda p: p["vec_id"] != F.col("query_id")), 1, k)
     return each.select("query_id", F.posexplode(others).alias("rank", "p")).select("query_id", (F.col("rank") + 1).alias("rank"), "p.vec_id", F.col("p.d").alias("score"))
