@@ -77,6 +77,22 @@ def test_restored_texts():
     assert r.words(None) == set() and r.words("plain words") == {"plain", "words"}
 
 
+def test_long_spans_are_restored():
+    words = "the idiot was a moron and stupid people with this other that from there".split()
+    total = np.zeros(64**3)
+    for w in words * 20:
+        c = toxicity.codes(f" {w} ").astype(int)
+        np.add.at(total, (c[:-2] * 64 + c[1:-1]) * 64 + c[2:], 1)
+    r = toxicity.Restorer(toxicity.CharModel(np.arange(64**3), total))
+    assert "idiot" in r.words("idi" + "o" * 100 + "t")
+    # a word that lies across the 32nd letter of a run set apart
+    run = " ".join("people" * 5 + "stupid" + "people")
+    assert [m.group() for m in toxicity._SPACED.finditer(run)] == [run] and "stupid" in r.words(run)
+    assert any("moron" in w for w in r.words("w1th" * 15 + "m0r0n"))
+    for long in ("a b " * 50_000, "!" * 200_000, "x" * 200_000, "$" * 200_000 + "a", "ab1" * 30_000):
+        assert r.words(long) is not None
+
+
 def test_viterbi_finds_the_best_reading():
     import itertools
 

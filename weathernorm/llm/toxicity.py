@@ -34,15 +34,19 @@ LOOKALIKES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6":
 #: Words of the lexicon at most, and documents with it that a word needs in the sample.
 LEXICON, LEAST_DOCS = 1000, 5
 CACHE_ENTRIES = 100_000
+#: Longer spans are read each time: bounds the cache.
+CACHE_LETTERS = 60
 #: Channel cost of a word's end between letters set apart.
 NEW_WORD = 1.0
 
 _INDEX = {c: k for k, c in enumerate(ALPHABET, 2)}
 _WORD = re.compile(r"[^\W\d_]+")
 _SIGNS = "0-9@$!|+(€£*#"
-_MIXED = re.compile(rf"(?<![\w@$€£])(?=[{_SIGNS}]*[^\W\d_])(?=[^\W\d_]*[{_SIGNS}])(?:[^\W_]|[{_SIGNS}]){{3,40}}")
-_SPACED = re.compile(r"(?<!\w)(?:(?:[^\W_]|[@$!|])([ .\-_*])(?:(?:[^\W_]|[@$!|])\1){1,30}(?:[^\W_]|[@$!|]))(?!\w)")
-_REPEATED = re.compile(r"\w*([^\W\d_])\1\1\w*")
+# a run of signs without a letter after it is passed over at once: no part of it starts a span
+_MIXED = re.compile(rf"(?<![\w@$€£])(?:[{_SIGNS}]++(?![^\W\d_])|(?P<span>(?=[{_SIGNS}]*[^\W\d_])(?=[^\W\d_]*[{_SIGNS}])(?:[^\W_]|[{_SIGNS}]){{3,}}))")
+_SPACED = re.compile(r"(?<!\w)(?:(?:[^\W_]|[@$!|])([ .\-_*])(?:(?:[^\W_]|[@$!|])\1)+(?:[^\W_]|[@$!|]))(?!\w)")
+_TOKEN = re.compile(r"\w+")
+_REPEATED = re.compile(r"([^\W\d_])\1\1")
 _HAS_SIGN = re.compile(rf"[{_SIGNS}]")
 _TRAILING = re.compile(r"[^\w$]+$")
 
@@ -115,11 +119,12 @@ def lattice(span: str) -> list[list[tuple[str, float]]]:
 def viterbi(span: str, model: CharModel, apart: bool = False) -> str:
     """The likeliest reading of a span: states are the last two letters. In a span that was set apart letter
     by letter, a word may end before any letter ("a i d i o t")."""
-    states = {(0, 0): (0.0, "")}
+    # what a state said is a chain of readings, the last first: a span of any length is read in linear time
+    states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
     for k, readings in enumerate(lattice(span)):
         if apart and k:
             readings = [*readings, *((f" {x}", cost + NEW_WORD) for x, cost in readings)]
-        new: dict[tuple[int, int], tuple[float, str]] = {}
+        new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
         for (a, b), (score, said) in states.items():
             for reading, cost in readings:
                 x, y, s = a, b, score - cost
@@ -128,9 +133,19 @@ def viterbi(span: str, model: CharModel, apart: bool = False) -> str:
                     s += float(model.log[x, y, z])
                     x, y = y, z
                 if (x, y) not in new or s > new[x, y][0]:
-                    new[x, y] = (s, said + reading)
+                    new[x, y] = (s, (said, reading))
         states = new
-    return max((s + float(model.log[a, b, 0]), said) for (a, b), (s, said) in states.items())[1]
+    ends = [(s + float(model.log[a, b, 0]), said) for (a, b), (s, said) in states.items()]
+    top = max(s for s, _ in ends)
+    return max(_said(said) for s, said in ends if s == top)
+
+
+def _said(chain: tuple | None) -> str:
+    out = []
+    while chain:
+        chain, reading = chain
+        out.append(reading)
+    return "".join(reversed(out))
 
 
 class Restorer:
@@ -140,6 +155,8 @@ class Restorer:
         self.model, self.cache = model, {}
 
     def read(self, span: str, apart: bool = False) -> str:
+        if len(span) > CACHE_LETTERS:
+            return viterbi(span, self.model, apart)
         got = self.cache.get((span, apart))
         if got is None:
             if len(self.cache) >= CACHE_ENTRIES:
@@ -151,7 +168,9 @@ class Restorer:
         out = []
         if _HAS_SIGN.search(low):
             for m in _MIXED.finditer(low):
-                span = m.group()
+                span = m["span"]
+                if span is None:
+                    continue
                 out.append(self.read(span))
                 bare = _TRAILING.sub("", span)
                 if bare != span and len(bare) > 2 and not bare.isalpha():
@@ -160,7 +179,7 @@ class Restorer:
         if len(c) > 4:
             on = c > 0
             if np.any(on[1:-1] & (c[1:-1] == c[:-2]) & (c[1:-1] == c[2:])):
-                out += [self.read(m.group()) for m in _REPEATED.finditer(low) if len(m.group()) <= 60]
+                out += [self.read(m.group()) for m in _TOKEN.finditer(low) if _REPEATED.search(m.group())]
             solid = np.concatenate([[False], on | _is_sign(low), [False]])
             lone = solid[1:-1] & ~solid[:-2] & ~solid[2:]  # characters that stand alone
             if len(lone) > 4 and np.any(lone[:-4] & lone[2:-2] & lone[4:]):
