@@ -141,3 +141,18 @@ def test_config_grid(spark):
     assert rows[-1]["time_vars"] == ["date_unix", "yday", "wday"]
     with pytest.raises(ValueError):
         model.config_grid(spark, {"anomaly": {}}, engine="other")
+
+
+def test_normalised_trend_takes_every_weather_row(spark, monkeypatch):
+    df, columns = synthetic(spark, trend=20.0), ["date_unix", *WEATHER[:4]]
+    rows, models = fitted(df, columns, trees=30)
+    monkeypatch.setattr(effects, "GRID", 1000)
+    got = [r["normalised"] for r in effects.normalised_trend(rows, models, KEY, columns).orderBy("date").collect()]
+    b = Booster.loads(models.first()["model"])
+    x = rows.orderBy("date").select(*b.names).toPandas().to_numpy(dtype=float)
+    want, j = [], b.names.index("date_unix")
+    for year in x[:, j]:
+        grid = x.copy()
+        grid[:, j] = year
+        want.append(b.predict(grid).mean())
+    assert np.allclose(got, want)

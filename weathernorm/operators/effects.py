@@ -15,6 +15,9 @@ from .aggregates import replicate_summary
 from .boost import Booster
 from .model import _numbers, _schema, fire_groups, predict
 
+#: Rows of a grid that are scored at once, about.
+GRID = 100_000
+
 
 def anomaly(predictions: DataFrame, key: Sequence[str]) -> DataFrame:
     """date, observed, predicted (mean over replicates, with quantiles) and their difference."""
@@ -63,9 +66,9 @@ def no_fire(rows: DataFrame, models: DataFrame, key: Sequence[str], columns: Seq
     return found.groupBy(*key, "date").pivot("scenario", list(scenarios)).agg(F.avg("predicted"))
 
 
-def normalised_trend(rows: DataFrame, models: DataFrame, key: Sequence[str], columns: Sequence[str], n: int = 200, seed: int = 1, link_name: str = "linear") -> DataFrame:
+def normalised_trend(rows: DataFrame, models: DataFrame, key: Sequence[str], columns: Sequence[str], n: int = 5000, seed: int = 1, link_name: str = "linear") -> DataFrame:
     """(series, date, normalised): for each date, the mean prediction over a sample of ``n`` of the series'
-    weather rows with the date's own decimal year."""
+    weather rows (all, if there are fewer) with the date's own decimal year. Scored in blocks of ``GRID`` rows."""
     group = [*key, "config_id", "replicate"]
     names = list(columns)
     schema = T.StructType([*(rows.schema[g] for g in group), rows.schema["date"], T.StructField("normalised", T.DoubleType())])
@@ -80,9 +83,15 @@ def normalised_trend(rows: DataFrame, models: DataFrame, key: Sequence[str], col
         out = np.full(len(x), np.nan)
         if "date_unix" in b.names:
             j = b.names.index("date_unix")
-            grid = np.repeat(sample, len(x), axis=0)
-            grid[:, j] = np.tile(x[:, j], len(sample))
-            out = b.predict(grid).reshape(len(sample), len(x)).mean(0)
+            # a date's prediction depends on its decimal year alone: equal ones are scored once
+            years, back = np.unique(x[:, j], return_inverse=True)
+            means, each = np.empty(len(years)), max(1, GRID // len(sample))
+            for at in range(0, len(years), each):
+                block = years[at : at + each]
+                grid = np.tile(sample, (len(block), 1))
+                grid[:, j] = np.repeat(block, len(sample))
+                means[at : at + each] = b.predict(grid).reshape(len(block), len(sample)).mean(1)
+            out = means[back]
         first = left.iloc[0]
         return pd.DataFrame({**{g: [first[g]] * len(x) for g in group}, "date": left["date"].to_numpy(), "normalised": out})
 

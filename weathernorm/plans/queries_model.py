@@ -53,7 +53,7 @@ def nofire(rows, models):
 
 @query
 def normalised_trend(rows, models):
-    return effects.normalised_trend(rows, models, KEY, COLUMNS, n=20)
+    return effects.normalised_trend(rows, models, KEY, COLUMNS)
 
 
 @query
