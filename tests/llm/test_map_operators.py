@@ -200,3 +200,13 @@ def test_pii_adds_and_keeps(make, odd, none):
     assert sum("secret" in out[k + 1000]["spans"] for k in range(60)) == 60
     assert out[2]["spans"] == "" and len(out) == len({r["doc_id"] for r in docs.select("doc_id").collect()})
     assert pii.pii_spans(none).count() == 0
+
+
+def test_spelt_addresses_of_any_case_and_all_patterns(monkeypatch):
+    for text in ("JOHN (AT) EXAMPLE (DOT) COM", "john at example [dot] com", "john at example(dot)com", "john (at) example dot com"):
+        assert (0, 0, len(text)) in pii.candidates(text, []), text
+    patterns = [(v, f"email|{k}|{k % 5}|{k % 4}", 0.9 if v[0] == "y" else 0.2, 1 + k) for k in range(10) for v in ("yyyyy", "nnn-n", "-ynyn")]
+    whole = pii.fit_classifier(patterns)
+    monkeypatch.setattr(pii, "FIT_BLOCK", 7)
+    parts = pii.fit_classifier(patterns)
+    assert whole.keys() == parts.keys() and all(abs(whole[f] - parts[f]) < 1e-6 for f in whole)

@@ -29,8 +29,8 @@ from .common import saved, table
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "secret", "handle", "name")
 LABELERS = ("format", "check", "gazetteer", "context", "surroundings")
-#: The classifier is fitted on so many distinct patterns at most, the most frequent ones.
-FIT_PATTERNS = 20_000
+#: The classifier's fit holds so many distinct patterns as a matrix at once.
+FIT_BLOCK = 20_000
 
 _AT = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -135,7 +135,8 @@ def candidates(text: str, base: list) -> list[tuple[int, int, int]]:
     if "@" in text:
         for m in _HANDLE.finditer(text):
             found.add((m.start(), 5, m.end()))
-    if "(at)" in text or "[at]" in text or " dot " in text:
+    low = text.lower()
+    if any(x in low for x in ("(at)", "[at]", " at ")) and any(x in low for x in ("(dot)", "[dot]", " dot ")):
         for m in _SPELT.finditer(text):
             found.add((m.start(), 0, m.end()))
     if any(cue in text for cue in _NAME_CUES):
@@ -218,15 +219,19 @@ def fit_classifier(patterns: list[tuple[str, str, float, int]], rounds: int = 60
     """Logistic regression over (votes, shape, soft label, n) by Newton steps with a ridge of 1."""
     index: dict[str, int] = {}
     rows = [[index.setdefault(f, len(index)) for f in features(v, s)] for v, s, _, _ in patterns]
-    x = np.zeros((len(rows), len(index)))
-    for i, r in enumerate(rows):
-        x[i, r] = 1
+    at = np.array(rows)
     y, n, w = np.array([p for *_, p, _ in patterns]), np.array([float(c) for *_, c in patterns]), np.zeros(len(index))
     n = n / max(1.0, n.sum() / 1e5)
     for _ in range(rounds):
-        q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (n * (y - q)) - w
-        step = np.linalg.solve((x * (n * q * (1 - q))[:, None]).T @ x + np.eye(len(w)), grad)
+        grad, curve = -w, np.eye(len(w))
+        for a in range(0, len(rows), FIT_BLOCK):
+            part = slice(a, a + FIT_BLOCK)
+            x = np.zeros((len(at[part]), len(index)))
+            x[np.arange(len(x))[:, None], at[part]] = 1
+            q = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            grad = grad + x.T @ (n[part] * (y[part] - q))
+            curve = curve + (x * (n[part] * q * (1 - q))[:, None]).T @ x
+        step = np.linalg.solve(curve, grad)
         w += np.clip(step, -2, 2)
         if np.abs(step).max(initial=0) < 1e-6:
             break
@@ -270,7 +275,7 @@ def pii_spans(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     # at most kinds x 3^labelers vote patterns, times bounded shapes
     by_vote = counted.groupBy(F.substring_index("shape", "|", 1).alias("kind"), "votes").agg(F.sum("count").alias("n")).collect()
     posterior = reliabilities([(r["kind"], r["votes"], r["n"]) for r in by_vote])
-    top = counted.orderBy(F.desc("count"), "votes", "shape").limit(FIT_PATTERNS).collect()
+    top = counted.orderBy(F.desc("count"), "votes", "shape").collect()
     weights = fit_classifier([(r["votes"], r["shape"], posterior[r["shape"].split("|")[0], r["votes"]], r["count"]) for r in top]) if top else {}
     sent, cut = spark.sparkContext.broadcast(weights), math.log(threshold / (1 - threshold))
 
