@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -33,12 +34,20 @@ def test_token_counts_are_the_library_s(make, odd, none, sp):
     assert tc.token_counts(none).count() == 0
 
 
-def test_a_full_cache_changes_nothing(sp, monkeypatch):
-    monkeypatch.setattr(pretokens, "CACHE_ENTRIES", 5)
-    lengths, words = pretokens.Lengths(pretokens.model_path(), {"the": 1}), pretokens.Words(pretokens.model_path())
-    for t in texts(150):
-        assert lengths.count(t) == len(sp.encode(t))
-        assert np.frombuffer(words.ids(t), "<u2").tolist() == sp.encode(t)
+@pytest.mark.parametrize("most", [0, 5, 150_000])
+def test_slices_and_a_full_cache_change_nothing(sp, monkeypatch, most):
+    monkeypatch.setattr(pretokens.Lengths, "CACHE_ENTRIES", most)
+    monkeypatch.setattr(pretokens, "SLICE_BYTES", 64)
+    monkeypatch.setattr(pretokens, "GATHERED", 10)
+    encoder = pretokens.Encoder(pretokens.model_path())
+    lengths = pretokens.Lengths(encoder, {"the": 1})
+    said = [*texts(400), None, ""]
+    column = pa.array(["", *said]).slice(1)
+    want = [sp.encode(t or "") for t in said]
+    assert [x.tolist() for x in encoder.ids(column)] == want
+    for _ in range(2):
+        assert encoder.lengths(column, lengths).tolist() == list(map(len, want))
+    assert len(lengths.cache) <= most and list(encoder.ids(pa.array([], pa.string()))) == []
 
 
 def test_packing_round_trip(make, odd, none, sp):

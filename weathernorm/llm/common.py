@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,12 +21,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests, local mode) a temporary folder is made and set.
+    Only where that is unset in local mode (tests) a temporary folder is made and set; elsewhere it is refused.
     """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        kept = spark.sparkContext.getCheckpointDir()
-        at = kept or f"file://{tempfile.mkdtemp(prefix='spark-scratch-')}"
+        at = spark.sparkContext.getCheckpointDir()
+    if not at:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        at = f"file://{tempfile.mkdtemp(prefix='spark-scratch-')}"
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(at)
     return at
@@ -61,3 +69,38 @@ def labels_of(labels: DataFrame, column: str) -> DataFrame:
         .groupBy("doc_id")
         .agg(F.max("label").alias("label"))
     )
+
+
+def lean(run: Callable[[Iterator], Iterator], rows: int = 2_000) -> Callable[[Iterator], Iterator]:
+    """A task's function that takes its batches in slices of ``rows``, and at its end gives back the free memory
+    of its worker's process.
+
+    Workers wait for their next task, of whatever stage, with all that their allocators have kept; a long
+    job would add up the peaks of its stages.
+    """
+
+    @functools.wraps(run)
+    def task(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batch.slice(k, rows) for batch in batches for k in range(0, batch.num_rows, rows))
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # not the GNU library: nothing to give back by hand
+                pass
+
+    return task
+
+
+def smallest(df: DataFrame, n: int, by: str, *order: str) -> DataFrame:
+    """The ``n`` rows with the smallest hashes of column ``by`` (ties by it and ``order``).
+
+    Rows are counted first, and a bound on the hash that a little over ``n`` rows pass is set before the sort:
+    what goes to one place is about ``n`` rows, not ``n`` of each partition. ``df`` is read twice. Where rows
+    repeat the values of ``by``, fewer than ``n`` may pass the bound.
+    """
+    count, h = df.count(), F.xxhash64(by)
+    if count > n:
+        df = df.filter(h / F.lit(2.0**64) + 0.5 <= (n + 8 * n**0.5 + 16) / count)
+    return df.orderBy(h, by, *order).limit(n)

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from . import pretokens
-from .common import table
+from .common import lean, table
 
 SCHEMA = "pack_id long, n_tokens int, n_segments int, doc_ids array<long>, pieces array<int>, cu_seqlens array<int>, position_resets array<int>, input_ids binary"
 _ARROW = pa.schema([("pack_id", pa.int64()), ("n_tokens", pa.int32()), ("n_segments", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("pieces", pa.list_(pa.int32())), ("cu_seqlens", pa.list_(pa.int32())), ("position_resets", pa.list_(pa.int32())), ("input_ids", pa.binary())])
@@ -79,9 +79,10 @@ def pack(docs: DataFrame, length: int = 2048, model: str | None = None, pad_id:
     path = pretokens.model_path(model)
 
     def run(batches):
-        words = pretokens.words(path)
-        width, pad = words.pretokens.width, pad_id.to_bytes(words.pretokens.width, "little")
-        step, held, pieces, window = length * width, 0, [], 0
+        encoder = pretokens.Encoder(path)
+        width = encoder.dtype.itemsize
+        pad = pad_id.to_bytes(width, "little")
+        held, pieces, window = 0, [], 0
         part = TaskContext.get().partitionId()
 
         def packed():
@@ -96,18 +97,17 @@ def pack(docs: DataFrame, length: int = 2048, model: str | None = None, pad_id:
             return {"pack_id": pack_id, "n_tokens": cu[-1], "n_segments": len(row), "doc_ids": [d for d, _, _ in row], "pieces": [p for _, p, _ in row], "cu_seqlens": cu, "position_resets": resets, "input_ids": ids + pad * (length - cu[-1])}
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = words.ids(text) if text else b""
-                for k in range(0, max(1, len(ids)), step):
-                    pieces.append((doc_id, k // step, ids[k : k + step]))
-                held += len(ids) // width + 1
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encoder.ids(batch.column(1)), strict=True):
+                for k in range(0, max(1, len(ids)), length):
+                    pieces.append((doc_id, k // length, ids[k : k + length].tobytes()))
+                held += len(ids) + 1
                 if held >= window_tokens:
                     yield from packed()
                     held, pieces, window = 0, [], window + 1
         if pieces:
             yield from packed()
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, SCHEMA)
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(lean(run, 5_000), SCHEMA)
 
 
 def matrix(input_ids: list[bytes], length: int = 2048, dtype: str = "<u2") -> np.ndarray:

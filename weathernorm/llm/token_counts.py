@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import pretokens
-from .common import table
+from .common import lean, saved, table
 
 #: A task's counter is thinned to its larger half beyond so many words; bounds its memory.
 COUNTER_WORDS = 400_000
@@ -36,10 +36,15 @@ def frequent_words(docs: DataFrame, table_entries: int = 50_000, per_task: int =
                     seen.update(text.split(" "))
                     if len(seen) > COUNTER_WORDS:
                         seen = Counter(dict(seen.most_common(COUNTER_WORDS // 2)))
-        top = [(w, n) for w, n in seen.most_common(per_task) if n > 1 and len(w) <= pretokens.LONGEST_KEPT]
+        top = [(w, n) for w, n in seen.most_common(per_task) if n > 1 and len(w) <= pretokens.LONGEST_KEPT and pretokens.MARK not in w]
         yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], ["word", "n"])
 
-    return docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(table_entries)
+    counted = saved(docs.select("text").mapInArrow(lean(count, 5_000), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "token-words")
+    more = counted.count()
+    if more > table_entries:  # what the driver sorts is about the table, however many partitions there are
+        least = counted.agg(F.percentile_approx("n", 1 - table_entries / more, 10_000)).first()[0]
+        counted = counted.filter(F.col("n") > least)
+    return counted.orderBy(F.desc("n"), "word").limit(table_entries)
 
 
 def token_counts(docs: DataFrame, model: str | None = None, max_tokens: int = 4096, table_entries: int = 50_000) -> DataFrame:
@@ -52,13 +57,13 @@ def token_counts(docs: DataFrame, model: str | None = None, max_tokens: int = 40
     sent = spark.sparkContext.broadcast(lengths_of(spark, words, path))
 
     def count(batches):
-        lengths = pretokens.lengths(path, name, sent.value)
+        encoder, lengths = pretokens.lengths(path, name, sent.value)
         for batch in batches:
-            n = [lengths.count(text) if text else 0 for text in batch.column(1).to_pylist()]
+            n = encoder.lengths(batch.column(1), lengths)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
     n_bytes = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes")
-    counted = docs.select(F.col("doc_id").cast("long"), "text", n_bytes).mapInArrow(count, "doc_id long, n_bytes long, n_tokens long")
+    counted = docs.select(F.col("doc_id").cast("long"), "text", n_bytes).mapInArrow(lean(count, 5_000), "doc_id long, n_bytes long, n_tokens long")
     return counted.withColumn("over_limit", F.col("n_tokens") > max_tokens)
 
 
@@ -66,10 +71,10 @@ def lengths_of(spark: SparkSession, words: list[str], path: str) -> dict[str, in
     """word -> number of ids; encoded on the workers, not on the driver."""
 
     def encode(batches):
-        lengths = pretokens.Lengths(path, {})
+        encoder = pretokens.Encoder(path)
         for batch in batches:
-            words = batch.column(0).to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([lengths[w] for w in words], pa.int64())], ["word", "n"])
+            ids = encoder.of(batch.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in ids], pa.int64())], ["word", "n"])
 
     if not words:
         return {}
