@@ -80,9 +80,50 @@ def test_near_duplicates_odd_tables(odd, none, make):
 
 
 def test_prefixes_shorten_to_the_recall():
-    lengths = nd.prefix_lengths(0.8, 0.999)
-    chance = [1 - (1 - 0.8**p) ** nd.TREES for p in lengths]
-    assert lengths[0] == nd.DEPTH and chance[-1] >= 0.999 and all(c < 0.999 for c in chance[:-1])
+    chance = [1 - (1 - 0.8**p) ** nd.TREES for p in range(1, nd.DEPTH + 1)]
+    last = nd.length_for(0.8, 0.999)
+    assert chance[last - 1] >= 0.999 > chance[last] and nd.length_for(0.99, 0.5) == nd.DEPTH
+
+
+def test_prefixes_shorten_until_the_sample_s_pairs_are_found(make, monkeypatch):
+    # one tree of six labels meets few pairs: only the measured recall makes the prefix short enough
+    rows = corpus([*[(2, 8)] * 60])
+    want = {d: c for d, (_, c) in brute(rows).items()}
+    monkeypatch.setattr(nd, "length_for", lambda **_: nd.DEPTH)
+    asked = []
+    monkeypatch.setattr(nd, "_apart", lambda paths, length, labels, f=nd._apart: asked.append(length) or f(paths, length, labels))
+    monkeypatch.setattr(nd, "_measured", lambda *x, f=nd._measured: asked.append(f(*x)) or asked[-1])
+    got = {r["doc_id"]: r["cluster_id"] for r in nd.near_duplicates(make(rows)).collect()}
+    assert got == want and asked and asked[-1] == 1.0
+
+
+def test_signatures_agree_as_sets_do():
+    rng = np.random.default_rng(3)
+    base = " ".join(f"w{x}" for x in rng.integers(0, 10_000, 400))
+    texts = [base, base.replace("w1", "v1"), base.upper(), "one two three", "", None, "a b c d e"]
+    sets = nd.shingle_sets(texts)
+    assert [len(s) for s in sets[3:]] == [1, 0, 0, 1] and np.array_equal(sets[0], sets[2])
+    assert all(np.array_equal(s, nd.shingle_sets([t])[0]) for s, t in zip(sets, texts, strict=True))
+    agree = (nd.signature(sets[0]) == nd.signature(sets[1])).mean()
+    assert abs(agree - nd.jaccard(sets[0], sets[1])) < 0.2
+    probes = nd.Probes([s for s in sets if len(s)])
+    assert probes.similar(sets[0]) == [] and nd.Probes([]).similar(sets[0]) == []
+    assert nd.Probes([sets[0]]).similar(sets[0][:-2]) == [nd.digest(sets[0])]
+
+
+def test_near_copies_without_ids_or_with_one(make):
+    (_, text), (_, near) = corpus([(2, 0)])[0], corpus([(2, 0)])[1]
+    near = text + " more"
+    rows = [(None, text), (None, near), (None, text), (7, "other words that nobody else says here at all"), (7, "and " + text), (9, None), (9, "")]
+    docs = make([(*r, "en", "s", "i", 1, 2) for r in rows], ", _id string, _hash int, near_id int")
+    got = nd.one_of_each(docs)
+    assert got.columns == docs.columns
+    kept = sorted((r["doc_id"] or 0, r["text"] or "") for r in got.collect())
+    assert kept == sorted([(7, "and " + text), (7, rows[3][1]), (9, ""), (9, "")])
+    alone = nd.one_of_each(make([(None, text), (None, near), (None, text)])).collect()
+    assert len(alone) == 1
+    links = sorted(r["n_links"] for r in nd.near_duplicates(docs).collect())
+    assert links == [0, 0, 0, 3, 3, 3, 3]
 
 
 def test_components_of_a_long_chain(spark):

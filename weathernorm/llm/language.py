@@ -23,12 +23,13 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold_is, held_out, saved, scratch_dir, table
+from .common import fold_is, held_out, lean, saved, scratch_dir, table
 
 ORDER = 4
-#: Of so many 4-grams of a language at most, the most frequent ones, and of all languages together, the bits
-#: are broadcast. Those of others are computed from the stored models where they occur, with the same result.
-GRAMS, ALL_GRAMS = 300_000, 6_000_000
+#: Of about so many 4-grams of a language at most, the most frequent ones, the bits are broadcast, and so many
+#: bits of all grams in all languages. Those of others are computed from the stored models where they
+#: occur, with the same result.
+GRAMS, BITS = 300_000, 20_000_000
 #: Characters that a score's confidence counts at most, and the z-score of a rejection.
 CONFIDENT, REJECT_Z = 40, 6.0
 _SLICE = 1 << 20
@@ -103,7 +104,7 @@ def gram_counts(docs: DataFrame) -> DataFrame:
             fold(lang)
         yield from emit(kept)
 
-    return docs.select("lang", "text").mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    return docs.select("lang", "text").mapInArrow(lean(run), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 def _sums(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -199,7 +200,7 @@ def stored(counted: DataFrame) -> str:
         every = every.union(x)
     # unsigned order: packed grams from 2^63 on are negative as long
     dealt = every.repartition("number", "level", "side").sortWithinPartitions("number", "level", "side", F.col("key") < 0, "key")
-    dealt.mapInArrow(write, "rows long").agg(F.sum("rows")).collect()
+    dealt.mapInArrow(lean(write, 1 << 20), "rows long").agg(F.sum("rows")).collect()
     return at
 
 
@@ -252,7 +253,7 @@ class Languages:
             rows = [(j, *map(float, x)) for j, x in sums.items()]
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate((pa.int32(), *[pa.float64()] * 3))], ["number", "n", "b", "bb"])
 
-        parts = counted.select("number", "gram", "n").mapInArrow(run, "number int, n double, b double, bb double")
+        parts = counted.select("number", "gram", "n").mapInArrow(lean(run), "number int, n double, b double, bb double")
         for r in parts.groupBy("number").agg(F.sum("n").alias("n"), F.sum("b").alias("b"), F.sum("bb").alias("bb")).orderBy("number").collect():
             mean = r["b"] / r["n"]
             # the order of the sums isn't fixed: rounded
@@ -295,11 +296,13 @@ def learn(docs: DataFrame) -> Languages:
         return Languages([], None, np.zeros(0, np.uint64))
     numbers = docs.sparkSession.createDataFrame(list(enumerate(names)), "number int, lang string")
     numbered = counted.join(F.broadcast(numbers), "lang").select("number", "gram", "n")
-    most, frequent = min(GRAMS, ALL_GRAMS // len(names)), [np.zeros(0, np.uint64)]
-    for j in range(len(names)):
-        rows = numbered.filter(F.col("number") == j).orderBy(F.desc("n"), "gram").select("gram").limit(most).toPandas()
-        frequent.append(rows["gram"].to_numpy(dtype=np.int64).view(np.uint64))
-    out = Languages(names, stored(numbered), np.unique(np.concatenate(frequent)))
+    # grams over a count that so few of a language have: about as many as may be sent, from however many partitions
+    most = max(1, min(GRAMS, BITS // len(names) ** 2))
+    cuts = numbered.groupBy("number").agg(F.count(F.lit(1)).alias("kinds"), F.percentile_approx("n", [q / 1000 for q in range(1001)], 10_000).alias("quantiles"))
+    least = F.when(F.col("kinds") <= most, F.lit(0)).otherwise(F.element_at("quantiles", F.ceil(1000 * (1 - F.lit(most) / F.col("kinds"))).cast("int") + 1))
+    common = numbered.join(F.broadcast(cuts.select("number", least.alias("least"))), "number").filter("n > least").select("gram").distinct()
+    frequent = np.sort(common.toPandas()["gram"].to_numpy(dtype=np.int64).view(np.uint64))
+    out = Languages(names, stored(numbered), frequent)
     out.measure(numbered)
     return out
 
@@ -315,7 +318,7 @@ def languages(docs: DataFrame, folds: int = 3, fold: int = 1) -> DataFrame:
             found = [sent.value.predict(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([x[k] for x in found], t) for k, t in enumerate((pa.string(), pa.float64(), pa.bool_())))], ["doc_id", "lang_pred", "score", "rejected"])
 
-    found = docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
+    found = docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(lean(run), "doc_id long, lang_pred string, score double, rejected boolean")
     return found.select("doc_id", held_out(F.col("doc_id"), folds, fold).alias("held_out"), "lang_pred", "score", "rejected")
 
 

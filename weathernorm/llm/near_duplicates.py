@@ -1,56 +1,61 @@
 """Operator 2: n-gram Jaccard join by a MinHash LSH forest.
 
 1. A task turns a text into the set of hashes of its runs of five lower-cased words (a text of fewer words
-   is one run) and signs the set: ``TREES`` sequences of ``DEPTH`` minimum hashes, the labels of a path
-   in each of the forest's prefix tries. Texts with equal sets are one class, known by a digest; all
+   is one run) and signs the set: ``TREES`` sequences of ``DEPTH`` minimum hashes, each the path of the text
+   in one of the forest's prefix tries. Texts with equal sets are one class, known by a digest; all
    that follows is about one representative a class, so copies cost nothing.
-2. Tries are sorted key order: texts below one node share a prefix, and are grouped by its hash. The
-   search starts at full depth and shortens the prefix until a pair at the threshold is met with the
-   chance ``recall`` (``prefix_lengths``). Texts that share no node at the shortest prefix share none.
-   At full depth each text is compared to one leader of its node, another in every tree: one pair a
-   text and node, however large the node. Pairs are verified on the sets themselves; verified pairs
-   join texts to clusters (connected components, by hooking and pointer jumping).
-3. Then, at the shortest prefix, what is not yet in the same cluster is compared: all pairs of a node
-   of up to ``SMALL`` texts; in larger nodes blocks of ``BLOCK`` texts are held against each other in
-   one task, which counts the common elements of their sets and gives a spanning forest of the links
-   that it finds, never the pairs. So no link between clusters is lost, and rows stay linear.
+2. A path is a string (its tree, then a label for each step), and a trie is the paths in order: texts below one
+   node are those whose paths start alike. The search starts at full depth, where each text is compared to
+   one leader of its node, another in every tree: one pair a text and node, however large the node. Pairs
+   are verified on the sets themselves; verified pairs join texts to clusters (connected components, by
+   hooking and pointer jumping).
+3. Then prefixes are shortened by one label at a time, and what shares a node and no cluster yet is compared:
+   all pairs of a node of up to ``SMALL`` texts; in larger nodes blocks of ``BLOCK`` texts are held against
+   each other in one task, which counts the common elements of their sets and gives a spanning forest of
+   the links that it finds, never the pairs. So no link between clusters is lost, and rows stay linear.
+   This ends at the first length at which a pair at the threshold is met with the chance ``recall``, and at
+   which that share of the similar pairs of a sample is in one cluster: the sample's texts
+   (``PROBES`` at most) are held against every text while those are signed.
 4. Inside a cluster all links are counted exactly, in the same blocks.
 
 The result has one row per document: its class, its cluster and its numbers of links.
 
 Edge cases: NULL and empty texts and those without a word have no links, and are each a class of their
-own; ids may be NULL or repeat (a class is named by its smallest id); other columns are kept or
-ignored; an empty table gives an empty result.
+own; ids may be NULL or repeat (a class is named by its smallest id, NULL if it has none, and its text is found
+by id and hash); other columns are kept or ignored, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import saved, table
+from .common import free_name, lean, saved, table
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.999
 TREES, DEPTH = 16, 6
 #: Texts of a block in which links are counted, and of a node whose pairs are listed.
 BLOCK, SMALL = 1024, 12
 #: Pairs whose signatures agree in less than this share of places are not verified: at the threshold the
-#: chance of so few is below 1e-6.
+#: chance of so few is below 1e-6. 0 verifies every pair.
 LEAST_AGREEMENT = 0.55
+#: Texts of the sample that measures the recall, and the characters of each at most.
+PROBES, PROBE_LENGTH = 256, 20_000
 _CHUNK = 4096
 
 
-def prefix_lengths(threshold: float = THRESHOLD, recall: float = RECALL) -> list[int]:
-    """From full depth, shortened until a pair at the threshold shares a prefix with that chance."""
-    out = [DEPTH]
-    while out[-1] > 1 and 1 - (1 - threshold ** out[-1]) ** TREES < recall:
-        out.append(out[-1] - 1)
-    return out
+def length_for(threshold: float = THRESHOLD, recall: float = RECALL) -> int:
+    """The longest prefix at which a pair at the threshold shares a node with that chance."""
+    length = DEPTH
+    while length > 1 and 1 - (1 - threshold**length) ** TREES < recall:
+        length -= 1
+    return length
 
 
 def _constants(n: int, seed: int) -> np.ndarray:
@@ -59,7 +64,6 @@ def _constants(n: int, seed: int) -> np.ndarray:
 
 _A, _B = _constants(TREES * DEPTH, 1)[:, None], _constants(TREES * DEPTH, 2)[:, None]
 _M = _constants(WORDS, 3)
-_word_hashes: dict[str, int] = {}
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -68,89 +72,104 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def _word_hash(word: str) -> int:
-    got = _word_hashes.get(word)
-    if got is None:
-        if len(_word_hashes) > 400_000:
-            _word_hashes.clear()
-        got = _word_hashes[word] = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "replace"), digest_size=8).digest(), "little")
-    return got
+def _run_hashes(h: np.ndarray, n: int) -> np.ndarray:
+    out = np.zeros(len(h) - n + 1, np.uint64)
+    for k in range(n):
+        out += _mixed(h[k : len(h) - n + 1 + k] * _M[k])
+    return _mixed(out)
 
 
-def shingles(text: str | None) -> np.ndarray:
-    """The sorted distinct hashes of the runs of words; empty if there is no word."""
-    words = (text or "").lower().split()
-    h = np.fromiter(map(_word_hash, words), np.uint64, len(words))
-    n = min(WORDS, len(h))
-    if not n:
-        return h
+def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
+    """Of each text the sorted distinct hashes of the runs of words; empty if there is no word."""
+    cut = [(text or "").lower().split() for text in texts]
+    ends = np.cumsum([0, *map(len, cut)])
+    words = np.fromiter(chain.from_iterable(cut), object, int(ends[-1]))
+    h = pd.util.hash_array(words) if len(words) else np.zeros(0, np.uint64)
     with np.errstate(over="ignore"):
-        out = np.zeros(len(h) - n + 1, np.uint64)
-        for k in range(n):
-            out += _mixed(h[k : len(h) - n + 1 + k] * _M[k])
-        return np.unique(_mixed(out))
+        runs = _run_hashes(h, WORDS) if len(h) >= WORDS else np.zeros(0, np.uint64)
+        return [np.unique(runs[a : b - WORDS + 1]) if b - a >= WORDS else _run_hashes(h[a:b], b - a) if b > a else h[a:b] for a, b in zip(ends, ends[1:], strict=False)]
 
 
 def signature(s: np.ndarray) -> np.ndarray:
-    """The minimum of each hash function, 32 bits each, tree by tree."""
+    """The minimum of each hash function, 16 bits each, tree by tree."""
     low = np.full(TREES * DEPTH, np.iinfo(np.uint64).max, np.uint64)
     with np.errstate(over="ignore"):
         for k in range(0, len(s), _CHUNK):
             low = np.minimum(low, (_A * s[k : k + _CHUNK] + _B).min(1))
-        return (_mixed(low) >> np.uint64(32)).astype(np.uint32)
+        return (_mixed(low) >> np.uint64(48)).astype(np.uint16)
 
 
-def node_keys(sig: np.ndarray, length: int) -> np.ndarray:
-    """The nodes at one prefix length, one in each tree, as hashes."""
-    s = sig.reshape(TREES, DEPTH)[:, :length].astype(np.uint64)
-    with np.errstate(over="ignore"):
-        h = np.arange(TREES, dtype=np.uint64) + np.uint64(TREES * length)
-        for k in range(length):
-            h = _mixed(h * np.uint64(0x9E3779B97F4A7C15) + s[:, k])
-    return h.view(np.int64)
+class Probes:
+    """The sets of some texts, to find which of them are similar to another set."""
 
+    def __init__(self, sets: list[np.ndarray]) -> None:
+        self.size = np.array([len(s) for s in sets], np.int64)
+        self.digests = [digest(s) for s in sets]
+        every, owner = np.concatenate([np.zeros(0, np.uint64), *sets]), np.repeat(np.arange(len(sets)), self.size)
+        order = np.argsort(every, kind="stable")
+        self.element, self.owner = every[order], owner[order]
 
-def signed(docs: DataFrame) -> DataFrame:
-    """doc_id, digest (NULL without a word), signature and the text's own hash of every document."""
+    def similar(self, s: np.ndarray) -> list[bytes]:
+        """Digests of the texts of the sample that are similar to the set, but not equal to it."""
+        a, b = np.searchsorted(self.element, s, "left"), np.searchsorted(self.element, s, "right")
+        if not (b > a).any():
+            return []
+        hit = np.concatenate([self.owner[x:y] for x, y in zip(a[b > a], b[b > a], strict=True)])
+        common = np.bincount(hit, minlength=len(self.size))
+        near = (common >= THRESHOLD * (len(s) + self.size - common)) & ((common < len(s)) | (common < self.size))
+        return [self.digests[k] for k in np.flatnonzero(near)]
 
-    def run(batches):
-        for batch in batches:
-            digest, sig = [], []
-            for text in batch.column(1).to_pylist():
-                s = shingles(text)
-                digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                sig.append(signature(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digest, pa.binary()), pa.array(sig, pa.binary()), batch.column(2)], ["doc_id", "digest", "sig", "text_hash"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text", "xxhash64(text) text_hash").mapInArrow(run, "doc_id long, digest binary, sig binary, text_hash long")
+def digest(s: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
 
 
-def _nodes(reps: DataFrame, lengths: list[int]) -> DataFrame:
-    """(rep, length, key): the nodes above each representative."""
+def _probes(docs: DataFrame) -> Probes:
+    """The sets of at most ``PROBES`` documents of up to ``PROBE_LENGTH`` characters, picked by the hashes of their ids."""
+    count, h = docs.count(), F.xxhash64(F.col("doc_id").cast("string"), F.lit(5))
+    some = docs.select("text", h.alias("h")).filter(F.col("h") / F.lit(2.0**64) + 0.5 <= 2 * PROBES / max(1, count))
+    texts = some.filter(F.length("text") <= PROBE_LENGTH).limit(PROBES).select("text").toPandas()["text"].tolist()
+    sets = {digest(s): s for s in shingle_sets(texts) if len(s)}
+    return Probes([sets[d] for d in sorted(sets)])
+
+
+def signed(docs: DataFrame, probes: Probes | None = None) -> DataFrame:
+    """doc_id, digest (NULL without a word), signature, the text's own hash and the digests of similar texts of the sample."""
+    sent = docs.sparkSession.sparkContext.broadcast(probes or Probes([]))
 
     def run(batches):
         for batch in batches:
-            for length in lengths:
-                keys = [node_keys(np.frombuffer(s, np.uint32), length) for s in batch.column(1).to_pylist()]
-                rep = batch.column(0).take(pa.array(np.repeat(np.arange(len(batch)), TREES)))
-                yield pa.RecordBatch.from_arrays([rep, pa.array(np.full(len(rep), length, np.int32)), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))], ["rep", "length", "key"])
+            sets = shingle_sets(batch.column(1).to_pylist())
+            sig = [signature(s).tobytes() if len(s) else None for s in sets]
+            near = [sent.value.similar(s) or None for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(digest, sets), pa.binary()), pa.array(sig, pa.binary()), batch.column(2), pa.array(near, pa.list_(pa.binary()))], ["doc_id", "digest", "sig", "text_hash", "probes"])
+
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text", "xxhash64(text) text_hash").mapInArrow(lean(run), "doc_id long, digest binary, sig binary, text_hash long, probes array<binary>")
 
-    return reps.select("rep", "sig").mapInArrow(run, "rep binary, length int, key long")
+
+def _paths(reps: DataFrame) -> DataFrame:
+    """(rep, path): the paths of each representative, one in each trie: the tree's number and ``DEPTH`` labels."""
+    each = [F.concat(F.unhex(F.lit(f"{tree:02x}")), F.substring("sig", 2 * DEPTH * tree + 1, 2 * DEPTH)) for tree in range(TREES)]
+    return reps.select("rep", F.explode(F.array(*each)).alias("path"))
+
+
+def _node(length: int) -> Column:
+    """The node that a path goes through after ``length`` labels."""
+    return F.substring("path", 1, 1 + 2 * length)
 
 
 def _likely(pairs: DataFrame, reps: DataFrame) -> DataFrame:
-    """(a, b, agreement) of the pairs whose signatures agree in enough places."""
+    """(a, b) of the pairs whose signatures agree in enough places."""
 
     def run(batches):
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint32).reshape(-1, TREES * DEPTH) for k in (2, 3))
-            same = (a == b).mean(1)
-            keep = pa.array(same >= LEAST_AGREEMENT)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep), pa.array(same).filter(keep)], ["a", "b", "agreement"])
+            a, b = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(-1, TREES * DEPTH) for k in (2, 3))
+            keep = pa.array((a == b).mean(1) >= LEAST_AGREEMENT)
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(keep) for k in (0, 1)], ["a", "b"])
 
     sig = reps.select("rep", "sig")
     joined = pairs.join(sig.toDF("a", "sig_a"), "a").join(sig.toDF("b", "sig_b"), "b").select("a", "b", "sig_a", "sig_b")
-    return joined.mapInArrow(run, "a binary, b binary, agreement double")
+    return joined.mapInArrow(lean(run), "a binary, b binary")
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -168,7 +187,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
     joined = pairs.select("a", "b").join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b").select("a", "b", "set_a", "set_b")
-    return joined.mapInArrow(run, "a binary, b binary")
+    return joined.mapInArrow(lean(run), "a binary, b binary")
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:
@@ -220,7 +239,7 @@ def _in_blocks(members: DataFrame, by: str) -> DataFrame:
 
 
 def _forest(members: DataFrame) -> DataFrame:
-    """(a, b): spanning forests of the links inside each node. ``members``: (key, rep, set)."""
+    """(a, b): spanning forests of the links inside each node. ``members``: (node, rep, set)."""
 
     def link(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         rep, near = pdf["rep"].tolist(), _similar([np.frombuffer(x, np.uint64) for x in pdf["set"]])
@@ -236,7 +255,7 @@ def _forest(members: DataFrame) -> DataFrame:
                 todo += new.tolist()
         return pd.DataFrame(edges, columns=["a", "b"])
 
-    return _in_blocks(members, "key").select("key", "x", "y", "rep", "set").groupBy("key", "x", "y").applyInPandas(link, "a binary, b binary")
+    return _in_blocks(members, "node").select("node", "x", "y", "rep", "set").groupBy("node", "x", "y").applyInPandas(link, "a binary, b binary")
 
 
 def _links_inside(members: DataFrame) -> DataFrame:
@@ -256,72 +275,116 @@ def _links_inside(members: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(rep, set) of the wanted representatives: ``wanted`` has (doc_id, rep, digest)."""
+    """(rep, set) of the wanted representatives: ``wanted`` has (rep, rep_id, rep_hash)."""
 
     def run(batches):
         for batch in batches:
-            s = [shingles(t) for t in batch.column(2).to_pylist()]
-            ok = pa.array([hashlib.blake2b(x.tobytes(), digest_size=16).digest() == d for x, d in zip(s, batch.column(1).to_pylist(), strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), pa.array([x.tobytes() for x in s], pa.binary()).filter(ok)], ["rep", "set"])
-
-    # always a shuffle of both: the wanted are a share of all documents, and their number no bound
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("rep_id"))).select("rep", "digest", "text").mapInArrow(run, "rep binary, set binary")
-    return found.dropDuplicates(["rep"])
-
-
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, digest, class_id, cluster_id, n_class (documents of the class), n_class_links (other classes
-    that are similar), n_links (other documents that are equal or similar); one row per document."""
-    lengths = prefix_lengths()
-    rows = saved(signed(docs), "near-signed")
-    classes = rows.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep_id"), F.count(F.lit(1)).alias("n_docs"), F.first("sig").alias("sig"))
-    # ids may be NULL or repeat: a class is known by its digest
-    reps = saved(classes.withColumn("rep", F.col("digest")), "near-classes")
+            sets = shingle_sets(batch.column(1).to_pylist())
+            ok = pa.array([digest(s) == d for s, d in zip(sets, batch.column(0).to_pylist(), strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), pa.array([s.tobytes() for s in sets], pa.binary()).filter(ok)], ["rep", "set"])
+
+    # always a shuffle of both: the wanted are a share of all documents, and their number no bound. The hash of
+    # the text is part of the key, so that NULL or repeated ids don't meet
+    texts = docs.select(F.col("doc_id").cast("long").alias("own_id"), F.xxhash64("text").alias("own_hash"), "text")
+    same = (F.col("own_hash") == F.col("rep_hash")) & F.col("own_id").eqNullSafe(F.col("rep_id"))
+    once = texts.join(wanted.hint("merge"), same).select("rep", "text").dropDuplicates(["rep"])
+    return once.mapInArrow(lean(run), "rep binary, set binary")
+
+
+def _apart(paths: DataFrame, length: int, labels: DataFrame) -> DataFrame:
+    """(node, rep, cluster, n): what shares a node after ``length`` labels, and no cluster."""
+    placed = paths.join(labels, "rep", "left").select(_node(length).alias("node"), "rep", F.coalesce("cluster", "rep").alias("cluster"))
+    mixed = placed.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("cluster").alias("low"), F.max("cluster").alias("high")).filter("low <> high").select("node", "n")
+    return placed.join(mixed, "node")
+
+
+def _measured(rows: DataFrame, labels: DataFrame) -> float:
+    """The share of the sample's similar pairs that are in one cluster; 1 if there are none."""
+    pairs = rows.select(F.col("digest").alias("a"), F.explode("probes").alias("b")).distinct()
+    found = pairs.join(labels.toDF("a", "cluster_a"), "a", "left").join(labels.toDF("b", "cluster_b"), "b", "left")
+    return found.agg(F.avg(F.coalesce(F.col("cluster_a") == F.col("cluster_b"), F.lit(False)).cast("double"))).first()[0] or 1.0
+
+
+def _clusters(docs: DataFrame, recall: float = RECALL) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (doc_id, text_hash, digest), classes and, by class, clusters with numbers of links."""
+    rows = saved(signed(docs, _probes(docs)), "near-signed")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash"))
+    # ids may be NULL or repeat: a class is known by its digest, and its text by one row's id and hash
+    classes = rows.filter("digest is not null").groupBy("digest").agg(first.alias("row"), F.count(F.lit(1)).alias("n_docs"), F.first("sig").alias("sig"))
+    reps = saved(classes.select(F.col("digest").alias("rep"), F.col("row.doc_id").alias("rep_id"), F.col("row.text_hash").alias("rep_hash"), "n_docs", "sig"), "near-classes")
+    known = reps.select("rep", "rep_id", "rep_hash")
+    last = length_for(recall=recall)
 
     # only texts that share a node at the shortest prefix go on
-    shared = _nodes(reps, lengths[-1:]).select("rep", "key")
-    crowds = saved(shared.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "near-crowds")
-    some = saved(shared.join(crowds, "key").select("rep", "key", "n"), "near-nodes")
-    active = saved(reps.join(some.select("rep").distinct(), "rep", "left_semi").select("rep", "rep_id", "digest", "sig", "n_docs"), "near-active")
-
-    # a leader of each node at full depth, another in every tree
-    nodes = _nodes(active, lengths[:1]).select("rep", "key")
-    leader = nodes.groupBy("key").agg(F.min_by("rep", F.xxhash64("rep", "key")).alias("leader"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "leader")
-    starred = nodes.join(leader, "key").filter("rep <> leader").select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()
-    likely = saved(_likely(starred, active), "near-pairs")
-    crowded = some.filter(F.col("n") > SMALL)
-    ends = likely.select(F.col("a").alias("rep")).union(likely.select("b")).union(crowded.select("rep")).distinct()
-    known = active.select("rep", "rep_id", "digest")
-    sets = saved(_sets(docs, saved(known.join(ends, "rep", "left_semi"), "near-wanted")), "near-sets")
-    first = saved(_verified(likely, sets), "near-links")
-    labels = components(first, "near-first")
-
-    # what shares a node at the shortest prefix, and no cluster yet
-    apart = some.join(labels, "rep", "left").select("key", "n", "rep", F.coalesce("cluster", "rep").alias("cluster"))
-    mixed = apart.groupBy("key").agg(F.min("cluster").alias("low"), F.max("cluster").alias("high")).filter("low <> high").select("key")
-    apart = saved(apart.join(mixed, "key", "left_semi"), "near-apart")
-    few = apart.filter(F.col("n") <= SMALL).select("key", "rep", "cluster")
-    crossing = few.toDF("key", "a", "cluster_a").join(few.toDF("key", "b", "cluster_b"), "key").filter("cluster_a < cluster_b")
-    crossing = crossing.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(likely.select("a", "b"), ["a", "b"], "left_anti")
-    more = saved(_likely(crossing, active), "near-crossing")
-    others = saved(known.join(more.select(F.col("a").alias("rep")).union(more.select("b")).distinct().join(sets.select("rep"), "rep", "left_anti"), "rep", "left_semi"), "near-wanted")
-    if not others.isEmpty():
-        sets = sets.union(saved(_sets(docs, others), "near-sets"))
-    many = apart.filter(F.col("n") > SMALL).select("key", "rep").join(sets, "rep")
-    second = saved(_verified(more, sets).union(_forest(many)), "near-links")
-    if not second.isEmpty():
-        labels = components(first.union(second), "near-second")
-
-    members = labels.join(active.select("rep", "n_docs"), "rep").join(sets, "rep").select("rep", "cluster", "n_docs", "set")
-    links = _links_inside(members)
+    every = _paths(reps)
+    shared = every.groupBy(_node(last).alias("node")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("node")
+    paths = saved(every.withColumn("node", _node(last)).join(shared, "node").select("rep", "path"), "near-paths")
+
+    # at full depth: a leader of each node, another in every tree
+    nodes = paths.select(_node(DEPTH).alias("node"), "rep")
+    leader = nodes.groupBy("node").agg(F.min(F.struct(F.xxhash64("rep", "node").alias("h"), "rep")).alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("node", F.col("least.rep").alias("leader"))
+    starred = nodes.join(leader, "node").filter("rep <> leader").select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()
+    tried = saved(_likely(starred, reps), "near-pairs")
+    sets = _with_sets(docs, known, None, tried)
+    links = saved(_verified(tried, sets), "near-links")
+    labels = components(links, "near-labels")
+
+    for length in range(DEPTH - 1, 0, -1):
+        if length < last and _measured(rows, labels) >= recall:
+            break
+        found = paths if length >= last else every
+        apart = saved(_apart(found, length, labels), "near-apart")
+        if apart.isEmpty():
+            continue
+        few = apart.filter(F.col("n") <= SMALL).select("node", "rep", "cluster")
+        crossing = few.toDF("node", "a", "cluster_a").join(few.toDF("node", "b", "cluster_b"), "node").filter("cluster_a < cluster_b")
+        crossing = crossing.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+        more = saved(_likely(crossing, reps), "near-pairs")
+        many = apart.filter(F.col("n") > SMALL).select("node", "rep")
+        sets = _with_sets(docs, known, sets, more, many)
+        new = saved(_verified(more, sets).union(_forest(many.join(sets, "rep"))), "near-links")
+        tried = tried.union(more)
+        if not new.isEmpty():
+            links = links.union(new)
+            labels = components(links, "near-labels")
+
+    members = labels.join(reps.select("rep", "n_docs"), "rep").join(sets, "rep").select("rep", "cluster", "n_docs", "set")
     named = labels.join(reps.select("rep", "rep_id"), "rep").groupBy("cluster").agg(F.min("rep_id").alias("cluster_id"))
-    found = labels.join(named, "cluster").join(links, "rep", "left").select("rep", "cluster_id", "links", "copies")
-    by_class = reps.join(found, "rep", "left").select("digest", "rep_id", F.coalesce("cluster_id", "rep_id").alias("cluster_id"), "n_docs", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("copies", F.lit(0)).alias("copies"))
-    joined = rows.select("doc_id", "text_hash", "digest").join(by_class, "digest", "left")
+    found = labels.join(named, "cluster").join(_links_inside(members), "rep", "left").select("rep", "cluster", "cluster_id", "links", "copies")
+    return rows.select("doc_id", "text_hash", "digest"), reps, found
+
+
+def _with_sets(docs: DataFrame, known: DataFrame, sets: DataFrame | None, pairs: DataFrame, more: DataFrame | None = None) -> DataFrame:
+    """The sets, with those of the pairs' ends and of ``more`` that are missing."""
+    ends = pairs.select(F.col("a").alias("rep")).union(pairs.select("b"))
+    ends = (ends if more is None else ends.union(more.select("rep"))).distinct()
+    wanted = saved(known.join(ends if sets is None else ends.join(sets.select("rep"), "rep", "left_anti"), "rep", "left_semi"), "near-wanted")
+    if sets is not None and wanted.isEmpty():
+        return sets
+    found = saved(_sets(docs, wanted), "near-sets")
+    return found if sets is None else sets.union(found)
+
+
+def near_duplicates(docs: DataFrame, recall: float = RECALL) -> DataFrame:
+    """doc_id, text_hash, digest, cluster (the digest that names it; NULL without a word), class_id, cluster_id, n_class
+    (documents of the class), n_class_links (other classes that are similar), n_links (other documents that are
+    equal or similar); one row per document."""
+    rows, reps, found = _clusters(docs, recall)
+    by_class = reps.join(found, "rep", "left").select(
+        F.col("rep").alias("digest"),
+        "rep_id",
+        "n_docs",
+        F.coalesce("cluster", "rep").alias("cluster"),
+        F.when(F.col("cluster").isNull(), F.col("rep_id")).otherwise(F.col("cluster_id")).alias("cluster_id"),
+        F.coalesce("links", F.lit(0)).alias("links"),
+        F.coalesce("copies", F.lit(0)).alias("copies"),
+    )
+    joined = rows.join(by_class, "digest", "left")
     return joined.select(
         "doc_id",
         "text_hash",
         "digest",
+        "cluster",
         F.coalesce("rep_id", "doc_id").alias("class_id"),
         F.coalesce("cluster_id", "doc_id").alias("cluster_id"),
         F.coalesce("n_docs", F.lit(1)).cast("long").alias("n_class"),
@@ -330,20 +393,25 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents without near-duplicates: of each cluster the row with the smallest id stays (of rows
-    that repeat this id and its text, one); documents without a word all stay."""
-    found = near_duplicates(docs).filter("digest IS NOT NULL").select("doc_id", "text_hash", "cluster_id")
-    found = saved(found, "near-found")
-    names, row = docs.columns, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
-    gone = found.filter(~F.col("doc_id").eqNullSafe(F.col("cluster_id"))).select("doc_id", "text_hash").distinct().toDF("_id", "_hash")
-    again = found.groupBy("doc_id", "text_hash").count().filter("count > 1").select("doc_id", "text_hash").toDF("_id", "_hash")
-    kept = docs.join(gone, row, "left_anti")
+def one_of_each(docs: DataFrame, recall: float = RECALL) -> DataFrame:
+    """The documents without near-duplicates: of each cluster the row with the smallest id stays (NULL is the largest;
+    of rows with that id, the one with the smallest hash of its text, and of equal rows any one); documents
+    without a word all stay."""
+    found = saved(near_duplicates(docs, recall).filter("digest is not null and n_links > 0").select("doc_id", "text_hash", "cluster"), "near-found")
+    stays = found.groupBy("cluster").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("one"), F.count(F.lit(1)).alias("n"))
+    told = found.join(stays.select("cluster", "one"), "cluster").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("one.doc_id")) & (F.col("text_hash") == F.col("one.text_hash")))
+    # rows with one id and text share a class, so they stay or go together
+    told = told.groupBy("doc_id", "text_hash").agg(F.first("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    own, own_hash = free_name(docs, "near_id"), free_name(docs, "near_hash")
+    row = F.col("doc_id").cast("long").eqNullSafe(F.col(own)) & (F.xxhash64("text") == F.col(own_hash))
+    told = saved(told, "near-told")
+    gone, again = (told.filter(x).select("doc_id", "text_hash").toDF(own, own_hash) for x in ("not kept", "kept and n > 1"))
+    left = docs.join(gone, row, "left_anti")
     if again.isEmpty():
-        return kept
-    once = kept.join(again, row, "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.join(again, row, "left_anti").select(*names).unionByName(once.select(*names))
+        return left
+    once = left.join(again, row, "left_semi").dropDuplicates(["doc_id", "text"])
+    return left.join(again, row, "left_anti").unionByName(once)
 
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents")).drop("digest", "text_hash")
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("digest", "text_hash", "cluster")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import saved, table
+from .common import lean, saved, table
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "secret", "handle", "name")
@@ -263,7 +263,7 @@ def find_candidates(docs: DataFrame) -> DataFrame:
                     col.append(value)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, f.type) for c, f in zip(cols[1:], list(_FOUND_ARROW)[1:], strict=True))], schema=_FOUND_ARROW)
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, _FOUND)
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(lean(run), _FOUND)
 
 
 def pii_spans(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -304,7 +304,7 @@ def pii_spans(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
                 added.append(len(new))
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(5)), pa.array(sha, pa.string()), pa.array(spans, pa.string()), pa.array(added, pa.int64())], ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added"])
 
-    return found.mapInArrow(decide, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
+    return found.mapInArrow(lean(decide), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

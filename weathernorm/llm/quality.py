@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import held_out, labels_of, saved, table
+from .common import held_out, labels_of, lean, saved, smallest, table
 
 FEATURES = (
     "log_bytes", "log_words", "word_length", "line_length", "log_lines", "upper", "lower", "digit", "space", "punct", "other_ascii", "high", "symbols_a_word", "bars", "marks",
@@ -186,7 +186,7 @@ def features(docs: DataFrame) -> DataFrame:
             offsets = pa.array(np.arange(len(x) + 1) * len(FEATURES), pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, flat)], ["doc_id", "x"])
 
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, x array<double>")
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(lean(run), "doc_id long, x array<double>")
 
 
 def quality(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, folds: int = 5, threshold: float = 0.3) -> DataFrame:
@@ -194,7 +194,8 @@ def quality(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, folds: i
     spark = docs.sparkSession
     kept = saved(features(docs), "quality-features")
     known = labels_of(labels, "quality").filter(~held_out(F.col("doc_id"), folds, 0))
-    sample = kept.join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "x").select("x", "label").limit(fit_rows).toPandas()
+    labelled = saved(kept.join(known, "doc_id"), "quality-labelled")
+    sample = smallest(labelled, fit_rows, "doc_id", "x").select("x", "label").toPandas()
     x = np.array(sample["x"].tolist(), dtype=np.float64).reshape(-1, len(FEATURES))
     sent = spark.sparkContext.broadcast(AdditiveModel().fit(x, sample["label"].to_numpy(dtype=np.float64)))
 
@@ -203,7 +204,7 @@ def quality(docs: DataFrame, labels: DataFrame, fit_rows: int = 20_000, folds: i
             x = np.asarray(batch.column(1).flatten()).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sent.value.score(x), pa.float64())], ["doc_id", "score"])
 
-    scored = kept.mapInArrow(run, "doc_id long, score double")
+    scored = kept.mapInArrow(lean(run), "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id"), folds, 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 

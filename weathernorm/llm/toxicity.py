@@ -6,7 +6,7 @@ set apart by blanks or points, letters repeated three times and more - become la
 stand for, and a Viterbi search finds the likeliest reading under the model. The words of a text and
 its restored spans are then scored: a logistic regression over a lexicon of words that are more frequent
 in toxic texts, both learned from a bounded sample of labelled rows (``fit_rows``, those with the smallest
-hashes of their ids).
+hashes of their ids); texts with the same words are one row of the fit, which counts all their labels.
 
 Edge cases: NULL and empty texts have no words and score as the regression's constant; NULL ids are
 scored and never learned from; rows with the same id are scored one by one; NULL labels are dropped;
@@ -24,15 +24,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import held_out, labels_of, table
+from .common import free_name, held_out, labels_of, lean, saved, smallest, table
 
 #: Letters of the model: 0 is a word's border, 1 any other letter.
 LETTERS = 64
 #: The letters that the model tells apart, and what signs may stand for.
 ALPHABET = "abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïñòóôõöøùúûüýÿßœ"
 LOOKALIKES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "li", "+": "t", "(": "c", "€": "e", "£": "l", "*": "aeiou", "#": "h"}
-#: Words of the lexicon at most, and documents with it that a word needs in the sample.
-LEXICON, LEAST_DOCS = 1000, 5
+#: Defaults of the fit: labelled rows, words of the lexicon (None: any number), different toxic texts that a word
+#: needs in the sample, and how much more frequent than in other texts it must be in them.
+FIT_ROWS, LEXICON, LEAST_TEXTS, LEAST_LIFT = 40_000, 1000, 5, 4.0
 CACHE_ENTRIES = 100_000
 #: Longer spans are read each time: bounds the cache.
 CACHE_LETTERS = 60
@@ -44,7 +45,10 @@ _WORD = re.compile(r"[^\W\d_]+")
 _SIGNS = "0-9@$!|+(€£*#"
 # a run of signs without a letter after it is passed over at once: no part of it starts a span
 _MIXED = re.compile(rf"(?<![\w@$€£])(?:[{_SIGNS}]++(?![^\W\d_])|(?P<span>(?=[{_SIGNS}]*[^\W\d_])(?=[^\W\d_]*[{_SIGNS}])(?:[^\W_]|[{_SIGNS}]){{3,}}))")
-_SPACED = re.compile(r"(?<!\w)(?:(?:[^\W_]|[@$!|])([ .\-_*])(?:(?:[^\W_]|[@$!|])\1)+(?:[^\W_]|[@$!|]))(?!\w)")
+# what may set letters apart: any run of these
+_GAP = r"[ \t\xa0.\-_*]+"
+_GAPS = re.compile(_GAP)
+_SPACED = re.compile(rf"(?<!\w)(?:(?:[^\W_]|[@$!|]){_GAP}){{2,}}(?:[^\W_]|[@$!|])(?!\w)")
 _TOKEN = re.compile(r"\w+")
 _REPEATED = re.compile(r"([^\W\d_])\1\1")
 _HAS_SIGN = re.compile(rf"[{_SIGNS}]")
@@ -84,7 +88,7 @@ def trigram_counts(docs: DataFrame) -> DataFrame:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["gram", "n"])
 
-    return docs.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(lean(run), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 class CharModel:
@@ -182,8 +186,9 @@ class Restorer:
                 out += [self.read(m.group()) for m in _TOKEN.finditer(low) if _REPEATED.search(m.group())]
             solid = np.concatenate([[False], on | _is_sign(low), [False]])
             lone = solid[1:-1] & ~solid[:-2] & ~solid[2:]  # characters that stand alone
-            if len(lone) > 4 and np.any(lone[:-4] & lone[2:-2] & lone[4:]):
-                spans = [re.sub(r"[ .\-_*]", "", m.group()) for m in _SPACED.finditer(low)]
+            alone = lone[solid[1:-1]]
+            if len(alone) > 2 and np.any(alone[:-2] & alone[1:-1] & alone[2:]):
+                spans = [_GAPS.sub("", m.group()) for m in _SPACED.finditer(low)]
                 out += [self.read(x, apart) for x in spans for apart in (False, True)]  # as one word, and as several
         return out
 
@@ -211,24 +216,18 @@ def char_model(docs: DataFrame) -> CharModel:
     return CharModel(rows["gram"].to_numpy(dtype=np.int64), rows["n"].to_numpy(dtype=np.float64))
 
 
-def fit_words(x: list[list[int]], y: np.ndarray, size: int, ridge: float = 1.0, rounds: int = 30) -> tuple[float, np.ndarray]:
-    """Logistic regression over the words that a document has, by Newton steps: constant and weights."""
-    prior = (y.sum() + 0.5) / (len(y) + 1.0)
+def fit_words(x: list[list[int]], n: np.ndarray, t: np.ndarray, size: int, ridge: float = 1.0, rounds: int = 30) -> tuple[float, np.ndarray]:
+    """Logistic regression over the words that documents have, by Newton steps: constant and weights. A row of ``x``
+    stands for ``n`` documents, ``t`` of them toxic."""
+    prior = (t.sum() + 0.5) / (n.sum() + 1.0)
     w = np.zeros(size + 1)
     w[0] = math.log(prior / (1 - prior))
-    if not size or not 0 < y.sum() < len(y):
+    if not size or not 0 < t.sum() < n.sum():
         return float(w[0]), w[1:]
-    # most documents have no word of the lexicon, or the same few: equal rows count as one
-    rows: dict[tuple[int, ...], list[float]] = {}
-    for r, label in zip(x, y.tolist(), strict=True):
-        sums = rows.setdefault(tuple(sorted(r)), [0.0, 0.0])
-        sums[0] += 1
-        sums[1] += label
-    a = np.zeros((len(rows), size + 1))
+    a = np.zeros((len(x), size + 1))
     a[:, 0] = 1
-    for i, r in enumerate(rows):
+    for i, r in enumerate(x):
         a[i, [k + 1 for k in r]] = 1
-    n, t = np.array(list(rows.values())).T
     keep = np.full(size + 1, ridge)
     keep[0] = 1e-3
     for _ in range(rounds):
@@ -240,10 +239,10 @@ def fit_words(x: list[list[int]], y: np.ndarray, size: int, ridge: float = 1.0,
     return float(w[0]), w[1:]
 
 
-def learn(docs: DataFrame, labels: DataFrame, sent_model, fit_rows: int, folds: int) -> tuple[float, dict[str, float]]:
+def learn(docs: DataFrame, labels: DataFrame, sent_model, folds: int, fit_rows: int = FIT_ROWS, lexicon: int | None = LEXICON, least_texts: int = LEAST_TEXTS, least_lift: float = LEAST_LIFT) -> tuple[float, dict[str, float]]:
     """The constant and the lexicon's weights, from at most ``fit_rows`` labelled documents."""
     known = labels_of(labels, "toxic").filter(~held_out(F.col("doc_id"), folds, 0))
-    sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)  # bounded by fit_rows: 16 bytes each
+    sample = smallest(known, fit_rows, "doc_id")  # bounded by fit_rows: 16 bytes each
 
     def run(batches):
         restorer = Restorer(sent_model.value)
@@ -252,29 +251,29 @@ def learn(docs: DataFrame, labels: DataFrame, sent_model, fit_rows: int, folds:
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(words, pa.list_(pa.string()))], ["label", "words"])
 
     chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id").select("text", "label")
-    read = chosen.mapInArrow(run, "label int, words array<string>").groupBy(F.xxhash64("words").alias("same")).agg(F.max("label").alias("label"), F.first("words").alias("words")).cache()
-    try:
-        sums = read.groupBy().agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("t")).first()
-        n, toxic = sums["n"], sums["t"] or 0
-        if not 0 < toxic < n:
-            return fit_words([], np.full(max(n, 1), float(toxic > 0)), 0)[0], {}
-        by_word = read.select("label", F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("t"))
-        lift = (F.col("t") + 0.5) / (F.col("n") - F.col("t") + 0.5) * ((n - toxic + 1.0) / (toxic + 1.0))
-        ranked = by_word.filter(F.col("t") >= LEAST_DOCS).withColumn("lift", lift).filter("lift > 4").orderBy(F.desc(F.col("t") * F.log("lift")), "word")
-        lexicon = [r["word"] for r in ranked.limit(LEXICON).collect()]
-        index = {w: k for k, w in enumerate(lexicon)}
-        has = read.select("label", F.array_intersect("words", F.array(*map(F.lit, lexicon)) if lexicon else F.array().cast("array<string>")).alias("words")).toPandas()
-    finally:
-        read.unpersist()
-    constant, w = fit_words([[index[x] for x in r] for r in has["words"]], has["label"].to_numpy(dtype=np.float64), len(lexicon))
+    # texts with the same words are one row, with all their labels
+    read = chosen.mapInArrow(lean(run), "label int, words array<string>").groupBy(F.xxhash64("words").alias("same")).agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("t"), F.first("words").alias("words"))
+    read = saved(read.select("n", "t", "words"), "toxicity-words")
+    sums = read.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("t"), F.lit(0)).alias("t"), F.count(F.lit(1)).alias("texts"), F.count(F.when(F.col("t") * 2 > F.col("n"), 1)).alias("toxic")).first()
+    if not 0 < sums["t"] < sums["n"]:
+        return fit_words([], np.array([float(sums["n"])]), np.array([float(sums["t"])]), 0)[0], {}
+    # the lexicon is of different texts: one that is copied often counts once
+    by_word = read.select((F.col("t") * 2 > F.col("n")).cast("int").alias("toxic"), F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("t"))
+    lift = (F.col("t") + 0.5) / (F.col("n") - F.col("t") + 0.5) * ((sums["texts"] - sums["toxic"] + 1.0) / (sums["toxic"] + 1.0))
+    ranked = by_word.filter(F.col("t") >= least_texts).withColumn("lift", lift).filter(F.col("lift") > least_lift).orderBy(F.desc(F.col("t") * F.log("lift")), "word")
+    chosen_words = [r["word"] for r in (ranked if lexicon is None else ranked.limit(lexicon)).collect()]
+    index = {w: k for k, w in enumerate(chosen_words)}
+    own = F.array_intersect("words", F.array(*map(F.lit, chosen_words)) if chosen_words else F.array().cast("array<string>"))
+    has = read.select("n", "t", F.array_sort(own).alias("words")).groupBy("words").agg(F.sum("n").alias("n"), F.sum("t").alias("t")).orderBy("words").toPandas()
+    constant, w = fit_words([[index[x] for x in r] for r in has["words"]], has["n"].to_numpy(np.float64), has["t"].to_numpy(np.float64), len(index))
     return constant, {x: float(w[k]) for x, k in index.items()}
 
 
-def with_score(docs: DataFrame, labels: DataFrame, fit_rows: int = 40_000, folds: int = 5, column: str = "toxicity") -> DataFrame:
-    """``docs`` with a score column; every whole text is scored where its row lies."""
+def with_score(docs: DataFrame, labels: DataFrame, folds: int = 5, column: str = "toxicity", **fit) -> DataFrame:
+    """``docs`` with a score column; every whole text is scored where its row lies. ``fit``: options of :func:`learn`."""
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast(char_model(docs))
-    constant, weights = learn(docs, labels, model, fit_rows, folds)
+    constant, weights = learn(docs, labels, model, folds, **fit)
     sent = spark.sparkContext.broadcast((constant, weights))
     names = [*docs.columns, column]
 
@@ -288,21 +287,19 @@ def with_score(docs: DataFrame, labels: DataFrame, fit_rows: int = 40_000, folds
             score = 1 / (1 + np.exp(-np.clip(np.array(z, dtype=np.float64), -30, 30)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64())], names)
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(column, T.DoubleType())]))
+    return docs.mapInArrow(lean(run), T.StructType([*docs.schema.fields, T.StructField(column, T.DoubleType())]))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = 40_000, folds: int = 5, threshold: float = 0.5) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, threshold: float = 0.5, **fit) -> DataFrame:
     """doc_id, held_out, score and predicted of every document; fold 0 of ``folds`` is never learned from."""
-    scored = with_score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), labels, fit_rows, folds, "score")
+    scored = with_score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), labels, folds, "score", **fit)
     return scored.select("doc_id", held_out(F.col("doc_id"), folds, 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def without_toxic(docs: DataFrame, labels: DataFrame, fit_rows: int = 40_000, folds: int = 5, threshold: float = 0.5) -> DataFrame:
+def without_toxic(docs: DataFrame, labels: DataFrame, folds: int = 5, threshold: float = 0.5, **fit) -> DataFrame:
     """The documents that are not predicted toxic, with their own columns."""
-    name = "toxicity_score"
-    while name in docs.columns:
-        name += "_"
-    return with_score(docs, labels, fit_rows, folds, name).filter(F.col(name) < threshold).drop(name)
+    name = free_name(docs, "toxicity_score")
+    return with_score(docs, labels, folds, name, **fit).filter(F.col(name) < threshold).drop(name)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
