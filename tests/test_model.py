@@ -55,7 +55,7 @@ def test_anomaly_is_recovered(spark):
     df = synthetic(spark, spike=12.0)
     rows, models = fitted(df, WEATHER[:4])
     assert models.first()["status"] == "ok" and 1 <= models.first()["n_trees_opt"] <= 150
-    out = effects.anomaly(model.predict(rows, models, KEY, WEATHER[:4]), KEY).filter(F.col("date") > END).orderBy("date").collect()
+    out = effects.anomaly(model.predict(rows, models, KEY), KEY).filter(F.col("date") > END).orderBy("date").collect()
     assert len(out) == 30
     assert np.mean([r["anomaly"] for r in out[:7]]) > 6
     assert abs(np.mean([r["anomaly"] for r in out[7:]])) < 2.4
@@ -74,7 +74,7 @@ def test_trend_is_recovered(spark):
 
 def test_fire_counterfactual(spark):
     rows, models = fitted(synthetic(spark, fire=2.0), WEATHER)
-    p = model.predict(rows, models, KEY, WEATHER).select("date", "fire_frp", "predicted")
+    p = model.predict(rows, models, KEY).select("date", "fire_frp", "predicted")
     out = p.join(effects.no_fire(rows, models, KEY, WEATHER).select("date", "predicted_nofire"), "date")
     quiet = out.filter("fire_frp = 0").select(F.max(F.abs(F.col("predicted") - F.col("predicted_nofire")))).first()[0]
     assert quiet < 1e-6
@@ -88,7 +88,7 @@ def test_several_series_and_a_bad_one(spark):
     rows, models = fitted(df, WEATHER, trees=20, replicates=2)
     status = {(r["location_id"], r["replicate"]): r["status"] for r in models.collect()}
     assert len(status) == 6 and status[1, 0] == status[2, 1] == "ok" and status[3, 0] != "ok"
-    perf = agg.fit_metrics(model.predict(rows, models, KEY, WEATHER), [*KEY, "replicate"]).collect()
+    perf = agg.fit_metrics(model.predict(rows, models, KEY), [*KEY, "replicate"]).collect()
     assert {r["location_id"] for r in perf} == {1, 2}
     assert all(0 <= r["rsquared_training"] <= 1 for r in perf)
     gain = effects.importance(models, KEY).groupBy("location_id", "replicate").agg(F.sum("influence").alias("s")).collect()
@@ -97,7 +97,7 @@ def test_several_series_and_a_bad_one(spark):
 
 def test_log_link_round_trip(spark):
     rows, models = fitted(synthetic(spark), WEATHER, link_name="log")
-    p = model.predict(rows, models, KEY, WEATHER, link_name="log").filter("set = 'prediction'")
+    p = model.predict(rows, models, KEY).filter("set = 'prediction'")
     assert abs(p.select(F.avg(F.col("predicted") - F.col("value"))).first()[0]) < 2
 
 
@@ -135,12 +135,60 @@ def test_fire_groups(names, groups):
 
 
 def test_config_grid(spark):
-    grid = model.config_grid(spark, {"anomaly": {"training_end": END}, "trend": {}}, trees=[10, 20], weather_vars=WEATHER)
-    rows = grid.collect()
-    assert len(rows) == 4 and {r["output"] for r in rows} == {"anomaly", "trend"}
-    assert rows[-1]["time_vars"] == ["date_unix", "yday", "wday"]
-    with pytest.raises(ValueError):
-        model.config_grid(spark, {"anomaly": {}}, engine="other")
+    grid = model.config_grid({"anomaly": {"training_end": END}, "trend": {}}, WEATHER, trees=[10, 20], add_fire=True)
+    rows = model.config_table(spark, grid).collect()
+    assert len(rows) == 4 and {r["output"] for r in rows} == {"anomaly", "trend"} and [r["config_id"] for r in rows] == [0, 1, 2, 3]
+    assert rows[-1]["time_vars"] == ["date_unix", "yday", "wday"] and rows[0]["training_end"] == END
+    assert "fire_frp_lag1" in grid[0].columns and not any("fire" in c for c in model.config_grid({"anomaly": {}}, WEATHER)[0].columns)
+    for wrong in ({"engine": "other"}, {"tree": 1}):
+        with pytest.raises((ValueError, TypeError)):
+            model.config_grid({"anomaly": {}}, **wrong)
+
+
+def test_a_grid_is_one_plan_and_a_bad_series_leaves_the_others(spark, monkeypatch):
+    late = synthetic(spark, location=4).withColumn("date", F.date_add("date", 4000))
+    nulls = synthetic(spark, location=3).withColumn("value", F.lit(None).cast("double"))
+    wild = synthetic(spark, location=5).withColumn("ws", F.lit(12345.0))
+    df = synthetic(spark, location=1).union(nulls).union(late).union(wild)
+    monkeypatch.setattr(model, "_numbers", _refusing(model._numbers))
+    grid = model.config_grid({"anomaly": {"training_end": END}}, WEATHER[:3], trees=15, lag=0, learning_rate=[0.1, 0.3], link=["linear", "log"], cv_folds=2, ntrainings=2)
+    rows, models = model.fit_configs(df, KEY, grid)
+    found = {(r["location_id"], r["config_id"], r["replicate"]): r for r in models.collect()}
+    assert len(found) == 4 * 4 * 2
+    assert all(r["status"] == ("ok" if k[0] == 1 else "failed") and (r["model"] is None) == (k[0] != 1) for k, r in found.items())
+    assert {r["message"] for k, r in found.items() if k[0] in (3, 4)} == {"no training rows"}
+    assert {r["message"] for k, r in found.items() if k[0] == 5} == {"ValueError: not these"}
+    assert found[1, 0, 0]["model"] != found[1, 0, 1]["model"] != found[1, 1, 1]["model"]
+    p = model.predict(rows, models, KEY).filter("location_id = 1 AND set = 'prediction'").groupBy("config_id").agg(F.avg(F.col("predicted") - F.col("value")).alias("off")).collect()
+    assert len(p) == 4 and all(abs(r["off"]) < 3 for r in p)
+    rows.unpersist()
+    # a configuration alone gives what it gives in the grid
+    _, alone = model.fit_configs(synthetic(spark, location=1), KEY, [grid[3]])
+    assert {r["model"] for r in alone.collect()} == {r["model"] for k, r in found.items() if k[:2] == (1, 3)}
+
+
+def _refusing(numbers):
+    def run(pdf, columns):
+        if (pdf["ws"] == 12345.0).any():
+            raise ValueError("not these")
+        return numbers(pdf, columns)
+
+    return run
+
+
+def test_trend_of_a_log_link_is_in_the_response_s_units(spark):
+    columns = ["date_unix", *WEATHER[:4]]
+    rows, models = fitted(synthetic(spark, trend=20.0), columns, link_name="log", trees=60)
+    for out, name in ((effects.trend(models, rows, KEY), "trend"), (effects.composite_time_effect(models, rows, KEY), "effect"), (effects.normalised_trend(rows, models, KEY, columns), "normalised")):
+        assert 30 < out.agg(F.avg(name)).first()[0] < 60
+
+
+def test_seasons_have_an_effect_of_their_own(spark):
+    df = synthetic(spark).withColumn("season_number", F.floor(F.month("date") % 12 / 3).cast("double") + 1)
+    df = df.withColumn("value", F.col("value") + 5 * F.col("season_number"))
+    rows, models = fitted(df, ["season_number", *WEATHER[:3]], trees=60)
+    out = effects.composite_time_effect(models, rows, KEY).groupBy(F.quarter("date")).agg(F.min("effect").alias("e")).collect()
+    assert len({round(r["e"], 3) for r in out}) > 2
 
 
 def test_normalised_trend_takes_every_weather_row(spark, monkeypatch):

@@ -32,16 +32,18 @@ def world(spark, n=420):
 
 def test_deweather_and_yoy(spark):
     meas, met = world(spark)
-    out = plan.deweather(meas, met, ["air_temp_min", "ws"], key=KEY, lag=1, trees=80, cv_folds=2, training_end="2023-12-31")
+    out = plan.deweather(meas, met, ["air_temp_min", "ws"], key=KEY, lag=1, trees=80, learning_rate=0.1, cv_folds=2, training_end="2023-12-31")
     r = out["result"].groupBy("location_id", "variable").agg(F.avg(F.when(F.col("date") > "2024-01-01", F.col("value"))).alias("v")).collect()
     late = {(x["location_id"], x["variable"]): x["v"] for x in r}
     assert late[1, "anomaly"] == pytest.approx(0, abs=1.5) and late[2, "anomaly"] == pytest.approx(-6, abs=2)
     assert late[2, "observed"] - late[2, "predicted"] == pytest.approx(late[2, "anomaly"])
     assert {x["location_id"] for x in out["performance"].collect()} == {1, 2}
     assert agg.importance_summary(out["importance"]).count() == 2
-    yoy = plan.deweather_yoy(meas, met, ["air_temp_min", "ws"], ["2024-01-01"], KEY, lag=0, trees=80, cv_folds=2)
-    part = {(x["location_id"], x["variable"]): x["value"] for x in yoy.collect()}
-    assert len(part) == 12
+    yoy = plan.deweather_yoy(meas, met, ["air_temp_min", "ws"], ["2024-01-01", "2024-02-01"], KEY, lag=0, trees=80, learning_rate=0.1, cv_folds=2)
+    found = {(x["date"].month, x["location_id"], x["variable"]): x["value"] for x in yoy.collect()}
+    assert len(found) == 24
+    part = {k[1:]: v for k, v in found.items() if k[0] == 1}
+    assert len(plan.compared_days("2024-07-01")) == 62 and len(plan.compared_days("2024-02-15")) == 57
     for loc in (1, 2):
         assert part[loc, "total"] == pytest.approx(part[loc, "weather"] + part[loc, "emission"])
     assert part[2, "emission"] < part[1, "emission"]
@@ -50,7 +52,7 @@ def test_deweather_and_yoy(spark):
 
 def test_trend_output(spark):
     meas, met = world(spark, 200)
-    out = plan.deweather(meas, met, ["air_temp_min"], output="trend", key=KEY, lag=0, trees=30, cv_folds=0)
+    out = plan.deweather(meas, met, ["air_temp_min"], output="trend", key=KEY, lag=0, trees=30, learning_rate=0.1, cv_folds=0)
     names = {r["variable"] for r in out["result"].select("variable").distinct().collect()}
     assert names == {"observed", "predicted", "anomaly", "trend"}
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import unicodedata
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,8 +39,12 @@ def week_of_year(d: Column) -> Column:
 
 
 def season(d: Column) -> Column:
-    m = F.month(d)
-    return F.when(m.between(3, 5), "MAM").when(m.between(6, 8), "JJA").when(m.between(9, 11), "SON").otherwise("DJF")
+    return F.element_at(F.array(*map(F.lit, ("DJF", "MAM", "JJA", "SON"))), season_number(d))
+
+
+def season_number(d: Column) -> Column:
+    """1 is December to February, 4 is September to November."""
+    return F.floor(F.month(d) % 12 / 3).cast("int") + 1
 
 
 def yoy_dates(month: Column) -> Column:
@@ -50,15 +55,21 @@ def yoy_dates(month: Column) -> Column:
 
 
 def utc_hours_of_local_day(d: Column, zone: Column) -> Column:
-    """The 24 UTC hours of a local day."""
-    start = F.to_utc_timestamp(d.cast("timestamp"), zone)
-    return F.sequence(start, start + F.expr("INTERVAL 23 HOURS"), F.expr("INTERVAL 1 HOUR"))
+    """The UTC hours (without a zone, whatever the session's is) of a local day: 23 or 25 where clocks change."""
+    start, end = (F.convert_timezone(zone, F.lit("UTC"), x.cast("timestamp_ntz")) for x in (d, F.date_add(d, 1)))
+    return F.sequence(start, end - F.expr("INTERVAL 1 HOUR"), F.expr("INTERVAL 1 HOUR"))
+
+
+def hour_features(df: DataFrame, ts: str = "date", zone: str = "UTC") -> DataFrame:
+    """Adds ``hour`` and ``hour_local`` of a time without a zone that is in UTC."""
+    t = F.col(ts).cast("timestamp_ntz")
+    return df.withColumns({"hour": F.hour(t), "hour_local": F.hour(F.convert_timezone(F.lit("UTC"), F.lit(zone), t))})
 
 
 def time_features(df: DataFrame, date: str = "date") -> DataFrame:
-    """Adds the calendar variables that a model may use."""
+    """Adds the calendar variables that a model may use; for times of a day see :func:`hour_features`."""
     d = F.col(date)
-    return df.withColumns({"date_unix": decimal_year(d), "yday": F.dayofyear(d), "wday": weekday_number(d), "month": F.month(d), "week": week_of_year(d), "weekday_name": F.date_format(d, "EEEE"), "month_abb": F.date_format(d, "MMM"), "season": season(d)})
+    return df.withColumns({"date_unix": decimal_year(d), "yday": F.dayofyear(d), "wday": weekday_number(d), "month": F.month(d), "week": week_of_year(d), "weekday_name": F.date_format(d, "EEEE"), "month_abb": F.date_format(d, "MMM"), "season": season(d), "season_number": season_number(d)})
 
 
 # ---- weather ---------------------------------------------------------------------------------
@@ -70,9 +81,7 @@ def wind_sector(wd: Column, wrap: bool = True) -> Column:
 
 def wind_direction(u: Column, v: Column) -> Column:
     """Where the wind comes from, in (0, 360], from its eastward and northward parts."""
-    m = F.degrees(F.atan2(v, u))
-    m = F.when(m <= 0, m + 360).otherwise(m)
-    return F.when(m < 270, 270 - m).otherwise(630 - m)
+    return 360 - F.pmod(F.degrees(F.atan2(v, u)) + 90, F.lit(360.0))
 
 
 def extraterrestrial_radiation(yday: Column, lat: Column) -> Column:
@@ -129,8 +138,16 @@ def finite(c: Column) -> Column:
 
 
 def fold_name(c: Column) -> Column:
-    """Lower case without accents."""
-    return F.translate(F.lower(F.trim(c)), ACCENTED, PLAIN)
+    """Lower case without accents, for all of Latin; marks that stand apart go, ligatures are spelt out."""
+    low = F.regexp_replace(F.lower(F.trim(c)), r"\p{M}", "")
+    for letter, spelt in LIGATURES.items():
+        low = F.replace(low, F.lit(letter), F.lit(spelt))
+    return F.translate(low, *_latin())
+
+
+def date_in_name(path: Column) -> Column:
+    """The date (yyyy-MM-dd) between a file name's first underscore and what follows; NULL if there is none."""
+    return F.try_to_date(F.regexp_extract(path, r"[^/_]*_(\d{4}-\d{2}-\d{2})[^/]*$", 1))
 
 
 def comma_key(values: Column) -> Column:

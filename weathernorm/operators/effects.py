@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import from_decimal_year, inverse_link
+from ..functions.columns import from_decimal_year, season_number
 from .aggregates import replicate_summary
 from .boost import Booster
-from .model import _numbers, _schema, fire_groups, predict
+from .model import _numbers, _schema, fire_groups, predict, unlinked
 
 #: Rows of a grid that are scored at once, about.
 GRID = 100_000
@@ -26,10 +26,10 @@ def anomaly(predictions: DataFrame, key: Sequence[str]) -> DataFrame:
 
 
 def partial_dependence(models: DataFrame, key: Sequence[str], ranges: DataFrame, variable: str = "date_unix", points: str = "points") -> DataFrame:
-    """(series, config_id, replicate, x, y) at ``points`` places from ``low`` to ``high`` of each series;
-    ``ranges`` has (series, low, high, points). Computed from the trees alone, no rows are scored."""
+    """(series, config_id, replicate, x, y) at ``points`` places from ``low`` to ``high`` of each series, y in the units
+    of the response; ``ranges`` has (series, low, high, points). Computed from the trees alone, no rows are scored."""
     group = [*key, "config_id", "replicate"]
-    joined = models.filter("status = 'ok'").join(ranges, list(key)).select(*group, "model", "low", "high", F.col(points).alias("points"))
+    joined = models.filter("status = 'ok'").join(ranges, list(key)).select(*group, "model", "link", "low", "high", F.col(points).alias("points"))
     schema = _schema(joined, group, "x double, y double")
 
     def run(batches):
@@ -38,20 +38,21 @@ def partial_dependence(models: DataFrame, key: Sequence[str], ranges: DataFrame,
                 b = Booster.loads(row.model)
                 if variable in b.names:
                     x = np.linspace(row.low, row.high, max(1, int(row.points)))
-                    yield pd.DataFrame({**{g: [getattr(row, g)] * len(x) for g in group}, "x": x, "y": b.partial_dependence(variable, x)})
+                    yield pd.DataFrame({**{g: [getattr(row, g)] * len(x) for g in group}, "x": x, "y": unlinked(b.partial_dependence(variable, x), row.link)})
 
     return joined.mapInPandas(run, schema)
 
 
-def trend(models: DataFrame, rows: DataFrame, key: Sequence[str], link_name: str = "linear") -> DataFrame:
-    """(series, date, trend, trend_p025, trend_p975): partial dependence on the decimal year, a point a day."""
+def trend(models: DataFrame, rows: DataFrame, key: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """(series, date, trend, trend_p025, trend_p975): partial dependence on the decimal year, a point a day; for each
+    of ``by`` (config_id) as well, or over all fits of a series."""
     ranges = rows.groupBy(*key).agg(F.min("date_unix").alias("low"), F.max("date_unix").alias("high"), (F.datediff(F.max("date"), F.min("date")) + 1).alias("points"))
     pdp = partial_dependence(models, key, ranges)
-    dated = pdp.withColumn("date", from_decimal_year(F.col("x"))).withColumn("trend", inverse_link(F.col("y"), link_name))
-    return replicate_summary(dated, [*key, "date"], "trend")
+    dated = pdp.withColumn("date", from_decimal_year(F.col("x"))).withColumnRenamed("y", "trend")
+    return replicate_summary(dated, [*key, *by, "date"], "trend")
 
 
-def no_fire(rows: DataFrame, models: DataFrame, key: Sequence[str], columns: Sequence[str], link_name: str = "linear") -> DataFrame:
+def no_fire(rows: DataFrame, models: DataFrame, key: Sequence[str], columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """(series, date, predicted_nofire and predicted_nofire_{region} ...): predictions with the fire
     variables of a region, or all of them, at 0; means over replicates."""
     groups = fire_groups(list(columns))
@@ -62,12 +63,17 @@ def no_fire(rows: DataFrame, models: DataFrame, key: Sequence[str], columns: Seq
     for c in every:
         affected = [s for s, v in scenarios.items() if c in v]
         zeroed[c] = F.when(F.col("scenario").isin(affected), F.lit(0.0)).otherwise(F.col(c))
-    found = predict(copies.withColumns(zeroed) if zeroed else copies, models, key, columns, link_name)
+    found = predict(copies.withColumns(zeroed) if zeroed else copies, models, key)
+    return counterfactual_mean(found, [*key, *by], list(scenarios))
+
+
+def counterfactual_mean(found: DataFrame, key: Sequence[str], scenarios: Sequence[str]) -> DataFrame:
+    """A column for each scenario: the mean of its predictions over replicates, those that are NULL left out."""
     return found.groupBy(*key, "date").pivot("scenario", list(scenarios)).agg(F.avg("predicted"))
 
 
-def normalised_trend(rows: DataFrame, models: DataFrame, key: Sequence[str], columns: Sequence[str], n: int = 5000, seed: int = 1, link_name: str = "linear") -> DataFrame:
-    """(series, date, normalised): for each date, the mean prediction over a sample of ``n`` of the series'
+def normalised_trend(rows: DataFrame, models: DataFrame, key: Sequence[str], columns: Sequence[str], n: int = 5000, seed: int = 1) -> DataFrame:
+    """(series, date, normalised): for each date, the mean prediction (its link undone first) over a sample of ``n`` of the series'
     weather rows (all, if there are fewer) with the date's own decimal year. Scored in blocks of ``GRID`` rows."""
     group = [*key, "config_id", "replicate"]
     names = list(columns)
@@ -90,25 +96,25 @@ def normalised_trend(rows: DataFrame, models: DataFrame, key: Sequence[str], col
                 block = years[at : at + each]
                 grid = np.tile(sample, (len(block), 1))
                 grid[:, j] = np.repeat(block, len(sample))
-                means[at : at + each] = b.predict(grid).reshape(len(block), len(sample)).mean(1)
+                means[at : at + each] = unlinked(b.predict(grid), right["link"].iloc[0]).reshape(len(block), len(sample)).mean(1)
             out = means[back]
         first = left.iloc[0]
         return pd.DataFrame({**{g: [first[g]] * len(x) for g in group}, "date": left["date"].to_numpy(), "normalised": out})
 
     found = rows.select(*group, "date", *names).groupBy(*group).cogroup(models.filter("status = 'ok'").groupBy(*group)).applyInPandas(run, schema)
-    return found.groupBy(*key, "date").agg(inverse_link(F.avg("normalised"), link_name).alias("normalised"))
+    return found.groupBy(*key, "date").agg(F.avg("normalised").alias("normalised"))
 
 
 def composite_time_effect(models: DataFrame, rows: DataFrame, key: Sequence[str]) -> DataFrame:
-    """(series, date, effect): mean of the partial dependences on decimal year, day of year, month and
-    weekday, as far as the model has them, joined to the dates."""
-    steps = {"yday": (1, 366, 366), "month": (1, 12, 12), "wday": (1, 7, 7)}
+    """(series, date, effect): mean of the partial dependences on decimal year, day of year, month, weekday
+    and season (``season_number``), as far as the model has them, joined to the dates."""
+    steps = {"yday": (1, 366, 366), "month": (1, 12, 12), "wday": (1, 7, 7), "season_number": (1, 4, 4)}
     out = rows.select(*key, "date", "date_unix").distinct()
     parts = []
     for name, (low, high, n) in steps.items():
         ranges = rows.select(*key).distinct().withColumns({"low": F.lit(float(low)), "high": F.lit(float(high)), "points": F.lit(n)})
         pdp = partial_dependence(models, key, ranges, name).groupBy(*key, F.round("x").cast("int").alias(name)).agg(F.avg("y").alias(f"effect_{name}"))
-        calendar = {"yday": F.dayofyear("date"), "month": F.month("date"), "wday": F.weekday("date") + 1}[name]
+        calendar = {"yday": F.dayofyear("date"), "month": F.month("date"), "wday": F.weekday("date") + 1, "season_number": season_number(F.col("date"))}[name]
         out = out.withColumn(name, calendar).join(pdp, [*key, name], "left").drop(name)
         parts.append(f"effect_{name}")
     own = trend(models, rows, key).select(*key, "date", F.col("trend").alias("effect_trend"))

@@ -4,16 +4,18 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Mapping, Sequence
+from dataclasses import astuple, dataclass, fields
 
 import numpy as np
 import pandas as pd
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import finite, inverse_link, link
+from ..functions.columns import finite, link
 from .boost import Booster
+from .cleaning import fit_rows
 
 ENGINES = ("gbm", "mllib")
 # Prefixes of fire variables, the longest first.
@@ -35,41 +37,80 @@ def fire_groups(names: Sequence[str], prefixes: Sequence[str] = FIRE_PREFIXES) -
     return {k: sorted(v, key=lambda n: ("_lag" in n, names.index(n))) for k, v in out.items()}
 
 
-def config_grid(spark: SparkSession, outputs: Mapping[str, Mapping[str, object]], **options: object) -> DataFrame:
-    """A row for every combination: each output ("anomaly", "trend") with its own training dates and time
-    variables, crossed with the options (a value or a list of values)."""
-    names = ["trees", "lag", "training_fraction", "add_fire", "engine", "link", "learning_rate", "interaction_depth", "cv_folds", "ntrainings"]
-    default = {"trees": 10_000, "lag": 1, "training_fraction": 0.9, "add_fire": False, "engine": "gbm", "link": "linear", "learning_rate": 0.01, "interaction_depth": 2, "cv_folds": 3, "ntrainings": 1}
-    values = [v if isinstance(v := options.get(n, default[n]), list) else [v] for n in names]
-    rows = []
+@dataclass(frozen=True)
+class Config:
+    """One configuration of a fit: a row of a grid."""
+
+    config_id: int = 0
+    output: str = "anomaly"
+    trees: int = 10_000
+    lag: int = 1
+    training_fraction: float = 0.9
+    add_fire: bool = False
+    engine: str = "gbm"
+    link: str = "linear"
+    learning_rate: float = 0.01
+    interaction_depth: int = 2
+    cv_folds: int = 3
+    ntrainings: int = 1
+    time_vars: tuple[str, ...] = ()
+    weather_vars: tuple[str, ...] = ()
+    training_start: str | None = None
+    training_end: str | None = None
+    excluded: tuple[str, ...] = ()
+
+    def __post_init__(self) -> None:
+        if self.engine not in ENGINES:
+            raise ValueError(f"unknown engine {self.engine!r}")
+
+    @property
+    def columns(self) -> list[str]:
+        """The variables that the model may use."""
+        weather = [v for v in self.weather_vars if self.add_fire or not v.startswith(FIRE_PREFIXES)]
+        return [*self.time_vars, *lag_names(weather, self.lag)]
+
+
+def config_grid(outputs: Mapping[str, Mapping[str, object]], weather_vars: Sequence[str] = (), **options: object) -> list[Config]:
+    """A configuration for every combination: each output ("anomaly", "trend") with its own training dates and time
+    variables, crossed with the options of :class:`Config` (a value or a list of values)."""
+    names = [f.name for f in fields(Config) if f.name in options]
+    if unknown := set(options) - set(names):
+        raise TypeError(f"unknown options: {', '.join(sorted(unknown))}")
+    values = [v if isinstance(v := options[n], list) else [v] for n in names]
+    out = []
     for output, own in outputs.items():
+        time_vars = own.get("time_vars", ["date_unix", "yday", "wday"] if output == "trend" else [])
         for combination in itertools.product(*values):
             row = dict(zip(names, combination, strict=True))
-            if row["engine"] not in ENGINES:
-                raise ValueError(f"unknown engine {row['engine']!r}")
-            time_vars = own.get("time_vars", ["date_unix", "yday", "wday"] if output == "trend" else [])
-            rows.append((len(rows), output, *map(row.get, names), list(time_vars), list(options.get("weather_vars", [])), own.get("training_start"), own.get("training_end"), list(own.get("excluded", []))))
+            out.append(Config(len(out), output, time_vars=tuple(time_vars), weather_vars=tuple(weather_vars), training_start=own.get("training_start"), training_end=own.get("training_end"), excluded=tuple(own.get("excluded", ())), **row))
+    return out
+
+
+def config_table(spark: SparkSession, configs: Sequence[Config]) -> DataFrame:
+    """The configurations as a table."""
     types = "config_id int, output string, trees int, lag int, training_fraction double, add_fire boolean, engine string, link string, learning_rate double, interaction_depth int, cv_folds int, ntrainings int, time_vars array<string>, weather_vars array<string>, training_start string, training_end string, excluded array<string>"
-    return spark.createDataFrame(rows, types)
+    return spark.createDataFrame([tuple(list(v) if isinstance(v, tuple) else v for v in astuple(c)) for c in configs], types)
 
 
-def split_sets(df: DataFrame, key: Sequence[str], fraction: float = 0.9, training_end: str | None = None, training_start: str | None = None, excluded: Sequence[str] = (), seed: int = 42, replicate: int = 0) -> DataFrame:
-    """Adds ``set``: after ``training_end`` is prediction; of the rows up to it, ``fraction`` of their number
-    (1 at least) of those that are neither excluded nor before ``training_start`` are training, in the
-    order of a hash; the rest is testing."""
-    end = F.lit(training_end or "2099-01-01").cast("date")
-    before = F.col("date") <= end
-    ok = before & ~F.col("date").isin([F.lit(d).cast("date") for d in excluded]) if excluded else before
-    if training_start:
-        ok = ok & (F.col("date") >= F.lit(training_start).cast("date"))
-    h = F.md5(F.concat_ws("~", *(F.col(k).cast("string") for k in key), F.col("date").cast("string"), F.lit(str(seed)), F.lit(str(replicate))))
+def _with_sets(df: DataFrame, key: Sequence[str], identity: Sequence[str], seed: int, end: Column, start: Column, excluded: Column, fraction: Column, replicate: Column) -> DataFrame:
+    """Adds ``set`` to the rows of each ``key``; ``identity`` names a series in the hash that orders its rows."""
+    before = F.col("date") <= F.coalesce(end, F.lit("2099-01-01").cast("date"))
+    ok = before & ~F.coalesce(F.array_contains(excluded, F.col("date")), F.lit(False)) & F.coalesce(F.col("date") >= start, F.lit(True))
+    h = F.md5(F.concat_ws("~", *(F.col(k).cast("string") for k in identity), F.col("date").cast("string"), F.lit(str(seed)), replicate.cast("string")))
     w = Window.partitionBy(*key)
-    pre = F.sum(before.cast("int")).over(w)
-    n = F.greatest(F.lit(1), F.floor(F.lit(fraction) * pre))
+    n = F.greatest(F.lit(1), F.floor(fraction * F.sum(before.cast("int")).over(w)))
     # candidates come first in the order of their hash
     rank = F.row_number().over(w.orderBy((~ok).cast("int"), h, "date"))
-    name = F.when(~before, "prediction").when(ok & (rank <= n), "training").otherwise("testing")
-    return df.withColumn("set", name)
+    return df.withColumn("set", F.when(~before, "prediction").when(ok & (rank <= n), "training").otherwise("testing"))
+
+
+def split_sets(df: DataFrame, key: Sequence[str], fraction: float = 0.9, training_end: str | None = None, training_start: str | None = None, excluded: Sequence[str] = (), seed: int = 42, replicate: int = 0) -> DataFrame:
+    """Adds ``set``: after ``training_end`` is prediction; of the rows up to it, ``fraction`` of their number
+    (1 at least) of those that are neither excluded nor before ``training_start`` are training, in the
+    order of a hash; the rest is testing. A fraction of 1 takes all rows before the cut for training."""
+    end, start = (F.lit(d).cast("date") for d in (training_end, training_start))
+    dates = F.array(*(F.lit(d).cast("date") for d in excluded)) if excluded else F.array().cast("array<date>")
+    return _with_sets(df, key, key, seed, end, start, dates, F.lit(fraction), F.lit(replicate))
 
 
 def untrainable(df: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -83,7 +124,7 @@ def predictors(df: DataFrame, key: Sequence[str], columns: Sequence[str]) -> Dat
     return df.groupBy(*key).agg(F.filter(F.array(*seen), lambda x: x.isNotNull()).alias("predictors"))
 
 
-def folds(df: DataFrame, key: Sequence[str], k: int, seed: int = 42) -> DataFrame:
+def folds(df: DataFrame, key: Sequence[str], k: int | Column, seed: int = 42) -> DataFrame:
     """Adds a fold number from a hash to each row."""
     h = F.xxhash64(*key, F.col("date"), F.lit(seed))
     return df.withColumn("fold", F.pmod(h, F.lit(k)).cast("int"))
@@ -98,70 +139,97 @@ def _schema(df: DataFrame, key: Sequence[str], more: str) -> T.StructType:
 
 
 def fit(df: DataFrame, key: Sequence[str], columns: Sequence[str], trees: int = 200, rate: float = 0.1, splits: int = 2, cv_folds: int = 3, link_name: str = "linear", replicates: int = 1, fraction: float = 0.9, training_end: str | None = None, training_start: str | None = None, excluded: Sequence[str] = (), seed: int = 42, config_id: int = 0) -> tuple[DataFrame, DataFrame]:
-    """Rows with their sets (by replicate), and the models: a row a (series, configuration, replicate) with
-    n_trees_opt, status ("ok" or what went wrong) and the model as JSON. The rows are persisted; the
-    caller may unpersist them when all results are written.
+    """:func:`fit_configs` with one configuration."""
+    one = Config(config_id, trees=trees, lag=0, training_fraction=fraction, link=link_name, learning_rate=rate, interaction_depth=splits, cv_folds=cv_folds, ntrainings=replicates, time_vars=tuple(columns), training_start=training_start, training_end=training_end, excluded=tuple(excluded))
+    return fit_configs(df, key, [one], seed)
+
+
+def fit_configs(df: DataFrame, key: Sequence[str], configs: Sequence[Config], seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """Rows with their sets, by configuration and replicate, and the models: a row a (series, config_id, replicate)
+    with n_trees_opt, n_training, status ("ok" or "failed"), message, link and the model as JSON. All
+    configurations are one plan: the rows are read once and dealt out to each. A fit that fails, or has
+    nothing to learn from, is a row with its message; it touches no other. The rows are persisted: call
+    ``unpersist()`` on them when all results are written.
 
     The number of trees is where the mean error over folds is least; fold fits and the final fits are
     two stages, both dealt out over all tasks. Without folds the out-of-bag estimate decides.
     """
-    key = list(key)
-    base = df.withColumn("_y", link(finite(F.col("value")), link_name))
-    parts = [split_sets(base, key, fraction, training_end, training_start, excluded, seed, r).withColumn("replicate", F.lit(r)) for r in range(replicates)]
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
-    # folds, final fits and predictions all read the prepared rows: a lost part is made again from its inputs
-    rows = rows.withColumn("config_id", F.lit(config_id)).persist(StorageLevel.MEMORY_AND_DISK)
+    spark, key, by_id = df.sparkSession, list(key), {c.config_id: c for c in configs}
+    if len(by_id) < len(configs):
+        raise ValueError("two configurations have one config_id")
+    if any(c.engine != "gbm" for c in configs):
+        raise ValueError("engine mllib fits all series together: see fit_pooled")
     group = [*key, "config_id", "replicate"]
-    train = rows.filter((F.col("set") == "training") & F.col("_y").isNotNull()).select(*group, "date", "_y", *columns)
-    columns = list(columns)
+    columns = list(dict.fromkeys(x for c in configs for x in c.columns))
+    if missing := [x for x in columns if x not in df.columns]:
+        raise ValueError(f"missing columns: {', '.join(missing)}")
+    # as many rows as configurations and replicates: the caller's own list
+    each = [(c.config_id, r, c.training_end, c.training_start, list(c.excluded), c.training_fraction, c.link) for c in configs for r in range(c.ntrainings)]
+    dealt = spark.createDataFrame(each, "config_id int, replicate int, _end string, _start string, _excluded array<string>, _fraction double, _link string")
+    rows = df.join(F.broadcast(dealt), how="cross")
+    y = finite(F.col("value"))
+    rows = rows.withColumn("_y", F.when(F.col("_link") == "log", link(y, "log")).otherwise(y))
+    excluded = F.transform("_excluded", lambda d: d.cast("date"))
+    rows = _with_sets(rows, group, key, seed, F.col("_end").cast("date"), F.col("_start").cast("date"), excluded, F.col("_fraction"), F.col("replicate"))
+    # folds, final fits and predictions all read the prepared rows: a lost part is made again from its inputs
+    rows = rows.drop("_end", "_start", "_excluded", "_fraction", "_link").persist(StorageLevel.MEMORY_AND_DISK)
+    train = fit_rows(rows, "_y").select(*group, "date", "_y", *columns)
 
     def usable(x: np.ndarray) -> list[int]:
         return [j for j in range(x.shape[1]) if not np.isnan(x[:, j]).all()]
 
-    def own_seed(names: tuple) -> int:
-        return (seed * 1_000_003 + hash_text("~".join(map(str, names)))) % 2**32
+    def booster(names: tuple, own: list[str]) -> Booster:
+        c = by_id[int(names[len(key)])]
+        text = "~".join(map(str, names))
+        return Booster(own, c.learning_rate, c.interaction_depth, seed=(seed * 1_000_003 + hash_text(text)) % 2**32)
 
     def fold_errors(names: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("date")
-        held = pdf["fold"].to_numpy() == names[-1]
-        x, y = _numbers(pdf, columns), pdf["_y"].to_numpy(np.float64)
-        use = usable(x[~held]) if (~held).any() else []
-        if not use or not held.any():
-            return pd.DataFrame({**{g: [] for g in group}, "n_trees": [], "sse": [], "n": []})
-        b = Booster([columns[j] for j in use], rate, splits, seed=own_seed(names))
-        err = b.fit(x[~held][:, use], y[~held], trees, (x[held][:, use], y[held]))
-        return pd.DataFrame({**{g: [v] * trees for g, v in zip(group, names, strict=False)}, "n_trees": np.arange(1, trees + 1), "sse": err * held.sum(), "n": int(held.sum())})
+        c, nothing = by_id[int(names[len(key)])], pd.DataFrame({**{g: [] for g in group}, "n_trees": [], "sse": [], "n": []})
+        try:
+            pdf = pdf.sort_values("date")
+            held = pdf["fold"].to_numpy() == names[-1]
+            x, y = _numbers(pdf, c.columns), pdf["_y"].to_numpy(np.float64)
+            use = usable(x[~held]) if (~held).any() else []
+            if not use or not held.any():
+                return nothing
+            b = booster(names, [c.columns[j] for j in use])
+            err = b.fit(x[~held][:, use], y[~held], c.trees, (x[held][:, use], y[held]))
+        except Exception:  # the final fit of the same rows says what is wrong
+            return nothing
+        return pd.DataFrame({**{g: [v] * c.trees for g, v in zip(group, names, strict=False)}, "n_trees": np.arange(1, c.trees + 1), "sse": err * held.sum(), "n": int(held.sum())})
 
     def final(names: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("date")
-        x, y = _numbers(pdf, columns), pdf["_y"].to_numpy(np.float64)
-        use, n, model, status = usable(x), 0, None, "ok"
-        if use:
-            b = Booster([columns[j] for j in use], rate, splits, seed=own_seed(names))
-            wanted = pdf["n_trees_opt"].iloc[0]
-            n = trees if pd.isna(wanted) else int(wanted)
-            err = b.fit(x[:, use], y, n)
-            if pd.isna(wanted):
-                n = int(np.argmin(err)) + 1
-                b.trees = b.trees[:n]
-            model = b.dumps()
-        else:
-            status = "no predictor has a value in the training rows"
-        return pd.DataFrame({**{g: [v] for g, v in zip(group, names, strict=True)}, "n_trees_opt": [n], "n_training": [len(y)], "status": [status], "model": [model]})
-
-    if cv_folds > 1:
-        dealt = folds(train, group, cv_folds, seed)
-        each = dealt.withColumn("held", F.explode(F.sequence(F.lit(0), F.lit(cv_folds - 1))))
-        errors = each.groupBy(*group, "held").applyInPandas(lambda names, pdf: fold_errors(names, pdf), _schema(each, group, "n_trees int, sse double, n int"))
-        mean = errors.groupBy(*group, "n_trees").agg((F.sum("sse") / F.sum("n")).alias("mse"))
-        best = mean.groupBy(*group).agg(F.min_by("n_trees", F.struct("mse", "n_trees")).alias("n_trees_opt"))
-        train = train.join(best, group, "left")
-    else:
-        train = train.withColumn("n_trees_opt", F.lit(None).cast("int"))
-    models = train.groupBy(*group).applyInPandas(lambda names, pdf: final(names, pdf), _schema(train, group, "n_trees_opt int, n_training int, status string, model string"))
-    return rows.drop("_y"), models
+        c, n, model, message = by_id[int(names[len(key)])], 0, None, None
+        try:
+            pdf = pdf.sort_values("date")
+            x, y = _numbers(pdf, c.columns), pdf["_y"].to_numpy(np.float64)
+            use = usable(x)
+            if use:
+                b = booster(names, [c.columns[j] for j in use])
+                wanted = pdf["n_trees_opt"].iloc[0]
+                n = c.trees if pd.isna(wanted) else int(wanted)
+                err = b.fit(x[:, use], y, n)
+                if pd.isna(wanted):
+                    n = int(np.argmin(err)) + 1
+                    b.trees = b.trees[:n]
+                model = b.dumps()
+            else:
+                message = "no predictor has a value in the training rows"
+        except Exception as e:  # a bad series is a row of the result, never the end of the job
+            n, message = 0, f"{type(e).__name__}: {e}"[:500]
+        return pd.DataFrame({**{g: [v] for g, v in zip(group, names, strict=True)}, "n_trees_opt": [n], "n_training": [len(pdf)], "status": ["ok" if model else "failed"], "message": [message], "link": [c.link], "model": [model]})
+
+    counts = [(c.config_id, c.cv_folds) for c in configs]
+    by_folds = train.join(F.broadcast(spark.createDataFrame(counts, "config_id int, _folds int")), "config_id").filter(F.col("_folds") > 1)
+    dealt = folds(by_folds, group, F.col("_folds"), seed)
+    held = dealt.withColumn("held", F.explode(F.sequence(F.lit(0), F.col("_folds") - 1)))
+    errors = held.groupBy(*group, "held").applyInPandas(lambda names, pdf: fold_errors(names, pdf), _schema(held, group, "n_trees int, sse double, n int"))
+    mean = errors.groupBy(*group, "n_trees").agg((F.sum("sse") / F.sum("n")).alias("mse"))
+    best = mean.groupBy(*group).agg(F.min_by("n_trees", F.struct("mse", "n_trees")).alias("n_trees_opt"))
+    models = train.join(best, group, "left").groupBy(*group).applyInPandas(lambda names, pdf: final(names, pdf), _schema(train, group, "n_trees_opt int, n_training int, status string, message string, link string, model string"))
+    without = untrainable(rows.withColumn("set", F.when(F.col("_y").isNotNull(), F.col("set"))), group)
+    failed = without.select(*group, F.lit(0).alias("n_trees_opt"), F.lit(0).alias("n_training"), F.lit("failed").alias("status"), F.lit("no training rows").alias("message"), F.lit(None).cast("string").alias("link"), F.lit(None).cast("string").alias("model"))
+    return rows, models.unionByName(failed)
 
 
 def hash_text(text: str) -> int:
@@ -171,23 +239,29 @@ def hash_text(text: str) -> int:
     return zlib.crc32(text.encode())
 
 
-def predict(rows: DataFrame, models: DataFrame, key: Sequence[str], columns: Sequence[str], link_name: str = "linear", name: str = "predicted") -> DataFrame:
-    """``rows`` with the prediction of their series' model; every row of every set."""
+def predict(rows: DataFrame, models: DataFrame, key: Sequence[str], name: str = "predicted") -> DataFrame:
+    """``rows`` with the prediction of their series' model, its link undone; every row of every set."""
     group = [*key, "config_id", "replicate"]
-    columns, names = list(columns), rows.columns
+    names = [c for c in rows.columns if c != "_y"]
+    rows = rows.select(*names)
     schema = T.StructType([*rows.schema.fields, T.StructField(name, T.DoubleType())])
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         left = left[names].copy()
-        if len(right) and right["model"].iloc[0] is not None:
+        if len(right):
             b = Booster.loads(right["model"].iloc[0])
-            left[name] = b.predict(_numbers(left, b.names))
+            left[name] = unlinked(b.predict(_numbers(left, b.names)), right["link"].iloc[0])
         else:
             left[name] = np.nan
         return left
 
     found = rows.groupBy(*group).cogroup(models.filter("status = 'ok'").groupBy(*group)).applyInPandas(run, schema)
-    return found.withColumn(name, inverse_link(finite(F.col(name)), link_name))
+    return found.withColumn(name, finite(F.col(name)))
+
+
+def unlinked(y: np.ndarray, link_name: str) -> np.ndarray:
+    """Predictions in the units of the response."""
+    return np.exp(y) if link_name == "log" else y
 
 
 def fit_pooled(df: DataFrame, key: Sequence[str], columns: Sequence[str], trees: int = 20, depth: int = 3, rate: float = 0.1) -> DataFrame:

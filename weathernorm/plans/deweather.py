@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import calendar
+import datetime as dt
 from collections.abc import Mapping, Sequence
+from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import yoy_dates
 from ..operators import effects, model
 from ..operators.aggregates import fit_metrics
 from ..operators.joins import with_weather
@@ -22,31 +24,53 @@ def presets(args: Mapping[str, object], preset: Mapping[str, object] | None = No
     return {**args, **(preset or {}), **(override or {})}
 
 
-def deweather(meas: DataFrame, weather: DataFrame, weather_vars: Sequence[str], output: str = "anomaly", key: Sequence[str] = tuple(SERIES), lag: int = 1, trees: int = 200, rate: float = 0.1, depth: int = 2, cv_folds: int = 3, replicates: int = 1, fraction: float = 0.9, link: str = "linear", training_start: str | None = None, training_end: str | None = None, excluded: Sequence[str] = (), time_vars: Sequence[str] | None = None, since: str | None = "2020-01-01", config_id: int = 0) -> dict[str, DataFrame]:
-    """``result`` (series, date, variable, value), ``models``, ``performance`` and ``importance``."""
-    key = list(key)
-    if time_vars is None:
-        time_vars = ["date_unix", "yday", "wday"] if output == "trend" else []
-    data = prep_data(with_weather(meas, weather), key, weather_vars, lag, since)
-    columns = [*time_vars, *model.lag_names(list(weather_vars), lag)]
-    rows, models = model.fit(data, key, columns, trees, rate, depth, cv_folds, link, replicates, fraction, training_end, training_start, excluded, config_id=config_id)
-    predicted = model.predict(rows, models, key, columns, link)
-    wide = effects.anomaly(predicted, key)
-    if output == "trend":
-        wide = wide.join(effects.trend(models, rows, key, link), [*key, "date"], "full")
-    if any(model.fire_groups(columns)):
-        wide = wide.join(effects.no_fire(rows, models, key, columns, link), [*key, "date"], "left")
-    return {"result": effects.long_result(wide, key), "models": models, "performance": fit_metrics(predicted, [*key, "config_id", "replicate"]), "importance": effects.importance(models, key)}
-
-
-def deweather_yoy(meas: DataFrame, weather: DataFrame, weather_vars: Sequence[str], months: Sequence[str], key: Sequence[str] = tuple(SERIES), **options) -> DataFrame:
+def deweather_configs(meas: DataFrame, weather: DataFrame, configs: Sequence[model.Config], key: Sequence[str] = tuple(SERIES), since: str | None = "2020-01-01") -> dict[str, DataFrame]:
+    """``result`` (series, config_id, date, variable, value), ``models`` (a row for each fit, with its status),
+    ``performance``, ``importance`` and ``rows``, of all configurations in one plan. The rows are prepared
+    once, with the largest lag, and persisted: ``rows.unpersist()`` when the results are written."""
+    key, by = list(key), [*key, "config_id"]
+    wanted = list(dict.fromkeys(v for c in configs for v in c.weather_vars))
+    data = prep_data(with_weather(meas, weather), key, wanted, max(c.lag for c in configs), since)
+    rows, models = model.fit_configs(data, key, configs)
+    predicted = model.predict(rows, models, key)
+    wide = effects.anomaly(predicted, by)
+    if trends := [c.config_id for c in configs if c.output == "trend"]:
+        of = F.col("config_id").isin(trends)
+        wide = wide.join(effects.trend(models.filter(of), rows, key, ["config_id"]), [*by, "date"], "full")
+    if columns := [x for g in model.fire_groups([x for c in configs for x in c.columns]).values() for x in g]:
+        fires = F.col("config_id").isin([c.config_id for c in configs if c.add_fire])
+        wide = wide.join(effects.no_fire(rows.filter(fires), models, by[:-1], list(dict.fromkeys(columns)), ["config_id"]), [*by, "date"], "left")
+    return {"result": effects.long_result(wide, by), "models": models, "performance": fit_metrics(predicted, [*by, "replicate"]), "importance": effects.importance(models, key), "rows": rows}
+
+
+def deweather(meas: DataFrame, weather: DataFrame, weather_vars: Sequence[str], output: str = "anomaly", key: Sequence[str] = tuple(SERIES), since: str | None = "2020-01-01", time_vars: Sequence[str] | None = None, **options) -> dict[str, DataFrame]:
+    """:func:`deweather_configs` of one output; ``options`` are those of :class:`model.Config`, a list of values
+    gives a configuration for each. Fire variables count if they are among ``weather_vars``."""
+    own = {k: options.pop(k) for k in ("training_start", "training_end", "excluded") if k in options}
+    if time_vars is not None:
+        own["time_vars"] = time_vars
+    fire = any(v.startswith(model.FIRE_PREFIXES) for v in weather_vars)
+    configs = model.config_grid({output: own}, weather_vars, **{"add_fire": fire, **options})
+    return deweather_configs(meas, weather, configs, key, since)
+
+
+def deweather_yoy(meas: DataFrame, weather: DataFrame, weather_vars: Sequence[str], months: Sequence[str], key: Sequence[str] = tuple(SERIES), since: str | None = "2020-01-01", **options) -> DataFrame:
     """(series, date, variable, value) of each month's year-over-year parts; the days of the month and of
     the year before are kept out of the training. Months are configurations of one plan."""
-    spark, out = meas.sparkSession, None
+    fire = any(v.startswith(model.FIRE_PREFIXES) for v in weather_vars)
+    configs = []
     for k, month in enumerate(months):
-        days = spark.range(1).select(yoy_dates(F.lit(month).cast("date")).alias("d")).first()["d"]  # at most 62 dates
-        excluded = [d.isoformat() for d in days]
-        found = deweather(meas, weather, weather_vars, "anomaly", key, excluded=excluded, config_id=k, **options)["result"]
-        part = yoy_attribution(found, key, month)
+        (one,) = model.config_grid({"anomaly": {"excluded": compared_days(month)}}, weather_vars, **{"add_fire": fire, **options})
+        configs.append(replace(one, config_id=k))
+    found = deweather_configs(meas, weather, configs, key, since)["result"]
+    out = None
+    for k, month in enumerate(months):
+        part = yoy_attribution(found.filter(F.col("config_id") == k).drop("config_id"), key, month)
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def compared_days(month: str) -> list[str]:
+    """All days of the month of a date and of the same month a year earlier."""
+    year, number = map(int, month.split("-")[:2])
+    return [dt.date(y, number, d).isoformat() for y in (year, year - 1) for d in range(1, calendar.monthrange(y, number)[1] + 1)]

@@ -28,17 +28,17 @@ def _fitted(spark, sf_dir):
 
 @query
 def fit_predict(rows, models):
-    return model.predict(rows, models, KEY, COLUMNS).select("location_id", "date", "set", "value", "predicted")
+    return model.predict(rows, models, KEY).select("location_id", "date", "set", "value", "predicted")
 
 
 @query
 def fit_performance(rows, models):
-    return agg.fit_metrics(model.predict(rows, models, KEY, COLUMNS), KEY)
+    return agg.fit_metrics(model.predict(rows, models, KEY), KEY)
 
 
 @query
 def anomaly(rows, models):
-    return effects.anomaly(model.predict(rows, models, KEY, COLUMNS), KEY)
+    return effects.anomaly(model.predict(rows, models, KEY), KEY)
 
 
 @query

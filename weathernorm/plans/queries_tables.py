@@ -152,7 +152,7 @@ def info_table(df):
 
 
 @query("time_features", """WITH d AS (SELECT DISTINCT date FROM meas) --FINAL-- SELECT date, year(date) + (dayofyear(date) - 1) / CAST(dayofyear(make_date(year(date), 12, 31)) AS DOUBLE) AS date_unix, CAST(dayofyear(date) AS INT) AS yday, CAST(isodow(date) AS INT) AS wday, CAST(month(date) AS INT) AS month,
-  CAST(strftime(date, '%W') AS INT) AS week, dayname(date) AS weekday_name, strftime(date, '%b') AS month_abb, CASE WHEN month(date) BETWEEN 3 AND 5 THEN 'MAM' WHEN month(date) BETWEEN 6 AND 8 THEN 'JJA' WHEN month(date) BETWEEN 9 AND 11 THEN 'SON' ELSE 'DJF' END AS season FROM d""", "date_unix", "meas")
+  CAST(strftime(date, '%W') AS INT) AS week, dayname(date) AS weekday_name, strftime(date, '%b') AS month_abb, CASE WHEN month(date) BETWEEN 3 AND 5 THEN 'MAM' WHEN month(date) BETWEEN 6 AND 8 THEN 'JJA' WHEN month(date) BETWEEN 9 AND 11 THEN 'SON' ELSE 'DJF' END AS season, CAST(month(date) % 12 // 3 AS INT) + 1 AS season_number FROM d""", "date_unix", "meas")
 def time_features(meas):
     return fn.time_features(meas.select("date").distinct())
 
