@@ -147,3 +147,43 @@ def test_coalesce_join_adds_columns(spark):
     old = spark.createDataFrame([(1, 2.0), (2, None)], "k int, a double")
     new = spark.createDataFrame([(1, 9.0, 5.0), (2, 9.0, 6.0)], "k int, a double, b double")
     assert [tuple(r) for r in joins.coalesce_join(old, new, ["k"], ["a", "b"]).orderBy("k").collect()] == [(1, 2.0, 5.0), (2, 9.0, 6.0)]
+
+
+def test_names_fold_all_of_latin(spark):
+    said = {"Łódź": "lodz", " İzmir ": "izmir", "Đà Nẵng": "da nang", "Ćuprija": "cuprija", "Großœuvre": "grossoeuvre", "Ærø": "aero", "Šiauliai": "siauliai", "Timișoara": "timisoara", "München": "munchen", "ğüş ı": "gus i"}
+    df = spark.createDataFrame([(k,) for k in said], "name string")
+    assert {r[0]: r[1] for r in df.select("name", fn.fold_name(F.col("name"))).collect()} == said
+
+
+def test_days_of_23_and_25_hours(spark):
+    df = spark.createDataFrame([("2024-03-31",), ("2024-10-27",), ("2024-06-01",)], "d string").select(F.col("d").cast("date").alias("d"))
+    hours = {str(r[0]): r[1] for r in df.select("d", fn.utc_hours_of_local_day(F.col("d"), F.lit("Europe/Berlin"))).collect()}
+    assert [len(hours[d]) for d in ("2024-03-31", "2024-10-27", "2024-06-01")] == [23, 25, 24]
+    assert hours["2024-06-01"][0] == dt.datetime(2024, 5, 31, 22)
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        assert df.select("d", fn.utc_hours_of_local_day(F.col("d"), F.lit("Europe/Berlin"))).collect()[2][1] == hours["2024-06-01"]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_dates_in_file_names(spark):
+    paths = {"/x/era5_2024-01-05.tiff": dt.date(2024, 1, 5), "gdas_2023-12-31.nc": dt.date(2023, 12, 31), "/a_2024-01-01/b.tif": None, "era5_latest.nc": None}
+    df = spark.createDataFrame([(k,) for k in paths], "p string")
+    assert {r[0]: r[1] for r in df.select("p", fn.date_in_name(F.col("p"))).collect()} == paths
+
+
+def test_calendar_of_repeated_and_missing_dates(spark):
+    rows = [(1, dt.date(2024, 1, 1), 1.0), (1, dt.date(2024, 1, 4), 2.0), (1, dt.date(2024, 1, 4), 3.0), (2, dt.date(2024, 5, 1), 4.0), (2, None, 5.0), (3, dt.date(2024, 2, 28), 6.0), (3, dt.date(2024, 3, 1), None)]
+    df = spark.createDataFrame(rows, "k int, date date, v double")
+    got = [(r["k"], r["date"].isoformat()[5:], r["v"]) for r in cleaning.calendar(df, ["k"]).orderBy("k", "date", "v").collect()]
+    assert got == [(1, "01-01", 1.0), (1, "01-02", None), (1, "01-03", None), (1, "01-04", 2.0), (1, "01-04", 3.0), (2, "05-01", 4.0), (3, "02-28", 6.0), (3, "02-29", None), (3, "03-01", None)]
+    months = spark.createDataFrame([(1, dt.date(2024, 1, 1), 1.0), (1, dt.date(2024, 4, 1), 2.0)], "k int, date date, v double")
+    assert [r["date"].month for r in cleaning.calendar(months, ["k"], unit="MONTH").orderBy("date").collect()] == [1, 2, 3, 4]
+
+
+def test_rolling_mean_takes_other_aggregates_and_text(spark):
+    df = series(spark, 6, value=[1.0, 5.0, None, 3.0, 2.0, 9.0])
+    assert values(cleaning.rolling_mean(df.select("location_id", "date", "value"), ["location_id"], width=3, mean=F.max), "value") == [None, None, 5.0, 5.0, 3.0, 9.0]
+    text = df.select("location_id", "date", F.when(F.col("value") > 2.5, "b").otherwise("a").alias("t"))
+    assert values(cleaning.rolling_mean(text, ["location_id"], "t", width=2), "t") == [None, "a", "a", "a", "a", "a"]

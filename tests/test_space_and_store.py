@@ -57,7 +57,7 @@ def test_station_weather_plan(spark):
 
 def test_store_round_trip(spark, tmp_path):
     s = store.Store(spark, f"file://{tmp_path}/s", ["location_id", "variable"])
-    assert s.read() is None and s.keys().count() == 0 and s.remove(location_id=1) == 0
+    assert s.read().count() == 0 and s.keys().count() == 0 and s.remove(location_id=1) == 0
     a = spark.createDataFrame([("1", "x", 1.0), ("1", "y", 2.0), ("2", "x", 3.0)], "location_id string, variable string, value double")
     s.put(a)
     s.put(spark.createDataFrame([("1", "x", 9.0)], a.schema))
@@ -75,10 +75,66 @@ def test_daily_store_replaces_only_its_dates(spark, tmp_path):
     assert tables.read_daily(spark, path, ["2024-01-03"]).count() == 0
 
 
-def test_region_csv(spark, tmp_path):
-    (tmp_path / "a.csv").write_text("id,region,Tair,Qair,Wind,PSurf,Rainf,SWdown\nA20240101_0300,X,1,2,3,4,5,6\nbad,X,1,2,3,4,5,6\n")
-    rows = tables.region_csv(spark, f"file://{tmp_path}/*.csv").collect()
-    assert sorted(str(r["ts"]) for r in rows) == ["2024-01-01 03:00:00", "None"]
+def test_region_csv_skips_and_counts(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,region,Tair,Qair,Wind,PSurf,Rainf,SWdown\nA20240101_0300,X,1,2,3,4,5,6\nbad,X,1,2,3,4,5,6\nA20240101_0600,X,one,2,3\n\n")
+    (tmp_path / "b.csv").write_text('"extra","region","id","SWdown","Rainf","PSurf","Wind","Qair","Tair"\n9,"Y","A20240102_0000",6,5,4,3,2,1\n')
+    (tmp_path / "c.csv").write_text("id,region,Tair\nA20240101_0300,X,1\n")
+    (tmp_path / "d.csv").write_text("nothing of use\nhere\n")
+    rows, skipped = tables.region_csv(spark, f"file://{tmp_path}/*.csv")
+    found = sorted((str(r["ts"]), r["region"], r["Tair"], r["SWdown"]) for r in rows.collect())
+    assert found == [("2024-01-01 03:00:00", "X", 1.0, 6.0), ("2024-01-01 06:00:00", "X", None, None), ("2024-01-02 00:00:00", "Y", 1.0, 6.0)]
+    said = {r["file"]: (r["lines"], r["reason"]) for r in skipped.collect()}
+    assert said["a.csv"][0] == 1 and set(said) == {"a.csv", "c.csv", "d.csv"} and said["c.csv"][1].startswith("lacks Qair")
+
+
+def test_station_years_with_fresh_ones(spark, tmp_path):
+    stored = spark.createDataFrame([("a", 2020, 1.0), ("a", 2021, 2.0), ("b", 2021, 3.0)], "code string, year int, wd double")
+    stored.write.partitionBy("code", "year").parquet(f"file://{tmp_path}/s")
+    fresh = spark.createDataFrame([("a", 2021, 9.0, 1.0), ("a", 2022, 8.0, 1.0)], "code string, year int, wd double, ws double")
+    got = tables.station_years(spark, f"file://{tmp_path}/s", ["a"], [2020, 2021, 2022], fresh)
+    assert sorted(r["wd"] for r in got.collect()) == [1.0, 8.0, 9.0]
+    assert tables.station_years(spark, f"file://{tmp_path}/s", years=[2021]).count() == 2
+
+
+def test_keys_of_a_store_stay_what_they_are(spark, tmp_path):
+    schema = "location_id string, variable string, value double"
+    s = store.Store(spark, f"file://{tmp_path}/k", ["location_id", "variable"], schema=schema)
+    assert s.read().schema.simpleString() == "struct<location_id:string,variable:string,value:double>" and s.find(location_id="1").count() == 0
+    rows = [("007", "x", 1.0), ("7", "x", 2.0), ("", "x", 3.0), (None, "x", 4.0), ("a=b/c %", "x", 5.0)]
+    s.put(spark.createDataFrame(rows, schema))
+    s.put(spark.createDataFrame([("007", "x", 10.0), (None, "x", 40.0)], schema))
+    got = sorted(((r["location_id"], r["value"]) for r in s.read().collect()), key=str)
+    assert got == sorted([("007", 10.0), ("7", 2.0), ("", 3.0), (None, 40.0), ("a=b/c %", 5.0)], key=str)
+    assert s.find(location_id="007").first()["value"] == 10.0 and s.find(location_id="").first()["value"] == 3.0
+    with pytest.raises(TypeError, match="location_id: int"):
+        s.put(spark.createDataFrame([(7, "x", 1.0)], "location_id int, variable string, value double"))
+    s.put(spark.createDataFrame([("8", "x", 1.0, "new")], schema + ", note string"))
+    assert s.find(location_id="7").first()["note"] is None and s.read().count() == 6
+
+
+def test_a_write_touches_its_buckets_only_and_breaks_off_without_harm(spark, tmp_path, monkeypatch):
+    s = store.Store(spark, f"file://{tmp_path}/w", ["location_id"])
+    s.put(spark.createDataFrame([(str(k), float(k)) for k in range(50)], "location_id string, value double"))
+    before = s._current()[1]["buckets"]
+    s.put(spark.createDataFrame([("3", 33.0)], "location_id string, value double"))
+    after = s._current()[1]["buckets"]
+    assert sum(before[b] != after[b] for b in after) == 1 and s.read().count() == 50
+    # broken off between the rows and the snapshot, and in the middle of the snapshot
+    with monkeypatch.context() as m:
+        m.setattr(store.Store, "_commit", lambda *_: (_ for _ in ()).throw(OSError("gone")))
+        with pytest.raises(OSError):
+            s.put(spark.createDataFrame([("3", 99.0)], "location_id string, value double"))
+    assert s.find(location_id="3").first()["value"] == 33.0
+    (tmp_path / "w" / "snapshots" / f"{s._current()[0] + 1:012d}").write_text('{"schema": ')
+    assert s.find(location_id="3").first()["value"] == 33.0
+    s.put(spark.createDataFrame([("3", 34.0)], "location_id string, value double"))
+    assert s.find(location_id="3").first()["value"] == 34.0
+    # of two writers one fails
+    number, snapshot = s._current()
+    s.put(spark.createDataFrame([("4", 44.0)], "location_id string, value double"))
+    with pytest.raises(store.ConcurrentWrite):
+        s._replace(number, snapshot, s.find(location_id="5"), [5])
+    assert s.vacuum(keep=1) > 0 and s.read().count() == 50 and s.find(location_id="4").first()["value"] == 44.0
 
 
 def test_entry_and_queries(spark):
@@ -118,7 +174,15 @@ def test_result_and_fire_sinks(spark, tmp_path):
     fires.put_fires(spark.createDataFrame([("1", 2.0), ("2", None)], "location_id string, fire_frp double"), key)
     assert fires.find(hours=[0, 12], fire_split_regions="none").count() == 2
     assert fires.find(duration_hour=24).count() == 0
-    fires.purge(["fire_frp"])
+    assert fires.purge(["fire_frp"]) == 1 and fires.purge(["fire_frp"]) == 0
     assert fires.keys().count() == 1
-    doubled = fires.apply(lambda pdf: pdf.assign(fire_frp=pdf["fire_frp"] * 2), fires.read().schema)
-    assert doubled.first()["fire_frp"] == 4.0
+    fires.put_fires(spark.createDataFrame([("2", 7.0)], "location_id string, fire_frp double"), key)
+    assert fires.apply(lambda pdf: pdf.assign(fire_frp=pdf["fire_frp"] * 2), location_id="1") == 1
+    assert {r["location_id"]: r["fire_frp"] for r in fires.read().collect()} == {"1": 4.0, "2": 7.0}
+
+
+def test_grid_cells_go_round_the_earth(spark):
+    points = spark.createDataFrame([(1, 10.0, -179.9), (2, 10.0, -90.0), (3, 10.0, 359.9)], "location_id int, lat double, lon double")
+    for centres in ((180.0, 270.0, 0.0), (-180.0, -90.0, 360.0)):
+        grid = spark.createDataFrame([(10.0, lon, k) for k, lon in enumerate(centres)], "cell_lat double, cell_lon double, v int")
+        assert {(r["location_id"], r["v"]) for r in st.grid_cell_value(points, grid, 0.25).collect()} == {(1, 0), (2, 1), (3, 2)}

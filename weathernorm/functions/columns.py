@@ -9,9 +9,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 EARTH_KM = 6371.0
-# Letters with accents and what they fold to.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+# Letters that no decomposition makes plain, and what they fold to.
+ACCENTED = "øłđðħıŧŋĸ"
+PLAIN = "olddhitnk"
+LIGATURES = {"ß": "ss", "æ": "ae", "œ": "oe", "þ": "th", "ĳ": "ij", "ŉ": "'n"}
+
+
+def _latin() -> tuple[str, str]:
+    """Lower-case Latin letters whose decomposition is a plain letter with marks, and these plain letters."""
+    found, plain = [], []
+    for c in map(chr, (*range(0xE0, 0x250), *range(0x1E00, 0x1F00))):
+        base = unicodedata.normalize("NFD", c)
+        if len(base) > 1 and base[0].isascii() and c == c.lower():
+            found.append(c)
+            plain.append(base[0])
+    return "".join(found) + ACCENTED, "".join(plain) + PLAIN
 
 
 # ---- dates -----------------------------------------------------------------------------------

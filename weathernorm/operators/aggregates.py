@@ -59,7 +59,7 @@ def inverse_distance_mean(df: DataFrame, by: Sequence[str], columns: Sequence[st
 
 def local_day_extremes(hourly: DataFrame, zones: DataFrame, by: Sequence[str] = ("location_id",), column: str = "blh") -> DataFrame:
     """Least, greatest and mean boundary layer by local day; ``zones`` has the offset in hours by location."""
-    local = hourly.join(F.broadcast(zones), "location_id").withColumn("date", F.to_date(F.col("ts") + F.make_dt_interval(F.lit(0), F.floor("offset_hours").cast("int"))))
+    local = hourly.join(zones, "location_id").withColumn("date", F.to_date(F.col("ts") + F.make_dt_interval(F.lit(0), F.floor("offset_hours").cast("int"))))
     return local.groupBy(*by, "date").agg(F.min(column).alias("pbl_min"), F.max(column).alias("pbl_max"), F.avg(column).alias("pbl"))
 
 

@@ -39,9 +39,9 @@ def complete_cases(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def recent_series(df: DataFrame, key: Sequence[str], since: str = "2020-01-01", date: str = "date") -> DataFrame:
-    """Series whose last date is not before ``since``."""
-    last = df.groupBy(*key).agg(F.max(date).alias("_last")).filter(F.col("_last") >= F.lit(since).cast("date")).select(*key)
-    return df.join(last, list(key), "left_semi")
+    """Series whose last date is not before ``since``; on the partitioning that other steps by ``key`` have."""
+    last = F.max(date).over(Window.partitionBy(*key))
+    return df.withColumn("_last", last).filter(F.col("_last") >= F.lit(since).cast("date")).drop("_last")
 
 
 def any_predictor(df: DataFrame, predictors: Sequence[str], response: str = "value") -> DataFrame:
@@ -115,10 +115,15 @@ def fill_series(df: DataFrame, key: Sequence[str], columns: Sequence[str], date:
 
 
 def calendar(df: DataFrame, key: Sequence[str], date: str = "date", unit: str = "DAY") -> DataFrame:
-    """Every day (or other unit) of each series from its first to its last date, missing ones as NULLs."""
-    ends = df.groupBy(*key).agg(F.min(date).alias("_a"), F.max(date).alias("_b"))
-    spine = ends.select(*key, F.explode(F.sequence("_a", "_b", F.expr(f"INTERVAL 1 {unit}"))).alias(date))
-    return spine.join(df, [*key, date], "left")
+    """Every day (or other unit) of each series from its first to its last date, missing ones as NULLs. Each row
+    brings the missing days up to the next one: no join, on the partitioning and order that the series have.
+    Dates of another unit than days must be the first days of theirs."""
+    step = F.expr(f"INTERVAL 1 {unit}")
+    dated = df.filter(F.col(date).isNotNull()).withColumn("_next", F.lead(date).over(Window.partitionBy(*key).orderBy(date)))
+    upto = F.coalesce(F.greatest(F.col(date), (F.col("_next") - step).cast("date")), F.col(date))
+    days = dated.withColumn("_day", F.explode(F.sequence(F.col(date), upto, step)))
+    here = F.col("_day") == F.col(date)
+    return days.select(*key, F.col("_day").alias(date), *(F.when(here, F.col(c)).alias(c) for c in df.columns if c not in (*key, date)))
 
 
 def add_lags(df: DataFrame, key: Sequence[str], columns: Sequence[str], lags: int, date: str = "date") -> DataFrame:
@@ -135,18 +140,26 @@ def previous_row(df: DataFrame, key: Sequence[str], column: str, order: str = "d
     return df.withColumn(f"lag1{column}", F.lag(column, 1).over(Window.partitionBy(*key).orderBy(order)))
 
 
-def rolling_mean(df: DataFrame, key: Sequence[str], column: str = "value", width: int = 7, max_nulls: int | None = None, min_values: int | None = None, date: str = "date", mean: Callable[[str], Column] = F.avg) -> DataFrame:
-    """Right-aligned mean (or another aggregate) over ``width`` calendar days of the daily ones; the first
-    width - 1 days are NULL, and so are days with more than ``max_nulls`` missing or fewer than
-    ``min_values`` values."""
-    daily = df.groupBy(*key, date).agg(mean(column).alias(column))
+def floored(d: Column, unit: str) -> Column:
+    """The first day of the unit ("day", "week", "month", "quarter" or "year") that a date is in; weeks start on Mondays."""
+    return d.cast("date") if unit == "day" else F.date_trunc(unit, d).cast("date")
+
+
+def rolling_mean(df: DataFrame, key: Sequence[str], column: str = "value", width: int = 7, max_nulls: int | None = None, min_values: int | None = None, date: str = "date", mean: Callable[[str], Column] | None = None, unit: str = "day") -> DataFrame:
+    """Right-aligned mean over ``width`` units of the calendar of the means by unit; the first width - 1 units are
+    NULL, and so are those with more than ``max_nulls`` missing or fewer than ``min_values`` values. Text has
+    no mean: its most frequent value counts, of ties the smallest. ``mean`` is another aggregate: a built-in
+    one, or a pandas aggregate function of the caller."""
+    text = isinstance(df.schema[column].dataType, T.StringType)
+    mean = mean or ((lambda c: F.mode(c, True)) if text else F.avg)
+    each = df.withColumn(date, floored(F.col(date), unit)).groupBy(*key, date).agg(mean(column).alias(column))
     w = Window.partitionBy(*key).orderBy(date).rowsBetween(-(width - 1), 0)
     ok = F.count(F.lit(1)).over(w) == width
     if max_nulls is not None:
         ok = ok & (F.count(F.lit(1)).over(w) - F.count(column).over(w) <= max_nulls)
     if min_values is not None:
         ok = ok & (F.count(column).over(w) >= min_values)
-    return calendar(daily, key, date).withColumn(column, F.when(ok, mean(column).over(w)))
+    return calendar(each, key, date, unit.upper()).withColumn(column, F.when(ok, mean(column).over(w)))
 
 
 def running_mode(df: DataFrame, key: Sequence[str], column: str, width: int, date: str = "date") -> DataFrame:

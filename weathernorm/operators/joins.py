@@ -36,7 +36,7 @@ def cross_grid(*tables: DataFrame) -> DataFrame:
     """All combinations of small tables (configurations, days of a year, pollutants), without repeats."""
     out = tables[0].distinct()
     for t in tables[1:]:
-        out = out.join(F.broadcast(t.distinct()), how="cross")
+        out = out.join(t.distinct(), how="cross")
     return out
 
 
@@ -66,7 +66,7 @@ def completed(results: DataFrame, by: Sequence[str], polls: Sequence[str]) -> Da
 
 def lookup(df: DataFrame, table: DataFrame, keys: Sequence[str]) -> DataFrame:
     """A small table's columns by key (lookup lists of cities or countries)."""
-    return df.join(F.broadcast(table), list(keys), "left")
+    return df.join(table, list(keys), "left")
 
 
 def time_effects(df: DataFrame, effects: Mapping[str, DataFrame], date: str = "date") -> DataFrame:

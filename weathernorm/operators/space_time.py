@@ -74,10 +74,13 @@ def fuzzy_city(stations: DataFrame, cities: DataFrame) -> DataFrame:
 
 
 def grid_cell_value(points: DataFrame, grid: DataFrame, step: float) -> DataFrame:
-    """Each point with the daily values of the cell that it lies in; cells are named by their centre."""
+    """Each point with the values of the cell that it lies in; cells are named by their centre. Longitudes may go
+    from -180 to 180 or from 0 to 360, on either side."""
+    around = round(360 / step)
     snap = lambda c: F.round(c / step).cast("long")
-    p = points.withColumn("_i", snap(F.col("lat"))).withColumn("_j", snap(F.col("lon")))
-    g = grid.withColumn("_i", snap(F.col("cell_lat"))).withColumn("_j", snap(F.col("cell_lon"))).drop("cell_lat", "cell_lon")
+    turn = lambda c: F.pmod(snap(c), F.lit(around)) if abs(around * step - 360) < 1e-6 else snap(c)
+    p = points.withColumn("_i", snap(F.col("lat"))).withColumn("_j", turn(F.col("lon")))
+    g = grid.withColumn("_i", snap(F.col("cell_lat"))).withColumn("_j", turn(F.col("cell_lon"))).drop("cell_lat", "cell_lon")
     return p.join(g, ["_i", "_j"]).drop("_i", "_j")
 
 
@@ -146,4 +149,4 @@ def needs_fire(weather: DataFrame, height: float | None = None) -> DataFrame:
 def local_dates(hours: DataFrame, zones: DataFrame) -> DataFrame:
     """Each UTC hour with its local date, by the whole hours of the zone's offset."""
     shifted = F.col("ts") + F.make_dt_interval(F.lit(0), F.floor("offset_hours").cast("int"))
-    return hours.join(F.broadcast(zones), "zone").withColumn("local_date", F.to_date(shifted))
+    return hours.join(zones, "zone").withColumn("local_date", F.to_date(shifted))

@@ -37,10 +37,10 @@ def idw_station_weather(location, station, hourly):
     return agg.inverse_distance_mean(near.join(daily, "code"), ["location_id", "date"], ["air_temp", "precip", "ws"])
 
 
-@query("grid_cell_extract", "WITH g AS (SELECT cell_lat, cell_lon, CAST(ts AS DATE) AS date, avg(t2m) AS t2m, max(blh) AS blh_max FROM hourly GROUP BY ALL), p AS (SELECT location_id, lat, lon FROM location WHERE lat BETWEEN -1 AND 21 AND lon BETWEEN -1 AND 8) --FINAL-- SELECT location_id, date, t2m - 273.15 AS air_temp_max, blh_max AS pbl_max FROM p JOIN g ON round(p.lat / 2) = round(g.cell_lat / 2) AND round(p.lon / 2) = round(g.cell_lon / 2)", "air_temp_max pbl_max", "location", "hourly")
+@query("grid_cell_extract", "WITH g AS (SELECT cell_lat, cell_lon, CAST(ts AS DATE) AS date, avg(t2m) AS t2m, max(blh) AS blh_max FROM hourly GROUP BY ALL), p AS (SELECT location_id, lat, lon FROM location) --FINAL-- SELECT location_id, date, t2m - 273.15 AS air_temp_max, blh_max AS pbl_max FROM p JOIN g ON round(p.lat / 2) = round(g.cell_lat / 2) AND round(p.lon / 2) = round(g.cell_lon / 2)", "air_temp_max pbl_max", "location", "hourly")
 def grid_cell_extract(location, hourly):
     grid = hourly.groupBy("cell_lat", "cell_lon", F.to_date("ts").alias("date")).agg(F.avg("t2m").alias("t2m_max"), F.max("blh").alias("blh_max"))
-    points = location.filter("lat BETWEEN -1 AND 21 AND lon BETWEEN -1 AND 8").select("location_id", "lat", "lon")
+    points = location.select("location_id", "lat", "lon")
     found = st.grid_cell_value(points, grid, 2.0).drop("lat", "lon")
     return tables.in_units(tables.renamed(found, tables.GRID_NAMES, True, ["location_id", "date"]))
 
@@ -52,7 +52,7 @@ def nearest_city(named, city):
     return st.nearest_city(points, city, 500.0)
 
 
-_FOLD = "translate(lower(trim({0})), 'àáâãäåçèéêëìíîïñòóôõöøùúûüýÿ', 'aaaaaaceeeeiiiinoooooouuuuyy')"
+_FOLD = "strip_accents(lower(trim({0})))"
 
 
 @query("fuzzy_city", f"""WITH s AS (SELECT station_id, 0 AS o, {_FOLD.format("city")} AS own, lower(country) AS oc FROM named_station UNION ALL SELECT station_id, 1, {_FOLD.format("region")}, lower(country) FROM named_station),

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import extraterrestrial_radiation
-from ..operators.aggregates import availability, grid_daily, inverse_distance_mean, pick_source, station_daily
+from ..operators.aggregates import grid_daily, inverse_distance_mean, local_day_extremes, station_daily
 from ..operators.cleaning import date_range
-from ..operators.joins import coalesce_join, natural_left, to_long, to_wide
+from ..operators.joins import coalesce_join, natural_left
 from ..operators.space_time import fires_circular, fires_oriented, fires_trajectory, grid_cell_value, nearest_stations, needs_fire
 from ..sources.tables import GRID_NAMES, STATION_NAMES, in_units, renamed
 
@@ -27,47 +27,71 @@ def station_weather(locations: DataFrame, stations: DataFrame, hourly: DataFrame
     return renamed(inverse_distance_mean(joined, ["location_id", "date"], STATION_VARS), STATION_NAMES, True, ["location_id", "date"])
 
 
-def grid_weather(locations: DataFrame, hourly: DataFrame, step: float = 0.25) -> DataFrame:
+def grid_weather(locations: DataFrame, hourly: DataFrame, step: float = 0.25, hours: int = 24) -> DataFrame:
     """(location_id, date, canonical variables) of the grid cell that each location lies in."""
-    at = grid_cell_value(locations.select("location_id", "lat", "lon"), grid_daily(hourly), step)
+    at = grid_cell_value(locations.select("location_id", "lat", "lon"), grid_daily(hourly, hours=hours), step)
     return in_units(renamed(at, GRID_NAMES, True, ["location_id", "date"]))
 
 
 def sunshine(locations: DataFrame, dates: DataFrame) -> DataFrame:
     """Radiation above the atmosphere, the same day after day in every year, leap days included."""
     days = dates.select("date").distinct().withColumn("_yday", F.dayofyear("date"))
-    grid = locations.select("location_id", "lat").distinct().join(F.broadcast(days), how="cross")
+    grid = locations.select("location_id", "lat").distinct().join(days, how="cross")
     return grid.select("location_id", "date", extraterrestrial_radiation(F.col("_yday"), F.col("lat")).alias("sunshine"))
 
 
 def combine_weathers(weathers: Mapping[str, DataFrame], variables: Sequence[str], least: float = 0.5) -> DataFrame:
     """One wide table: for each location and variable the first source (in the mapping's order) that has a
-    value on at least ``least`` of the dates."""
-    long = None
+    value on at least ``least`` of all the tables' dates. The sources stay wide: one shuffle by location
+    serves the rows of a date, the shares and the choice. Several rows of a source and date are one, with
+    the first values that are not NULL."""
+    place, tagged, has = ["location_id", "date"], None, {}
     for source, df in weathers.items():
-        part = to_long(df, ["location_id", "date"], [v for v in variables if v in df.columns]).withColumn("source", F.lit(source)).withColumnRenamed("variable", "weather_var")
-        long = part if long is None else long.unionByName(part)
-    chosen = pick_source(availability(long), list(weathers), least)
-    kept = long.join(chosen, ["location_id", "weather_var", "source"], "left_semi")
-    return to_wide(kept, ["location_id", "date"], variables, "weather_var")
+        has[source] = [v for v in variables if v in df.columns]
+        part = df.select(*place, F.lit(True).alias(f"_{source}"), *(F.col(v).alias(f"_{source}_{v}") for v in has[source]))
+        tagged = part if tagged is None else tagged.unionByName(part, allowMissingColumns=True)
+    dates = tagged.agg(F.countDistinct("date").alias("_dates"))
+    cells = [c for c in tagged.columns if c not in place]
+    wide = tagged.repartition("location_id").groupBy(*place).agg(*(F.first(c, ignorenulls=True).alias(c) for c in cells))
+    own = Window.partitionBy("location_id")
+    seen = wide.withColumns({f"_n{c}": F.count(c).over(own) for c in cells if any(c == f"_{s}_{v}" for s in has for v in has[s])}).join(F.broadcast(dates), how="cross")
+    values, here = {}, F.lit(False)
+    for v in variables:
+        value, used = F.lit(None), F.lit(False)
+        for source in reversed([s for s in has if v in has[s]]):
+            enough = F.col(f"_n_{source}_{v}") / F.col("_dates") >= least
+            value = F.when(enough, F.col(f"_{source}_{v}")).otherwise(value)
+            used = F.when(enough, F.col(f"_{source}").isNotNull()).otherwise(used)
+        values[v], here = value, here | used
+    return seen.filter(here).select(*place, *(x.alias(v) for v, x in values.items()))
+
+
+def boundary_layer(weather: DataFrame, locations: DataFrame, hourly: DataFrame, step: float = 0.25, wanted: Sequence[str] = ("pbl_min", "pbl_max")) -> DataFrame:
+    """``weather`` with the extremes of the boundary layer by local day, of the grid cell that each location lies in.
+    ``locations`` has lat, lon and offset_hours; ``hourly`` has cell_lat, cell_lon, ts and blh."""
+    cells = grid_cell_value(locations.select("location_id", "lat", "lon"), hourly.select("cell_lat", "cell_lon", "ts", "blh"), step)
+    layers = local_day_extremes(cells, locations.select("location_id", "offset_hours"))
+    return natural_left(weather, layers.select("location_id", "date", *wanted), ["location_id", "date"])
 
 
-def boundary_layer(weather: DataFrame, layers: DataFrame, wanted: Sequence[str] = ("pbl_min", "pbl_max")) -> DataFrame:
-    return natural_left(weather, layers.select("location_id", "date", *wanted), ["location_id", "date"])
+def with_cached_fire(weather: DataFrame, cached: DataFrame) -> DataFrame:
+    """Fire columns from stored results, where there are any."""
+    return coalesce_join(weather, cached, ["location_id", "date"], ["fire_frp", "fire_count"])
 
 
 def add_fire(weather: DataFrame, locations: DataFrame, fires: DataFrame, mode: str = "circular", points: DataFrame | None = None, cached: DataFrame | None = None, hours: int = 72, buffer_km: float | None = None) -> DataFrame:
     """Fills fire columns: from the cache first (trajectories only), then from the fires themselves."""
     columns = ["fire_frp", "fire_count"]
     if cached is not None and mode == "trajectory":
-        weather = coalesce_join(weather, cached, ["location_id", "date"], columns)
+        weather = with_cached_fire(weather, cached)
     todo = needs_fire(weather).join(locations.select("location_id", "lat", "lon"), "location_id").withColumn("at", F.col("date").cast("timestamp"))
     if mode == "circular":
         found = fires_circular(todo, fires, buffer_km or 200.0, hours)
     elif mode == "oriented":
         found = fires_oriented(todo, fires, hours=hours, max_km=buffer_km or 1000.0)
     elif mode == "trajectory":
-        found = fires_trajectory(points, fires, buffer_km or 10.0, hours)
+        # points of the rows that lack fires only
+        found = fires_trajectory(points.join(todo.select("location_id", "date").distinct(), ["location_id", "date"], "left_semi"), fires, buffer_km or 10.0, hours)
     else:
         raise ValueError(f"unknown fire mode {mode!r}")
     return coalesce_join(weather, found, ["location_id", "date"], columns)

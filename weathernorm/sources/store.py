@@ -1,28 +1,51 @@
-"""Keyed tables in Parquet: upsert, find, list, remove.
+"""Keyed tables in Parquet: upsert, find, list, remove, apply.
 
-A write goes to a new version folder and is made current by a small pointer file; the version that is
-being read is never overwritten, and a failed write leaves the store as it was.
+Rows are dealt to buckets by a hash of their partition columns. A write reads and rewrites only the buckets
+that it touches, into a new folder, and then becomes current by one small file, a snapshot, that says which
+folder holds each bucket, and the table's schema. Snapshots are numbered, and a number can be taken once:
+of two writers at a time one fails, and a write that breaks off leaves the store as it was. Files are never
+changed; ``vacuum`` deletes those that no recent snapshot names.
 """
 
 from __future__ import annotations
 
+import json
+import tempfile
 import uuid
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 RESULT_KEY = ["location_id", "poll", "unit", "source", "process_id", "date", "variable"]
 ARTEFACT_KEY = ["location_id", "duration_hour", "hours", "height", "met_type", "buffer_km", "fire_source", "fire_split_regions"]
 
 
+def scratch(spark: SparkSession) -> str:
+    """A folder for tables of one job, below the checkpoint folder that the driver and all executors share. Only where
+    that is unset in local mode (tests) a temporary one is made."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not at:
+        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        at = f"file://{tempfile.mkdtemp(prefix='spark-')}"
+        spark.sparkContext.setCheckpointDir(at)
+    return at
+
+
+def same_key(key: Sequence[str], prefix: str = "_") -> Column:
+    """Whether the key equals the columns of its names with a prefix; NULLs are equal."""
+    same = F.lit(True)
+    for k in key:
+        same = same & F.col(k).eqNullSafe(F.col(f"{prefix}{k}"))
+    return same
+
+
 def upserted(existing: DataFrame, new: DataFrame, key: Sequence[str]) -> DataFrame:
     """The existing rows whose key is not among the new ones, and the new rows; NULL keys are equal."""
     keys = new.select(*(F.col(k).alias(f"_{k}") for k in key)).distinct()
-    same = F.lit(True)
-    for k in key:
-        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
-    return existing.join(keys, same, "left_anti").unionByName(new, allowMissingColumns=True)
+    return existing.join(keys, same_key(key), "left_anti").unionByName(new, allowMissingColumns=True)
 
 
 def normal_key(value) -> str | None:
@@ -32,30 +55,106 @@ def normal_key(value) -> str | None:
     return None if value is None else str(value)
 
 
+class ConcurrentWrite(RuntimeError):
+    """Another writer was faster; nothing was changed."""
+
+
 class Store:
     """A keyed table below a path that all executors share."""
 
-    def __init__(self, spark: SparkSession, path: str, key: Sequence[str], partition: Sequence[str] = ("location_id",)) -> None:
-        self.spark, self.path, self.key, self.partition = spark, path.rstrip("/"), list(key), list(partition)
+    def __init__(self, spark: SparkSession, path: str, key: Sequence[str], partition: Sequence[str] = ("location_id",), schema: T.StructType | str | None = None, buckets: int = 64) -> None:
+        self.spark, self.path, self.key, self.partition, self.buckets = spark, path.rstrip("/"), list(key), list(partition), buckets
+        empty = schema or ", ".join(f"{k} string" for k in key)
+        self.schema = T._parse_datatype_string(empty) if isinstance(empty, str) else empty
+
+    # ---- snapshots ---------------------------------------------------------------------------
+    def _at(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
+    def _snapshots(self) -> list[str]:
+        fs, folder = self._at("snapshots")
+        return sorted(s.getPath().getName() for s in fs.listStatus(folder)) if fs.exists(folder) else []
+
+    def _load(self, name: str) -> dict | None:
+        text = "\n".join(r["value"] for r in self.spark.read.text(f"{self.path}/snapshots/{name}").collect())
+        try:
+            return json.loads(text)
+        except ValueError:  # a writer broke off here
+            return None
+
+    def _current(self) -> tuple[int, dict | None]:
+        """The last number taken, and the last whole snapshot."""
+        names = self._snapshots()
+        whole = next((s for name in reversed(names) if (s := self._load(name)) is not None), None)
+        return int(names[-1]) if names else 0, whole
+
+    def _commit(self, number: int, snapshot: dict) -> None:
+        fs, path = self._at(f"snapshots/{number + 1:012d}")
+        try:
+            out = fs.create(path, False)
+        except Exception as e:
+            raise ConcurrentWrite(f"snapshot {number + 1} exists") from e
+        out.write(json.dumps(snapshot).encode())
+        out.close()
+
+    # ---- reading -----------------------------------------------------------------------------
+    def _rows(self, snapshot: dict | None, buckets: Sequence[int] | None = None) -> DataFrame:
+        if snapshot is None:
+            return self.spark.createDataFrame([], self.schema)
+        schema = T.StructType.fromJson(snapshot["schema"])
+        folders = [f"{self.path}/{folder}/_bucket={b}" for b, folder in snapshot["buckets"].items() if buckets is None or int(b) in buckets]
+        # with the written schema: nothing is guessed from values or folder names
+        return self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
+
+    def read(self) -> DataFrame:
+        """All rows; a store that holds nothing has no rows, and the columns that it was made with."""
+        return self._rows(self._current()[1])
+
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64(*(F.col(c).cast("string") for c in self.partition)), F.lit(self.buckets)).cast("int")
+
+    def find(self, **keys) -> DataFrame:
+        """Rows that match every key given (None is no condition); regions that are NULL are "none". Only the bucket
+        of a wholly given partition is read."""
+        snapshot = self._current()[1]
+        wanted = {k: normal_key(v) for k, v in keys.items() if v is not None}
+        buckets = None
+        if snapshot is not None and all(c in wanted for c in self.partition):
+            one = self.spark.createDataFrame([tuple(wanted[c] for c in self.partition)], ", ".join(f"{c} string" for c in self.partition))
+            buckets = [one.select(self._bucket()).first()[0]]
+        df = self._rows(snapshot, buckets)
+        for name, value in wanted.items():
+            column = F.coalesce(F.col(name).cast("string"), F.lit("none")) if name.endswith("regions") else F.col(name).cast("string")
+            df = df.filter(column == value)
+        return df
 
-    def _current(self) -> str | None:
-        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/current")
-        fs = hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        return self.spark.read.text(f"{self.path}/current").first()["value"] if fs.exists(hadoop) else None
+    def keys(self) -> DataFrame:
+        return self.read().select(*self.key).distinct()
 
-    def read(self) -> DataFrame | None:
-        at = self._current()
-        return None if at is None else self.spark.read.parquet(f"{self.path}/{at}")
+    # ---- writing -----------------------------------------------------------------------------
+    def _replace(self, number: int, snapshot: dict | None, rows: DataFrame, touched: Sequence[int]) -> None:
+        """Makes ``rows`` the whole content of the buckets touched."""
+        folder = f"rows-{uuid.uuid4().hex}"
+        rows.withColumn("_bucket", self._bucket()).repartition("_bucket").write.partitionBy("_bucket").parquet(f"{self.path}/{folder}")
+        fs, path = self._at(folder)
+        written = {s.getPath().getName().removeprefix("_bucket=") for s in fs.listStatus(path)}
+        kept = {b: f for b, f in (snapshot or {"buckets": {}})["buckets"].items() if int(b) not in touched}
+        self._commit(number, {"schema": rows.schema.jsonValue(), "buckets": kept | {str(b): folder for b in touched if str(b) in written}})
 
-    def _write(self, df: DataFrame) -> None:
-        version = f"v-{uuid.uuid4().hex}"
-        df.write.partitionBy(*self.partition).parquet(f"{self.path}/{version}")
-        self.spark.createDataFrame([(version,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/current")
+    def _touched(self, rows: DataFrame) -> list[int]:
+        return sorted(r[0] for r in rows.select(self._bucket()).distinct().collect())  # at most ``buckets``
 
     def put(self, new: DataFrame) -> None:
-        """Replaces what has the same keys."""
-        old = self.read()
-        self._write(new if old is None else upserted(old, new, self.key))
+        """Replaces what has the same keys. A column of another type than the stored one is an error."""
+        number, snapshot = self._current()
+        if snapshot is not None:
+            stored = {f.name: f.dataType for f in T.StructType.fromJson(snapshot["schema"])}
+            if other := [f"{f.name}: {f.dataType.simpleString()}" for f in new.schema if stored.get(f.name, f.dataType) != f.dataType]:
+                raise TypeError(f"columns of other types are stored: {', '.join(other)}")
+        touched = self._touched(new)
+        if touched:
+            self._replace(number, snapshot, new if snapshot is None else upserted(self._rows(snapshot, touched), new, self.key), touched)
 
     def put_results(self, results: DataFrame, **constants: str) -> None:
         """Results with constant columns (process, pollutant, unit, source) attached, upserted."""
@@ -63,44 +162,62 @@ class Store:
 
     def put_fires(self, results: DataFrame, trajectory_key: Mapping[str, object]) -> None:
         """Fire results of many locations, all stored under one trajectory's key."""
-        self.put(results.withColumns({k: F.lit(normal_key(v)) for k, v in trajectory_key.items()}))
-
-    def find(self, **keys) -> DataFrame | None:
-        """Rows that match every key given (None is no condition); regions that are NULL are "none"."""
-        df = self.read()
-        if df is None:
-            return None
-        for name, value in keys.items():
-            if value is not None:
-                column = F.coalesce(F.col(name).cast("string"), F.lit("none")) if name.endswith("regions") else F.col(name).cast("string")
-                df = df.filter(column == normal_key(value))
-        return df
+        self.put(results.withColumns({k: F.lit(normal_key(v)).cast("string") for k, v in trajectory_key.items()}))
 
-    def keys(self) -> DataFrame:
-        df = self.read()
-        return self.spark.createDataFrame([], ", ".join(f"{k} string" for k in self.key)) if df is None else df.select(*self.key).distinct()
+    def _without(self, number: int, snapshot: dict, gone: DataFrame) -> int:
+        n, touched = gone.count(), self._touched(gone)
+        if n:
+            match = gone.select(*(F.col(k).alias(f"_{k}") for k in self.key)).distinct()
+            self._replace(number, snapshot, self._rows(snapshot, touched).join(match, same_key(self.key), "left_anti"), touched)
+        return n
 
     def remove(self, **keys) -> int:
         """Deletes what matches, and says how many rows that were."""
-        gone, df = self.find(**keys), self.read()
-        if df is None:
+        number, snapshot = self._current()
+        return 0 if snapshot is None else self._without(number, snapshot, self.find(**keys))
+
+    def purge(self, payload: Sequence[str]) -> int:
+        """Drops rows without any payload, and says how many that were."""
+        number, snapshot = self._current()
+        if snapshot is None:
             return 0
-        n = gone.count()
+        rows, empty = self._rows(snapshot), F.lit(True)
+        for c in payload:
+            empty = empty & F.col(c).isNull()
+        n, touched = rows.filter(empty).count(), self._touched(rows.filter(empty))
         if n:
-            match = gone.select(*self.key).distinct().toDF(*(f"_{k}" for k in self.key))
-            same = F.lit(True)
-            for k in self.key:
-                same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
-            self._write(df.join(match, same, "left_anti"))
+            self._replace(number, snapshot, self._rows(snapshot, touched).filter(~empty), touched)
         return n
 
-    def purge(self, payload: Sequence[str]) -> None:
-        """Drops entries without any payload."""
-        df = self.read()
-        if df is not None:
-            self._write(df.na.drop(how="all", subset=list(payload)))
-
-    def apply(self, f, schema: str) -> DataFrame | None:
-        """A function over each stored series (a pandas frame in and out)."""
-        df = self.read()
-        return None if df is None else df.groupBy(*self.key).applyInPandas(f, schema)
+    def apply(self, f, **keys) -> int:
+        """Replaces each stored series (all rows of one key, without its date) that matches by what a function makes of
+        it (a pandas frame in and out, of the same columns); says how many rows were stored."""
+        found = self.find(**keys)
+        series = [k for k in self.key if k not in ("date", "variable")]
+        number, snapshot = self._current()
+        if snapshot is None or found.isEmpty():
+            return 0
+        made = found.groupBy(*series).applyInPandas(f, found.schema)
+        touched = self._touched(found)
+        match = found.select(*(F.col(k).alias(f"_{k}") for k in series)).distinct()
+        others = self._rows(snapshot, touched).join(match, same_key(series), "left_anti")
+        self._replace(number, snapshot, others.unionByName(made), touched)
+        return self.find(**keys).count()
+
+    def vacuum(self, keep: int = 2) -> int:
+        """Deletes the folders that none of the last ``keep`` whole snapshots names, and all older snapshots; says how
+        many folders went. Readers and writers of older snapshots must have ended."""
+        names = self._snapshots()
+        whole = [(name, s) for name in names if (s := self._load(name)) is not None][-keep:]
+        if not whole:
+            return 0
+        used = {folder for _, s in whole for folder in s["buckets"].values()}
+        for name in names:
+            if name < whole[0][0]:
+                fs, path = self._at(f"snapshots/{name}")
+                fs.delete(path, False)
+        fs, root = self._at("")
+        old = [s.getPath() for s in fs.listStatus(root) if s.getPath().getName().startswith("rows-") and s.getPath().getName() not in used]
+        for path in old:
+            fs.delete(path, True)
+        return len(old)

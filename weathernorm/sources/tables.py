@@ -55,29 +55,43 @@ def read_daily(spark: SparkSession, path: str, dates: Sequence[str] | None = Non
     return df if dates is None else df.filter(F.col(date).isin([F.lit(d).cast("date") for d in dates]))
 
 
-def station_years(spark: SparkSession, path: str, codes: Sequence[str] | None = None, years: Sequence[int] | None = None) -> DataFrame:
-    """Hourly station weather, partitioned by code and year."""
+def station_years(spark: SparkSession, path: str, codes: Sequence[str] | None = None, years: Sequence[int] | None = None, fresh: DataFrame | None = None) -> DataFrame:
+    """Hourly station weather, stored by code and year, and fresh rows, which stand for all of their stored years."""
     df = spark.read.parquet(path)
+    if fresh is not None:
+        df = df.join(fresh.select("code", "year").distinct(), ["code", "year"], "left_anti").unionByName(fresh, allowMissingColumns=True)
     if codes is not None:
         df = df.filter(F.col("code").isin(list(codes)))
     return df if years is None else df.filter(F.col("year").isin(list(years)))
 
 
-def with_fresh(cached: DataFrame, fresh: DataFrame) -> DataFrame:
-    return cached.unionByName(fresh, allowMissingColumns=True)
-
-
 def station_catalogue(stations: DataFrame) -> DataFrame:
     """A row for each year of each station."""
     return stations.withColumn("code", F.concat_ws("-", "usaf", "wban")).withColumn("year", F.explode(F.sequence(F.year("begin"), F.year("end"))))
 
 
-def region_csv(spark: SparkSession, glob: str) -> DataFrame:
-    """3-hourly weather of regions: files of (id, region, Tair, Qair, Wind, PSurf, Rainf, SWdown), the
-    time in the id; lines that can't be read are kept apart in ``_bad``."""
-    schema = "id string, region string, Tair double, Qair double, Wind double, PSurf double, Rainf double, SWdown double, _bad string"
-    df = spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").csv(glob)
-    return df.withColumn("ts", F.try_to_timestamp("id", F.lit("'A'yyyyMMdd_HHmm")))
+REGION_COLUMNS = ("id", "region", "Tair", "Qair", "Wind", "PSurf", "Rainf", "SWdown")
+
+
+def region_csv(spark: SparkSession, glob: str) -> tuple[DataFrame, DataFrame]:
+    """3-hourly weather of regions from CSV files with the columns ``REGION_COLUMNS`` in any order and place (others are
+    left out), the time in the id; and (file, lines, reason) of what was skipped: whole files that lack a
+    column, and the lines of others that can't be read."""
+    needed = F.array(*map(F.lit, REGION_COLUMNS))
+    cells = F.transform(F.split(F.regexp_replace("value", '"', ""), ","), lambda c: F.trim(c))
+    lines = spark.read.text(glob).select(F.col("_metadata.file_name").alias("file"), cells.alias("cells"))
+    is_head = F.array_contains("cells", "id")
+    heads = lines.groupBy("file").agg(F.min(F.when(is_head, F.col("cells"))).alias("head"))
+    judged = heads.withColumn("lacks", F.array_except(needed, F.coalesce("head", F.array().cast("array<string>"))))
+    good, bad = judged.filter(F.size("lacks") == 0).select("file", "head"), judged.filter(F.size("lacks") > 0)
+    at = lambda c: F.try_element_at("cells", F.array_position("head", c).cast("int"))
+    read = lines.filter(~is_head & (F.array_join("cells", "") != "")).join(good, "file")
+    read = read.select("file", at("id").alias("id"), at("region").alias("region"), *(at(c).try_cast("double").alias(c) for c in REGION_COLUMNS[2:]))
+    read = read.withColumn("ts", F.try_to_timestamp("id", F.lit("'A'yyyyMMdd_HHmm")))
+    fine = F.col("ts").isNotNull() & F.col("region").isNotNull()
+    skipped = read.filter(~fine).groupBy("file").agg(F.count(F.lit(1)).alias("lines")).withColumn("reason", F.lit("lines without a time or region"))
+    whole = bad.select("file", F.lit(None).cast("long").alias("lines"), F.concat(F.lit("lacks "), F.array_join("lacks", ", ")).alias("reason"))
+    return read.filter(fine).drop("file"), skipped.unionByName(whole)
 
 
 def split_fires(spark: SparkSession, csv: str, path: str) -> None:
