@@ -9,8 +9,8 @@
    one leader of its node, another in every tree: one pair a text and node, however large the node. Pairs
    are verified on the sets themselves; verified pairs join texts to clusters (connected components, by
    hooking and pointer jumping).
-3. Then prefixes are shortened by one label at a time, and what shares a node and no cluster yet is compared:
-   all pairs of a node of up to ``SMALL`` texts; in larger nodes blocks of ``BLOCK`` texts are held against
+3. Then prefixes are shortened by one label at a time, and what shares a node and no cluster yet is compared: to a
+   leader again, and at the last length all pairs of a node of up to ``SMALL`` texts; in larger nodes blocks of ``BLOCK`` texts are held against
    each other in one task, which counts the common elements of their sets and gives a spanning forest of
    the links that it finds, never the pairs. So no link between clusters is lost, and rows stay linear.
    This ends at the first length at which a pair at the threshold is met with the chance ``recall``, and at
@@ -291,6 +291,15 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return once.mapInArrow(lean(run), "rep binary, set binary")
 
 
+def _starred(members: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of each text and the leader of its node, where that is of another cluster. The leader is
+    the text with the smallest hash, another in every node. ``members``: (node, rep, cluster)."""
+    least = F.min(F.struct(F.xxhash64("rep", "node").alias("h"), "rep", "cluster"))
+    leader = members.groupBy("node").agg(least.alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("node", F.col("least.rep").alias("leader"), F.col("least.cluster").alias("own"))
+    other = members.join(leader, "node").filter("cluster <> own")
+    return other.select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()
+
+
 def _apart(paths: DataFrame, length: int, labels: DataFrame) -> DataFrame:
     """(node, rep, cluster, n): what shares a node after ``length`` labels, and no cluster."""
     placed = paths.join(labels, "rep", "left").select(_node(length).alias("node"), "rep", F.coalesce("cluster", "rep").alias("cluster"))
@@ -320,11 +329,8 @@ def _clusters(docs: DataFrame, recall: float = RECALL) -> tuple[DataFrame, DataF
     shared = every.groupBy(_node(last).alias("node")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("node")
     paths = saved(every.withColumn("node", _node(last)).join(shared, "node").select("rep", "path"), "near-paths")
 
-    # at full depth: a leader of each node, another in every tree
-    nodes = paths.select(_node(DEPTH).alias("node"), "rep")
-    leader = nodes.groupBy("node").agg(F.min(F.struct(F.xxhash64("rep", "node").alias("h"), "rep")).alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("node", F.col("least.rep").alias("leader"))
-    starred = nodes.join(leader, "node").filter("rep <> leader").select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")).distinct()
-    tried = saved(_likely(starred, reps), "near-pairs")
+    # at full depth: one pair a text and node
+    tried = saved(_likely(_starred(paths.select(_node(DEPTH).alias("node"), "rep", F.col("rep").alias("cluster"))), reps), "near-pairs")
     sets = _with_sets(docs, known, None, tried)
     links = saved(_verified(tried, sets), "near-links")
     labels = components(links, "near-labels")
@@ -332,17 +338,19 @@ def _clusters(docs: DataFrame, recall: float = RECALL) -> tuple[DataFrame, DataF
     for length in range(DEPTH - 1, 0, -1):
         if length < last and _measured(rows, labels) >= recall:
             break
-        found = paths if length >= last else every
-        apart = saved(_apart(found, length, labels), "near-apart")
+        apart = saved(_apart(paths if length >= last else every, length, labels), "near-apart")
         if apart.isEmpty():
             continue
-        few = apart.filter(F.col("n") <= SMALL).select("node", "rep", "cluster")
-        crossing = few.toDF("node", "a", "cluster_a").join(few.toDF("node", "b", "cluster_b"), "node").filter("cluster_a < cluster_b")
-        crossing = crossing.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-        more = saved(_likely(crossing, reps), "near-pairs")
-        many = apart.filter(F.col("n") > SMALL).select("node", "rep")
+        if length > last:
+            pairs, many = _starred(apart.select("node", "rep", "cluster")), apart.limit(0)
+        else:
+            few, many = apart.filter(F.col("n") <= SMALL).select("node", "rep", "cluster"), apart.filter(F.col("n") > SMALL).select("node", "rep")
+            pairs = few.toDF("node", "a", "cluster_a").join(few.toDF("node", "b", "cluster_b"), "node").filter("cluster_a < cluster_b")
+            pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        more = saved(_likely(pairs.join(tried, ["a", "b"], "left_anti"), reps), "near-pairs")
         sets = _with_sets(docs, known, sets, more, many)
-        new = saved(_verified(more, sets).union(_forest(many.join(sets, "rep"))), "near-links")
+        new = _verified(more, sets)
+        new = saved(new if length > last else new.union(_forest(many.join(sets, "rep"))), "near-links")
         tried = tried.union(more)
         if not new.isEmpty():
             links = links.union(new)
