@@ -65,6 +65,114 @@ def test_additive_model_learns_an_interaction():
     assert auc(m.score(x[3000:]), y[3000:]) > 0.9
 
 
+def test_scores_are_sums_of_bins():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(600, 4))
+    y = (x[:, 0] + x[:, 1] * x[:, 2] > 0).astype(float)
+    m = quality.AdditiveModel(rounds=20, pairs=2, pair_rounds=10).fit(x[:500], y[:500])
+    for row, score in zip(x[500:], m.score(x[500:]), strict=True):
+        z = m.start
+        for j, (edges, table) in enumerate(zip(m.edges, m.tables, strict=True)):
+            z += table[sum(e < row[j] for e in edges)]
+        for i, j, table in m.pairs:
+            z += table[sum(e < row[i] for e in m.coarse[i]), sum(e < row[j] for e in m.coarse[j])]
+        assert score == pytest.approx(1 / (1 + np.exp(-z)))
+    assert all(len(np.unique(np.diff(t))) > 1 for t in m.tables[:1])
+
+
+def test_the_whole_query_is_its_model_by_hand(spark):
+    docs, labels = table(spark, "/root/testdata/sf0.001", "documents"), table(spark, "/root/testdata/sf0.001", "labels")
+    got = {r["doc_id"]: r["score"] for r in quality.quality(docs, labels).collect()}
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    known = {r["doc_id"]: r["quality"] for r in labels.collect() if r["quality"] is not None and not out_of(r["doc_id"], 5, 0) and r["doc_id"] in texts}
+    # the fit's rows come in the order of the hashes of their ids
+    order = [r["d"] for r in spark.createDataFrame([(d,) for d in known], "d long").selectExpr("d", "xxhash64(d) h").orderBy("h", "d").collect()]
+    m = quality.AdditiveModel().fit(np.array([quality.text_features(texts[d]) for d in order]), np.array([float(known[d]) for d in order]))
+    want = dict(zip(texts, m.score(np.array([quality.text_features(t) for t in texts.values()])), strict=True))
+    assert all(got[d] == pytest.approx(want[d], abs=1e-9) for d in texts)
+
+
+def naive_kneser_ney(texts):
+    """Chances by loops and dictionaries: context (three characters) and character."""
+    from collections import Counter, defaultdict
+
+    four = Counter()
+    for t in texts:
+        said = "   " + "".join(c if c.isalpha() else " " for c in t.lower())
+        said = "   " + " ".join(said.split()) + " "
+        four.update(said[k : k + 4] for k in range(len(said) - 3))
+    levels = [four]
+    for _ in range(3):
+        shorter = Counter()
+        for g in levels[-1]:
+            shorter[g[1:]] += 1
+        levels.append(shorter)
+    tables = []
+    for n in levels:
+        once, twice = (sum(c == k for c in n.values()) for k in (1, 2))
+        d = min(0.95, max(0.1, once / (once + 2 * twice) if once else 0.5))
+        total, kinds = defaultdict(int), defaultdict(int)
+        for g, c in n.items():
+            total[g[:-1]] += c
+            kinds[g[:-1]] += 1
+        tables.append((n, d, total, kinds))
+
+    def chance(g, level=0):
+        if level == 4:
+            return 1 / 65536
+        n, d, total, kinds = tables[level]
+        below = chance(g[1:], level + 1)
+        if not total.get(g[:-1]):
+            return below
+        return max(n.get(g, 0) - d, 0) / total[g[:-1]] + d * kinds[g[:-1]] / total[g[:-1]] * below
+
+    return chance
+
+
+def test_languages_by_naive_models(spark, make):
+    import math
+
+    said = {"en": ["the cat sat on the mat", "a dog ran in the park today"], "de": ["der hund lief im park", "die katze sitzt auf der matte"], "fr": ["le chat est sur le tapis", "un chien court dans le parc"]}
+    rows = [(k, t, lang) for k, (lang, t) in enumerate((lang, t * 2) for lang, x in said.items() for t in x for _ in range(3))]
+    docs = make(rows)
+    learned = {lang: naive_kneser_ney([t for d, t, x in rows if x == lang and not out_of(d, 3, 1)]) for lang in said}
+    asked = [(1000 + k, t, None) for k, t in enumerate(["the dog sat", "der park", "chat sur", "Katze!", "x", "42 cats & dogs"])]
+    got = {r["doc_id"]: r for r in language.languages(docs.unionByName(make(asked))).collect()}
+    for d, t, _ in asked:
+        text = " ".join("".join(c if c.isalpha() else " " for c in t.lower()).split()) + " "
+        text = (" " if not t[0].isalpha() else "") + text
+        grams = ["   " + text][0]
+        grams = [grams[k : k + 4] for k in range(len(grams) - 3)]
+        cost = {lang: sum(-math.log2(chance(g)) for g in grams) / len(grams) for lang, chance in learned.items()}
+        best = min(sorted(cost), key=cost.get)
+        assert got[d]["lang_pred"] == best, (t, cost)
+        z = 1 / (1 + sum(2 ** -((cost[x] - cost[best]) * min(len(grams), language.CONFIDENT)) for x in cost if x != best))
+        assert got[d]["score"] == pytest.approx(z, abs=1e-4) or not t[0].isalpha()
+
+
+def test_copies_keep_their_labels(spark, make):
+    """One mislabelled copy among many is not what the others are."""
+    rows = [(k, "you utter rotter of a person" if k % 2 else "a kind word for you all") for k in range(400)]
+    labels = spark.createDataFrame([(d, 1 if d == 2 else d % 2) for d, _ in rows], "doc_id long, toxic int")
+    got = {r["doc_id"]: r["score"] for r in toxicity.toxicity(make(rows), labels, least_texts=1, least_lift=1.0).collect()}
+    assert all(got[d] < 0.1 for d in range(0, 400, 2)) and all(got[d] > 0.5 for d in range(1, 400, 2))
+    unlimited = toxicity.toxicity(make(rows), labels, lexicon=None, least_texts=1, least_lift=1.0).collect()
+    assert {r["doc_id"]: r["score"] for r in unlimited} == pytest.approx(got)
+
+
+def test_scores_of_toxicity_by_hand():
+    x, n, t = [[0], [0, 1], [], [1]], np.array([30.0, 10.0, 500.0, 20.0]), np.array([25.0, 10.0, 3.0, 1.0])
+    constant, w = toxicity.fit_words(x, n, t, 2)
+    # the same rows one by one
+    each = [r for r, k in zip(x, n, strict=True) for _ in range(int(k))]
+    y = [1.0] * 25 + [0.0] * 5 + [1.0] * 10 + [1.0] * 3 + [0.0] * 497 + [1.0] + [0.0] * 19
+    again, v = toxicity.fit_words(each, np.ones(len(each)), np.array(y), 2)
+    assert constant == pytest.approx(again) and np.allclose(w, v)
+    p = [1 / (1 + np.exp(-(constant + sum(w[k] for k in r)))) for r in x]
+    grad = [sum(t[i] - n[i] * p[i] for i in range(4) if k in x[i]) for k in (0, 1)]
+    assert np.allclose(grad, w, atol=1e-3)
+
+
 def test_restored_texts():
     words = "the idiot was a moron and worthless stupid scum loser of pathetic trash clown disgusting people with this other that from there".split()
     total = np.zeros(64**3)
@@ -72,7 +180,7 @@ def test_restored_texts():
         c = toxicity.codes(f" {w} ").astype(int)
         np.add.at(total, (c[:-2] * 64 + c[1:-1]) * 64 + c[2:], 1)
     r = toxicity.Restorer(toxicity.CharModel(np.arange(64**3), total))
-    for said, meant in {"a i d i o t": "idiot", "1d10t": "idiot", "m0r0n": "moron", "i d i o t": "idiot", "s.c.u.m": "scum", "l0ser": "loser", "stuuupid": "stupid", "tr@sh": "trash", "w0rthle55": "worthless", "cl0wn!!": "clown", "p-a-t-h-e-t-i-c": "pathetic"}.items():
+    for said, meant in {"a i d i o t": "idiot", "1d10t": "idiot", "m0r0n": "moron", "i d i o t": "idiot", "s.c.u.m": "scum", "l0ser": "loser", "stuuupid": "stupid", "tr@sh": "trash", "w0rthle55": "worthless", "cl0wn!!": "clown", "p-a-t-h-e-t-i-c": "pathetic", "s  c  u  m": "scum", "i\td\ti\to\tt": "idiot", "m - o - r - o - n": "moron", "l. o.s -e  r": "loser"}.items():
         assert meant in r.words(f"there {said.upper()} other"), said
     assert r.words(None) == set() and r.words("plain words") == {"plain", "words"}
 
@@ -103,7 +211,7 @@ def test_viterbi_finds_the_best_reading():
     def cost(reading):
         a = b = s = 0
         for ch in reading:
-            z = toxicity._INDEX.get(ch, 1)
+            z = 0 if ch == " " else toxicity._INDEX.get(ch, 1)
             s += float(m.log[a, b, z])
             a, b = b, z
         return s + float(m.log[a, b, 0])
@@ -112,6 +220,14 @@ def test_viterbi_finds_the_best_reading():
         best = max(itertools.product(*toxicity.lattice(span)), key=lambda p: cost("".join(x for x, _ in p)) - sum(c for _, c in p))
         assert toxicity.viterbi(span, m) == "".join(x for x, _ in best)
 
+    def apart_cost(pick):
+        return cost("".join(x for x, _ in pick)) - sum(c for _, c in pick)
+
+    for span in ("a1d0", "m0b$"):  # a word may end before any letter
+        ways = [r if not k else [*r, *((f" {x}", c + toxicity.NEW_WORD) for x, c in r)] for k, r in enumerate(toxicity.lattice(span))]
+        best = max(itertools.product(*ways), key=apart_cost)
+        assert toxicity.viterbi(span, m, apart=True) == "".join(x for x, _ in best)
+
 
 def test_filter_keeps_columns(spark, odd, none):
     labels = spark.createDataFrame([(1, 0, 1), (8, 1, 0)], "doc_id long, quality int, toxic int")

@@ -120,6 +120,9 @@ def test_decontamination_is_brute_force(spark, make, odd, none, most):
     cut = dec.decontaminate(frame, b, remove="spans", max_windows=most)
     left = {r["doc_id"]: r["text"] for r in cut.collect()}
     assert left[200] == "" and cut.count() == frame.count()
+    passage = bench[1][1]
+    kept = dec.decontaminate(make([(1, f"--Éa B?  (see: {passage}!) End."), (2, "Left  As-It, is"), (3, passage)]), b, remove="spans", max_windows=most)
+    assert {r["doc_id"]: r["text"] for r in kept.collect()} == {1: "--Éa B?  (see: End.", 2: "Left  As-It, is", 3: ""}
     assert dec.contamination(none, b, max_windows=most).count() == 0
     assert dec.contamination(frame, b.limit(0), max_windows=most).filter("contaminated").count() == 0
 
@@ -150,7 +153,7 @@ def test_rates_of_any_size_are_inverted(make, monkeypatch, most):
     docs = make([(1, "x", "en", "rare"), (2, "y" * 4_000_000, "en", "hot")])
     rate = 4_000_001 / (1 + 2000)
     copies = {r["doc_id"]: r["n"] for r in mixing.mix(docs).groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
-    u = int(hashlib.md5(b"1:7").hexdigest()[:13], 16) / 16**13
+    u = int(hashlib.md5(b"1:7:x").hexdigest()[:13], 16) / 16**13
     terms = [math.exp(-rate + k * math.log(rate) - math.lgamma(k + 1)) for k in range(4000)]
     assert copies[1] == int((np.cumsum(terms) <= u).sum())
 
@@ -166,6 +169,24 @@ def test_large_rates_by_brute_force(spark, make):
     assert len(out) == 2 and all(r["n"] == r["last"] == r["copies"] and abs(r["n"] - 50_001) < 10 * 50_001**0.5 for r in out)
 
 
+def test_rows_without_ids_draw_for_themselves(spark, make, monkeypatch):
+    docs = make([(None, f"text {k}", "en", "a", 0.5, 1.0, 2, "x") for k in range(2000)], ", mix_rate double, mix_cdf double, mix_salt int, mix_source string")
+    for most in (20_000, 0):
+        monkeypatch.setattr(mixing, "MAX_BROADCAST_SOURCES", most)
+        out = mixing.mix(docs)
+        assert out.columns == [*docs.columns, "copies", "copy"]
+        copies = [r["n"] for r in out.groupBy("text").agg(F.count("*").alias("n")).collect()]
+        assert abs(sum(copies) - 2000) < 200 and {1, 2, 3} <= set(copies)
+
+
+def test_items_that_share_a_window_many_times_are_joined(spark, make, monkeypatch):
+    b = spark.createDataFrame([(k, "one two three") for k in range(50)], "item_id long, text string")
+    joined = []
+    monkeypatch.setattr(dec, "_scan_joined", lambda *x, f=dec._scan_joined: joined.append(1) or f(*x))
+    got = dec.contamination(make([(1, "zero one, two THREE four")]), b, max_windows=5).first()
+    assert joined and (got["n_hit"], got["n_items"]) == (3, 50)
+
+
 def test_many_sources_are_joined(make, monkeypatch):
     docs = make([(k, "abc" * (1 + k % 7), "en", f"s{k % 11}" if k % 5 else None) for k in range(500)])
     want = sorted((r["doc_id"], r["copy"]) for r in mixing.mix(docs).collect())
@@ -211,6 +232,74 @@ def test_pii_adds_and_keeps(make, odd, none):
     assert pii.pii_spans(none).count() == 0
 
 
+def test_reliabilities_are_brute_force_em():
+    rng = random.Random(9)
+    good, patterns = {}, {}
+    for _ in range(4000):  # labelers that are right nine, eight and six times in ten; two that abstain
+        truth = rng.random() < 0.3
+        vote = "".join("yn"[truth ^ (rng.random() < right)] for right in (0.9, 0.8, 0.6)) + "--"
+        vote = vote.translate(str.maketrans("yn", "yn"))
+        patterns[vote] = patterns.get(vote, 0) + 1
+        good[vote] = good.get(vote, 0) + truth
+    rows = [("card", v, n) for v, n in sorted(patterns.items())]
+    got = pii.reliabilities(rows)
+    # the same by loops over votes
+    p = {v: min(0.95, max(0.05, (v.count("y") + 0.5) / (sum(c != "-" for c in v) + 1))) for v in patterns}
+    for _ in range(50):
+        n = sum(patterns.values())
+        prior = min(0.99, max(0.01, sum(p[v] * patterns[v] for v in p) / n))
+        odds = dict.fromkeys(p, math.log(prior / (1 - prior)))
+        for j in range(5):
+            chance = []
+            for truth in (True, False):
+                counts = {c: sum((p[v] if truth else 1 - p[v]) * patterns[v] for v in p if v[j] == c) for c in "yn-"}
+                counts = {"y": counts["y"] + (2 if truth else 1), "n": counts["n"] + (1 if truth else 2), "-": counts["-"] + 1}
+                chance.append({c: x / sum(counts.values()) for c, x in counts.items()})
+            for v in odds:
+                odds[v] += math.log(chance[0][v[j]] / chance[1][v[j]])
+        p = {v: 1 / (1 + math.exp(-min(30, max(-30, x)))) for v, x in odds.items()}
+    assert all(got["card", v] == pytest.approx(p[v], abs=1e-9) for v in p)
+    assert got["card", "yyy--"] > 0.9 > 0.1 > got["card", "nnn--"]
+
+
+def test_the_span_classifier_is_a_logistic_regression():
+    patterns = [(v, f"phone|{k}|{k % 5}|{k % 4}", 0.9 if v[0] == "y" else 0.1, 5 + k) for k in range(10) for v in ("yyyyy", "nnn-n", "-ynyn", "ynyn-")]
+    w = pii.fit_classifier(patterns)
+    grad = dict.fromkeys(w, 0.0)
+    for v, s, p, n in patterns:
+        f = pii.features(v, s)
+        q = 1 / (1 + math.exp(-sum(w[x] for x in f)))
+        for x in f:
+            grad[x] += n * (p - q)
+    assert all(grad[x] == pytest.approx(w[x], abs=1e-3) for x in w)  # the ridge of 1 holds what is left
+
+
+def test_recall_by_kind(make):
+    luhn = lambda d: d + next(str(c) for c in range(10) if pii.luhn(d + str(c)))
+    said = {
+        "email": [f"write to user{k} (at) host{k} (dot) de or user{k}@host{k}.de" for k in range(40)],
+        "ip": [f"der server 10.{k}.3.{k} antwortet" for k in range(40)],
+        "card": [f"pay by card {luhn(str(4000_0000_0000_000 + 7919 * k))} please" for k in range(40)],
+        "phone": [f"appeler le +33 6 12 34 56 {10 + k} demain" for k in range(40)],
+        "secret": [f'token = "{hashlib.sha1(str(k).encode()).hexdigest()}"' for k in range(40)],
+        "name": [f"my name is {n.title()} Stone" for n in pii.GIVEN[:40]],
+    }
+    docs = [(len(x) * j + k, f"plain words first, {text}, and more after") for j, x in enumerate(said.values()) for k, text in enumerate(x)]
+    docs += [(1000 + k, f"plain words about nothing in section {k} of the book, nobody is named") for k in range(100)]
+    out = {r["doc_id"]: r for r in pii.pii_spans(make(docs)).collect()}
+    for j, kind in enumerate(said):
+        found = [f"{kind}:" in out[40 * j + k]["spans"] for k in range(40)]
+        assert sum(found) >= 38, (kind, sum(found))
+    assert not any(out[1000 + k]["has_pii"] for k in range(100)) and all(r["n_all"] == len([x for x in r["spans"].split(",") if x]) for r in out.values())
+
+
+def test_pii_keeps_its_own_columns_apart(make):
+    docs = make([(1, "mail a@b.de", "en", "s", 1, "x")], ", start int, votes string")
+    assert [r["n_email"] for r in pii.pii_spans(docs).collect()] == [1]
+    assert [r["n_tokens"] > 0 for r in tc.token_counts(docs.withColumn("n_tokens", F.lit("x"))).collect()] == [True]
+    assert packing.pack(docs.withColumn("pieces", F.lit(1))).count() == 1
+
+
 def test_spelt_addresses_of_any_case_and_all_patterns(monkeypatch):
     for text in ("JOHN (AT) EXAMPLE (DOT) COM", "john at example [dot] com", "john at example(dot)com", "john (at) example dot com"):
         assert (0, 0, len(text)) in pii.candidates(text, []), text

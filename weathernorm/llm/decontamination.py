@@ -3,8 +3,8 @@
 The benchmark's windows (10 consecutive words; an item of fewer words is one window) become a hash
 table that every task gets as one value: an array of buckets, looked up by the hash of four words of a
 window and verified on the whole window. Each document is scanned in its own row: no window is
-exploded, and nothing is shuffled. The table's size is checked: beyond ``max_windows`` windows the
-documents' windows are joined to the benchmark's by a shuffle instead.
+exploded, and nothing is shuffled. The table's size is checked: beyond ``max_windows`` windows, or where items share windows too often, the
+hashes of the documents' windows are joined to the benchmark's by a shuffle instead.
 
 Edge cases: a NULL or empty text has no words and is clean; NULL item ids and texts match nothing; ids
 may be NULL or repeat (each row stands for itself); other columns are kept or ignored; with an empty
@@ -24,7 +24,11 @@ from .common import free_name, table
 WINDOW = 10
 #: More windows than these are not sent to the tasks (about 200 bytes each) but joined.
 MAX_WINDOWS = 500_000
+#: Nor are more ids of items than these by window, on average.
+ITEMS_A_WINDOW = 4
 _BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same in a text whose capitals are not lower-cased yet.
+_BREAKS_CAPITALS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def words(text: Column) -> Column:
@@ -70,8 +74,9 @@ def hash_table(found: DataFrame, count: int) -> tuple[Column, int]:
 def scan(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, max_windows: int = MAX_WINDOWS, name: str = "contamination") -> DataFrame:
     """``docs`` and a column of what was found: n_words, hits (position, length, items of each window)."""
     found = windows(benchmark, size)
-    counts = {r["n"]: r["count"] for r in found.groupBy("n").count().collect()}  # at most ``size`` rows
-    if sum(counts.values()) > max_windows:
+    sizes = found.groupBy("n").agg(F.count(F.lit(1)).alias("count"), F.sum(F.size("items")).alias("items")).collect()  # at most ``size`` rows
+    counts = {r["n"]: r["count"] for r in sizes}
+    if max(sum(counts.values()), sum(r["items"] for r in sizes) // ITEMS_A_WINDOW) > max_windows:
         return _scan_joined(docs, found, sorted(counts), name)
     if not counts:
         return docs.withColumn(name, F.struct(F.size(words(F.col("text"))).alias("n_words"), F.array().cast("array<struct<i:int,n:int,items:array<string>>>").alias("hits")))
@@ -93,23 +98,30 @@ def scan(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, max_windows:
 
 
 def _scan_joined(docs: DataFrame, found: DataFrame, lengths: list[int], name: str) -> DataFrame:
-    """The same by a shuffle: rows are told apart by id and text, so equal rows get equal hits."""
+    """The same by a shuffle: hashes of the documents' windows meet those of the benchmark, and what meets is verified
+    on the whole window where the document lies. Rows are told apart by id and text, so equal rows get equal hits."""
     row, own = free_name(docs, "contamination_row"), free_name(docs, "contamination_hits")
     told = docs.withColumn(row, F.sha2(F.to_json(F.struct("doc_id", "text")), 256))
     w = F.col("w")
-    each = told.select(F.col(row).alias("row"), words(F.col("text")).alias("w")).dropDuplicates(["row"])
+    each = told.select(F.col(row).alias("row"), words(F.col("text")).alias("w"))
     none = F.array().cast("array<int>")
 
-    def cut(n: int) -> Column:
+    def hashed(n: int) -> Column:
         starts = F.when(F.size(w) >= n, F.sequence(F.lit(0), F.size(w) - n)).otherwise(none)
-        return F.transform(starts, lambda i: F.struct(i.alias("i"), F.lit(n).alias("n"), F.array_join(F.slice(w, i + 1, n), " ").alias("window")))
+        return F.transform(starts, lambda i: F.struct(i.alias("i"), F.lit(n).alias("n"), window_hash(w, i, n).alias("h")))
+
+    met = each.select("row", F.inline(F.concat(*map(hashed, lengths)))).join(found, ["n", "h"])
+    per = met.groupBy("row").agg(F.collect_set(F.struct("i", "n", "window", "items")).alias("met")).toDF(row, own)
+
+    def verified(met: Column, w: Column) -> Column:
+        true = F.filter(met, lambda x: x["window"] == F.array_join(F.slice(w, x["i"] + 1, x["n"]), " "))
+        return F.transform(true, lambda x: F.struct(x["i"].alias("i"), x["n"].alias("n"), x["items"].alias("items")))
 
-    at = F.concat(*map(cut, lengths))
-    hit = each.select("row", F.inline(at)).join(found.select("n", "window", "items"), ["n", "window"])
-    per = hit.groupBy("row").agg(F.collect_list(F.struct("i", "n", "items")).alias("hits")).toDF(row, own)
     no_hits = F.array().cast("array<struct<i:int,n:int,items:array<string>>>")
     joined = told.join(per, row, "left")
-    return joined.withColumn(name, F.struct(F.size(words(F.col("text"))).alias("n_words"), F.coalesce(own, no_hits).alias("hits"))).select(*docs.columns, name)
+    given = F.struct(words(F.col("text")).alias("w"), F.col(own).alias("m"))
+    found_in = bound(given, lambda x: F.struct(F.size(x["w"]).alias("n_words"), F.coalesce(verified(x["m"], x["w"]), no_hits).alias("hits")))
+    return joined.withColumn(name, found_in).select(*docs.columns, name)
 
 
 def hit_positions(hits: Column) -> Column:
@@ -133,7 +145,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", **options) -> DataFrame:
     """The documents without those hit (``remove="documents"``), or with the words hit cut out of them
-    (``"spans"``: the text of a document hit becomes its other words, lower-cased, joined by blanks)."""
+    (``"spans"``: each word hit goes with the break after it; all else stays as it was)."""
     name = free_name(docs, "contamination")
     scanned = scan(docs, benchmark, name=name, **options)
     hits = F.col(name)["hits"]
@@ -141,8 +153,16 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "document
         return scanned.filter(F.size(hits) == 0).drop(name)
     if remove != "spans":
         raise ValueError(f"remove must be documents or spans, not {remove!r}")
-    left = bound(words(F.col("text")), lambda w: bound(F.array_except(F.sequence(F.lit(0), F.size(w) - 1), hit_positions(hits)), lambda at: F.array_join(F.transform(at, lambda i: F.get(w, i)), " ")))
-    return scanned.withColumn("text", F.when(F.size(hits) > 0, left).otherwise(F.col("text"))).drop(name)
+    # the text is its parts between breaks, and the breaks: hit parts go, each with the break after it
+    parts, breaks = F.split("text", _BREAKS_CAPITALS, -1), F.regexp_extract_all("text", F.lit(_BREAKS_CAPITALS), F.lit(0))
+    given = F.struct(parts.alias("p"), breaks.alias("b"), hit_positions(hits).alias("hit"))
+
+    def cut(x: Column) -> Column:
+        first = F.when(x["p"][0] == "", 1).otherwise(0)  # a text that starts with a break has an empty part first
+        kept = F.transform(x["p"], lambda part, i: F.when(F.array_contains(x["hit"], (i - first).cast("int")), "").otherwise(F.concat(part, F.coalesce(F.get(x["b"], i), F.lit("")))))
+        return F.array_join(kept, "")
+
+    return scanned.withColumn("text", F.when(F.size(hits) > 0, bound(given, cut)).otherwise(F.col("text"))).drop(name)
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

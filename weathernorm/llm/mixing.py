@@ -3,12 +3,12 @@
 A source's target share is given, or is its size (in characters) to the power ``alpha``, normalised.
 Its repetition rate is what brings the expected mixture to these shares at ``epochs`` times the
 corpus's size. A document's number of copies is the Poisson distribution with that mean, inverted at a
-uniform number hashed from its id and the seed: the same on every run and machine. The copies are
+uniform number hashed from its id, its text and the seed: the same on every run and machine. The copies are
 dealt out at random over all partitions and sorted by a random key in each, a global shuffle.
 
 Edge cases: a NULL source is a source of its own; a NULL or empty text has size 0, and a source of
-size 0 gets rate 0; a NULL id hashes as an empty one; rows of the same id get the same number of
-copies; other columns are kept; an empty table gives an empty result. A rate of any size is inverted exactly;
+size 0 gets rate 0; a NULL id hashes as an empty one; rows of the same id and text get the same number of
+copies; other columns are kept, whatever their names; an empty table gives an empty result. A rate of any size is inverted exactly;
 only where ``weights`` are given are rates over ``max_rate`` refused (None: never), on both paths.
 """
 
@@ -18,6 +18,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import free_name, table
 
@@ -31,9 +32,10 @@ TABLE_RATE = 500.0
 EACH = 65_536
 
 
-def uniform(doc_id: Column, seed: int) -> Column:
-    """52 bits of a hash of the id and the seed, in [0, 1)."""
-    bits = F.substring(F.md5(F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(str(seed)))), 1, 13)
+def uniform(doc_id: Column, seed: int, text: Column | None = None) -> Column:
+    """52 bits of a hash of the id, the seed and the text, in [0, 1): rows without an id, or with the same, draw for themselves."""
+    own = [] if text is None else [F.coalesce(text, F.lit(""))]
+    bits = F.substring(F.md5(F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(str(seed)), *own)), 1, 13)
     return F.conv(bits, 16, 10).cast("double") / F.lit(float(16**13))
 
 
@@ -91,35 +93,35 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float =
     """Each document ``copies`` times (``copy`` counts from 1), in a global random order. Where the table
     has columns of these names, the new ones get underscores after theirs."""
     names = docs.columns
-    copies_name, copy_name, key_name = (free_name(docs, n) for n in ("copies", "copy", "mix_key"))
+    copies_name, copy_name, key_name, source, rate, cdf, salt, own = (free_name(docs, n) for n in ("copies", "copy", "mix_key", "mix_source", "mix_rate", "mix_cdf", "mix_salt", "mix_own"))
     spark = docs.sparkSession
     rated = source_rates(docs, weights, alpha, epochs)
     few = rated.limit(MAX_BROADCAST_SOURCES + 1).collect()
-    src, u = docs["source"], uniform(docs["doc_id"], seed)
+    u = uniform(F.col("doc_id"), seed, F.col("text"))
     if weights is not None and max_rate is not None:
         too_high = rated.filter(F.col("rate") > max_rate).limit(5).collect()
         if too_high:
             raise ValueError(f"repetition rate over {max_rate} for {[r['source'] for r in too_high]}")
-    cdf = F.when(F.col("mix_rate") <= TABLE_RATE, poisson_cdf(F.col("mix_rate")))
+    table_of = F.when(F.col(rate) <= TABLE_RATE, poisson_cdf(F.col(rate)))
     if len(few) <= MAX_BROADCAST_SOURCES:
-        small = spark.createDataFrame([(r["source"], r["rate"]) for r in few], "mix_source string, mix_rate double")
-        small = F.broadcast(small.withColumn("mix_cdf", cdf))
-        joined = docs.join(small, src.eqNullSafe(F.col("mix_source")))
+        small = spark.createDataFrame([(r["source"], r["rate"]) for r in few], T.StructType([T.StructField(source, T.StringType()), T.StructField(rate, T.DoubleType())]))
+        joined = docs.join(F.broadcast(small.withColumn(cdf, table_of)), F.col("source").eqNullSafe(F.col(source)))
     else:
         salts = F.array(*map(F.lit, range(SALTS)))
-        small = rated.select(F.col("source").alias("mix_source"), F.col("rate").alias("mix_rate"), F.explode(salts).alias("mix_salt"))
-        small = small.withColumn("mix_cdf", cdf)
-        joined = docs.withColumn("mix_own", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(small, src.eqNullSafe(F.col("mix_source")) & (F.col("mix_own") == F.col("mix_salt"))).drop("mix_own")
+        small = rated.select(F.col("source").alias(source), F.col("rate").alias(rate), F.explode(salts).alias(salt)).withColumn(cdf, table_of)
+        salted = docs.withColumn(own, F.pmod(F.xxhash64("doc_id", "text"), F.lit(SALTS)).cast("int"))
+        joined = salted.join(small, F.col("source").eqNullSafe(F.col(source)) & (F.col(own) == F.col(salt)))
     one = F.lit(1).cast("long")
-    by_table = F.size(F.filter("mix_cdf", lambda c: c <= u)).cast("long")
-    copies = F.when(F.col("mix_rate") <= TABLE_RATE, by_table).otherwise(poisson_count(F.col("mix_rate"), u))
-    counted = joined.select(*(docs[n] for n in names), copies.alias(copies_name)).filter(F.col(copies_name) > 0)
+    by_table = F.size(F.filter(cdf, lambda c: c <= u)).cast("long")
+    copies = F.when(F.col(rate) <= TABLE_RATE, by_table).otherwise(poisson_count(F.col(rate), u))
+    counted = joined.select(*names, copies.alias(copies_name)).filter(F.col(copies_name) > 0)
     # numbered in runs, so that no array grows with a row's copies
     run_name = free_name(counted, "mix_run")
     runs = counted.withColumn(run_name, F.explode(F.sequence(one, F.col(copies_name), F.lit(EACH).cast("long"))))
     each = runs.withColumn(copy_name, F.explode(F.sequence(F.col(run_name), F.least(F.col(copies_name), F.col(run_name) + (EACH - 1))))).drop(run_name)
-    key = F.xxhash64("doc_id", copy_name, F.lit(seed))
-    return each.withColumn(key_name, key).repartition(key_name).sortWithinPartitions(key_name).drop(key_name)
+    # equal rows have equal keys: partitions that many of them make large are split
+    keyed = each.withColumn(key_name, F.xxhash64("doc_id", "text", copy_name, F.lit(seed)))
+    return keyed.hint("rebalance", F.col(key_name)).sortWithinPartitions(key_name).drop(key_name)
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,7 +135,7 @@ rates AS (SELECT source, CASE WHEN size > 0 THEN weight / (SELECT sum(weight) FR
 terms AS (SELECT source, k, CASE WHEN rate > 0 THEN exp(-rate + k * ln(rate) - lgamma(k + 1)) WHEN k = 0 THEN 1 ELSE 0 END AS p
           FROM (SELECT source, rate, unnest(range(0, CAST(ceil(rate + 10 * sqrt(rate) + 25) AS BIGINT) + 1)) AS k FROM rates)),
 cdf AS (SELECT source, list(c ORDER BY c) AS cs FROM (SELECT source, k, sum(p) OVER (PARTITION BY source ORDER BY k) AS c FROM terms) GROUP BY source),
-drawn AS (SELECT d.*, CAST('0x' || substr(md5(coalesce(CAST(d.doc_id AS VARCHAR), '') || ':7'), 1, 13) AS BIGINT) / 4503599627370496.0 AS u, cs
+drawn AS (SELECT d.*, CAST('0x' || substr(md5(coalesce(CAST(d.doc_id AS VARCHAR), '') || ':7:' || coalesce(d.text, '')), 1, 13) AS BIGINT) / 4503599627370496.0 AS u, cs
           FROM documents d JOIN cdf ON d.source IS NOT DISTINCT FROM cdf.source),
 counted AS (SELECT doc_id, text, lang, source, n_chars, CAST(len(list_filter(cs, lambda c: c <= u)) AS BIGINT) AS copies FROM drawn)
 SELECT doc_id, text, lang, source, n_chars, copies, unnest(range(1, copies + 1)) AS copy FROM counted WHERE copies > 0

@@ -44,26 +44,36 @@ _SPELT = re.compile(r"[A-Za-z0-9._%+-]+ ?(?:\(at\)|\[at\]| at ) ?[A-Za-z0-9-]+ ?
 _KEYED = re.compile(r"\b(?:token|secret|passwd|password|api[_-]?key|access[_-]?key|auth)\b[\"']?\s*[:=]\s*[\"']?([^\s\"',;]{6,})", re.I)
 _TOKENISH = re.compile(r"(?=[A-Za-z_-]*[0-9])[A-Za-z0-9_-]{20,}")
 _HANDLE = re.compile(r"(?<![\w.@])@[A-Za-z_][A-Za-z0-9_]{2,30}\b(?!\.?[A-Za-z0-9-]*\.)")
-_NAMED = re.compile(r"\b(?:my name is|name:|contact:|signed,|Mr\.|Mrs\.|Ms\.|Dr\.) ([A-Z][a-z]+(?: [A-Z][a-z]+){0,2})")
-_NAME_CUES = ("name is ", "name: ", "ontact: ", "igned, ", "Mr. ", "Mrs. ", "Ms. ", "Dr. ")
+_NAMED = re.compile(r"\b(?:[Mm]y name is|[Nn]ame:|[Cc]ontact:|[Ss]igned,|Mr\.|Mrs\.|Ms\.|Dr\.|Herr|Frau|[Mm]ein Name ist|Monsieur|Madame|[Jj]e m'appelle|Señor|Señora|Sr\.|Sra\.|[Mm]e llamo) ([A-ZÄÖÜÉÈÁÍÓÚÑÇ][a-zäöüßéèêáíóúñç]+(?: [A-ZÄÖÜÉÈÁÍÓÚÑÇ][a-zäöüßéèêáíóúñç]+){0,2})")
+_NAME_CUES = ("ame is ", "ame: ", "ontact: ", "igned, ", "Mr. ", "Mrs. ", "Ms. ", "Dr. ", "Herr ", "Frau ", "ame ist ", "onsieur ", "adame ", "appelle ", "eñor ", "eñora ", "Sr. ", "Sra. ", "llamo ")
 
-# Words that stand before personal data, by kind, and words that speak against it.
+# Words that stand before personal data in English, German, French and Spanish, by kind, and words
+# that speak against it.
 CONTEXT = {
-    "email": ("mail", "email", "e-mail", "contact", "write", "reach"),
-    "ip": ("ip", "address", "host", "server", "client", "login"),
-    "card": ("card", "visa", "mastercard", "amex", "credit", "payment", "pan"),
-    "phone": ("phone", "tel", "call", "mobile", "cell", "fax", "whatsapp", "contact"),
-    "secret": ("token", "secret", "key", "password", "auth", "bearer", "api"),
-    "handle": ("follow", "twitter", "instagram", "telegram", "handle", "dm"),
-    "name": ("name", "contact", "signed", "mr", "mrs", "ms", "dr"),
+    "email": ("mail", "email", "e-mail", "contact", "write", "reach", "kontakt", "schreiben", "adresse", "courriel", "écrire", "contactez", "correo", "contacto", "escribir"),
+    "ip": ("ip", "address", "host", "server", "client", "login", "adresse", "rechner", "serveur", "hôte", "servidor", "dirección"),
+    "card": ("card", "visa", "mastercard", "amex", "credit", "payment", "pan", "karte", "kreditkarte", "zahlung", "carte", "paiement", "bancaire", "tarjeta", "pago"),
+    "phone": ("phone", "tel", "call", "mobile", "cell", "fax", "whatsapp", "contact", "telefon", "anrufen", "handy", "nummer", "téléphone", "appeler", "portable", "teléfono", "llamar", "móvil"),
+    "secret": ("token", "secret", "key", "password", "auth", "bearer", "api", "passwort", "kennwort", "schlüssel", "geheim", "clé", "passe", "jeton", "contraseña", "clave"),
+    "handle": ("follow", "twitter", "instagram", "telegram", "handle", "dm", "folge", "folgen", "suivez", "sigue", "síguenos", "mastodon"),
+    "name": ("name", "contact", "signed", "mr", "mrs", "ms", "dr", "herr", "frau", "gezeichnet", "monsieur", "madame", "signé", "nom", "señor", "señora", "firmado", "nombre"),
 }
-AGAINST = ("version", "isbn", "issn", "order", "invoice", "section", "page", "chapter", "figure", "release", "sha", "commit")
+AGAINST = ("version", "isbn", "issn", "order", "invoice", "section", "page", "chapter", "figure", "release", "sha", "commit", "seite", "kapitel", "abschnitt", "rechnung", "bestellung", "chapitre", "facture", "commande", "página", "capítulo", "factura", "pedido")
 # Top-level domains, issuer prefixes, calling codes, key names and given names.
-DOMAINS = ("com", "org", "net", "edu", "gov", "io", "de", "fr", "es", "uk", "eu", "info")
-ISSUERS = ("4", "51", "52", "53", "54", "55", "34", "37", "6011", "65")
-CALLING = ("1", "33", "34", "44", "49", "39", "31", "41", "43", "61", "81", "86", "91")
-KEY_NAMES = ("token", "secret", "password", "passwd", "api_key", "apikey", "access_key", "auth")
-GIVEN = ("james", "mary", "john", "anna", "peter", "maria", "paul", "laura", "david", "sarah", "thomas", "julia", "michael", "emma", "jean", "pierre", "jose", "carlos", "hans", "klaus")
+DOMAINS = (
+    "com", "org", "net", "edu", "gov", "io", "info", "biz", "dev", "app", "me", "eu", "de", "fr", "es", "uk", "it", "nl", "be", "ch", "at", "pl", "pt", "se", "no", "dk", "fi", "ie", "cz", "gr", "hu", "ro",
+    "ru", "ua", "tr", "us", "ca", "mx", "br", "ar", "cl", "co", "pe", "au", "nz", "jp", "cn", "kr", "in", "id", "sg", "hk", "tw", "th", "vn", "ph", "za", "eg", "ma", "ng", "ke", "il", "ae", "sa",
+)
+ISSUERS = ("4", "51", "52", "53", "54", "55", "22", "23", "24", "25", "26", "27", "34", "37", "36", "38", "39", "6011", "62", "64", "65", "35")
+CALLING = ("1", "7", "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "51", "52", "53", "54", "55", "56", "57", "58", "60", "61", "62", "63", "64", "65", "66", "81", "82", "84", "86", "90", "91", "92", "93", "94", "95", "98", "21", "22", "23", "24", "25", "26", "29", "35", "37", "38", "42", "50", "59", "67", "68", "69", "85", "88", "96", "97", "99")
+KEY_NAMES = ("token", "secret", "password", "passwd", "api_key", "apikey", "access_key", "auth", "passwort", "kennwort", "contraseña", "clave")
+GIVEN = (
+    "james", "mary", "john", "anna", "peter", "maria", "paul", "laura", "david", "sarah", "thomas", "julia", "michael", "emma", "robert", "linda", "william", "susan", "richard", "karen", "joseph", "nancy", "charles", "lisa", "daniel", "betty", "matthew", "helen", "anthony", "sandra", "mark", "ashley", "george", "emily", "andrew", "olivia",
+    "hans", "klaus", "jürgen", "wolfgang", "stefan", "andreas", "matthias", "sabine", "petra", "monika", "ursula", "heike", "katrin", "ingrid", "birgit", "lukas", "leon", "jonas", "felix", "johanna", "lena",
+    "jean", "pierre", "michel", "philippe", "alain", "nicolas", "françois", "jacques", "antoine", "luc", "marie", "nathalie", "isabelle", "sylvie", "catherine", "françoise", "camille", "chloé", "julie", "sophie", "claire",
+    "jose", "josé", "carlos", "juan", "luis", "miguel", "javier", "francisco", "antonio", "manuel", "pedro", "alejandro", "diego", "carmen", "ana", "isabel", "pilar", "dolores", "lucia", "lucía", "elena", "rosa", "cristina", "marta",
+)
+_CONTEXT, _AGAINST, _DOMAINS, _GIVEN = {k: frozenset(v) for k, v in CONTEXT.items()}, frozenset(AGAINST), frozenset(DOMAINS), frozenset(GIVEN)
 
 
 def luhn(digits: str) -> bool:
@@ -171,14 +181,14 @@ def votes(text: str, start: int, kind: int, end: int, is_base: bool) -> tuple[st
         check = None
     low = span.lower()
     known = {
-        "email": low.rsplit(".", 1)[-1] in DOMAINS,
+        "email": low.rsplit(".", 1)[-1] in _DOMAINS,
         "card": digits.startswith(ISSUERS),
         "phone": span[0] == "+" and digits.startswith(CALLING) or None,
         "secret": any(k in KEY_NAMES for k in before[-2:]) or None,
-        "name": low.split(" ")[0] in GIVEN or None,
+        "name": low.split(" ")[0] in _GIVEN or None,
     }.get(name)
     near = set(before)
-    context = True if near & set(CONTEXT[name]) else False if near & set(AGAINST) else None
+    context = True if near & _CONTEXT[name] else False if near & _AGAINST else None
     left, right = text[start - 1 : start], text[end : end + 1]
     around = not (left.isalnum() or left in ("#", "%", "$", "/") or right.isalnum() or right in ("%", "/"))
     shape = f"{name}|{min(9, (end - start) // 4)}|{0 if not span else 4 * len(digits) // len(span)}|{min(4, int(bits))}"
@@ -267,7 +277,8 @@ def find_candidates(docs: DataFrame) -> DataFrame:
 
 
 def pii_spans(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans (base ones and added ones) and n_added."""
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans (base ones and added ones), n_added, n_all and
+    has_pii (any span)."""
     spark = docs.sparkSession
     found = saved(find_candidates(docs), "pii-candidates")
     pattern = F.explode(F.arrays_zip("votes", "shape")).alias("c")
@@ -304,7 +315,9 @@ def pii_spans(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
                 added.append(len(new))
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(5)), pa.array(sha, pa.string()), pa.array(spans, pa.string()), pa.array(added, pa.int64())], ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added"])
 
-    return found.mapInArrow(lean(decide), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
+    decided = found.mapInArrow(lean(decide), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
+    n_all = F.col("n_email") + F.col("n_ip") + F.col("n_card") + F.col("n_phone") + F.col("n_added")
+    return decided.withColumn("n_all", n_all).withColumn("has_pii", F.col("n_all") > 0)
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
