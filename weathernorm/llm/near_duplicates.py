@@ -330,7 +330,7 @@ def _clusters(docs: DataFrame, recall: float = RECALL) -> tuple[DataFrame, DataF
     paths = saved(every.withColumn("node", _node(last)).join(shared, "node").select("rep", "path"), "near-paths")
 
     # at full depth: one pair a text and node
-    tried = saved(_likely(_starred(paths.select(_node(DEPTH).alias("node"), "rep", F.col("rep").alias("cluster"))), reps), "near-pairs")
+    tried = saved(_starred(paths.select(_node(DEPTH).alias("node"), "rep", F.col("rep").alias("cluster"))), "near-pairs")
     sets = _with_sets(docs, known, None, tried)
     links = saved(_verified(tried, sets), "near-links")
     labels = components(links, "near-labels")
@@ -347,7 +347,9 @@ def _clusters(docs: DataFrame, recall: float = RECALL) -> tuple[DataFrame, DataF
             few, many = apart.filter(F.col("n") <= SMALL).select("node", "rep", "cluster"), apart.filter(F.col("n") > SMALL).select("node", "rep")
             pairs = few.toDF("node", "a", "cluster_a").join(few.toDF("node", "b", "cluster_b"), "node").filter("cluster_a < cluster_b")
             pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        more = saved(_likely(pairs.join(tried, ["a", "b"], "left_anti"), reps), "near-pairs")
+        new = pairs.join(tried, ["a", "b"], "left_anti")
+        # texts that share a long prefix are mostly similar: only shorter ones are worth a look at the signatures first
+        more = saved(new if length > last else _likely(new, reps), "near-pairs")
         sets = _with_sets(docs, known, sets, more, many)
         new = _verified(more, sets)
         new = saved(new if length > last else new.union(_forest(many.join(sets, "rep"))), "near-links")
@@ -356,8 +358,9 @@ def _clusters(docs: DataFrame, recall: float = RECALL) -> tuple[DataFrame, DataF
             links = links.union(new)
             labels = components(links, "near-labels")
 
-    members = labels.join(reps.select("rep", "n_docs"), "rep").join(sets, "rep").select("rep", "cluster", "n_docs", "set")
-    named = labels.join(reps.select("rep", "rep_id"), "rep").groupBy("cluster").agg(F.min("rep_id").alias("cluster_id"))
+    labels = saved(labels.join(reps.select("rep", "rep_id", "n_docs"), "rep"), "near-labels")
+    members = labels.join(sets, "rep").select("rep", "cluster", "n_docs", "set")
+    named = labels.groupBy("cluster").agg(F.min("rep_id").alias("cluster_id"))
     found = labels.join(named, "cluster").join(_links_inside(members), "rep", "left").select("rep", "cluster", "cluster_id", "links", "copies")
     return rows.select("doc_id", "text_hash", "digest"), reps, found
 
