@@ -243,8 +243,36 @@ def test_pipeline_keeps_what_it_should(spark, tmp_path):
 def test_stages_take_odd_tables(spark, odd, none):
     import corpus_pipeline
 
+    sf = "/root/testdata/sf0.001"
+    clash = odd.withColumn("_id", F.lit("x")).withColumn("mix_cdf", F.lit(1)).withColumn("pieces", F.lit(2))
+    text = lambda df: sorted((r["doc_id"] or -1, r["text"] or "") for r in df.select("doc_id", "text").collect())
+    rows = text(clash)
+    want = {
+        "toxicity": rows,
+        "near_duplicates": [x for k, x in enumerate(rows) if x[0] != -1 and x[0] != 8 and x not in rows[:k]],
+        "decontamination": rows,
+        "mixing": None,
+        "token_ids": None,
+    }
     for name, stage in corpus_pipeline.STAGES:
-        for docs in (odd, none):
-            out = stage(spark, docs, "/root/testdata/sf0.001")
-            assert name == "token_ids" or out.columns == docs.columns
-            assert out.count() >= 0
+        out = stage(spark, clash, sf)
+        assert name == "token_ids" or out.columns == clash.columns
+        if want[name] is not None:
+            assert text(out) == want[name], name
+        assert stage(spark, none, sf).count() == 0
+    copies = {r["text"] for r in corpus_pipeline.mixed(spark, clash, sf).select("text").collect()}
+    assert copies <= {r["text"] for r in clash.select("text").collect()}
+    packed = corpus_pipeline.packed(spark, clash, sf).select(F.explode("doc_ids")).collect()
+    assert {r[0] for r in packed} == {r["doc_id"] for r in clash.select("doc_id").collect()}
+
+
+def test_the_run_leaves_its_result_only(spark):
+    import corpus_pipeline
+    from weathernorm.llm.common import scratch_tables
+
+    with scratch_tables(spark) as made:
+        out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+        rows = out.count()
+        exists = lambda at: (p := spark._jvm.org.apache.hadoop.fs.Path(at)).getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+        left = [at for at in made if exists(at)]
+    assert rows and len(made) > 10 and len(left) == 1 and "token_ids" in left[0]

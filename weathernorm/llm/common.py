@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import functools
 import re
@@ -35,14 +36,34 @@ def scratch_dir(spark: SparkSession) -> str:
     return at
 
 
+_watched: list[list[str]] = []
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it again: cuts the lineage, prunes columns."""
     spark = df.sparkSession
     at = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(at)
+    for made in _watched:
+        made.append(at)
     return spark.read.schema(df.schema).parquet(at)
 
 
+@contextlib.contextmanager
+def scratch_tables(spark: SparkSession) -> Iterator[list[str]]:
+    """The paths of all tables that :func:`saved` writes inside; at the end those that are still listed are deleted.
+    Results that read them must have been written by then."""
+    made: list[str] = []
+    _watched.append(made)
+    try:
+        yield made
+    finally:
+        _watched[:] = [x for x in _watched if x is not made]
+        for at in made:
+            path = spark._jvm.org.apache.hadoop.fs.Path(at)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, with underscores after it if the table has such a column already."""
     taken = {c.lower() for c in df.columns}
