@@ -132,6 +132,16 @@ def test_components_of_a_long_chain(spark):
     assert all(got[k] == 0 for k in range(61)) and got[101] == 100
 
 
+def test_clusters_are_merged_by_further_links(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 3), (10, 11), (20, 21), (40, 41)], "a long, b long")
+    labels = nd.components(edges, "some")
+    new = spark.createDataFrame([(3, 11), (11, 21), (5, 21), (6, 7), (41, 40)], "a long, b long")
+    got = {r["rep"]: r["cluster"] for r in nd.merged(labels, new, "some").collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 10: 1, 11: 1, 20: 1, 21: 1, 5: 1, 6: 6, 7: 6, 40: 40, 41: 40}
+    none = nd.merged(labels, new.limit(0), "some").collect()
+    assert sorted(map(tuple, none)) == sorted(map(tuple, labels.collect()))
+
+
 def vectors(spark, rows):
     clash = [(*r, 1, "v", 0.5) for r in rows]
     return spark.createDataFrame(clash, "vec_id long, embedding array<float>, label int, j int, v string, x double")

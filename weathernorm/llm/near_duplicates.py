@@ -211,6 +211,16 @@ def components(edges: DataFrame, name: str) -> DataFrame:
             return labels
 
 
+def merged(labels: DataFrame, new: DataFrame, name: str) -> DataFrame:
+    """``labels`` (rep, cluster) with further links (a, b): only the clusters that these join are gone through again."""
+    placed = new.join(labels.toDF("a", "cluster_a"), "a", "left").join(labels.toDF("b", "cluster_b"), "b", "left")
+    placed = saved(placed.select("a", "b", F.coalesce("cluster_a", "a").alias("x"), F.coalesce("cluster_b", "b").alias("y")), f"{name}-placed")
+    higher = components(placed.filter("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")), name).toDF("cluster", "top")
+    ends = placed.select(F.col("a").alias("rep"), F.col("x").alias("cluster")).union(placed.select("b", "y"))
+    every = labels.union(ends.filter("rep = cluster")).distinct()
+    return saved(every.join(higher, "cluster", "left").select("rep", F.coalesce("top", "cluster").alias("cluster")), f"{name}-labels")
+
+
 def _similar(sets: list[np.ndarray]) -> np.ndarray:
     """Which of some sets are similar enough, exactly: common elements by products of 0/1 strips."""
     size = np.array([len(x) for x in sets])
@@ -332,8 +342,7 @@ def _clusters(docs: DataFrame, recall: float = RECALL) -> tuple[DataFrame, DataF
     # at full depth: one pair a text and node
     tried = saved(_starred(paths.select(_node(DEPTH).alias("node"), "rep", F.col("rep").alias("cluster"))), "near-pairs")
     sets = _with_sets(docs, known, None, tried)
-    links = saved(_verified(tried, sets), "near-links")
-    labels = components(links, "near-labels")
+    labels = components(_verified(tried, sets), "near")
 
     for length in range(DEPTH - 1, 0, -1):
         if length < last and _measured(rows, labels) >= recall:
@@ -355,8 +364,7 @@ def _clusters(docs: DataFrame, recall: float = RECALL) -> tuple[DataFrame, DataF
         new = saved(new if length > last else new.union(_forest(many.join(sets, "rep"))), "near-links")
         tried = tried.union(more)
         if not new.isEmpty():
-            links = links.union(new)
-            labels = components(links, "near-labels")
+            labels = merged(labels, new, "near")
 
     labels = saved(labels.join(reps.select("rep", "rep_id", "n_docs"), "rep"), "near-labels")
     members = labels.join(sets, "rep").select("rep", "cluster", "n_docs", "set")
