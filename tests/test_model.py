@@ -45,6 +45,8 @@ def test_sets(spark):
     assert abs(n["training"] / 335 - 0.7) < 0.05
     assert out.filter("month(date) = 7 AND set <> 'testing'").count() == 0
     assert model.split_sets(df, KEY, 0.7).filter("set = 'prediction'").count() == 0
+    # all rows before the cut
+    assert {(r["set"], r["date"].isoformat() <= END) for r in model.split_sets(df, KEY, 1.0, END).collect()} == {("training", True), ("prediction", False)}
     again = model.split_sets(df.repartition(7), KEY, 0.7, END, excluded=july)
     assert out.select("date", "set").exceptAll(again.select("date", "set")).count() == 0
     other = model.split_sets(df, KEY, 0.7, END, excluded=july, replicate=1)

@@ -77,6 +77,14 @@ def sunshine(meas, location):
     return plans.sunshine(location.filter("location_id % 10 = 0"), meas.filter("year(date) = 1996"))
 
 
+_TURN = "degrees(atan2(sum(ws * sin(radians(wd))), sum(ws * cos(radians(wd))))) + 360"
+
+
+@query("station_wind_round_the_circle", f"SELECT code, CAST(ts AS DATE) AS date, CAST(round(({_TURN}) - 360 * floor(({_TURN}) / 360), 4) AS DOUBLE) AS wd FROM station_hourly GROUP BY ALL", "wd", "station_hourly")
+def station_wind_round_the_circle(hourly):
+    return agg.station_daily(hourly, circular=True).select("code", "date", F.round("wd", 4).alias("wd"))
+
+
 # ---- sources ---------------------------------------------------------------------------------
 @query("hours_between", "SELECT event_id, ts FROM hourly WHERE ts >= TIMESTAMP '2024-01-09 10:00:00' AND ts <= TIMESTAMP '2024-01-13 11:00:00'", "", "hourly")
 def hours_between(hourly):

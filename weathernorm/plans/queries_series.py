@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.columns import season, weekday_number
 from ..operators import aggregates as agg
 from ..operators import cleaning, joins, model
 from . import weather as weather_plans
@@ -149,12 +150,18 @@ def completed_results(meas):
     return joins.completed(meas.filter("value > 95").groupBy("location_id", "poll").agg(F.avg("value").alias("value")), ["location_id"], ["pm25", "no2", "o3"])
 
 
-@query("time_effects", """WITH m AS (SELECT CAST(month(date) AS INT) AS month, avg(observed) AS em FROM obs_pred GROUP BY 1), w AS (SELECT isodow(date) AS wday, avg(trend) AS ew FROM obs_pred GROUP BY 1)
-  --FINAL-- SELECT location_id, date, em AS effect_month, ew AS effect_wday, (em + ew) / 2 AS effect FROM obs_pred JOIN m ON month(date) = m.month JOIN w ON isodow(date) = w.wday""", "effect_month effect_wday effect", "obs_pred")
+@query("time_effects", """WITH m AS (SELECT month(date) AS k, avg(observed) AS em FROM obs_pred GROUP BY 1), w AS (SELECT isodow(date) AS k, avg(trend) AS ew FROM obs_pred GROUP BY 1), y AS (SELECT dayofyear(date) AS k, avg(predicted) AS ey FROM obs_pred WHERE dayofyear(date) < 300 GROUP BY 1),
+  s AS (SELECT month(date) % 12 // 3 AS k, max(observed) AS es FROM obs_pred GROUP BY 1)
+  --FINAL-- SELECT location_id, date, em AS effect_month, ew AS effect_wday, ey AS effect_yday, es AS effect_season, (em + ew + coalesce(ey, 0) + es) / CASE WHEN ey IS NULL THEN 3 ELSE 4 END AS effect FROM obs_pred JOIN m ON month(date) = m.k JOIN w ON isodow(date) = w.k JOIN s ON month(date) % 12 // 3 = s.k LEFT JOIN y ON dayofyear(date) = y.k""", "effect_month effect_wday effect_yday effect_season effect", "obs_pred")
 def time_effects(df):
-    month = df.groupBy(F.month("date").alias("month")).agg(F.avg("observed").alias("effect"))
-    wday = df.groupBy((F.weekday("date") + 1).alias("wday")).agg(F.avg("trend").alias("effect"))
-    return joins.time_effects(df.select("location_id", "date"), {"month": month, "wday": wday})
+    by = lambda name, k, value: df.groupBy(k.alias(name)).agg(value.alias("effect"))
+    effects = {
+        "month": by("month", F.month("date"), F.avg("observed")),
+        "wday": by("wday", weekday_number(F.col("date")), F.avg("trend")),
+        "yday": by("yday", F.dayofyear("date"), F.avg("predicted")).filter("yday < 300"),
+        "season": by("season", season(F.col("date")), F.max("observed")),
+    }
+    return joins.time_effects(df.select("location_id", "date"), effects)
 
 
 _LONG = """w1 AS (SELECT location_id, date, 'precip' AS weather_var, precip AS value FROM daily UNION ALL SELECT location_id, date, 'air_temp_min', air_temp_min FROM daily UNION ALL SELECT location_id, date, 'pbl_min', pbl_min FROM daily),
@@ -192,7 +199,8 @@ def split_sets(daily):
     return model.split_sets(daily.select("location_id", "date"), KEY, 0.8, "2000-06-30", "1995-03-01", july)
 
 
-@query("series_predictors", "SELECT location_id, list_sort(list_filter([CASE WHEN count(precip) > 0 THEN 'precip' END, CASE WHEN count(pbl_min) > 0 THEN 'pbl_min' END, CASE WHEN count(ws) > 0 THEN 'ws' END], lambda x: x IS NOT NULL)) AS predictors FROM daily GROUP BY 1", "", "daily")
+@query("series_predictors", "SELECT location_id, list_sort(list_filter([CASE WHEN count(precip) FILTER (year(date) < 1993) > 0 THEN 'precip' END, CASE WHEN count(pbl_min) FILTER (year(date) < 1993) > 0 THEN 'pbl_min' END, CASE WHEN count(ws) FILTER (year(date) < 1993) > 0 THEN 'ws' END], lambda x: x IS NOT NULL)) AS predictors FROM daily GROUP BY 1", "", "daily")
 def series_predictors(daily):
-    out = model.predictors(daily.withColumn("set", F.lit("training")), KEY, ["precip", "pbl_min", "ws"])
+    named = daily.withColumn("set", F.when(F.year("date") < 1993, "training").otherwise("testing"))
+    out = model.predictors(named, KEY, ["precip", "pbl_min", "ws"])
     return out.withColumn("predictors", F.array_sort("predictors"))

@@ -116,7 +116,6 @@ def local_day_minmax(hourly):
     return agg.local_day_extremes(hourly, zones)
 
 
-@query("region_daily", "SELECT source AS region, CAST(ts AS DATE) AS date, avg(t2m) AS Tair, avg(sp) AS PSurf, avg(tp) AS Rainf FROM hourly GROUP BY ALL", "Tair PSurf Rainf", "hourly")
+@query("region_daily", "SELECT source AS region, CAST(ts AS DATE) AS date, avg(t2m) AS Tair, avg(d2m) AS Qair, avg(value) AS Wind, avg(sp) AS PSurf, avg(tp) AS Rainf FROM hourly GROUP BY ALL", "Tair Qair Wind PSurf Rainf", "hourly")
 def region_daily(hourly):
-    renamed = hourly.select(F.col("source").alias("region"), "ts", F.col("t2m").alias("Tair"), F.col("sp").alias("PSurf"), F.col("tp").alias("Rainf"))
-    return agg.region_daily(renamed, ["Tair", "PSurf", "Rainf"])
+    return agg.region_daily(hourly.select(F.col("source").alias("region"), "ts", F.col("t2m").alias("Tair"), F.col("d2m").alias("Qair"), F.col("value").alias("Wind"), F.col("sp").alias("PSurf"), F.col("tp").alias("Rainf")))
