@@ -77,6 +77,17 @@ def sunshine(meas, location):
     return plans.sunshine(location.filter("location_id % 10 = 0"), meas.filter("year(date) = 1996"))
 
 
+_SUN = "24 * 60 / pi() * 0.0820 * dr * (sunset * sin(phi) * sin(dec) + cos(phi) * cos(dec) * sin(sunset))"
+
+
+@query("collect_weather", f"""WITH {_KNN}, d AS ({_STATION}), j AS (SELECT location_id, d.*, 1 / greatest(1.0, distance_km) AS w FROM knn JOIN d USING (code) WHERE rn <= 4), st AS (SELECT location_id, date, {_MEANS} FROM j GROUP BY ALL), dd AS (SELECT DISTINCT date FROM st),
+  n AS (SELECT location_id, count(air_temp_min) / (SELECT count(*) FROM dd) AS s1, count(precip) / (SELECT count(*) FROM dd) AS s2 FROM st GROUP BY 1),
+  g AS (SELECT location_id, date, radians(lat) AS phi, 1 + 0.033 * cos(2 * pi() / 365 * dayofyear(date)) AS dr, 0.409 * sin(2 * pi() / 365 * dayofyear(date) - 1.39) AS dec FROM location, dd), x AS (SELECT *, acos(greatest(-1.0, least(1.0, -tan(phi) * tan(dec)))) AS sunset FROM g)
+  --FINAL-- SELECT location_id, date, CASE WHEN s1 >= 0.5 THEN air_temp_min END AS air_temp_min, CASE WHEN s2 >= 0.5 THEN precip END AS precip, {_SUN} AS sunshine FROM x LEFT JOIN st USING (location_id, date) LEFT JOIN n USING (location_id)""", "air_temp_min precip sunshine", "location", "station", "station_hourly")
+def collect_weather(location, station, hourly):
+    return plans.collect_weather(location.select("location_id", "lat", "lon"), ["air_temp_min", "precip", "sunshine"], _stations(station), hourly, add_sunshine=True, km=1500.0)
+
+
 _TURN = "degrees(atan2(sum(ws * sin(radians(wd))), sum(ws * cos(radians(wd))))) + 360"
 
 

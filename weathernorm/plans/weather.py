@@ -97,11 +97,11 @@ def add_fire(weather: DataFrame, locations: DataFrame, fires: DataFrame, mode: s
     return coalesce_join(weather, found, ["location_id", "date"], columns)
 
 
-def collect_weather(locations: DataFrame, variables: Sequence[str], stations: DataFrame | None = None, station_hourly: DataFrame | None = None, grid_hourly: DataFrame | None = None, add_sunshine: bool = False, fires: DataFrame | None = None, fire_mode: str = "circular", priority: Sequence[str] = ("grid", "station", "sun"), step: float = 0.25) -> DataFrame:
+def collect_weather(locations: DataFrame, variables: Sequence[str], stations: DataFrame | None = None, station_hourly: DataFrame | None = None, grid_hourly: DataFrame | None = None, add_sunshine: bool = False, fires: DataFrame | None = None, fire_mode: str = "circular", priority: Sequence[str] = ("grid", "station", "sun"), step: float = 0.25, km: float = 100.0) -> DataFrame:
     """All sources of weather for the locations, combined; fires attached if there are any."""
     found: dict[str, DataFrame] = {}
     if station_hourly is not None:
-        found["station"] = station_weather(locations, stations, station_hourly)
+        found["station"] = station_weather(locations, stations, station_hourly, km)
     if grid_hourly is not None:
         found["grid"] = grid_weather(locations, grid_hourly, step)
     if add_sunshine:
