@@ -97,9 +97,9 @@ def station_wind_round_the_circle(hourly):
 
 
 # ---- sources ---------------------------------------------------------------------------------
-@query("hours_between", "SELECT event_id, ts FROM hourly WHERE ts >= TIMESTAMP '2024-01-09 10:00:00' AND ts <= TIMESTAMP '2024-01-13 11:00:00'", "", "hourly")
+@query("hours_between", "SELECT event_id, location_id FROM hourly WHERE ts >= TIMESTAMP '2024-01-09 10:00:00' AND ts <= TIMESTAMP '2024-01-13 11:00:00'", "", "hourly")
 def hours_between(hourly):
-    return tables.hours_between(hourly.select("event_id", "ts"), "2024-01-10", "2024-01-12")
+    return tables.hours_between(hourly, "2024-01-10", "2024-01-12").select("event_id", "location_id")
 
 
 @query("location_scan", "SELECT DISTINCT location_id, CAST(nationkey AS VARCHAR) AS country, lat, lon, DATE '2020-01-01' AS date_from, DATE '2020-12-31' AS date_to FROM location", "lat lon", "location")
@@ -223,11 +223,11 @@ def rolling_text(daily):
     return cleaning.rolling_mean(sides, ["location_id"], "side", width=4, unit="week")
 
 
-@query("utc_hours_of_local_day", "WITH d AS (SELECT DISTINCT CAST('2024-03-29' AS DATE) + CAST(location_id % 5 AS INT) AS date FROM location), b AS (SELECT date, (CAST(date AS TIMESTAMP) AT TIME ZONE 'Europe/Paris') AT TIME ZONE 'UTC' AS a, (CAST(date + 1 AS TIMESTAMP) AT TIME ZONE 'Europe/Paris') AT TIME ZONE 'UTC' AS z FROM d) SELECT date, unnest(range(a, z, INTERVAL 1 HOUR)) AS hour FROM b", "", "location")
+@query("utc_hours_of_local_day", "WITH d AS (SELECT DISTINCT CAST('2024-03-29' AS DATE) + CAST(location_id % 5 AS INT) AS date FROM location), b AS (SELECT date, (CAST(date AS TIMESTAMP) AT TIME ZONE 'Europe/Paris') AT TIME ZONE 'UTC' AS a, (CAST(date + 1 AS TIMESTAMP) AT TIME ZONE 'Europe/Paris') AT TIME ZONE 'UTC' AS z FROM d) SELECT date, strftime(unnest(range(a, z, INTERVAL 1 HOUR)), '%Y-%m-%d %H') AS hour FROM b", "", "location")
 def utc_hours_of_local_day(location):
     days = location.select(F.date_add(F.lit("2024-03-29").cast("date"), (F.col("location_id") % 5).cast("int")).alias("date")).distinct()
     hours = fn.utc_hours_of_local_day(F.col("date"), F.lit("Europe/Paris"))
-    return days.select("date", F.explode(hours).alias("hour"))
+    return days.select("date", F.explode(F.transform(hours, lambda h: F.date_format(h, "yyyy-MM-dd HH"))).alias("hour"))
 
 
 @query("hour_features", "SELECT event_id, CAST(hour(ts) AS INT) AS hour, CAST(hour((ts AT TIME ZONE 'UTC') AT TIME ZONE 'Asia/Kolkata') AS INT) AS hour_local FROM hourly", "", "hourly")
