@@ -339,6 +339,9 @@ def _clusters(docs: DataFrame, recall: float = RECALL) -> tuple[DataFrame, DataF
     shared = every.groupBy(_node(last).alias("node")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("node")
     paths = saved(every.withColumn("node", _node(last)).join(shared, "node").select("rep", "path"), "near-paths")
 
+    if paths.isEmpty():
+        return rows.select("doc_id", "text_hash", "digest"), reps, docs.sparkSession.createDataFrame([], "rep binary, cluster binary, cluster_id long, links long, copies long")
+
     # at full depth: one pair a text and node
     tried = saved(_starred(paths.select(_node(DEPTH).alias("node"), "rep", F.col("rep").alias("cluster"))), "near-pairs")
     sets = _with_sets(docs, known, None, tried)
