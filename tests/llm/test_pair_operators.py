@@ -65,6 +65,15 @@ def test_near_duplicates_are_brute_force(make, monkeypatch, small, block):
         assert kept == sorted({c for _, c in want.values()})
 
 
+def test_near_duplicates_of_a_corpus(spark):
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    want = brute([(r["doc_id"], r["text"]) for r in docs.collect()])
+    got = {r["doc_id"]: (r["n_links"], r["cluster_id"]) for r in nd.near_duplicates(docs).collect()}
+    links = sum(n for n, _ in want.values())
+    assert links > 100 and abs(sum(n for n, _ in got.values()) - links) <= 0.002 * links
+    assert sum(got[d] != want[d] for d in want) <= 2
+
+
 def test_near_duplicates_odd_tables(odd, none, make):
     rows = nd.near_duplicates(odd).collect()
     assert len(rows) == odd.count()

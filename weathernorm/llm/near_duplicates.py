@@ -339,12 +339,13 @@ def _clusters(docs: DataFrame, recall: float = RECALL) -> tuple[DataFrame, DataF
     shared = every.groupBy(_node(last).alias("node")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("node")
     paths = saved(every.withColumn("node", _node(last)).join(shared, "node").select("rep", "path"), "near-paths")
 
-    if paths.isEmpty():
+    if paths.isEmpty() and rows.filter("probes is not null").isEmpty():
         return rows.select("doc_id", "text_hash", "digest"), reps, docs.sparkSession.createDataFrame([], "rep binary, cluster binary, cluster_id long, links long, copies long")
 
     # at full depth: one pair a text and node
     tried = saved(_starred(paths.select(_node(DEPTH).alias("node"), "rep", F.col("rep").alias("cluster"))), "near-pairs")
-    sets = _with_sets(docs, known, None, tried)
+    # one pass over the texts for all sets that may be asked for
+    sets = _with_sets(docs, known, None, paths.select("rep"))
     labels = components(_verified(tried, sets), "near")
 
     for length in range(DEPTH - 1, 0, -1):
@@ -362,7 +363,8 @@ def _clusters(docs: DataFrame, recall: float = RECALL) -> tuple[DataFrame, DataF
         new = pairs.join(tried, ["a", "b"], "left_anti")
         # texts that share a long prefix are mostly similar: only shorter ones are worth a look at the signatures first
         more = saved(new if length > last else _likely(new, reps), "near-pairs")
-        sets = _with_sets(docs, known, sets, more, many)
+        if length < last:
+            sets = _with_sets(docs, known, sets, more.select(F.col("a").alias("rep")).union(more.select("b")).union(many.select("rep")))
         new = _verified(more, sets)
         new = saved(new if length > last else new.union(_forest(many.join(sets, "rep"))), "near-links")
         tried = tried.union(more)
@@ -376,13 +378,10 @@ def _clusters(docs: DataFrame, recall: float = RECALL) -> tuple[DataFrame, DataF
     return rows.select("doc_id", "text_hash", "digest"), reps, found
 
 
-def _with_sets(docs: DataFrame, known: DataFrame, sets: DataFrame | None, pairs: DataFrame, more: DataFrame | None = None) -> DataFrame:
-    """The sets, with those of the pairs' ends and of ``more`` that are missing."""
-    ends = pairs.select(F.col("a").alias("rep")).union(pairs.select("b"))
-    ends = (ends if more is None else ends.union(more.select("rep"))).distinct()
-    wanted = saved(known.join(ends if sets is None else ends.join(sets.select("rep"), "rep", "left_anti"), "rep", "left_semi"), "near-wanted")
-    if sets is not None and wanted.isEmpty():
-        return sets
+def _with_sets(docs: DataFrame, known: DataFrame, sets: DataFrame | None, asked: DataFrame) -> DataFrame:
+    """The sets, with those that are asked for (rep) and missing."""
+    asked = asked.distinct() if sets is None else asked.distinct().join(sets.select("rep"), "rep", "left_anti")
+    wanted = saved(known.join(asked, "rep", "left_semi"), "near-wanted")
     found = saved(_sets(docs, wanted), "near-sets")
     return found if sets is None else sets.union(found)
 
