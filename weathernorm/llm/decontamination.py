@@ -19,7 +19,7 @@ import string
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_name, table
+from .common import bound, free_name, table
 
 WINDOW = 10
 #: More windows than these are not sent to the tasks (about 200 bytes each) but joined.
@@ -38,11 +38,6 @@ def words(text: Column) -> Column:
     return F.coalesce(F.array_remove(F.split(low, _BREAKS, -1), ""), F.array().cast("array<string>"))
 
 
-def bound(value: Column, body) -> Column:
-    """``body`` of a value that is computed once a row, however often ``body`` uses it."""
-    return F.transform(F.array(value), body)[0]
-
-
 def window_hash(w: Column, i: Column, n: int) -> Column:
     """Of four words of the window of ``n`` words at ``i``; equal windows have equal hashes."""
     at = sorted({0, n // 3, 2 * n // 3, n - 1})

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, table
+from .common import bound, free_name, table
 
 #: More sources than these are joined by a shuffle, with every source's rows spread by a salt.
 MAX_BROADCAST_SOURCES = 20_000
@@ -112,8 +112,8 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float =
         salted = docs.withColumn(own, F.pmod(F.xxhash64("doc_id", "text"), F.lit(SALTS)).cast("int"))
         joined = salted.join(small, F.col("source").eqNullSafe(F.col(source)) & (F.col(own) == F.col(salt)))
     one = F.lit(1).cast("long")
-    by_table = F.size(F.filter(cdf, lambda c: c <= u)).cast("long")
-    copies = F.when(F.col(rate) <= TABLE_RATE, by_table).otherwise(poisson_count(F.col(rate), u))
+    by_table = lambda v: F.size(F.filter(cdf, lambda c: c <= v)).cast("long")
+    copies = bound(u, lambda v: F.when(F.col(rate) <= TABLE_RATE, by_table(v)).otherwise(poisson_count(F.col(rate), v)))
     counted = joined.select(*names, copies.alias(copies_name)).filter(F.col(copies_name) > 0)
     # numbered in runs, so that no array grows with a row's copies
     run_name = free_name(counted, "mix_run")
