@@ -29,7 +29,8 @@ def brute(rows):
         return d
 
     for a, b in itertools.combinations(s, 2):
-        if s[a] and len(s[a] & s[b]) >= 0.8 * len(s[a] | s[b]):
+        common = 0 if s[a].isdisjoint(s[b]) else len(s[a] & s[b])
+        if common and common >= 0.8 * (len(s[a]) + len(s[b]) - common):
             links[a] += 1
             links[b] += 1
             x, y = sorted((root(a), root(b)))
