@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, filter_audit, language, mixing, near_duplicates, neighbours, packing, pii, quality, token_counts, toxicity
+from . import decontamination, filter_audit, hard_negatives, language, mixing, near_duplicates, neighbours, packing, pii, quality, token_counts, toxicity
 
 
 def queries():
@@ -17,11 +17,10 @@ def queries():
         "op8_neighbours": neighbours.op8_neighbours,
         "op9_pii": pii.op9_pii,
         "op10_toxicity": toxicity.op10_toxicity,
+        "op11_hard_negatives": hard_negatives.op11_hard_negatives,
         "op12_filter_audit": filter_audit.op12_filter_audit,
     }
 
 
-
-
 def oracle_sql():
-    return {"op6_decontamination": decontamination.ORACLE_SQL, "op7_mixing": mixing.ORACLE_SQL, "op12_filter_audit": filter_audit.ORACLE_SQL}
+    return {"op6_decontamination": decontamination.ORACLE_SQL, "op7_mixing": mixing.ORACLE_SQL, "op11_hard_negatives": hard_negatives.ORACLE_SQL, "op12_filter_audit": filter_audit.ORACLE_SQL}
