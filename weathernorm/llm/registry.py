@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, filter_audit, hard_negatives, language, mixing, near_duplicates, neighbours, packing, pii, quality, token_counts, toxicity
+from . import decontamination, filter_audit, hard_negatives, language, lm_scoring, mixing, near_duplicates, neighbours, packing, pii, quality, token_counts, toxicity
 
 
 def queries():
@@ -19,6 +19,7 @@ def queries():
         "op10_toxicity": toxicity.op10_toxicity,
         "op11_hard_negatives": hard_negatives.op11_hard_negatives,
         "op12_filter_audit": filter_audit.op12_filter_audit,
+        "op13_lm_scoring": lm_scoring.op13_lm_scoring,
     }
 
 
