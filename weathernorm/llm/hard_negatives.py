@@ -6,13 +6,14 @@ row is in the cell of its nearest codes, and every code keeps its radius: the di
 of all rows that have it. So the score of an anchor with any row of a cell is at most the sum of two half
 bounds, each q . c + |q| r (and at least that with a minus).
 
-An anchor visits cells in the order of these sums, by a multi-sequence heap over its two sorted lists of
-half bounds, in two waves. The first goes down until it has met ``SEED`` rows. What it finds sets a
-threshold: the lowest score that could still enter the result. The second wave visits every cell not
-visited yet whose bound reaches the threshold, best bound first, and raises the threshold as it goes; where
-the next bound is below it, all that the anchor asks for is certified. Two searches of this kind follow
-each other: the positives (rows of the anchor's label), then, for each of them, the rows of other labels in
-its window of scores. In the second, cells whose lower bound is above all windows are passed over.
+An anchor visits cells in the order of these sums, in waves. The first goes down a multi-sequence heap over
+its two sorted lists of half bounds until it has met ``SEED`` rows; each further one goes on until ``GROWTH``
+times as many rows are met. What is found sets a threshold, the lowest score that could still enter the
+result; no cell whose bound is below it is visited, and the anchor is done when none is left: what it asks for
+is certified. So a wave returns some GROWTH times the rows asked for, however many rows there are. Two
+searches of this kind follow each other: the positives (rows of the anchor's label), then, for each of them,
+the rows of other labels in its window of scores. In the second, cells whose lower bound is above all
+windows are passed over.
 
 Rows are dealt by shards of whole cells with about ``SHARD`` rows (larger cells are split by a hash), anchors
 in blocks of about ``BLOCK`` to the shards that they visit only. A shard keeps the best few rows of each
@@ -39,8 +40,8 @@ from .common import lean, saved, smallest, table
 
 #: Rows that the codebooks are learned from; rows a cell should have; codes of a half, at most.
 FIT_ROWS, CELL_ROWS, MOST_CODES, ROUNDS = 20_000, 64, 256, 12
-#: Rows of a shard, anchors of a block, rows of the first wave.
-SHARD, BLOCK, SEED = 1_024, 512, 2_048
+#: Rows of a shard, anchors of a block, rows of the first wave, and by how much the waves grow.
+SHARD, BLOCK, SEED, GROWTH = 1_024, 512, 512, 16
 #: A negative's score is between these shares of the positive's, in tenths.
 LEAST_TENTHS, MOST_TENTHS = 3, 9
 #: Below every score, and above.
@@ -114,6 +115,12 @@ class MultiIndex:
                 heapq.heappush(heap, (sums(i + 1, 0), i + 1, 0))
         return -math.inf
 
+    def sweep(self, bound: np.ndarray, passed: np.ndarray, rows: int) -> float:
+        """As :meth:`descend`, from the bounds of all cells: for waves that meet most of them."""
+        order = np.argsort(-np.where(passed, -np.inf, bound), kind="stable")
+        at = int(np.searchsorted(np.cumsum(np.where(passed, 0, self.counts)[order]), rows))
+        return float(bound[order[at]]) if at < len(order) else -math.inf
+
 
 def scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Exact integer inner products."""
@@ -197,39 +204,53 @@ def build(rows: DataFrame) -> tuple[DataFrame, MultiIndex] | None:
 _ASKED = "anchor_id long, label long, x binary, asked array<long>, low array<long>, high array<long>, floor array<long>"
 
 
-def search(index_rows: DataFrame, index: MultiIndex, anchors: DataFrame, k: int, same_label: bool, wave: int) -> DataFrame:
-    """(anchor_id, asked, vec_id, score): of each shard, the k best rows of each anchor and window asked for.
+def search(index_rows: DataFrame, index: MultiIndex, anchors: DataFrame, k: int, same_label: bool) -> DataFrame:
+    """(anchor_id, asked, vec_id, score, rank): the k best rows of each anchor and window asked for.
 
     ``anchors`` has the columns of ``_ASKED``: what is asked, as numbers of their own, the windows' low and high
-    ends, and ``floor``, the score that a row must reach in the second wave to be of use. The first wave
-    visits the best cells with ``SEED`` rows, the second all others that may hold a row of use.
+    ends, and ``floor``, the score that a row must reach to be of use.
     """
-    spark = anchors.sparkSession
-    sent = spark.sparkContext.broadcast(index)
+    sent, wave, known = anchors.sparkSession.sparkContext.broadcast(index), 0, None
     blocks = max(1, -(-anchors.count() // BLOCK))
+    while True:
+        asked = anchors if known is None else _raised(anchors, known, k)
+        dealt = saved(asked.mapInArrow(lean(_dealing(sent, wave)), _ASKED + ", least double, most double, shard long").withColumn("block", F.pmod(F.xxhash64("anchor_id"), F.lit(blocks))), "negatives-asked")
+        if known is not None and dealt.isEmpty():
+            return known
+        found = _visited(index_rows, sent, dealt, k, same_label)
+        if known is not None:
+            found = known.drop("rank").unionByName(found).dropDuplicates(["anchor_id", "asked", "vec_id"])
+        known, wave = saved(ranked(found, k), "negatives-found"), wave + 1
+
+
+def _raised(anchors: DataFrame, known: DataFrame, k: int) -> DataFrame:
+    """Where k rows are known, the last one's score is the least of use."""
+    last = known.filter(F.col("rank") == k).groupBy("anchor_id").agg(F.map_from_entries(F.collect_list(F.struct("asked", "score"))).alias("_last"))
+    floors = F.transform(F.arrays_zip("asked", "low"), lambda w: F.greatest(w["low"], F.coalesce(F.try_element_at(F.col("_last"), w["asked"]), w["low"])))
+    return anchors.join(last, "anchor_id", "left").withColumn("floor", floors).drop("_last")
+
 
-    def visited(index: MultiIndex, x: np.ndarray, high: list, floor: list) -> tuple[np.ndarray, np.ndarray]:
-        """The span of cell bounds that each anchor visits in this wave: from ``least`` to below ``most``."""
-        upper, under = index.bounds(x), index.bounds(x, -1)
-        least, most = np.empty(len(x)), np.full(len(x), math.inf)
-        for i in range(len(x)):
-            passed = under[0][i][index.cells[:, 0]] + under[1][i][index.cells[:, 1]] > max(high[i], default=_NONE)
-            least[i] = index.descend([u[i] for u in upper], passed, SEED)
-        return (least, most) if wave == 1 else (np.array([min(f, default=_ABOVE) for f in floor], float), least + OVERLAP)
+def _dealing(sent, wave: int):
+    """The shards that each anchor of a batch visits in this wave, and its span of cell bounds: from ``least`` to below
+    ``most``."""
 
-    def deal(batches):
+    def run(batches):
         index = sent.value
+        place = index.cells[:, 0], index.cells[:, 1]
         for whole in batches:
             for at in range(0, whole.num_rows, 256):  # an anchor may visit every shard
                 batch = whole.slice(at, 256)
                 x, floor, high = _rows(batch.column(2)), batch.column(6).to_pylist(), batch.column(5).to_pylist()
-                least, most = visited(index, x, high, floor)
                 upper, under = index.bounds(x), index.bounds(x, -1)
-                who, shards = [], []
+                least, most, who, shards = np.empty(len(x)), np.full(len(x), math.inf), [], []
                 for i in range(len(x)):
-                    bound = upper[0][i][index.cells[:, 0]] + upper[1][i][index.cells[:, 1]]
-                    below = under[0][i][index.cells[:, 0]] + under[1][i][index.cells[:, 1]]
-                    seen = np.flatnonzero((bound >= least[i]) & (bound < most[i]) & (below <= max(high[i], default=_NONE)))
+                    bound = upper[0][i][place[0]] + upper[1][i][place[1]]
+                    passed = under[0][i][place[0]] + under[1][i][place[1]] > max(high[i], default=_NONE)
+                    least[i] = index.sweep(bound, passed, SEED * GROWTH**wave) if wave else index.descend([u[i] for u in upper], passed, SEED)
+                    if wave:
+                        most[i] = index.sweep(bound, passed, SEED * GROWTH ** (wave - 1)) + OVERLAP
+                    least[i] = max(least[i], min(floor[i], default=_ABOVE))
+                    seen = np.flatnonzero((bound >= least[i]) & (bound < most[i]) & ~passed)
                     own = np.unique(np.repeat(index.first[seen], index.spread[seen]) + _within(index.spread[seen]))
                     who.append(np.full(len(own), i))
                     shards.append(own)
@@ -237,9 +258,12 @@ def search(index_rows: DataFrame, index: MultiIndex, anchors: DataFrame, k: int,
                 columns = [c.take(pa.array(take)) for c in batch.columns]
                 yield _arrow([*batch.schema.names, "least", "most", "shard"], [*columns, pa.array(least[take]), pa.array(most[take]), pa.array(np.concatenate(shards))])
 
-    number = F.pmod(F.xxhash64("anchor_id"), F.lit(blocks))
-    sent_out = saved(anchors.mapInArrow(lean(deal), _ASKED + ", least double, most double, shard long").withColumn("block", number), "negatives-asked")
-    wanted = sent_out.select(F.col("shard").alias("_shard"), F.col("block").alias("_block")).distinct()
+    return run
+
+
+def _visited(index_rows: DataFrame, sent, dealt: DataFrame, k: int, same_label: bool) -> DataFrame:
+    """(anchor_id, asked, vec_id, score): of each shard, the k best rows of each anchor and window."""
+    wanted = dealt.select(F.col("shard").alias("_shard"), F.col("block").alias("_block")).distinct()
     rows = index_rows.join(wanted, F.col("shard") == F.col("_shard"))
 
     def visit(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -281,7 +305,7 @@ def search(index_rows: DataFrame, index: MultiIndex, anchors: DataFrame, k: int,
         numbers = flat(asked)
         return _found(who[of[line]], numbers[line], top_id[line, rank], top_score[line, rank])
 
-    met = rows.groupBy("_shard", "_block").cogroup(sent_out.groupBy("shard", "block"))
+    met = rows.groupBy("_shard", "_block").cogroup(dealt.groupBy("shard", "block"))
     return met.applyInArrow(visit, "anchor_id long, asked long, vec_id long, score long")
 
 
@@ -311,22 +335,13 @@ def hard_negatives(vectors: DataFrame, every: int = 100, positives: int = 5, neg
     anchors = rows.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("anchor_id"), "label", "x")
     lowest, highest = F.lit(_NONE + 1), F.lit(_ABOVE)
 
-    def two_waves(asked: DataFrame, k: int, same_label: bool) -> DataFrame:
-        first = saved(ranked(search(rows, index, asked, k, same_label, 1), k), "negatives-first")
-        # where k rows are known, the last one's score is the least of use
-        known = first.filter(F.col("rank") == k).groupBy("anchor_id").agg(F.map_from_entries(F.collect_list(F.struct("asked", "score"))).alias("known"))
-        floors = F.transform(F.arrays_zip("asked", "low"), lambda w: F.greatest(w["low"], F.coalesce(F.try_element_at(F.col("known"), w["asked"]), w["low"])))
-        more = asked.join(known, "anchor_id", "left").withColumn("floor", floors).drop("known")
-        second = search(rows, index, more, k, same_label, 2)
-        return saved(ranked(first.drop("rank").unionByName(second).dropDuplicates(["anchor_id", "asked", "vec_id"]), k), "negatives-ranked")
-
     whole = anchors.select("*", F.array(F.lit(0).cast("long")).alias("asked"), *(F.array(v.cast("long")).alias(c) for c, v in (("low", lowest), ("high", highest), ("floor", lowest))))
-    found = two_waves(whole, positives, True).select("anchor_id", F.col("vec_id").alias("positive_id"), F.col("score").alias("positive_score"))
+    found = search(rows, index, whole, positives, True).select("anchor_id", F.col("vec_id").alias("positive_id"), F.col("score").alias("positive_score"))
     windows = found.filter("positive_score >= 0").groupBy("anchor_id").agg(F.array_sort(F.collect_list(F.struct("positive_id", "positive_score"))).alias("p"))  # ``positives`` at most
     # a positive's id is what is asked; below 0 a window is empty
     ends = {"asked": "w.positive_id", "low": f"(w.positive_score * {LEAST_TENTHS} + 9) div 10", "high": f"(w.positive_score * {MOST_TENTHS}) div 10"}
     asked = anchors.join(windows, "anchor_id").select("anchor_id", "label", "x", *(F.expr(f"transform(p, w -> {e})").alias(c) for c, e in ends.items())).withColumn("floor", F.col("low"))
-    near = two_waves(asked, negatives, False).select("anchor_id", F.col("asked").alias("positive_id"), "rank", F.col("vec_id").alias("negative_id"), F.col("score").alias("negative_score"))
+    near = search(rows, index, asked, negatives, False).select("anchor_id", F.col("asked").alias("positive_id"), "rank", F.col("vec_id").alias("negative_id"), F.col("score").alias("negative_score"))
     return near.join(found, ["anchor_id", "positive_id"]).select(*(c.split()[0] for c in RESULT.split(", ")))
 
 
