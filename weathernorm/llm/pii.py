@@ -9,7 +9,8 @@ of the final span classifier, a logistic regression over votes, kind and shape.
 classifier takes are added where they overlap no base span.
 
 Edge cases: NULL and empty texts have no spans; ids may be NULL or repeat; other columns are ignored;
-an empty table gives an empty result. Positions count code points, ends are exclusive.
+an empty table gives an empty result. Positions count code points, ends are exclusive. Very long texts are
+read whole, in time linear in their length, whatever runs of characters they hold.
 """
 
 from __future__ import annotations
@@ -34,15 +35,17 @@ FIT_BLOCK = 20_000
 
 _AT = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+# the leftmost match starts at a run's first digit, and no run gives back a digit: each is read four times at most
+_IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 
 _NUMBER = re.compile(r"[+(]?[0-9][0-9 ().-]{5,24}[0-9]")
-_SPELT = re.compile(r"[A-Za-z0-9._%+-]+ ?(?:\(at\)|\[at\]| at ) ?[A-Za-z0-9-]+ ?(?:\(dot\)|\[dot\]| dot ) ?[A-Za-z]{2,}", re.I)
+#: A spelt address from its "at" on; the part before is the run that ends there.
+_SPELT = re.compile(r" ?(?:\(at\)|\[at\]| at ) ?[A-Za-z0-9-]++ ?(?:\(dot\)|\[dot\]| dot ) ?[A-Za-z]{2,}", re.I)
 _KEYED = re.compile(r"\b(?:token|secret|passwd|password|api[_-]?key|access[_-]?key|auth)\b[\"']?\s*[:=]\s*[\"']?([^\s\"',;]{6,})", re.I)
-_TOKENISH = re.compile(r"(?=[A-Za-z_-]*[0-9])[A-Za-z0-9_-]{20,}")
+_TOKENISH = re.compile(r"[A-Za-z0-9_-]{20,}+")
 _HANDLE = re.compile(r"(?<![\w.@])@[A-Za-z_][A-Za-z0-9_]{2,30}\b(?!\.?[A-Za-z0-9-]*\.)")
 _NAMED = re.compile(r"\b(?:[Mm]y name is|[Nn]ame:|[Cc]ontact:|[Ss]igned,|Mr\.|Mrs\.|Ms\.|Dr\.|Herr|Frau|[Mm]ein Name ist|Monsieur|Madame|[Jj]e m'appelle|Señor|Señora|Sr\.|Sra\.|[Mm]e llamo) ([A-ZÄÖÜÉÈÁÍÓÚÑÇ][a-zäöüßéèêáíóúñç]+(?: [A-ZÄÖÜÉÈÁÍÓÚÑÇ][a-zäöüßéèêáíóúñç]+){0,2})")
 _NAME_CUES = ("ame is ", "ame: ", "ontact: ", "igned, ", "Mr. ", "Mrs. ", "Ms. ", "Dr. ", "Herr ", "Frau ", "ame ist ", "onsieur ", "adame ", "appelle ", "eñor ", "eñora ", "Sr. ", "Sra. ", "llamo ")
@@ -101,6 +104,20 @@ def emails(text: str) -> list[tuple[int, int]]:
     return found
 
 
+def spelt(text: str) -> list[tuple[int, int]]:
+    """Addresses with a spelt-out "at" and "dot", leftmost and without overlaps."""
+    found, end, m = [], 0, _SPELT.search(text)
+    while m:
+        start, after = m.start(), m.start() + 1
+        while start > end and text[start - 1] in _LOCAL:
+            start -= 1
+        if start < m.start():
+            end = after = m.end()
+            found.append((start, end))
+        m = _SPELT.search(text, after)
+    return found
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind's number, end) of the fixed patterns, in order."""
     found = [(a, 0, b) for a, b in emails(text)] if "@" in text else []
@@ -138,7 +155,8 @@ def candidates(text: str, base: list) -> list[tuple[int, int, int]]:
                 kind = 2 if n >= 13 and m.group()[0] not in "+(" else 1 if m.group().count(".") == 3 and n <= 12 else 3
                 found.add((m.start(), kind, m.end()))
         for m in _TOKENISH.finditer(text):
-            found.add((m.start(), 4, m.end()))
+            if _DIGIT.search(m.group()):
+                found.add((m.start(), 4, m.end()))
     if "=" in text or ":" in text:
         for m in _KEYED.finditer(text):
             found.add((m.start(1), 4, m.end(1)))
@@ -147,8 +165,7 @@ def candidates(text: str, base: list) -> list[tuple[int, int, int]]:
             found.add((m.start(), 5, m.end()))
     low = text.lower()
     if any(x in low for x in ("(at)", "[at]", " at ")) and any(x in low for x in ("(dot)", "[dot]", " dot ")):
-        for m in _SPELT.finditer(text):
-            found.add((m.start(), 0, m.end()))
+        found.update((a, 0, b) for a, b in spelt(text))
     if any(cue in text for cue in _NAME_CUES):
         for m in _NAMED.finditer(text):
             found.add((m.start(1), 6, m.end(1)))
