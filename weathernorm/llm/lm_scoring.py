@@ -30,6 +30,7 @@ from __future__ import annotations
 import math
 import string
 import zlib
+from collections import Counter
 from itertools import repeat
 
 import numpy as np
@@ -44,11 +45,11 @@ from .pretokens import LONGEST_KEPT, slices
 #: Symbols of the model besides the end, and the words whose counts are broadcast.
 SHORTLIST, BUCKETS, FREQUENT = 1_000, 256, 200_000
 #: Numbers of a vector, tokens of a step, noise symbols shared by a step, the rate, and rounds over all texts.
-WIDTH, STEP, NOISE, RATE, EPOCHS = 24, 1_024, 64, 0.1, 2
+WIDTH, STEP, NOISE, RATE, EPOCHS = 24, 1_024, 32, 0.3, 2
 #: Fixed value: what is added to each count.
 ADDED = 0.1
 #: Different words that a task counts before its sums go on to the shuffle.
-COUNTER_WORDS = 400_000
+COUNTER_WORDS = 300_000
 END = b""
 _LOWER = bytes.maketrans(string.ascii_uppercase.encode(), string.ascii_lowercase.encode())
 #: Parameters as whole numbers, and how many of them are summed together.
@@ -72,7 +73,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
     """(word, n_all, n): how often each word is in all texts, and in those with ``learned``; the end is a word."""
 
     def run(batches):
-        seen: tuple[dict, dict] = ({}, {})
+        seen = (Counter(), Counter())
 
         def emit():
             for learned, counts in enumerate(seen):
@@ -86,9 +87,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
             learned = batch.column(1).to_pylist()
             for at, texts in texts_of(batch, 0):
                 for k, text in enumerate(texts, at):
-                    counts = seen[learned[k]]
-                    for word in tokens(text):
-                        counts[word] = counts.get(word, 0) + 1
+                    seen[learned[k]].update(tokens(text))
                 if len(seen[0]) + len(seen[1]) > COUNTER_WORDS:
                     yield from emit()
         yield from emit()
@@ -244,19 +243,20 @@ class Trainer:
         m, d = self.r.shape
         return np.bincount((rows[:, None] * d + np.arange(d)).ravel(), gradient.ravel(), m * d).reshape(m, d).astype(np.float32)
 
+    @np.errstate(over="ignore")
     def step(self, before: np.ndarray, target: np.ndarray) -> None:
         near, far = self.r[before[:, 0]], self.r[before[:, 1]]
         h = near @ self.c[0] + far @ self.c[1]
         drawn = np.minimum(np.searchsorted(self.cumulative, self.rng.random(self.k)), len(self.b) - 1)
-        sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+        sigmoid = lambda x: 1 / (1 + np.exp(-x))  # noqa: E731  0 where the exponential is infinite
         qt, qn = self.q[target], self.q[drawn]
         up = 1 - sigmoid((h * qt).sum(1) + self.b[target] - self.shift[target])
         down = -sigmoid(h @ qn.T + self.b[drawn] - self.shift[drawn])
         gh = up[:, None] * qt + down @ qn
         n, m = np.float32(len(target)), len(self.b)
-        gq = self._scatter(target, up[:, None] * h) + self._scatter(drawn, down.T @ h)
-        gb = (np.bincount(target, up, m) + np.bincount(drawn, down.sum(0), m)).astype(np.float32)
-        gr = self._scatter(before[:, 0], gh @ self.c[0].T) + self._scatter(before[:, 1], gh @ self.c[1].T)
+        gq = self._scatter(np.concatenate([target, drawn]), np.concatenate([up[:, None] * h, down.T @ h]))
+        gb = np.bincount(np.concatenate([target, drawn]), np.concatenate([up, down.sum(0)]), m).astype(np.float32)
+        gr = self._scatter(before.T.ravel(), np.concatenate([gh @ self.c[0].T, gh @ self.c[1].T]))
         gc = np.stack([near.T @ gh, far.T @ gh])
         for part, seen, gradient in zip((self.r, self.q, self.b, self.c), self.seen, (gr, gq, gb, gc), strict=True):
             self._move(part, seen, gradient / n)
