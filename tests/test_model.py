@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from weathernorm.operators import aggregates as agg
 from weathernorm.operators import effects, model
-from weathernorm.operators.boost import Booster
+from weathernorm.operators.boost import Booster, fit_all
 
 KEY = ["location_id"]
 WEATHER = ["air_temp_min", "ws", "precip", "pbl_min", "fire_frp"]
@@ -193,10 +193,9 @@ def test_seasons_have_an_effect_of_their_own(spark):
     assert len({round(r["e"], 3) for r in out}) > 2
 
 
-def test_normalised_trend_takes_every_weather_row(spark, monkeypatch):
+def test_normalised_trend_takes_every_weather_row(spark):
     df, columns = synthetic(spark, trend=20.0), ["date_unix", *WEATHER[:4]]
     rows, models = fitted(df, columns, trees=30)
-    monkeypatch.setattr(effects, "GRID", 1000)
     got = [r["normalised"] for r in effects.normalised_trend(rows, models, KEY, columns).orderBy("date").collect()]
     b = Booster.loads(models.first()["model"])
     x = rows.orderBy("date").select(*b.names).toPandas().to_numpy(dtype=float)
@@ -206,3 +205,77 @@ def test_normalised_trend_takes_every_weather_row(spark, monkeypatch):
         grid[:, j] = year
         want.append(b.predict(grid).mean())
     assert np.allclose(got, want)
+
+
+NULL_KEY = ["location_id", "process_id"]
+
+
+def test_series_with_a_null_key_keep_everything(spark):
+    one = synthetic(spark, trend=-5.0, fire=2.0)
+    df = one.withColumn("process_id", F.lit("a")).unionByName(one.withColumn("process_id", F.lit(None).cast("string")))
+    columns = ["date_unix", *WEATHER]
+    # the two have seeds of their own: without a draw of rows they are alike
+    rows, models = model.fit(df, NULL_KEY, columns, trees=60, rate=0.1, cv_folds=2, fraction=1.0, training_end=END)
+    found = {r["process_id"]: r for r in models.collect()}
+    assert set(found) == {"a", None} and all(len(r["errors"]) > 1 and r["status"] == "ok" for r in found.values())
+    count = lambda out, c: {r["process_id"]: r["n"] for r in out.groupBy("process_id").agg(F.count(c).alias("n")).collect()}
+    for out, c in ((effects.trend(models, rows, NULL_KEY), "trend"), (effects.composite_time_effect(models, rows, NULL_KEY), "effect"), (effects.composite_time_effect(models, rows, NULL_KEY), "effect_trend"), (effects.no_fire(rows, models, NULL_KEY, columns), "predicted_nofire"), (effects.normalised_trend(rows, models, NULL_KEY, columns), "normalised"), (model.predict(rows, models, NULL_KEY), "predicted")):
+        n = count(out, c)
+        assert n["a"] == n[None] > 300, c
+
+
+def test_rows_do_not_grow_with_the_grid(spark):
+    df = synthetic(spark).unionByName(synthetic(spark, location=2))
+    options = {"trees": 3, "lag": 0, "cv_folds": 1, "ntrainings": 3}
+    grid = model.config_grid({"anomaly": {"training_end": END}}, WEATHER[:2], learning_rate=[0.1, 0.2, 0.3], training_fraction=[0.5, 0.9], **options)
+    rows, models = model.fit_configs(df, KEY, grid)
+    assert rows.count() == df.count() and models.count() == 2 * 18
+    splits = {(r["config_id"], r["replicate"]): r["split"] for r in models.collect()}
+    assert len(set(splits.values())) == 6  # rates share them
+    for c in grid:
+        for r in range(3):
+            opened = model.with_set(rows, splits[c.config_id, r]).select("location_id", "date", "set")
+            plain = model.split_sets(df, KEY, c.training_fraction, END, replicate=r).select("location_id", "date", "set")
+            assert opened.exceptAll(plain).count() == 0
+
+
+@pytest.mark.parametrize("splits", [1, 2, 4])
+def test_mean_over_rows_is_the_brute_force_mean(splits):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(300, 3))
+    x[:30, 0] = np.nan
+    x[20:50, 1] = np.nan
+    y = np.nan_to_num(x[:, 0]) ** 2 + np.nan_to_num(x[:, 1]) * np.nan_to_num(x[:, 0]) + rng.normal(0, 0.1, 300)
+    b = Booster(["a", "b", "c"], rate=0.1, splits=splits)
+    b.fit(x, y, 300)
+    values = np.array([-3.0, -0.5, 0, 0.2, np.nan, 9])
+    put = lambda v: np.column_stack([np.full(300, v), x[:, 1:]])
+    assert np.allclose(b.mean_over_rows("a", values, x), [b.predict(put(v)).mean() for v in values], atol=1e-9)
+    assert np.allclose(b.mean_over_rows("a", values, x, np.exp), [np.exp(b.predict(put(v))).mean() for v in values], atol=1e-9)
+
+
+def test_fits_side_by_side_are_the_fits_alone():
+    rng = np.random.default_rng(3)
+    members = []
+    for k, n in enumerate((200, 3, 90, 1, 350)):
+        x = rng.normal(size=(n, 2))
+        members.append((x, 3 * x[:, 0] + rng.normal(0, 0.1, n), k + 5))
+    for folds in (1, 3):
+        together, errors = fit_all(members, ["a", "b"], 0.1, 2, 120, folds)
+        for m, b, e in zip(members, together, errors, strict=True):
+            (alone,), (own,) = fit_all([m], ["a", "b"], 0.1, 2, 120, folds)
+            assert np.array_equal(alone.predict(m[0]), b.predict(m[0])) and np.allclose(own, e) and alone.trees == b.trees
+
+
+def test_a_curve_that_has_turned_stops_the_search():
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=(120, 3)), rng.normal(size=120)  # noise: the best number of trees is small
+    (short,), (curve,) = fit_all([(x, y, 1)], ["a", "b", "c"], 0.1, 2, 2_000, 3, patience=100)
+    (whole,), (longer,) = fit_all([(x, y, 1)], ["a", "b", "c"], 0.1, 2, 2_000, 3, patience=None)
+    assert len(curve) < 500 and len(longer) == 2_000
+    assert np.array_equal(curve, longer[: len(curve)]) and short.trees == whole.trees == int(np.argmin(longer)) + 1
+
+
+def test_nothing_to_fit(spark):
+    rows, models = model.fit(synthetic(spark).limit(0), KEY, WEATHER, trees=5)
+    assert models.count() == 0 and model.predict(rows, models, KEY).count() == 0

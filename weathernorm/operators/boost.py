@@ -1,149 +1,388 @@
-"""Gradient-boosted regression trees for one series: histograms in numpy, NULLs as a branch of their own.
+"""Gradient-boosted regression trees in numpy: many fits at once, NULLs as a branch of their own.
 
-Small helper of the fan-out in ``model.py``: Spark deals out the series, this fits one of them.
+Small helper of the fan-out in ``model.py``: Spark deals out blocks of series, this fits those of a block side
+by side. A step grows one tree of every fit: histograms, gains and routes of all fits are single numpy
+calls over the block's rows, so the cost of a call is shared by all fits, folds included.
 """
 
 from __future__ import annotations
 
+import io
 import json
+from collections.abc import Sequence
 
 import numpy as np
 
+#: Values of a variable are binned; the last bin is for NULLs.
 BINS = 64
+#: Trees between two looks at which fits are done, and trees that are applied to rows at once.
+LOOK, CHUNK = 64, 256
+
+
+def quantile_edges(x: np.ndarray) -> list[np.ndarray]:
+    """By column, the borders of its bins."""
+    out = []
+    for j in range(x.shape[1]):
+        v = x[~np.isnan(x[:, j]), j]
+        out.append(np.unique(np.quantile(v, np.linspace(0, 1, BINS)[1:-1])) if len(v) else np.zeros(0))
+    return out
+
+
+def binned(x: np.ndarray, edges: Sequence[np.ndarray]) -> np.ndarray:
+    out = np.empty(x.shape, np.int64)
+    for j, e in enumerate(edges):
+        out[:, j] = np.where(np.isnan(x[:, j]), BINS, np.searchsorted(e, x[:, j], side="left"))
+    return out
+
+
+def _mixed(z: np.ndarray) -> np.ndarray:
+    """Well-mixed 64-bit numbers: a row's draws depend on its fit's seed and its place alone."""
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+class Lockstep:
+    """Squared loss; the trees of all fits grow best-first to ``splits`` splits, each with a left, a right and a
+    NULL child. Node 0 is the root, the children of the s-th split are 1 + 3 s and the two after it."""
+
+    def __init__(self, bins: np.ndarray, y: np.ndarray, of: np.ndarray, learns: np.ndarray, seeds: np.ndarray, rate: float, splits: int, bag: float = 0.5, least: int = 10) -> None:
+        self.y, self.of, self.learns, self.fits, self.width = y, of, learns, len(seeds), bins.shape[1]
+        #: By variable, each row's place in a histogram of all variables.
+        self.columns = np.ascontiguousarray(bins.T) + np.arange(self.width)[:, None] * (BINS + 1)
+        self.rate, self.splits, self.bag, self.least, self.t = rate, splits, bag, least, 0
+        n = np.bincount(of[learns], minlength=self.fits)
+        self.start = np.bincount(of[learns], y[learns], self.fits) / np.maximum(1, n)
+        self.f = self.start[of]
+        place = np.arange(len(y)) - np.searchsorted(of, np.arange(self.fits))[of]  # rows of a fit stand together
+        self.keys = _mixed(seeds.astype(np.uint64)[of] * np.uint64(0x9E3779B97F4A7C15) + place.astype(np.uint64))
+        self.draws = np.zeros(len(y), np.uint64)
+
+    def keep(self, wanted: np.ndarray) -> None:
+        """Goes on with some of the fits only; they are numbered anew."""
+        rows, number = wanted[self.of], np.cumsum(wanted) - 1
+        self.columns = np.ascontiguousarray(self.columns[:, rows])
+        self.y, self.learns, self.f, self.keys, self.draws = (a[rows] for a in (self.y, self.learns, self.f, self.keys, self.draws))
+        self.of, self.start, self.fits = number[self.of[rows]], self.start[wanted], int(wanted.sum())
+
+    def _bagged(self) -> np.ndarray:
+        if self.bag >= 1:
+            return self.learns
+        if self.t % 8 == 0:  # eight trees' draws at a time
+            self.draws = _mixed(self.keys + np.array([self.t // 8 + 1], np.uint64) * np.uint64(0xD1B54A32D192ED03))
+        drawn = (self.draws >> np.uint64(8 * (self.t % 8))) & np.uint64(255)
+        return self.learns & (drawn < np.uint64(round(256 * self.bag)))
+
+    def _best(self, rows: np.ndarray, group: np.ndarray, groups: int, r: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """By group of rows, the best split's gain, variable and bin."""
+        width = self.width
+        base, own = group * (width * (BINS + 1)), r[rows]
+        at = (base[None] + self.columns[:, rows]).ravel()
+        size = groups * width * (BINS + 1)
+        n = np.bincount(at, minlength=size).reshape(groups, width, -1)
+        s = np.bincount(at, np.broadcast_to(own, (width, len(own))).ravel(), size).reshape(groups, width, -1).astype(float, copy=False)
+        nc, sc = n[:, :, :BINS].cumsum(2), s[:, :, :BINS].cumsum(2)
+        nl, sl = nc[:, :, :-1], sc[:, :, :-1]
+        nr, sr = nc[:, :, -1:] - nl, sc[:, :, -1:] - sl
+        missing = s[:, :, BINS:] ** 2 / np.maximum(n[:, :, BINS:], 1)
+        total = (sc[:, 0, -1] + s[:, 0, BINS]) ** 2 / np.maximum(1, nc[:, 0, -1] + n[:, 0, BINS])
+        few = np.minimum(nl, nr) < self.least
+        sl = sl * sl
+        sl /= np.maximum(nl, 1)
+        sr *= sr
+        sr /= np.maximum(nr, 1)
+        sl += sr
+        sl += missing - total[:, None, None]
+        gain = sl
+        gain[few] = -np.inf
+        flat = gain.reshape(groups, -1)
+        k = flat.argmax(1) if flat.shape[1] else np.zeros(groups, np.int64)
+        return (flat[np.arange(groups), k] if flat.shape[1] else np.full(groups, -np.inf)), k // (BINS - 1), k % (BINS - 1)
+
+    def grow(self) -> tuple[dict[str, np.ndarray], np.ndarray]:
+        """One tree of every fit, as arrays by (fit, node); ``f`` moves on. Also the rows that were drawn."""
+        fits, nodes, every = self.fits, 1 + 3 * self.splits, np.arange(self.fits)
+        tree = {"feature": np.full((fits, nodes), -1, np.int16), "cut": np.zeros((fits, nodes), np.int16), "child": np.full((fits, nodes), -1, np.int16), "value": np.zeros((fits, nodes)), "rows": np.zeros((fits, nodes), np.int32), "gain": np.zeros((fits, nodes))}
+        r, bagged = self.y - self.f, self._bagged()
+        self.t += 1
+        rows = np.flatnonzero(bagged)
+        of = self.of[rows]
+        tree["rows"][:, 0] = n = np.bincount(of, minlength=fits)
+        tree["value"][:, 0] = np.bincount(of, r[rows], fits) / np.maximum(1, n)
+        leaf = np.zeros(len(self.y), np.int64)
+        open_gain, open_at = np.full((fits, nodes), -np.inf), np.zeros((fits, nodes, 2), np.int64)
+        open_gain[:, 0], open_at[:, 0, 0], open_at[:, 0, 1] = self._best(rows, of, fits, r)
+        for s in range(self.splits):
+            at = open_gain.argmax(1)
+            gain = open_gain[every, at]
+            found = gain > 1e-12
+            if not found.any():
+                break
+            j, k, first = open_at[every, at, 0], open_at[every, at, 1], 1 + 3 * s
+            which, node = every[found], at[found]
+            tree["feature"][which, node], tree["cut"][which, node] = j[found], k[found]
+            tree["child"][which, node], tree["gain"][which, node] = first, gain[found]
+            open_gain[which, node] = -np.inf
+            moved = np.flatnonzero((leaf == at[self.of]) & found[self.of])
+            own = self.of[moved]
+            v = self.columns[j[own], moved] - j[own] * (BINS + 1)
+            side = np.where(v == BINS, 2, (v > k[own]).astype(np.int64))
+            leaf[moved] = first + side
+            drawn = bagged[moved]
+            rows, group = moved[drawn], 3 * own[drawn] + side[drawn]
+            n = np.bincount(group, minlength=3 * fits).reshape(fits, 3)
+            total = np.bincount(group, r[rows], 3 * fits).reshape(fits, 3)
+            tree["rows"][:, first : first + 3] = n
+            # where no NULL was seen, the node's own mean
+            tree["value"][:, first : first + 3] = np.where(n > 0, total / np.maximum(1, n), tree["value"][every, at][:, None])
+            if s + 1 < self.splits:
+                again, j, k = (x.reshape(fits, 3) for x in self._best(rows, group, 3 * fits, r))
+                open_gain[:, first : first + 3] = np.where((n >= 2 * self.least) & found[:, None], again, -np.inf)
+                open_at[:, first : first + 3, 0], open_at[:, first : first + 3, 1] = j, k
+        self.f += self.rate * tree["value"][self.of, leaf]
+        return tree, bagged
 
 
 class Booster:
-    """Squared loss; trees grow best-first to ``splits`` splits, each with a left, a right and a NULL child."""
+    """One model: arrays by (tree, node) of the split's variable (-1: a leaf), bin and first child, of the
+    node's value and rows, and of the split's gain."""
+
+    FIELDS = ("feature", "cut", "child", "value", "rows", "gain")
 
     def __init__(self, names: list[str], rate: float = 0.01, splits: int = 2, bag: float = 0.5, least: int = 10, seed: int = 0) -> None:
         self.names, self.rate, self.splits, self.bag, self.least, self.seed = names, rate, splits, bag, least, seed
         self.edges: list[np.ndarray] = []
-        self.trees: list[list[tuple]] = []
         self.start = 0.0
+        for name in self.FIELDS:
+            setattr(self, name, np.zeros((0, 1 + 3 * splits), float if name in ("value", "gain") else np.int32))
 
-    def _binned(self, x: np.ndarray) -> np.ndarray:
-        out = np.empty(x.shape, np.int64)
-        for j, e in enumerate(self.edges):
-            out[:, j] = np.where(np.isnan(x[:, j]), BINS, np.searchsorted(e, x[:, j], side="left"))
-        return out
+    @property
+    def trees(self) -> int:
+        return len(self.value)
 
-    def fit(self, x: np.ndarray, y: np.ndarray, trees: int, held: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
-        """Grows the trees; gives the squared error after each of them: of the held-out rows if given,
-        else an out-of-bag estimate, summed improvements from the start's error."""
-        rng = np.random.default_rng(self.seed)
-        self.start = float(y.mean())
-        for j in range(x.shape[1]):
-            v = x[~np.isnan(x[:, j]), j]
-            self.edges.append(np.unique(np.quantile(v, np.linspace(0, 1, BINS)[1:-1])) if len(v) else np.zeros(0))
-        b, f = self._binned(x), np.full(len(y), self.start)
-        hb, hf = (self._binned(held[0]), np.full(len(held[1]), self.start)) if held else (None, None)
-        errors = np.zeros(trees)
-        flat = b + np.arange(b.shape[1]) * (BINS + 1)
-        oob = float(((y - self.start) ** 2).mean())
-        for t in range(trees):
-            bagged = rng.permutation(len(y))[: max(1, int(np.ceil(self.bag * len(y))))] if self.bag < 1 else np.arange(len(y))
-            tree = self._tree(b, flat, y - f, bagged)
-            step = self.rate * self._leaf_values(tree, b)
-            if held:
-                hf += self.rate * self._leaf_values(tree, hb)
-                errors[t] = ((held[1] - hf) ** 2).mean()
-            else:
-                out = np.ones(len(y), bool)
-                out[bagged] = False
-                r = y - f
-                if out.any():
-                    oob += float(((r - step)[out] ** 2).mean() - (r[out] ** 2).mean())
-                errors[t] = oob
-            f += step
-            self.trees.append(tree)
+    def fit(self, x: np.ndarray, y: np.ndarray, trees: int) -> np.ndarray:
+        """Grows the trees; gives the out-of-bag estimate of the squared error after each of them."""
+        (one,), (errors,) = fit_all([(x, y, self.seed)], self.names, self.rate, self.splits, trees, 1, self.bag, self.least, cut=False)
+        self.__dict__ |= one.__dict__
         return errors
 
-    def _tree(self, b: np.ndarray, flat: np.ndarray, r: np.ndarray, rows: np.ndarray) -> list[tuple]:
-        """Nodes (feature, bin, left, right, missing, value, rows, gain); a leaf has feature -1."""
-        width = b.shape[1]
-
-        def best(idx: np.ndarray):
-            n = np.bincount(flat[idx].ravel(), minlength=width * (BINS + 1)).reshape(width, BINS + 1)
-            s = np.bincount(flat[idx].ravel(), np.repeat(r[idx], width), width * (BINS + 1)).reshape(width, BINS + 1)
-            nl, sl = n[:, :BINS].cumsum(1)[:, :-1], s[:, :BINS].cumsum(1)[:, :-1]
-            nr, sr = n[:, :BINS].sum(1)[:, None] - nl, s[:, :BINS].sum(1)[:, None] - sl
-            nm, sm = n[:, BINS:], s[:, BINS:]
-            total = r[idx].sum() ** 2 / max(1, len(idx))
-            gain = sl**2 / np.maximum(nl, 1) + sr**2 / np.maximum(nr, 1) + sm**2 / np.maximum(nm, 1) - total
-            gain[(nl < self.least) | (nr < self.least)] = -np.inf
-            k = int(gain.argmax())
-            return float(gain.flat[k]), k // (BINS - 1), k % (BINS - 1)
-
-        nodes: list[list] = [[-1, 0, -1, -1, -1, float(r[rows].mean()) if len(rows) else 0.0, len(rows), 0.0]]
-        open_ = {0: (rows, best(rows))}
+    def take(self, model: dict[str, np.ndarray], columns: Sequence[int], names: Sequence[str]) -> Booster:
+        """Trees over some of the columns: those that may be split."""
+        self.names, number = list(names), np.full(max(columns, default=0) + 2, -1)
+        number[np.asarray(columns, int)] = np.arange(len(columns))
+        for name in self.FIELDS:
+            setattr(self, name, model[name])
+        self.feature = number[model["feature"]]  # -1 stays: the last place
+        return self
+
+    def leaves(self, b: np.ndarray, first: int, last: int) -> np.ndarray:
+        """The leaf of each row in some of the trees, by (tree, row)."""
+        at, each = np.zeros((last - first, len(b)), np.int64), np.arange(first, last)[:, None]
+        bt = b.T if b.shape[1] else np.zeros((1, len(b)), np.int64)
         for _ in range(self.splits):
-            at = max(open_, key=lambda k: (open_[k][1][0], -k), default=None)
-            if at is None or not open_[at][1][0] > 1e-12:
-                break
-            idx, (gain, j, k) = open_.pop(at)
-            v = b[idx, j]
-            for place, part in ((2, idx[v <= k]), (3, idx[(v > k) & (v < BINS)]), (4, idx[v == BINS])):
-                value = float(r[part].mean()) if len(part) else nodes[at][5]  # no NULL seen: the node's own mean
-                nodes.append([-1, 0, -1, -1, -1, value, len(part), 0.0])
-                nodes[at][place] = len(nodes) - 1
-                if len(part) >= 2 * self.least:
-                    open_[len(nodes) - 1] = (part, best(part))
-            nodes[at][0], nodes[at][1], nodes[at][7] = j, k, gain
-        return [tuple(n) for n in nodes]
-
-    def _leaf_values(self, tree: list[tuple], b: np.ndarray) -> np.ndarray:
-        out, todo = np.empty(len(b)), [(0, np.arange(len(b)))]
-        while todo:
-            k, idx = todo.pop()
-            j, cut, left, right, missing, value, _, _ = tree[k]
-            if j < 0:
-                out[idx] = value
-            elif len(idx):
-                v = b[idx, j]
-                todo += [(left, idx[v <= cut]), (right, idx[(v > cut) & (v < BINS)]), (missing, idx[v == BINS])]
-        return out
+            j = self.feature[each, at]
+            v = bt[np.maximum(j, 0), np.arange(len(b))[None]]
+            side = np.where(v == BINS, 2, (v > self.cut[each, at]).astype(np.int64))
+            at = np.where(j >= 0, self.child[each, at] + side, at)
+        return at
 
     def predict(self, x: np.ndarray, trees: int | None = None) -> np.ndarray:
-        out, b = np.full(len(x), self.start), self._binned(x)
-        for tree in self.trees[:trees]:
-            out += self.rate * self._leaf_values(tree, b)
+        out, b, n = np.full(len(x), self.start), binned(x, self.edges), self.trees if trees is None else min(trees, self.trees)
+        for k in range(0, n, CHUNK):
+            last = min(n, k + CHUNK)
+            out += self.rate * np.take_along_axis(self.value[k:last], self.leaves(b, k, last), 1).sum(0)
         return out
 
+    def _spans(self, j: int, first: int, last: int, b: np.ndarray | None):
+        """Of each node of some trees: whether it is a leaf, the span of bins of variable ``j`` that leads to it, and by
+        row of ``b`` whether the splits of other variables do (without rows: the share of the fit's rows)."""
+        t, nodes = last - first, self.value.shape[1]
+        every = np.arange(t)
+        low, high = np.zeros((t, nodes), np.int64), np.full((t, nodes), BINS + 1)
+        share = np.ones((nodes, t, 1 if b is None else len(b)), float if b is None else bool)
+        feature, cut, child, rows = (x[first:last] for x in (self.feature, self.cut, self.child, self.rows))
+        there = np.zeros((t, nodes), bool)
+        there[:, 0] = True
+        for s in range(self.splits):
+            c = 1 + 3 * s
+            parent = (child == c).argmax(1)
+            has = (child == c).any(1)
+            there[:, c : c + 3] = has[:, None]
+            f, k = feature[every, parent], cut[every, parent]
+            own, before = f == j, share[parent, every]
+            lo, hi = low[every, parent], high[every, parent]
+            ends = ((lo, np.minimum(hi, k + 1)), (np.maximum(lo, k + 1), np.minimum(hi, BINS)), (np.maximum(lo, BINS), hi))
+            if b is None:
+                n = rows[:, c : c + 3].astype(float)
+                parts = np.where(own[:, None], 1.0, n / np.maximum(1.0, n.sum(1, keepdims=True)))
+            else:
+                v = b.T[np.maximum(f, 0)]
+                side = np.where(v == BINS, 2, (v > k[:, None]).astype(np.int64))
+            for i in range(3):
+                low[:, c + i], high[:, c + i] = np.where(own, ends[i][0], lo), np.where(own, ends[i][1], hi)
+                share[c + i] = before * parts[:, i : i + 1] if b is None else before & (own[:, None] | (side == i))
+        leaf = there & (feature < 0)
+        return leaf, low, np.maximum(low, high), share
+
     def partial_dependence(self, name: str, values: np.ndarray) -> np.ndarray:
         """Mean prediction at each value of one variable: the other splits are followed to all sides, with
         the shares of the rows that went there in the fit."""
         j = self.names.index(name)
-        b = np.where(np.isnan(values), BINS, np.searchsorted(self.edges[j], values, side="left"))
-        out = np.full(len(values), self.start)
-        for tree in self.trees:
-            todo = [(0, np.ones(len(values)))]
-            while todo:
-                k, w = todo.pop()
-                f, cut, left, right, missing, value, _, _ = tree[k]
-                if f < 0:
-                    out += self.rate * w * value
-                elif f == j:
-                    todo += [(left, w * (b <= cut)), (right, w * ((b > cut) & (b < BINS))), (missing, w * (b == BINS))]
-                else:
-                    n = np.array([tree[c][6] for c in (left, right, missing)], float)
-                    todo += [(c, w * share) for c, share in zip((left, right, missing), n / max(1.0, n.sum()), strict=True) if share]
-        return out
+        steps = np.zeros(BINS + 2)
+        for k in range(0, self.trees, CHUNK):
+            last = min(self.trees, k + CHUNK)
+            leaf, low, high, share = self._spans(j, k, last, None)
+            weight = (self.value[k:last] * share[:, :, 0].T)[leaf]
+            steps += np.bincount(low[leaf], weight, BINS + 2) - np.bincount(high[leaf], weight, BINS + 2)
+        by_bin = self.start + self.rate * np.cumsum(steps)
+        return by_bin[np.where(np.isnan(values), BINS, np.searchsorted(self.edges[j], values, side="left"))]
+
+    def mean_over_rows(self, name: str, values: np.ndarray, x: np.ndarray, undo=None) -> np.ndarray:
+        """At each value of one variable, the mean prediction over the rows ``x`` with that value put in; ``undo`` is
+        applied to each prediction before the mean.
+
+        The rows go through each tree's other splits once. A leaf's value counts over the span of bins of the
+        variable that leads to it, so sums along the bins give the predictions at all values: the work of a tree
+        is that of its rows and of the bins, however many values there are.
+        """
+        j, b = self.names.index(name), binned(x, self.edges)
+        steps = np.zeros((len(x) if undo else 1, BINS + 2))
+        each = max(1, min(CHUNK, 2_000_000 // max(1, len(x))))
+        for k in range(0, self.trees, each):
+            last = min(self.trees, k + each)
+            leaf, low, high, share = self._spans(j, k, last, b)
+            for node in range(self.value.shape[1]):
+                own = np.flatnonzero(leaf[:, node])
+                lo, hi, value, rows = low[own, node], high[own, node], self.value[k:last][own, node], share[node][own]
+                if undo is None:
+                    weight = value * rows.mean(1)
+                    steps[0] += np.bincount(lo, weight, BINS + 2) - np.bincount(hi, weight, BINS + 2)
+                elif len(own):
+                    ends = np.zeros((len(own), BINS + 2))
+                    ends[np.arange(len(own)), lo] += value
+                    ends[np.arange(len(own)), hi] -= value
+                    steps += rows.astype(float).T @ ends
+        by_bin = self.start + self.rate * np.cumsum(steps, 1)
+        by_bin = undo(by_bin).mean(0) if undo else by_bin[0]
+        return by_bin[np.where(np.isnan(values), BINS, np.searchsorted(self.edges[j], values, side="left"))]
 
     def influence(self) -> dict[str, float]:
         """Share of the squared-error gains of each variable, in per cent."""
-        gain = np.zeros(len(self.names))
-        for tree in self.trees:
-            for f, *_, g in tree:
-                if f >= 0:
-                    gain[f] += g
+        split = self.feature >= 0
+        gain = np.bincount(self.feature[split], self.gain[split], len(self.names)) if self.names else np.zeros(0)
         return dict(zip(self.names, (100 * gain / gain.sum() if gain.sum() else gain).tolist(), strict=True))
 
-    def dumps(self) -> str:
-        return json.dumps({"names": self.names, "rate": self.rate, "start": self.start, "edges": [e.tolist() for e in self.edges], "trees": self.trees})
+    def dumps(self) -> bytes:
+        """Numpy's archive of arrays: ``about`` is JSON, ``edges`` all borders one after the other."""
+        about = json.dumps({"names": self.names, "rate": self.rate, "start": self.start, "splits": self.splits, "edges": [len(e) for e in self.edges]})
+        out = io.BytesIO()
+        small = {"feature": np.int16, "cut": np.int16, "child": np.int16, "rows": np.int32, "value": np.float64, "gain": np.float32}
+        np.savez_compressed(out, about=np.frombuffer(about.encode(), np.uint8), edges=np.concatenate([np.zeros(0), *self.edges]), **{k: getattr(self, k).astype(v) for k, v in small.items()})
+        return out.getvalue()
 
     @classmethod
-    def loads(cls, text: str) -> Booster:
-        d = json.loads(text)
-        out = cls(d["names"], d["rate"])
-        out.start, out.edges, out.trees = d["start"], [np.array(e) for e in d["edges"]], [[tuple(n) for n in t] for t in d["trees"]]
+    def loads(cls, data: bytes) -> Booster:
+        with np.load(io.BytesIO(bytes(data)), allow_pickle=False) as found:
+            d = json.loads(found["about"].tobytes())
+            out = cls(d["names"], d["rate"], d["splits"])
+            out.start, out.edges = d["start"], np.split(found["edges"], np.cumsum(d["edges"])[:-1]) if d["edges"] else []
+            for name in cls.FIELDS:
+                setattr(out, name, found[name].astype(float if name in ("value", "gain") else np.int64))
         return out
+
+
+def _turned(errors: np.ndarray, t: int, patience: int | None) -> np.ndarray:
+    """Whether each curve of errors (by tree, fit) has turned: its least is ``patience`` trees back, and as many trees as
+    came before it."""
+    if patience is None:
+        return np.zeros(errors.shape[1], bool)
+    least = np.nan_to_num(errors[:t], nan=np.inf).argmin(0) + 1
+    return t >= least + np.maximum(patience, least)
+
+
+def fit_all(members: Sequence[tuple[np.ndarray, np.ndarray, int]], names: Sequence[str], rate: float, splits: int, trees: int, folds: int, bag: float = 0.5, least: int = 10, patience: int | None = 1_000, cut: bool = True) -> tuple[list[Booster], list[np.ndarray]]:
+    """Models of all members (x, y, seed), side by side, and each one's curve of squared errors by number of trees.
+
+    With folds, all of a member's folds grow together and their errors are summed into one curve as they come;
+    a member whose curve has turned drops out. Its number of trees is where the curve is least; then it
+    is fitted on all its rows. Without folds (or with too few rows for them) the out-of-bag estimate decides.
+    """
+    edges = [quantile_edges(x) for x, _, _ in members]
+    bins = [binned(x, e) for (x, _, _), e in zip(members, edges, strict=True)]
+    size = np.array([len(y) for _, y, _ in members])
+    seeds = np.array([s for _, _, s in members], np.uint64)
+    width, count = len(names), len(members)
+    wanted, curves = np.full(count, trees), [np.zeros(0)] * count
+
+    def together(which: Sequence[int]) -> tuple[np.ndarray, np.ndarray]:
+        b, y = [bins[i] for i in which], [members[i][1] for i in which]
+        return (np.concatenate(b) if b else np.zeros((0, width), np.int64)), (np.concatenate(y) if y else np.zeros(0))
+
+    fold_of = [_mixed(np.arange(n).astype(np.uint64) + seeds[i : i + 1] * np.uint64(0xA0761D6478BD642F)) % np.uint64(max(1, folds)) for i, n in enumerate(size)]
+    pairs = [(i, h) for i in range(count) for h in range(folds) if folds > 1 and 0 < (fold_of[i] == h).sum() < size[i]]
+    by_folds = np.isin(np.arange(count), [i for i, _ in pairs])
+    if pairs:
+        owner = np.array([i for i, _ in pairs])
+        b, y = together(owner)
+        of = np.repeat(np.arange(len(pairs)), size[owner])
+        learns = np.concatenate([fold_of[i] != h for i, h in pairs])
+        run = Lockstep(b, y, of, learns, seeds[owner] + np.array([h + 1 for _, h in pairs], np.uint64), rate, splits, bag, least)
+        held = np.bincount(owner, [(fold_of[i] == h).sum() for i, h in pairs], count)
+        errors = np.full((trees, count), np.nan)
+        for t in range(trees):
+            run.grow()
+            out = ~run.learns
+            sse = np.bincount(owner[run.of[out]], (run.y[out] - run.f[out]) ** 2, count)  # the folds' errors, merged
+            on = np.unique(owner)
+            errors[t, on] = sse[on] / held[on]
+            if (t + 1) % LOOK == 0:
+                going = ~_turned(errors, t + 1, patience)[owner]
+                if not going.any():
+                    break
+                if not going.all():
+                    run.keep(going)
+                    owner = owner[going]
+        for i in np.flatnonzero(by_folds):
+            curve = errors[:, i]
+            curves[i] = curve[~np.isnan(curve)]
+            wanted[i] = int(np.argmin(curves[i])) + 1
+    order = np.argsort(wanted, kind="stable") if cut else np.arange(count)
+    grown: list[list[dict]] = [[] for _ in range(count)]
+    b, y = together(order)
+    of, now = np.repeat(np.arange(count), size[order]), order.copy()
+    run = Lockstep(b, y, of, np.ones(len(y), bool), seeds[order], rate, splits, bag, least)
+    start = dict(zip(order.tolist(), run.start.tolist(), strict=True))
+    n = np.bincount(of, minlength=count)
+    estimate, error = np.bincount(of, (y - run.f) ** 2, count) / np.maximum(1, n), np.full((trees, count), np.nan)
+    for t in range(int(wanted.max(initial=0))):
+        before = run.y - run.f
+        tree, bagged = run.grow()
+        if not by_folds[now].all() or not cut:
+            out = ~bagged
+            gone = np.bincount(run.of[out], (run.y[out] - run.f[out]) ** 2 - before[out] ** 2, run.fits) / np.maximum(1, np.bincount(run.of[out], minlength=run.fits))
+            estimate += gone
+            error[t, now] = estimate
+        for k, i in enumerate(now.tolist()):
+            grown[i].append({name: v[k] for name, v in tree.items()})
+        if (t + 1) % LOOK == 0:
+            going = wanted[now] > t + 1
+            if cut:
+                going &= by_folds[now] | ~_turned(error, t + 1, patience)[now]
+            if not going.any():
+                break
+            if not going.all():
+                estimate = estimate[going]
+                run.keep(going)
+                now = now[going]
+    models = []
+    for i in range(count):
+        if not by_folds[i]:
+            curves[i] = error[:, i][~np.isnan(error[:, i])]
+            wanted[i] = int(np.argmin(curves[i])) + 1 if cut and len(curves[i]) else len(curves[i])
+        kept = grown[i][: wanted[i]]
+        one = {name: np.stack([t[name] for t in kept]) if kept else np.zeros((0, 1 + 3 * splits)) for name in Booster.FIELDS}
+        columns = [j for j in range(width) if not np.isnan(members[i][0][:, j]).all()]
+        m = Booster([], rate, splits, bag, least, int(seeds[i])).take(one, columns, [names[j] for j in columns])
+        m.start, m.edges = start[i], [edges[i][j] for j in columns]
+        models.append(m)
+    return models, curves

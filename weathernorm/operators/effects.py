@@ -6,17 +6,17 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from ..functions.columns import from_decimal_year, season_number
+from ..functions.columns import finite, from_decimal_year, season_number
 from .aggregates import replicate_summary
 from .boost import Booster
-from .model import _numbers, _schema, fire_groups, predict, unlinked
-
-#: Rows of a grid that are scored at once, about.
-GRID = 100_000
+from .joins import key_join
+from .model import SERIES_ID, _dates_of, _frame, _numbers, _schema, _series, fire_groups, met_by_series, predict, unlinked
 
 
 def anomaly(predictions: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -29,7 +29,7 @@ def partial_dependence(models: DataFrame, key: Sequence[str], ranges: DataFrame,
     """(series, config_id, replicate, x, y) at ``points`` places from ``low`` to ``high`` of each series, y in the units
     of the response; ``ranges`` has (series, low, high, points). Computed from the trees alone, no rows are scored."""
     group = [*key, "config_id", "replicate"]
-    joined = models.filter("status = 'ok'").join(ranges, list(key)).select(*group, "model", "link", "low", "high", F.col(points).alias("points"))
+    joined = key_join(models.filter("status = 'ok'"), ranges, key).select(*group, "model", "link", "low", "high", F.col(points).alias("points"))
     schema = _schema(joined, group, "x double, y double")
 
     def run(batches):
@@ -74,35 +74,34 @@ def counterfactual_mean(found: DataFrame, key: Sequence[str], scenarios: Sequenc
 
 def normalised_trend(rows: DataFrame, models: DataFrame, key: Sequence[str], columns: Sequence[str], n: int = 5000, seed: int = 1) -> DataFrame:
     """(series, date, normalised): for each date, the mean prediction (its link undone first) over a sample of ``n`` of the series'
-    weather rows (all, if there are fewer) with the date's own decimal year. Scored in blocks of ``GRID`` rows."""
-    group = [*key, "config_id", "replicate"]
-    names = list(columns)
-    schema = T.StructType([*(rows.schema[g] for g in group), rows.schema["date"], T.StructField("normalised", T.DoubleType())])
-
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({f.name: [] for f in schema.fields})
-        b = Booster.loads(right["model"].iloc[0])
-        left = left.sort_values("date")
-        x = _numbers(left, b.names)
-        sample = x[np.random.default_rng(seed).permutation(len(x))[:n]]
-        out = np.full(len(x), np.nan)
-        if "date_unix" in b.names:
-            j = b.names.index("date_unix")
-            # a date's prediction depends on its decimal year alone: equal ones are scored once
-            years, back = np.unique(x[:, j], return_inverse=True)
-            means, each = np.empty(len(years)), max(1, GRID // len(sample))
-            for at in range(0, len(years), each):
-                block = years[at : at + each]
-                grid = np.tile(sample, (len(block), 1))
-                grid[:, j] = np.repeat(block, len(sample))
-                means[at : at + each] = unlinked(b.predict(grid), right["link"].iloc[0]).reshape(len(block), len(sample)).mean(1)
-            out = means[back]
-        first = left.iloc[0]
-        return pd.DataFrame({**{g: [first[g]] * len(x) for g in group}, "date": left["date"].to_numpy(), "normalised": out})
-
-    found = rows.select(*group, "date", *names).groupBy(*group).cogroup(models.filter("status = 'ok'").groupBy(*group)).applyInPandas(run, schema)
-    return found.groupBy(*key, "date").agg(F.avg("normalised").alias("normalised"))
+    weather rows (all, if there are fewer) with the date's own decimal year; the mean over fits.
+
+    The sample goes through each tree once (:meth:`Booster.mean_over_rows`), not once for each date.
+    """
+    key, names = list(key), list(columns)
+    schema = T.StructType([*(rows.schema[k] for k in key), rows.schema["date"], T.StructField("normalised", T.DoubleType())])
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        numeric, done = _frame(left), []
+        (series, _), (models_of, _) = _series(left), _series(right)
+        by_name = {left[SERIES_ID][int(s[0])].as_py(): s for s in series}
+        dates = _dates_of(left)
+        for fits in models_of:
+            at = by_name.get(right[SERIES_ID][int(fits[0])].as_py(), np.zeros(0, np.int64))
+            at = at[np.argsort(dates[at], kind="stable")]
+            sample = np.random.default_rng(seed).permutation(len(at))[:n]
+            for k in fits.tolist():
+                b, out = Booster.loads(right["model"][k].as_py()), np.full(len(at), np.nan)
+                if "date_unix" in b.names and len(at):
+                    x = _numbers(numeric.iloc[at], b.names)
+                    undo = np.exp if right["link"][k].as_py() == "log" else None
+                    out = b.mean_over_rows("date_unix", x[:, b.names.index("date_unix")], x[sample], undo)
+                done.append(pa.table([*left.select([*key, "date"]).take(pa.array(at)).columns, pa.array(out)], names=schema.names))
+        return pa.concat_tables(done) if done else pa.table([pa.array([], to_arrow_type(f.dataType)) for f in schema.fields], names=schema.names)
+
+    wanted = rows.select(*dict.fromkeys([*key, "date", *names]))
+    found = met_by_series(wanted, models.filter("status = 'ok'").drop("errors"), key, run, schema)
+    return found.groupBy(*key, "date").agg(F.avg(finite(F.col("normalised"))).alias("normalised"))
 
 
 def composite_time_effect(models: DataFrame, rows: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -115,10 +114,10 @@ def composite_time_effect(models: DataFrame, rows: DataFrame, key: Sequence[str]
         ranges = rows.select(*key).distinct().withColumns({"low": F.lit(float(low)), "high": F.lit(float(high)), "points": F.lit(n)})
         pdp = partial_dependence(models, key, ranges, name).groupBy(*key, F.round("x").cast("int").alias(name)).agg(F.avg("y").alias(f"effect_{name}"))
         calendar = {"yday": F.dayofyear("date"), "month": F.month("date"), "wday": F.weekday("date") + 1, "season_number": season_number(F.col("date"))}[name]
-        out = out.withColumn(name, calendar).join(pdp, [*key, name], "left").drop(name)
+        out = key_join(out.withColumn(name, calendar), pdp, [*key, name], "left").drop(name)
         parts.append(f"effect_{name}")
     own = trend(models, rows, key).select(*key, "date", F.col("trend").alias("effect_trend"))
-    out = out.join(own, [*key, "date"], "left")
+    out = key_join(out, own, [*key, "date"], "left")
     values = F.filter(F.array(*(F.col(p) for p in [*parts, "effect_trend"])), lambda x: x.isNotNull())
     return out.withColumn("effect", F.try_divide(F.aggregate(values, F.lit(0.0), lambda a, x: a + x), F.size(values)))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
@@ -16,6 +17,16 @@ def with_weather(meas: DataFrame, weather: DataFrame) -> DataFrame:
     return known.join(weather, ["location_id", "date"], "left")
 
 
+def key_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """An equi-join in which NULL keys are equal, as they are where rows are grouped."""
+    theirs = {k: f"_right_{k}" for k in keys}
+    same = functools.reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(v)) for k, v in theirs.items()))
+    joined = left.join(right.withColumnsRenamed(theirs), same, how)
+    if how in ("full", "right"):  # where only one side has a row
+        joined = joined.withColumns({k: F.coalesce(F.col(k), F.col(v)) for k, v in theirs.items()})
+    return joined.drop(*theirs.values())
+
+
 def natural_left(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     return left.join(right, list(keys), "left")
 

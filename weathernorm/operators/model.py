@@ -1,21 +1,23 @@
-"""Configurations, splits, and the fan-out of fits: one task a (series, configuration, replicate, fold)."""
+"""Configurations, splits as bitmaps, and the fan-out of fits: a task fits a block of series, folds side by side."""
 
 from __future__ import annotations
 
+import functools
 import itertools
 from collections.abc import Mapping, Sequence
 from dataclasses import astuple, dataclass, fields
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from ..functions.columns import finite, link
-from .boost import Booster
-from .cleaning import fit_rows
+from ..functions.columns import finite
+from .boost import Booster, fit_all
 
 ENGINES = ("gbm", "mllib")
 # Prefixes of fire variables, the longest first.
@@ -92,25 +94,82 @@ def config_table(spark: SparkSession, configs: Sequence[Config]) -> DataFrame:
     return spark.createDataFrame([tuple(list(v) if isinstance(v, tuple) else v for v in astuple(c)) for c in configs], types)
 
 
-def _with_sets(df: DataFrame, key: Sequence[str], identity: Sequence[str], seed: int, end: Column, start: Column, excluded: Column, fraction: Column, replicate: Column) -> DataFrame:
-    """Adds ``set`` to the rows of each ``key``; ``identity`` names a series in the hash that orders its rows."""
-    before = F.col("date") <= F.coalesce(end, F.lit("2099-01-01").cast("date"))
-    ok = before & ~F.coalesce(F.array_contains(excluded, F.col("date")), F.lit(False)) & F.coalesce(F.col("date") >= start, F.lit(True))
-    h = F.md5(F.concat_ws("~", *(F.col(k).cast("string") for k in identity), F.col("date").cast("string"), F.lit(str(seed)), replicate.cast("string")))
-    w = Window.partitionBy(*key)
-    n = F.greatest(F.lit(1), F.floor(fraction * F.sum(before.cast("int")).over(w)))
-    # candidates come first in the order of their hash
-    rank = F.row_number().over(w.orderBy((~ok).cast("int"), h, "date"))
-    return df.withColumn("set", F.when(~before, "prediction").when(ok & (rank <= n), "training").otherwise("testing"))
+def _before(end: Column) -> Column:
+    return F.col("date") <= F.coalesce(end, F.lit("2099-01-01").cast("date"))
+
+
+def _candidate(end: Column, start: Column, excluded: Column) -> Column:
+    return _before(end) & ~F.coalesce(F.array_contains(excluded, F.col("date")), F.lit(False)) & F.coalesce(F.col("date") >= start, F.lit(True))
+
+
+def _order(identity: Sequence[str], seed: int, replicate: int) -> Column:
+    """The hash that orders the rows of a series; ``identity`` names the series in it."""
+    return F.md5(F.concat_ws("~", *(F.col(k).cast("string") for k in identity), F.col("date").cast("string"), F.lit(str(seed)), F.lit(str(replicate))))
+
+
+def _dates(*values: str | None) -> list[Column]:
+    return [F.lit(d).cast("date") for d in values]
 
 
 def split_sets(df: DataFrame, key: Sequence[str], fraction: float = 0.9, training_end: str | None = None, training_start: str | None = None, excluded: Sequence[str] = (), seed: int = 42, replicate: int = 0) -> DataFrame:
     """Adds ``set``: after ``training_end`` is prediction; of the rows up to it, ``fraction`` of their number
     (1 at least) of those that are neither excluded nor before ``training_start`` are training, in the
     order of a hash; the rest is testing. A fraction of 1 takes all rows before the cut for training."""
-    end, start = (F.lit(d).cast("date") for d in (training_end, training_start))
-    dates = F.array(*(F.lit(d).cast("date") for d in excluded)) if excluded else F.array().cast("array<date>")
-    return _with_sets(df, key, key, seed, end, start, dates, F.lit(fraction), F.lit(replicate))
+    own = Split(training_end, training_start, tuple(excluded), fraction, replicate)
+    return with_set(with_splits(df, key, [own], seed), 0)
+
+
+@dataclass(frozen=True)
+class Split:
+    """What decides which rows of a series a fit learns from; fits that differ in other options share it."""
+
+    end: str | None
+    start: str | None
+    excluded: tuple[str, ...]
+    fraction: float
+    replicate: int
+
+
+#: Bits of a number in the two columns that say what each split makes of a row.
+WORD = 62
+TRAINS, AFTER = "_trains", "_after"
+
+
+def with_splits(df: DataFrame, key: Sequence[str], splits: Sequence[Split], seed: int = 42) -> DataFrame:
+    """Adds two bitmaps to each row, of the splits that train on it and of those that come before it. However many splits
+    there are, a row stays one row; the splits of a replicate share one sort of their series."""
+    excluded = lambda s: F.array(*_dates(*s.excluded)) if s.excluded else F.array().cast("array<date>")
+    whole, trains = Window.partitionBy(*key), {}
+    for replicate in sorted({s.replicate for s in splits}):
+        # of the candidates in the order of the hash, the first n
+        w = whole.orderBy(_order(key, seed, replicate), "date").rowsBetween(Window.unboundedPreceding, 0)
+        for i, s in enumerate(splits):
+            if s.replicate == replicate:
+                ok = _candidate(*_dates(s.end, s.start), excluded(s))
+                n = F.greatest(F.lit(1), F.floor(F.lit(s.fraction) * F.sum(_before(*_dates(s.end)).cast("int")).over(whole)))
+                trains[i] = ok & (F.sum(ok.cast("int")).over(w) <= n)
+    after = {i: ~_before(*_dates(s.end)) for i, s in enumerate(splits)}
+
+    def bitmap(flags: Mapping[int, Column]) -> Column:
+        words = []
+        for first in range(0, len(splits), WORD):
+            bits = [F.when(F.coalesce(flags[i], F.lit(False)), F.lit(1 << (i - first))).otherwise(F.lit(0)).cast("long") for i in range(first, min(first + WORD, len(splits)))]
+            words.append(functools.reduce(lambda x, y: x.bitwiseOR(y), bits))
+        return F.array(*words)
+
+    return df.withColumns({TRAINS: bitmap(trains), AFTER: bitmap(after)})
+
+
+def _bit(column: str, split: Column | int) -> Column:
+    split = F.lit(split) if isinstance(split, int) else split
+    word = F.get(F.col(column), F.floor(split / WORD).cast("int"))
+    return F.call_function("shiftright", word, F.pmod(split, F.lit(WORD))).bitwiseAND(F.lit(1)) == 1
+
+
+def with_set(rows: DataFrame, split: Column | int) -> DataFrame:
+    """The bitmaps opened for one split: ``set`` in their place."""
+    which = F.when(_bit(AFTER, split), "prediction").when(_bit(TRAINS, split), "training").otherwise("testing")
+    return rows.withColumn("set", which).drop(TRAINS, AFTER)
 
 
 def untrainable(df: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -124,12 +183,6 @@ def predictors(df: DataFrame, key: Sequence[str], columns: Sequence[str]) -> Dat
     return df.groupBy(*key).agg(F.filter(F.array(*seen), lambda x: x.isNotNull()).alias("predictors"))
 
 
-def folds(df: DataFrame, key: Sequence[str], k: int | Column, seed: int = 42) -> DataFrame:
-    """Adds a fold number from a hash to each row."""
-    h = F.xxhash64(*key, F.col("date"), F.lit(seed))
-    return df.withColumn("fold", F.pmod(h, F.lit(k)).cast("int"))
-
-
 def _numbers(pdf: pd.DataFrame, columns: Sequence[str]) -> np.ndarray:
     return pdf[list(columns)].to_numpy(dtype=np.float64, na_value=np.nan)
 
@@ -144,92 +197,141 @@ def fit(df: DataFrame, key: Sequence[str], columns: Sequence[str], trees: int =
     return fit_configs(df, key, [one], seed)
 
 
-def fit_configs(df: DataFrame, key: Sequence[str], configs: Sequence[Config], seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """Rows with their sets, by configuration and replicate, and the models: a row a (series, config_id, replicate)
-    with n_trees_opt, n_training, status ("ok" or "failed"), message, link and the model as JSON. All
-    configurations are one plan: the rows are read once and dealt out to each. A fit that fails, or has
-    nothing to learn from, is a row with its message; it touches no other. The rows are persisted: call
-    ``unpersist()`` on them when all results are written.
+def fit_configs(df: DataFrame, key: Sequence[str], configs: Sequence[Config], seed: int = 42, patience: int | None = 1_000) -> tuple[DataFrame, DataFrame]:
+    """The rows, with bitmaps of the splits that train on them (:func:`with_splits`), and the models: a row a (series,
+    config_id, replicate) with the number of its split, n_trees_opt, n_training, status ("ok" or "failed"),
+    message, link, the model (:class:`Booster`) and ``errors``, the mean squared error by number of trees.
 
-    The number of trees is where the mean error over folds is least; fold fits and the final fits are
-    two stages, both dealt out over all tasks. Without folds the out-of-bag estimate decides.
+    All configurations are one plan: a row is prepared, persisted and shuffled once, whatever the grid. Series
+    are dealt in blocks of about ``BLOCK_ROWS`` rows, and a block's task grows the trees of all its fits, folds
+    included, side by side from one copy of the rows; where there are few series, the fits are dealt out as well
+    (``lanes``). The number of trees is where the mean error over the folds is least; a fit stops looking when its
+    curve has turned: the least is ``patience`` trees back, and as many as came before it (None: never). Without
+    folds the out-of-bag estimate decides. A fit that fails, or has nothing to learn from, is a row with its
+    message; it touches no other.
+
+    Both tables are persisted: call ``unpersist()`` on them when all results are written.
     """
-    spark, key, by_id = df.sparkSession, list(key), {c.config_id: c for c in configs}
+    key, by_id = list(key), {c.config_id: c for c in configs}
     if len(by_id) < len(configs):
         raise ValueError("two configurations have one config_id")
     if any(c.engine != "gbm" for c in configs):
         raise ValueError("engine mllib fits all series together: see fit_pooled")
-    group = [*key, "config_id", "replicate"]
     columns = list(dict.fromkeys(x for c in configs for x in c.columns))
     if missing := [x for x in columns if x not in df.columns]:
         raise ValueError(f"missing columns: {', '.join(missing)}")
-    # as many rows as configurations and replicates: the caller's own list
-    each = [(c.config_id, r, c.training_end, c.training_start, list(c.excluded), c.training_fraction, c.link) for c in configs for r in range(c.ntrainings)]
-    dealt = spark.createDataFrame(each, "config_id int, replicate int, _end string, _start string, _excluded array<string>, _fraction double, _link string")
-    rows = df.join(F.broadcast(dealt), how="cross")
-    y = finite(F.col("value"))
-    rows = rows.withColumn("_y", F.when(F.col("_link") == "log", link(y, "log")).otherwise(y))
-    excluded = F.transform("_excluded", lambda d: d.cast("date"))
-    rows = _with_sets(rows, group, key, seed, F.col("_end").cast("date"), F.col("_start").cast("date"), excluded, F.col("_fraction"), F.col("replicate"))
-    # folds, final fits and predictions all read the prepared rows: a lost part is made again from its inputs
-    rows = rows.drop("_end", "_start", "_excluded", "_fraction", "_link").persist(StorageLevel.MEMORY_AND_DISK)
-    train = fit_rows(rows, "_y").select(*group, "date", "_y", *columns)
-
-    def usable(x: np.ndarray) -> list[int]:
-        return [j for j in range(x.shape[1]) if not np.isnan(x[:, j]).all()]
-
-    def booster(names: tuple, own: list[str]) -> Booster:
-        c = by_id[int(names[len(key)])]
-        text = "~".join(map(str, names))
-        return Booster(own, c.learning_rate, c.interaction_depth, seed=(seed * 1_000_003 + hash_text(text)) % 2**32)
-
-    def fold_errors(names: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        c, nothing = by_id[int(names[len(key)])], pd.DataFrame({**{g: [] for g in group}, "n_trees": [], "sse": [], "n": []})
-        try:
-            pdf = pdf.sort_values("date")
-            held = pdf["fold"].to_numpy() == names[-1]
-            x, y = _numbers(pdf, c.columns), pdf["_y"].to_numpy(np.float64)
-            use = usable(x[~held]) if (~held).any() else []
-            if not use or not held.any():
-                return nothing
-            b = booster(names, [c.columns[j] for j in use])
-            err = b.fit(x[~held][:, use], y[~held], c.trees, (x[held][:, use], y[held]))
-        except Exception:  # the final fit of the same rows says what is wrong
-            return nothing
-        return pd.DataFrame({**{g: [v] * c.trees for g, v in zip(group, names, strict=False)}, "n_trees": np.arange(1, c.trees + 1), "sse": err * held.sum(), "n": int(held.sum())})
-
-    def final(names: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        c, n, model, message = by_id[int(names[len(key)])], 0, None, None
-        try:
-            pdf = pdf.sort_values("date")
-            x, y = _numbers(pdf, c.columns), pdf["_y"].to_numpy(np.float64)
-            use = usable(x)
-            if use:
-                b = booster(names, [c.columns[j] for j in use])
-                wanted = pdf["n_trees_opt"].iloc[0]
-                n = c.trees if pd.isna(wanted) else int(wanted)
-                err = b.fit(x[:, use], y, n)
-                if pd.isna(wanted):
-                    n = int(np.argmin(err)) + 1
-                    b.trees = b.trees[:n]
-                model = b.dumps()
-            else:
-                message = "no predictor has a value in the training rows"
-        except Exception as e:  # a bad series is a row of the result, never the end of the job
-            n, message = 0, f"{type(e).__name__}: {e}"[:500]
-        return pd.DataFrame({**{g: [v] for g, v in zip(group, names, strict=True)}, "n_trees_opt": [n], "n_training": [len(pdf)], "status": ["ok" if model else "failed"], "message": [message], "link": [c.link], "model": [model]})
-
-    counts = [(c.config_id, c.cv_folds) for c in configs]
-    by_folds = train.join(F.broadcast(spark.createDataFrame(counts, "config_id int, _folds int")), "config_id").filter(F.col("_folds") > 1)
-    dealt = folds(by_folds, group, F.col("_folds"), seed)
-    held = dealt.withColumn("held", F.explode(F.sequence(F.lit(0), F.col("_folds") - 1)))
-    errors = held.groupBy(*group, "held").applyInPandas(lambda names, pdf: fold_errors(names, pdf), _schema(held, group, "n_trees int, sse double, n int"))
-    mean = errors.groupBy(*group, "n_trees").agg((F.sum("sse") / F.sum("n")).alias("mse"))
-    best = mean.groupBy(*group).agg(F.min_by("n_trees", F.struct("mse", "n_trees")).alias("n_trees_opt"))
-    models = train.join(best, group, "left").groupBy(*group).applyInPandas(lambda names, pdf: final(names, pdf), _schema(train, group, "n_trees_opt int, n_training int, status string, message string, link string, model string"))
-    without = untrainable(rows.withColumn("set", F.when(F.col("_y").isNotNull(), F.col("set"))), group)
-    failed = without.select(*group, F.lit(0).alias("n_trees_opt"), F.lit(0).alias("n_training"), F.lit("failed").alias("status"), F.lit("no training rows").alias("message"), F.lit(None).cast("string").alias("link"), F.lit(None).cast("string").alias("model"))
-    return rows, models.unionByName(failed)
+    splits: dict[Split, int] = {}
+    fits = [(c, r, splits.setdefault(Split(c.training_end, c.training_start, c.excluded, c.training_fraction, r), len(splits))) for c in configs for r in range(c.ntrainings)]
+    # fits and predictions read the prepared rows: a lost part is made again from its inputs
+    rows = with_splits(df, key, list(splits), seed).persist(StorageLevel.MEMORY_AND_DISK)
+    size = rows.select(F.struct(*key).alias("k")).agg(F.count(F.lit(1)).alias("rows"), F.approx_count_distinct(F.to_json("k")).alias("series")).first()
+    blocks = max(1, -(-size["rows"] // BLOCK_ROWS))
+    lanes = min(len(fits), max(1, -(-2 * df.sparkSession.sparkContext.defaultParallelism // max(1, min(blocks, size["series"])))))
+    schema = _schema(df, key, "config_id int, replicate int, split int, n_trees_opt int, n_training int, status string, message string, link string, model binary, errors array<double>")
+
+    def fit_block(names: tuple, table: pa.Table) -> pa.Table:
+        lane = [f for k, f in enumerate(fits) if k % lanes == names[1].as_py()]
+        series, first = _series(table)
+        frame, dates = table.select([*dict.fromkeys(["value", *columns])]).to_pandas(), _dates_of(table)
+        bits = np.array(table[TRAINS].to_pylist(), np.int64).reshape(len(frame), -1)
+        out: dict[str, list] = {f.name: [] for f in schema.fields[len(key) :]}
+        of, todo = [], {}
+        for n, own in enumerate(series):
+            part = frame.iloc[own]
+            order = np.argsort(dates[own], kind="stable")
+            part, trains = part.iloc[order], bits[own[order]]
+            for c, r, split in lane:
+                of.append(n)
+                here, message, ready = len(of) - 1, None, None
+                try:
+                    y = _response(part["value"].to_numpy(np.float64, na_value=np.nan), c.link)
+                    learns = (trains[:, split // WORD] >> (split % WORD) & 1).astype(bool) & ~np.isnan(y)
+                    x = _numbers(part[learns], c.columns)
+                    message = "no training rows" if not learns.any() else "no predictor has a value in the training rows" if np.isnan(x).all() else None
+                    ready = (x, y[learns])
+                except Exception as e:  # a bad series is a row of the result, never the end of the job
+                    message = f"{type(e).__name__}: {e}"[:500]
+                for name, v in (("config_id", c.config_id), ("replicate", r), ("split", split), ("n_trees_opt", 0), ("n_training", 0 if ready is None else len(ready[1])), ("status", "failed"), ("message", message), ("link", c.link), ("model", None), ("errors", None)):
+                    out[name].append(v)
+                if message is None:
+                    text = "~".join([*(str(v[first[n]].as_py()) for v in (table[k] for k in key)), str(c.config_id), str(r)])
+                    todo.setdefault(c.config_id, []).append((here, *ready, (seed * 1_000_003 + hash_text(text)) % 2**32))
+        for config_id, members in todo.items():
+            c = by_id[config_id]
+            for part in _portions(members, c.cv_folds):
+                for here, found in _fitted(part, c, patience):
+                    for name, v in found.items():
+                        out[name][here] = v
+        picked = pa.array(first[np.array(of, np.int64)]) if of else pa.array([], pa.int64())
+        done = [table[k].take(picked) for k in key] + [pa.array(out[f.name], to_arrow_type(f.dataType)) for f in schema.fields[len(key) :]]
+        return pa.table(done, names=schema.names)
+
+    block = F.pmod(F.xxhash64(F.to_json(F.struct(*key))), F.lit(blocks))
+    sent = rows.select(*dict.fromkeys([*key, "date", "value", *columns]), TRAINS, F.to_json(F.struct(*key)).alias(SERIES_ID), block.alias("_block"), F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("_lane"))
+    models = sent.groupBy("_block", "_lane").applyInArrow(fit_block, schema)
+    return rows, models.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+#: Rows of a block of series, about, and rows that are fitted side by side (those of each fold count).
+BLOCK_ROWS, TOGETHER = 20_000, 60_000
+SERIES_ID = "_series"
+
+
+def _series(table: pa.Table) -> tuple[list[np.ndarray], np.ndarray]:
+    """The rows of each series of a block, and the first of them; series come in the order of their names."""
+    coded = table[SERIES_ID].combine_chunks().dictionary_encode()
+    if isinstance(coded, pa.ChunkedArray):
+        coded = coded.chunk(0)
+    names = coded.dictionary.to_pylist()
+    number = np.argsort(np.argsort(names, kind="stable"), kind="stable")[coded.indices.to_numpy()] if names else np.zeros(0, np.int64)
+    order = np.argsort(number, kind="stable")
+    parts = np.split(order, np.cumsum(np.bincount(number, minlength=len(names)))[:-1]) if names else []
+    return parts, np.array([p[0] for p in parts], np.int64)
+
+
+def _dates_of(table: pa.Table) -> np.ndarray:
+    """The dates, for sorting; NULLs come last."""
+    return table["date"].cast(pa.timestamp("us")).to_numpy()
+
+
+def _response(value: np.ndarray, link_name: str) -> np.ndarray:
+    """Finite responses under their link; others are NaN."""
+    link_name in ("linear", "log") or _unknown_link(link_name)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        y = np.log(np.where(value > 0, value, np.nan)) if link_name == "log" else value
+    return np.where(np.isfinite(y), y, np.nan)
+
+
+def _unknown_link(name: str) -> None:
+    raise ValueError(f"unknown link {name!r}")
+
+
+def _portions(members: list[tuple], folds: int):
+    """Fits in their order, so many at once that their rows are about ``TOGETHER``."""
+    part, rows = [], 0
+    for m in members:
+        part.append(m)
+        rows += len(m[2]) * max(1, folds)
+        if rows >= TOGETHER:
+            yield part
+            part, rows = [], 0
+    if part:
+        yield part
+
+
+def _fitted(members: list[tuple], c: Config, patience: int | None):
+    """(place, columns of the models' table) of each member; should fitting them together fail, each is tried alone."""
+    try:
+        models, errors = fit_all([m[1:] for m in members], c.columns, c.learning_rate, c.interaction_depth, c.trees, c.cv_folds, patience=patience)
+    except Exception as e:
+        if len(members) > 1:
+            for m in members:
+                yield from _fitted([m], c, patience)
+        else:
+            yield members[0][0], {"message": f"{type(e).__name__}: {e}"[:500]}
+        return
+    for (here, *_), m, curve in zip(members, models, errors, strict=True):
+        yield here, {"n_trees_opt": m.trees, "status": "ok", "model": m.dumps(), "errors": curve.tolist()}
 
 
 def hash_text(text: str) -> int:
@@ -239,24 +341,51 @@ def hash_text(text: str) -> int:
     return zlib.crc32(text.encode())
 
 
-def predict(rows: DataFrame, models: DataFrame, key: Sequence[str], name: str = "predicted") -> DataFrame:
-    """``rows`` with the prediction of their series' model, its link undone; every row of every set."""
-    group = [*key, "config_id", "replicate"]
-    names = [c for c in rows.columns if c != "_y"]
-    rows = rows.select(*names)
-    schema = T.StructType([*rows.schema.fields, T.StructField(name, T.DoubleType())])
+def predict(rows: DataFrame, models: DataFrame, key: Sequence[str], name: str = "predicted", lanes: int = 1) -> DataFrame:
+    """Each row of a series once for each of its fits, with config_id, replicate, the row's set in that fit, and the
+    prediction, its link undone (NULL where the fit failed). Rows and models meet in blocks of series; with
+    ``lanes``, the fits of a series are dealt out to so many tasks."""
+    key = list(key)
+    own = [c for c in rows.columns if c not in (TRAINS, AFTER)]
+    schema = T.StructType([*(rows.schema[c] for c in own), *T._parse_datatype_string(f"config_id int, replicate int, set string, {name} double").fields])
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        numeric, done = _frame(left), []
+        (series, _), (models_of, _) = _series(left), _series(right)
+        names = {left[SERIES_ID][int(s[0])].as_py(): s for s in series}
+        trains, after = (np.array(left[c].to_pylist(), np.int64).reshape(left.num_rows, -1) for c in (TRAINS, AFTER))
+        for fits in models_of:
+            at = names.get(right[SERIES_ID][int(fits[0])].as_py(), np.zeros(0, np.int64))
+            for k in fits.tolist():
+                row = {c: right[c][k].as_py() for c in ("config_id", "replicate", "split", "status", "link", "model")}
+                out = np.full(len(at), np.nan)
+                if row["status"] == "ok":
+                    b = Booster.loads(row["model"])
+                    out = unlinked(b.predict(_numbers(numeric.iloc[at], b.names)), row["link"])
+                word, bit = divmod(row["split"], WORD)
+                which = np.where(after[at, word] >> bit & 1, "prediction", np.where(trains[at, word] >> bit & 1, "training", "testing"))
+                done.append(pa.table([*left.select(own).take(pa.array(at)).columns, *(pa.array(np.full(len(at), row[c], np.int32)) for c in ("config_id", "replicate")), pa.array(which.tolist(), pa.string()), pa.array(out)], names=schema.names))
+        return pa.concat_tables(done) if done else pa.table([pa.array([], to_arrow_type(f.dataType)) for f in schema.fields], names=schema.names)
+
+    found = met_by_series(rows, models.drop("errors"), key, run, schema, lanes)
+    return found.withColumn(name, finite(F.col(name)))
 
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left = left[names].copy()
-        if len(right):
-            b = Booster.loads(right["model"].iloc[0])
-            left[name] = unlinked(b.predict(_numbers(left, b.names)), right["link"].iloc[0])
-        else:
-            left[name] = np.nan
-        return left
 
-    found = rows.groupBy(*group).cogroup(models.filter("status = 'ok'").groupBy(*group)).applyInPandas(run, schema)
-    return found.withColumn(name, finite(F.col(name)))
+def met_by_series(rows: DataFrame, models: DataFrame, key: Sequence[str], run, schema: T.StructType, lanes: int = 1) -> DataFrame:
+    """``run(rows, models)`` on the Arrow tables of a block of series and of their models."""
+    blocks = max(1, -(-rows.count() // BLOCK_ROWS))
+    named = F.to_json(F.struct(*key))
+    placed = lambda df: df.withColumn(SERIES_ID, named).withColumn("_block", F.pmod(F.xxhash64(SERIES_ID), F.lit(blocks)))
+    left = placed(rows).withColumn("_lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1)))) if lanes > 1 else placed(rows).withColumn("_lane", F.lit(0))
+    right = placed(models).withColumn("_lane", F.pmod(F.xxhash64("config_id", "replicate"), F.lit(lanes)).cast("int"))
+    return left.groupBy("_block", "_lane").cogroup(right.groupBy("_block", "_lane")).applyInArrow(run, schema)
+
+
+def _frame(table: pa.Table) -> pd.DataFrame:
+    """The columns that a model may use, as numbers."""
+    kinds = (pa.types.is_integer, pa.types.is_floating, pa.types.is_decimal, pa.types.is_boolean)
+    own = [f.name for f in table.schema if any(k(f.type) for k in kinds)]
+    return pd.DataFrame({c: table[c].cast(pa.float64(), safe=False).to_numpy() for c in own})
 
 
 def unlinked(y: np.ndarray, link_name: str) -> np.ndarray:

@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 
 from ..operators import effects, model
 from ..operators.aggregates import fit_metrics
-from ..operators.joins import with_weather
+from ..operators.joins import key_join, with_weather
 from ..operators.yoy import yoy_attribution
 from .prep import prep_data
 
+#: Fits of a series that one task predicts.
+FITS_A_TASK = 16
 SERIES = ["location_id", "poll", "unit", "source", "process_id", "country"]
 
 
@@ -32,14 +34,15 @@ def deweather_configs(meas: DataFrame, weather: DataFrame, configs: Sequence[mod
     wanted = list(dict.fromkeys(v for c in configs for v in c.weather_vars))
     data = prep_data(with_weather(meas, weather), key, wanted, max(c.lag for c in configs), since)
     rows, models = model.fit_configs(data, key, configs)
-    predicted = model.predict(rows, models, key)
+    fits = sum(c.ntrainings for c in configs)
+    predicted = model.predict(rows, models, key, lanes=max(1, -(-fits // FITS_A_TASK)))
     wide = effects.anomaly(predicted, by)
     if trends := [c.config_id for c in configs if c.output == "trend"]:
         of = F.col("config_id").isin(trends)
-        wide = wide.join(effects.trend(models.filter(of), rows, key, ["config_id"]), [*by, "date"], "full")
+        wide = key_join(wide, effects.trend(models.filter(of), rows, key, ["config_id"]), [*by, "date"], "full")
     if columns := [x for g in model.fire_groups([x for c in configs for x in c.columns]).values() for x in g]:
         fires = F.col("config_id").isin([c.config_id for c in configs if c.add_fire])
-        wide = wide.join(effects.no_fire(rows.filter(fires), models, by[:-1], list(dict.fromkeys(columns)), ["config_id"]), [*by, "date"], "left")
+        wide = key_join(wide, effects.no_fire(rows, models.filter(fires), key, list(dict.fromkeys(columns)), ["config_id"]), [*by, "date"], "left")
     return {"result": effects.long_result(wide, by), "models": models, "performance": fit_metrics(predicted, [*by, "replicate"]), "importance": effects.importance(models, key), "rows": rows}
 
 
