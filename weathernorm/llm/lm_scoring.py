@@ -45,7 +45,7 @@ from .pretokens import LONGEST_KEPT, slices
 #: Symbols of the model besides the end, and the words whose counts are broadcast.
 SHORTLIST, BUCKETS, FREQUENT = 1_000, 256, 200_000
 #: Numbers of a vector, tokens of a step, noise symbols shared by a step, the rate, and rounds over all texts.
-WIDTH, STEP, NOISE, RATE, EPOCHS = 24, 1_024, 32, 0.3, 2
+WIDTH, STEP, NOISE, RATE, EPOCHS = 12, 1_024, 32, 0.5, 2
 #: Fixed value: what is added to each count.
 ADDED = 0.1
 #: Different words that a task counts before its sums go on to the shuffle.
