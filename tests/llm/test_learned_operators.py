@@ -290,3 +290,19 @@ def test_slices_make_the_same_grams(monkeypatch):
     whole = np.concatenate(list(language.grams(text)))
     monkeypatch.setattr(language, "_SLICE", 7)
     assert np.array_equal(whole, np.concatenate(list(language.grams(text))))
+
+
+def test_without_labels_nothing_is_toxic(spark, make):
+    docs = make([(k, f"some words {k}") for k in range(20)])
+    for labels in ([], [(1, 0, 1)], [(1, 0, 0)]):
+        known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+        assert toxicity.without_toxic(docs, known).count() == 20
+        assert {r.predicted for r in toxicity.toxicity(docs, known).collect()} == {0}
+
+
+def test_few_toxic_texts_are_enough(spark):
+    """The smallest table has ten toxic labels: no threshold may hide their words."""
+    sf = "/root/testdata/sf0.001"
+    labels = spark.read.parquet(f"{sf}/labels.parquet").filter("toxic is not null").select("doc_id", "toxic")
+    rows = toxicity.op10_toxicity(spark, sf).join(labels, "doc_id").collect()
+    assert sum(r.predicted for r in rows if r.toxic) >= 7 and sum(r.predicted for r in rows if not r.toxic) == 0

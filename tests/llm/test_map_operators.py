@@ -308,3 +308,24 @@ def test_spelt_addresses_of_any_case_and_all_patterns(monkeypatch):
     monkeypatch.setattr(pii, "FIT_BLOCK", 7)
     parts = pii.fit_classifier(patterns)
     assert whole.keys() == parts.keys() and all(abs(whole[f] - parts[f]) < 1e-6 for f in whole)
+
+
+@pytest.mark.parametrize("text", ["ACGT" * 250_000 + "1", "1" * 1_000_000 + ".2.3", "1." * 500_000, "a at b dot " * 90_000, ("a" * 1000 + " at ") * 1000 + "dot com", "a." * 500_000 + " at 1", "@ab-" + "a" * 1_000_000, "+1 " * 330_000, "token " * 160_000 + "= 1"])
+def test_personal_data_takes_time_by_a_text_s_length(text):
+    import time
+
+    start = time.process_time()
+    base = pii.base_spans(text)
+    pii.candidates(text, base)
+    assert time.process_time() - start < 4  # quadratic time would be minutes
+
+
+def test_spelt_addresses_are_the_leftmost():
+    import random
+    import re
+
+    plain = re.compile(r"[A-Za-z0-9._%+-]+ ?(?:\(at\)|\[at\]| at ) ?[A-Za-z0-9-]+ ?(?:\(dot\)|\[dot\]| dot ) ?[A-Za-z]{2,}", re.I)
+    draw = random.Random(5)
+    for _ in range(5000):
+        text = "".join(draw.choice(["1", "a", "B-", "_", " at ", "(at)", "[AT]", " dot ", "(dot)", " ", "com", "x%", "@", "."]) for _ in range(20))
+        assert pii.spelt(text) == [m.span() for m in plain.finditer(text)]

@@ -84,7 +84,7 @@ def test_near_duplicates_odd_tables(odd, none, make):
     assert sorted(by[1]) == [0, 3, 3] and by[8] == [3] and by[None] == [3] and by[2] == by[3] == by[4] == [0]
     kept = nd.one_of_each(odd)
     assert kept.columns == odd.columns
-    assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(map(str, [1, 1, 2, 3, 4, 5, 6, 7, 9]))
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(map(str, [1, 1, 2, 3, 4, 5, 6, 7, 9, 10, 11, 12]))
     assert len({r["text"] for r in kept.filter("doc_id = 1").collect()}) == 2
     assert nd.near_duplicates(none).count() == 0 and nd.one_of_each(none).count() == 0
     assert nd.near_duplicates(make([(1, None), (2, "")])).count() == 2
@@ -297,3 +297,22 @@ def test_the_run_leaves_its_result_only(spark):
         exists = lambda at: (p := spark._jvm.org.apache.hadoop.fs.Path(at)).getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
         left = [at for at in made if exists(at)]
     assert rows and len(made) > 10 and len(left) == 1 and "token_ids" in left[0]
+
+
+def test_an_id_with_two_vectors_counts_once(spark):
+    rows = [(100, [1.0, 0.0]), (100, [0.5, 0.5]), (1, [0.5, 0.6]), (2, [1.0, 0.1]), (2, [1.0, 0.1])]
+    found = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).orderBy("rank").collect()
+    assert [(r.query_id, r.rank, r.vec_id) for r in found] == [(100, 1, 1), (100, 2, 2)]  # [0.5, 0.5] is the smaller
+
+
+def test_sets_are_made_by_bytes_and_blocks_by_their_sum(spark, make, monkeypatch):
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(40)), pa.array(["word " * 100_000] * 40)], ["doc_id", "text"])
+    assert [part.num_rows for part in near_duplicates._slices([batch], 1)] == [16, 16, 8]
+    # a cluster of long texts: blocks of a few sets each, and every link is counted
+    monkeypatch.setattr(near_duplicates, "BLOCK_BYTES", 200_000)
+    words = [f"w{k}" for k in range(12_000)]
+    docs = make([(k, " ".join([*words[:k], f"new{k}", *words[k + 1 :]])) for k in range(0, 90, 6)])
+    found = near_duplicates.near_duplicates(docs).collect()
+    assert {r.n_links for r in found} == {len(found) - 1} and {r.cluster_id for r in found} == {0}

@@ -37,16 +37,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import free_name, lean, saved, table
+from .pretokens import slices
 
 WORDS, THRESHOLD, RECALL = 5, 0.8, 0.999
 TREES, DEPTH = 16, 6
-#: Texts of a block in which links are counted, and of a node whose pairs are listed.
-BLOCK, SMALL = 1024, 12
+#: Texts of a block in which links are counted, and of a node whose pairs are listed; bytes of a block's sets.
+BLOCK, SMALL, BLOCK_BYTES = 1024, 12, 16 << 20
 #: Pairs whose signatures agree in less than this share of places are not verified: at the threshold the
 #: chance of so few is below 1e-6. 0 verifies every pair.
 LEAST_AGREEMENT = 0.55
-#: Texts of the sample that measures the recall, and the characters of each at most.
-PROBES, PROBE_LENGTH = 256, 20_000
+#: Texts of the sample that measures the recall, and bytes of all of them.
+PROBES, PROBE_BYTES = 256, 16 << 20
 _CHUNK = 4096
 
 
@@ -125,24 +126,40 @@ def digest(s: np.ndarray) -> bytes | None:
 
 
 def _probes(docs: DataFrame) -> Probes:
-    """The sets of at most ``PROBES`` documents of up to ``PROBE_LENGTH`` characters, picked by the hashes of their ids."""
-    count, h = docs.count(), F.xxhash64(F.col("doc_id").cast("string"), F.lit(5))
+    """The sets of at most ``PROBES`` documents, picked by the hashes of their ids and texts, of all lengths: with
+    ``PROBE_BYTES`` together, those that would not fit are passed over."""
+    count, h = docs.count(), F.xxhash64(F.col("doc_id").cast("string"), "text", F.lit(5))
     some = docs.select("text", h.alias("h")).filter(F.col("h") / F.lit(2.0**64) + 0.5 <= 2 * PROBES / max(1, count))
-    texts = some.filter(F.length("text") <= PROBE_LENGTH).limit(PROBES).select("text").toPandas()["text"].tolist()
+    left, picked = PROBE_BYTES, []
+    for r in some.select("h", F.octet_length("text").alias("n")).distinct().orderBy("h", "n").limit(2 * PROBES).collect():
+        if r["n"] is not None and r["n"] <= left and len(picked) < PROBES:
+            left -= r["n"]
+            picked.append(r["h"])
+    texts = some.filter(F.col("h").isin(picked)).dropDuplicates(["h"]).select("text").toPandas()["text"].tolist() if picked else []
     sets = {digest(s): s for s in shingle_sets(texts) if len(s)}
     return Probes([sets[d] for d in sorted(sets)])
 
 
+def _slices(batches, column: int):
+    """The rows of some batches in slices by the bytes of a column: what a task holds doesn't grow with its texts' lengths
+    (a longer one is a slice of its own)."""
+    for batch in batches:
+        at = 0
+        for part in slices(batch.column(column)):
+            yield batch.slice(at, len(part))
+            at += len(part)
+
+
 def signed(docs: DataFrame, probes: Probes | None = None) -> DataFrame:
     """doc_id, digest (NULL without a word), signature, the text's own hash and the digests of similar texts of the sample."""
     sent = docs.sparkSession.sparkContext.broadcast(probes or Probes([]))
 
     def run(batches):
-        for batch in batches:
-            sets = shingle_sets(batch.column(1).to_pylist())
+        for own in _slices(batches, 1):
+            sets = shingle_sets(own.column(1).to_pylist())
             sig = [signature(s).tobytes() if len(s) else None for s in sets]
             near = [sent.value.similar(s) or None for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(digest, sets), pa.binary()), pa.array(sig, pa.binary()), batch.column(2), pa.array(near, pa.list_(pa.binary()))], ["doc_id", "digest", "sig", "text_hash", "probes"])
+            yield pa.RecordBatch.from_arrays([own.column(0), pa.array(map(digest, sets), pa.binary()), pa.array(sig, pa.binary()), own.column(2), pa.array(near, pa.list_(pa.binary()))], ["doc_id", "digest", "sig", "text_hash", "probes"])
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "text", "xxhash64(text) text_hash").mapInArrow(lean(run), "doc_id long, digest binary, sig binary, text_hash long, probes array<binary>")
 
@@ -241,8 +258,10 @@ def _similar(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _in_blocks(members: DataFrame, by: str) -> DataFrame:
-    """Deals the members of each group to the pairs of its blocks (``x`` <= ``y``)."""
-    sizes = members.groupBy(by).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    """Deals the members of each group to the pairs of its blocks (``x`` <= ``y``): a block has about ``BLOCK`` members
+    and ``BLOCK_BYTES`` of their sets at most, whichever is less."""
+    many = F.greatest(F.count(F.lit(1)) / BLOCK, F.sum(F.octet_length("set").cast("long")) / BLOCK_BYTES)
+    sizes = members.groupBy(by).agg(F.ceil(many).cast("int").alias("blocks"))
     own = members.join(sizes, by).withColumn("block", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("blocks")).cast("int"))
     each = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return each.withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other"))
@@ -288,10 +307,10 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(rep, set) of the wanted representatives: ``wanted`` has (rep, rep_id, rep_hash)."""
 
     def run(batches):
-        for batch in batches:
-            sets = shingle_sets(batch.column(1).to_pylist())
-            ok = pa.array([digest(s) == d for s, d in zip(sets, batch.column(0).to_pylist(), strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), pa.array([s.tobytes() for s in sets], pa.binary()).filter(ok)], ["rep", "set"])
+        for own in _slices(batches, 1):
+            sets = shingle_sets(own.column(1).to_pylist())
+            ok = pa.array([digest(s) == d for s, d in zip(sets, own.column(0).to_pylist(), strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([own.column(0).filter(ok), pa.array([s.tobytes() for s in sets], pa.binary()).filter(ok)], ["rep", "set"])
 
     # always a shuffle of both: the wanted are a share of all documents, and their number no bound. The hash of
     # the text is part of the key, so that NULL or repeated ids don't meet

@@ -23,8 +23,8 @@ Equal vectors are indexed once, with the ``k + 1`` smallest of their ids, which
 can hold, and equal queries are searched once.
 
 Edge cases: vectors that are NULL, zero, of another length than most, or hold a NULL or a component that
-isn't finite take no part; NULL ids take no part; rows that repeat id and vector count once; other columns
-are ignored; ties go to the smaller id; with no other vector a query has no rows; an empty table gives an
+isn't finite take no part; NULL ids take no part; of the vectors of one id the smallest counts, component by
+component; other columns are ignored; ties go to the smaller id; with no other vector a query has no rows; an empty table gives an
 empty result.
 """
 
@@ -206,7 +206,8 @@ def best_width(codes: np.ndarray, queries: np.ndarray, radius: int) -> int:
 def nearest(vectors: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
     """query_id, rank, vec_id and score of the ``k`` nearest found of each query (ids divisible by ``every``)."""
     spark = vectors.sparkSession
-    own = usable(vectors)
+    # of the vectors of one id the smallest counts
+    own = usable(vectors).groupBy("vec_id").agg(F.min("v").alias("v"))
     width = own.groupBy(F.size("v").alias("w")).count().orderBy(F.desc("count"), "w").first()
     if width is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -216,7 +217,7 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
     own = own.filter(F.size("v") == width)
     ids = F.slice(F.array_sort(F.collect_list("vec_id")), 1, k + 1)
     # equal vectors: salted first, so that no task gathers a hot one; k + 1 ids of each salt are enough
-    salted = own.distinct().groupBy("v", F.pmod("vec_id", F.lit(64)).alias("salt")).agg(ids.alias("ids"))
+    salted = own.groupBy("v", F.pmod("vec_id", F.lit(64)).alias("salt")).agg(ids.alias("ids"))
     gathered = salted.groupBy("v").agg(F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, k + 1).alias("ids"))
     distinct = saved(gathered.select(*key, "v", "ids"), "nn-vectors")
 
@@ -286,7 +287,7 @@ def nearest(vectors: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
         by_substring = found.groupBy("ka", "kb", "j").agg(top(F.collect_list(F.struct("d", "vec_id", "h"))))
         return by_substring.groupBy("ka", "kb").agg(top(F.flatten(F.collect_list("near"))))
 
-    wanted = own.filter(F.col("vec_id") % every == 0).distinct().select(F.col("vec_id").alias("query_id"), *key)
+    wanted = own.filter(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), *key)
     asked, step, parts = saved(coded.join(wanted.select("ka", "kb").distinct(), ["ka", "kb"], "left_semi"), "nn-asked"), WIDER, []
     while True:
         found = saved(within(asked, radius), "nn-found")

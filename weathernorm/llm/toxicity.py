@@ -10,7 +10,8 @@ hashes of their ids); texts with the same words are one row of the fit, which co
 
 Edge cases: NULL and empty texts have no words and score as the regression's constant; NULL ids are
 scored and never learned from; rows with the same id are scored one by one; NULL labels are dropped;
-with labels of one class, or none, all scores are one constant; other columns are kept or ignored.
+with labels of one class, or none, all scores are one constant of at most ``UNTOLD``; other columns are kept or
+ignored; very long texts are read whole.
 """
 
 from __future__ import annotations
@@ -31,9 +32,16 @@ LETTERS = 64
 #: The letters that the model tells apart, and what signs may stand for.
 ALPHABET = "abcdefghijklmnopqrstuvwxyzàáâãäåæçèéêëìíîïñòóôõöøùúûüýÿßœ"
 LOOKALIKES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "li", "+": "t", "(": "c", "€": "e", "£": "l", "*": "aeiou", "#": "h"}
-#: Defaults of the fit: labelled rows, words of the lexicon (None: any number), different toxic texts that a word
-#: needs in the sample, and how much more frequent than in other texts it must be in them.
-FIT_ROWS, LEXICON, LEAST_TEXTS, LEAST_LIFT = 40_000, 1000, 5, 4.0
+#: Defaults of the fit: labelled rows, the share of the sample's different toxic texts that a word needs (of few texts
+#: one), and how much more frequent than in other texts it must be in them. The share bounds the lexicon: 100
+#: times the words of a toxic text.
+FIT_ROWS, LEAST_SHARE, LEAST_LIFT = 40_000, 0.01, 4.0
+#: What a word of a single toxic text adds to the ridge of its weight; of more texts, less by their square.
+RARE = 4.0
+#: The score's chance without labels of both classes: nothing tells toxic texts then, and none is called so.
+UNTOLD = 0.25
+#: Steps to a Newton step, at most.
+CG_ROUNDS = 200
 CACHE_ENTRIES = 100_000
 #: Longer spans are read each time: bounds the cache.
 CACHE_LETTERS = 60
@@ -216,31 +224,52 @@ def char_model(docs: DataFrame) -> CharModel:
     return CharModel(rows["gram"].to_numpy(dtype=np.int64), rows["n"].to_numpy(dtype=np.float64))
 
 
-def fit_words(x: list[list[int]], n: np.ndarray, t: np.ndarray, size: int, ridge: float = 1.0, rounds: int = 30) -> tuple[float, np.ndarray]:
+def fit_words(x: list[list[int]], n: np.ndarray, t: np.ndarray, size: int, ridge: float | np.ndarray = 1.0, rounds: int = 30) -> tuple[float, np.ndarray]:
     """Logistic regression over the words that documents have, by Newton steps: constant and weights. A row of ``x``
     stands for ``n`` documents, ``t`` of them toxic."""
-    prior = (t.sum() + 0.5) / (n.sum() + 1.0)
+    both = 0 < t.sum() < n.sum()
+    prior = (t.sum() + 0.5) / (n.sum() + 1.0) if both else min(UNTOLD, (t.sum() + 0.5) / (n.sum() + 1.0))
     w = np.zeros(size + 1)
     w[0] = math.log(prior / (1 - prior))
-    if not size or not 0 < t.sum() < n.sum():
+    if not size or not both:
         return float(w[0]), w[1:]
-    a = np.zeros((len(x), size + 1))
-    a[:, 0] = 1
-    for i, r in enumerate(x):
-        a[i, [k + 1 for k in r]] = 1
-    keep = np.full(size + 1, ridge)
-    keep[0] = 1e-3
+    # a row is the list of its words, after the constant
+    size_of = np.array([len(r) + 1 for r in x])
+    row, first = np.repeat(np.arange(len(x)), size_of), np.cumsum(size_of) - size_of
+    word = np.concatenate([np.array([0, *(k + 1 for k in r)], np.int64) for r in x])
+    keep = np.concatenate([[1e-3], np.broadcast_to(ridge, size)])
+
+    def curved(v: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """The second derivatives times ``v``, by the rows' words alone."""
+        return np.bincount(word, (c * np.add.reduceat(v[word], first))[row], size + 1) + keep * v
+
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        step = np.linalg.solve((a * (n * p * (1 - p))[:, None]).T @ a + np.diag(keep), a.T @ (t - n * p) - keep * np.concatenate([[0], w[1:]]))
+        p = 1 / (1 + np.exp(-np.clip(np.add.reduceat(w[word], first), -30, 30)))
+        c = n * p * (1 - p)
+        slope = np.bincount(word, (t - n * p)[row], size + 1) - keep * np.concatenate([[0], w[1:]])
+        scale = np.bincount(word, c[row], size + 1) + keep
+        # conjugate gradients, scaled by the diagonal
+        step, left = np.zeros(size + 1), slope.copy()
+        z = left / scale
+        way, size_now = z.copy(), float(left @ z)
+        for _ in range(CG_ROUNDS):
+            if size_now < 1e-18:
+                break
+            bent = curved(way, c)
+            far = size_now / float(way @ bent)
+            step, left = step + far * way, left - far * bent
+            z = left / scale
+            size_now, before = float(left @ z), size_now
+            way = z + size_now / before * way
         w += np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-5:
             break
     return float(w[0]), w[1:]
 
 
-def learn(docs: DataFrame, labels: DataFrame, sent_model, folds: int, fit_rows: int = FIT_ROWS, lexicon: int | None = LEXICON, least_texts: int = LEAST_TEXTS, least_lift: float = LEAST_LIFT) -> tuple[float, dict[str, float]]:
-    """The constant and the lexicon's weights, from at most ``fit_rows`` labelled documents."""
+def learn(docs: DataFrame, labels: DataFrame, sent_model, folds: int, fit_rows: int = FIT_ROWS, lexicon: int | None = None, least_texts: int | None = None, least_lift: float = LEAST_LIFT) -> tuple[float, dict[str, float]]:
+    """The constant and the lexicon's weights, from at most ``fit_rows`` labelled documents. ``lexicon`` and ``least_texts``
+    are bounds for callers who want them: words at most, and toxic texts that a word needs (None: ``LEAST_SHARE``)."""
     known = labels_of(labels, "toxic").filter(~held_out(F.col("doc_id"), folds, 0))
     sample = smallest(known, fit_rows, "doc_id")  # bounded by fit_rows: 16 bytes each
 
@@ -257,15 +286,19 @@ def learn(docs: DataFrame, labels: DataFrame, sent_model, folds: int, fit_rows:
     sums = read.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("t"), F.lit(0)).alias("t"), F.count(F.lit(1)).alias("texts"), F.count(F.when(F.col("t") * 2 > F.col("n"), 1)).alias("toxic")).first()
     if not 0 < sums["t"] < sums["n"]:
         return fit_words([], np.array([float(sums["n"])]), np.array([float(sums["t"])]), 0)[0], {}
+    least_texts = max(1, math.ceil(LEAST_SHARE * sums["toxic"])) if least_texts is None else least_texts
     # the lexicon is of different texts: one that is copied often counts once
     by_word = read.select((F.col("t") * 2 > F.col("n")).cast("int").alias("toxic"), F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("t"))
     lift = (F.col("t") + 0.5) / (F.col("n") - F.col("t") + 0.5) * ((sums["texts"] - sums["toxic"] + 1.0) / (sums["toxic"] + 1.0))
     ranked = by_word.filter(F.col("t") >= least_texts).withColumn("lift", lift).filter(F.col("lift") > least_lift).orderBy(F.desc(F.col("t") * F.log("lift")), "word")
-    chosen_words = [r["word"] for r in (ranked if lexicon is None else ranked.limit(lexicon)).collect()]
+    lexicon_rows = (ranked if lexicon is None else ranked.limit(lexicon)).select("word", "t").collect()
+    chosen_words = [r["word"] for r in lexicon_rows]
+    # a word of few texts may be theirs alone: it is shrunk more
+    ridge = 1 + RARE / np.array([max(1, r["t"]) for r in lexicon_rows], np.float64) ** 2
     index = {w: k for k, w in enumerate(chosen_words)}
-    own = F.array_intersect("words", F.array(*map(F.lit, chosen_words)) if chosen_words else F.array().cast("array<string>"))
+    own = F.array_intersect("words", F.split(F.lit(" ".join(chosen_words)), " "))  # words are letters alone
     has = read.select("n", "t", F.array_sort(own).alias("words")).groupBy("words").agg(F.sum("n").alias("n"), F.sum("t").alias("t")).orderBy("words").toPandas()
-    constant, w = fit_words([[index[x] for x in r] for r in has["words"]], has["n"].to_numpy(np.float64), has["t"].to_numpy(np.float64), len(index))
+    constant, w = fit_words([[index[x] for x in r] for r in has["words"]], has["n"].to_numpy(np.float64), has["t"].to_numpy(np.float64), len(index), ridge)
     return constant, {x: float(w[k]) for x, k in index.items()}
 
 
