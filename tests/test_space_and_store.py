@@ -4,7 +4,9 @@ import datetime as dt
 import math
 import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from weathernorm.operators import space_time as st
 from weathernorm.plans import weather as plans
@@ -41,9 +43,9 @@ def test_fire_needs_space_and_time(spark):
     days = spark.createDataFrame([(1, dt.date(2024, 1, 5), 10.0, 10.0, day, 90.0, 5.0)], "location_id int, date date, lat double, lon double, at timestamp, wd double, ws double")
     fires = spark.createDataFrame([(dt.datetime(2024, 1, 4), 10.0, 10.5, 3.0, "A"), (dt.datetime(2024, 1, 4), 10.0, 9.5, 5.0, "B"), (dt.datetime(2024, 1, 1), 10.0, 10.0, 7.0, "A"), (dt.datetime(2024, 1, 4), 40.0, 10.0, 9.0, "A")], "ts timestamp, lat double, lon double, frp double, region string")
     one = lambda df: df.first().asDict()
-    assert one(st.fires_circular(days, fires))["fire_frp"] == 8.0
+    assert one(st.fires_circular(days, fires, hours=72))["fire_frp"] == 8.0
     assert one(st.fires_oriented(days, fires))["fire_frp"] == 3.0  # the wind comes from the east
-    assert one(st.fires_split(days, fires, ["A", "B"])) == {"location_id": 1, "date": dt.date(2024, 1, 5), "fire_frp_A": 3.0, "fire_frp_B": 5.0}
+    assert one(st.fires_split(days, fires, ["A", "B"], hours=72)) == {"location_id": 1, "date": dt.date(2024, 1, 5), "fire_frp_A": 3.0, "fire_frp_B": 5.0}
 
 
 def test_station_weather_plan(spark):
@@ -186,3 +188,72 @@ def test_grid_cells_go_round_the_earth(spark):
     for centres in ((180.0, 270.0, 0.0), (-180.0, -90.0, 360.0)):
         grid = spark.createDataFrame([(10.0, lon, k) for k, lon in enumerate(centres)], "cell_lat double, cell_lon double, v int")
         assert {(r["location_id"], r["v"]) for r in st.grid_cell_value(points, grid, 0.25).collect()} == {(1, 0), (2, 1), (3, 2)}
+
+
+def _clustered_fires(spark):
+    """A burning region (most fires in a few km), some around it, and places in and beside it."""
+    rng = np.random.default_rng(4)
+    start, rows = dt.datetime(2024, 1, 1), []
+    for k in range(1500):
+        hot = k % 3
+        lat, lon = (float(c + rng.normal(0, 0.05 if hot else 2)) for c in (10, 20))
+        rows.append((k, start + dt.timedelta(hours=int(rng.integers(0, 200)), minutes=int(rng.choice([0, 0, 17]))), lat, lon, float(rng.integers(1, 9)), "AB"[k % 2]))
+    rows += [(9000 + k, start + dt.timedelta(days=2), 10.0, 20.0, 1.0, "A") for k in range(40)]  # at one time and place
+    fires = spark.createDataFrame(rows, "fire_id int, ts timestamp, lat double, lon double, frp double, region string")
+    places = [(k, dt.date(2024, 1, 1) + dt.timedelta(d), 10.0 + dy, 20.0 + dx, start + dt.timedelta(days=d, hours=h)) for k, (dy, dx, h) in enumerate([(0, 0, 0), (0.5, 0.3, 0), (1.7, 0, 0), (-1.8, 0.1, 5), (0, 40, 0)]) for d in (0, 3, 5, 8)]
+    return fires, spark.createDataFrame(places, "location_id int, date date, lat double, lon double, at timestamp")
+
+
+@pytest.mark.parametrize(("few", "halvings", "hours"), [(32, 4, 72), (1, 3, 120), (5, 5, 31), (10_000, 4, 72)])
+def test_fires_by_leaves_are_those_of_all_pairs(spark, few, halvings, hours):
+    fires, days = _clustered_fires(spark)
+    got = {(r["location_id"], r["date"]): (r["fire_frp"], r["fire_count"]) for r in st.fires_circular(days, fires, 200.0, hours, few, halvings).collect()}
+    want = {(r["location_id"], r["date"]): (r["fire_frp"], r["fire_count"]) for r in st.fire_sums(days, st.circular_pairs(days, fires, 200.0, hours)).collect()}
+    assert got == want and max(n for _, n in want.values()) > 100
+
+
+def test_only_the_border_sends_its_fires(spark):
+    fires, days = _clustered_fires(spark)
+    leaves, points = st.fire_leaves(fires, 200.0)
+    assert points.agg(F.sum("n")).first()[0] == fires.count() == leaves.agg(F.sum("n")).first()[0]
+    assert points.filter("ts = timestamp '2024-01-03' and n > 1").count() >= 1  # one time and place is one row
+    crowded = leaves.filter(F.col("n") > st.FEW_FIRES)
+    assert crowded.filter(F.col("_level") < st.HALVINGS).count() == 0
+
+
+def test_trajectory_fires_count_once_by_id_and_follow_the_height(spark):
+    day, ts = dt.date(2024, 1, 2), dt.datetime(2024, 1, 1, 20)
+    fires = spark.createDataFrame([(1, ts, 10.0, 20.0, 3.0, "A"), (2, ts, 10.0, 20.0, 3.0, "A"), (3, ts, -10.0, 20.0, 9.0, "A")], "fire_id int, ts timestamp, lat double, lon double, frp double, region string")
+    steps = [(1, day, dt.datetime(2024, 1, 1, h), lat, 20.0, height) for h in (21, 23) for lat, height in ((10.0, 100.0), (-10.0, 900.0))]
+    points = spark.createDataFrame(steps, "location_id int, date date, point_ts timestamp, lat double, lon double, height double")
+    sums = lambda **o: plans.add_fire(spark.createDataFrame([(1, day, 150.0, 250.0)], "location_id int, date date, pbl_min double, pbl_max double"), spark.createDataFrame([(1, 0.0, 0.0)], "location_id int, lat double, lon double"), o.pop("fires", fires), points=points, **o).first().asDict()
+    assert {k: v for k, v in sums().items() if "fire" in k} == {"fire_frp": 6.0, "fire_count": 2}  # the two detections, by id; 200 m is next to 100
+    assert sums(height=800.0)["fire_frp"] == 9.0
+    assert sums(fires=fires.drop("fire_id"))["fire_count"] == 1
+    assert {k: v for k, v in sums(regions=("A", "B"), by_age=True, hours=24).items() if "frp" in k} == {"fire_frp": 6.0, "fire_frp_A": 6.0, "fire_frp_B": 0.0, "fire_frp_age0": 0.0, "fire_frp_age1": 6.0}
+    with pytest.raises(ValueError, match="points"):
+        plans.add_fire(spark.createDataFrame([(1, day)], "location_id int, date date"), points.select("location_id", "lat", "lon"), fires, "trajectory")
+
+
+def test_collected_weather_keeps_what_the_fires_need_and_no_more(spark, tmp_path):
+    loc = spark.createDataFrame([(1, 0.0, 0.0)], "location_id int, lat double, lon double")
+    stations = spark.createDataFrame([(7, 0.0, 0.5, dt.date(2021, 1, 1))], "code int, lat double, lon double, end date")
+    hours = [(7, dt.datetime(2024, 1, 2, h), 10.0 + h, 1000.0, 90.0, 2.0, 100.0, 5.0, 0.0, 50.0) for h in range(24)]
+    hourly = spark.createDataFrame(hours, "code int, ts timestamp, air_temp double, atmos_pres double, wd double, ws double, ceil_hgt double, visibility double, precip double, RH double")
+    fires = spark.createDataFrame([(dt.datetime(2024, 1, 1, 5), 0.0, 1.0, 2.0, "A"), (dt.datetime(2024, 1, 1, 5), 0.0, -1.0, 4.0, "A")], "ts timestamp, lat double, lon double, frp double, region string")
+    points = spark.createDataFrame([(1, dt.date(2024, 1, 2), dt.datetime(2024, 1, 1, 6), 0.0, -1.0)], "location_id int, date date, point_ts timestamp, lat double, lon double")
+    path = f"file://{tmp_path}/weather"
+    for mode, frp in (("circular", 6.0), ("oriented", 2.0), ("trajectory", 4.0), (None, 4.0)):
+        out = plans.collect_weather(loc, ["air_temp_min"], stations, hourly, fires=fires, fire_mode=mode, points=points, save_to=path if mode is None else None)
+        assert out.columns == ["location_id", "date", "air_temp_min", "fire_frp", "fire_count"] and out.first()["fire_frp"] == frp
+    assert plans.collect_weather(loc, ["precip"], save_to=path).columns == out.columns  # the snapshot is what was saved
+
+
+def test_stored_fires_are_not_computed_again(spark, tmp_path):
+    loc = spark.createDataFrame([(1, 0.0, 0.0)], "location_id int, lat double, lon double")
+    met = spark.createDataFrame([(1, dt.date(2024, 1, 2))], "location_id int, date date")
+    fires = spark.createDataFrame([(dt.datetime(2024, 1, 1, 5), 0.0, 1.0, 2.0, "A")], "ts timestamp, lat double, lon double, frp double, region string")
+    cache = store.Store(spark, f"file://{tmp_path}/fires", plans.FIRE_KEY, buckets=2)
+    assert plans.add_fire(met, loc, fires, cache=cache, save=True).first()["fire_frp"] == 2.0
+    assert plans.add_fire(met, loc, fires.limit(0), cache=cache).first()["fire_frp"] == 2.0
+    assert plans.add_fire(met, loc, fires.limit(0), cache=cache, hours=48).first()["fire_frp"] == 0.0  # of other options nothing is stored

@@ -135,12 +135,17 @@ def bearing_deg(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colum
     return F.pmod(deg + 360, F.lit(360.0))
 
 
+def sphere_km(lat: Column, lon: Column) -> list[Column]:
+    """A point's place on the sphere, in km from its centre."""
+    x = EARTH_KM * F.cos(F.radians(lat)) * F.cos(F.radians(lon))
+    y = EARTH_KM * F.cos(F.radians(lat)) * F.sin(F.radians(lon))
+    return [x, y, EARTH_KM * F.sin(F.radians(lat))]
+
+
 def cell(lat: Column, lon: Column, km: float) -> list[Column]:
     """Cube of ``km`` edge of a point on the sphere: points within ``km`` are in the same or in touching
     cubes, at the poles and at the date line too."""
-    x = EARTH_KM * F.cos(F.radians(lat)) * F.cos(F.radians(lon))
-    y = EARTH_KM * F.cos(F.radians(lat)) * F.sin(F.radians(lon))
-    return [F.floor(c / km) for c in (x, y, EARTH_KM * F.sin(F.radians(lat)))]
+    return [F.floor(c / km) for c in sphere_km(lat, lon)]
 
 
 # ---- cleaning and names ----------------------------------------------------------------------

@@ -67,15 +67,33 @@ def region_daily(df: DataFrame, columns: Sequence[str] = ("Tair", "Qair", "Wind"
     return df.groupBy("region", F.to_date("ts").alias("date")).agg(*(F.avg(c).alias(c) for c in columns))
 
 
+def day_bits(date: Column) -> tuple[Column, Column]:
+    """The bitmap that a day is in (one holds 32,768 days, 89 years), and its bit there."""
+    day = F.unix_date(F.to_date(date)).cast("long")
+    return F.bitmap_bucket_number(day), F.bitmap_bit_position(day)
+
+
 def availability(long: DataFrame) -> DataFrame:
-    """(location_id, weather_var, source, share): the share of all the table's dates with a value. The
-    grid of all pairs is not built: its size is a product of counts."""
-    dates = long.agg(F.countDistinct("date").alias("_d"))
-    pairs = long.select("weather_var", "source").distinct()
-    grid = long.select("location_id").distinct().join(F.broadcast(pairs), how="cross")
-    seen = long.groupBy("location_id", "weather_var", "source").agg(F.countDistinct(F.when(F.col("value").isNotNull(), F.col("date"))).alias("_n"))
-    shares = grid.join(seen, ["location_id", "weather_var", "source"], "left").join(F.broadcast(dates), how="cross")
-    return shares.select("location_id", "weather_var", "source", (F.coalesce("_n", F.lit(0)) / F.col("_d")).alias("share"))
+    """(location_id, weather_var, source, share): the share of all the table's dates with a value, of every location and
+    every (variable, source) of the table.
+
+    Days are bits: one shuffle by location counts the days of each variable and source, and merges a location's days
+    to one bitmap; those of all locations merge to one row, which is broadcast. The grid of all pairs is made in
+    each location's row, not joined.
+    """
+    bucket, bit = day_bits(F.col("date"))
+    days = long.select("location_id", "weather_var", "source", bucket.alias("_bucket"), bit.alias("_bit"), F.when(F.col("value").isNotNull(), bit).alias("_has"))
+    # a partitioning by location serves every grouping below
+    by_bitmap = days.repartition("location_id").groupBy("location_id", "weather_var", "source", "_bucket")
+    seen = by_bitmap.agg(F.bitmap_count(F.bitmap_construct_agg("_has")).alias("_n"), F.bitmap_construct_agg("_bit").alias("_days"))
+    pair = F.struct("weather_var", "source")
+    merged = seen.groupBy("location_id", "_bucket").agg(F.bitmap_or_agg("_days").alias("_days"), F.collect_list(F.struct(pair.alias("pair"), F.col("_n").alias("n"))).alias("_seen"))  # a row a variable and source
+    rows = merged.groupBy("_bucket").agg(F.bitmap_count(F.bitmap_or_agg("_days")).alias("_d"), F.array_distinct(F.flatten(F.collect_set(F.transform("_seen", lambda p: p["pair"])))).alias("_pairs"))
+    table = rows.agg(F.sum("_d").alias("_d"), F.array_distinct(F.flatten(F.collect_list("_pairs"))).alias("_pairs"))
+    each = merged.join(F.broadcast(table), how="cross").select("location_id", "_d", "_seen", F.explode("_pairs").alias("_p"))  # one row on the right
+    n = F.aggregate(F.filter("_seen", lambda p: p["pair"].eqNullSafe(F.col("_p"))), F.lit(0).cast("long"), lambda a, p: a + p["n"])
+    counted = each.groupBy("location_id", F.col("_p.weather_var").alias("weather_var"), F.col("_p.source").alias("source")).agg(F.sum(n).alias("_n"), F.first("_d").alias("_d"))
+    return counted.select("location_id", "weather_var", "source", (F.col("_n") / F.col("_d")).alias("share"))
 
 
 def pick_source(shares: DataFrame, priority: Sequence[str], least: float = 0.5) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import bearing_deg, cell, fold_name, haversine_km
+from ..functions.columns import EARTH_KM, bearing_deg, cell, fold_name, haversine_km, sphere_km
+from ..sources.store import written
 
 _CELL = ["_cx", "_cy", "_cz"]
 
@@ -87,7 +89,7 @@ def grid_cell_value(points: DataFrame, grid: DataFrame, step: float) -> DataFram
 def _fires(days: DataFrame, fires: DataFrame, km: float, hours: int, condition: Column | None) -> DataFrame:
     """Pairs of (location_id, date, lat, lon, at) and the fires near it within the ``hours`` before ``at``."""
     d = days.withColumn("_day", F.explode(F.sequence(F.to_date(F.col("at") - F.make_dt_interval(F.lit(0), F.lit(hours))), F.to_date("at"))))
-    f = fires.select(F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon"), F.col("ts").alias("fire_ts"), "frp", "region", F.to_date("ts").alias("_day"))
+    f = fires.select(F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon"), F.col("ts").alias("fire_ts"), "frp", *(c for c in ("region", "fire_id") if c in fires.columns), F.to_date("ts").alias("_day"))
     a, b = _celled(d, "lat", "lon", km, around=True), _celled(f, "r_lat", "r_lon", km)
     far = haversine_km(F.col("lat"), F.col("lon"), F.col("r_lat"), F.col("r_lon"))
     recent = (F.col("fire_ts") <= F.col("at")) & (F.col("fire_ts") > F.col("at") - F.make_dt_interval(F.lit(0), F.lit(hours)))
@@ -95,47 +97,128 @@ def _fires(days: DataFrame, fires: DataFrame, km: float, hours: int, condition:
     return joined if condition is None else joined.filter(condition)
 
 
-def _fire_sums(days: DataFrame, pairs: DataFrame) -> DataFrame:
-    """fire_frp and fire_count of every (location_id, date): 0 where there is no fire."""
-    sums = pairs.groupBy("location_id", "date").agg(F.sum("frp").alias("fire_frp"), F.count(F.lit(1)).alias("fire_count"))
-    return days.select("location_id", "date").distinct().join(sums, ["location_id", "date"], "left").na.fill({"fire_frp": 0.0, "fire_count": 0})
+#: Hours that fires count back, and the buffers in km of each mode.
+HOURS, BUFFERS = 120, {"circular": 200.0, "oriented": 200.0, "trajectory": 10.0}
+
 
+def fire_sums(days: DataFrame, pairs: DataFrame, regions: Sequence[str] | None = None, ages: int | None = None) -> DataFrame:
+    """fire_frp and fire_count of every (location_id, date): 0 where there is no fire. With ``regions`` also columns for
+    each of them (``fire_frp_{region}``, ``fire_count_{region}``), with ``ages`` for each age in days up to it
+    (``fire_frp_age{k}``, ``fire_count_age{k}``)."""
+    named = {"": F.lit(True)} | {f"_{r}": F.col("region") == r for r in regions or ()} | {f"_age{k}": F.datediff("at", "fire_ts") == k for k in range((ages if ages is not None else -1) + 1)}
+    sums = [x for name, own in named.items() for x in (F.sum(F.when(own, F.col("frp"))).alias(f"fire_frp{name}"), F.count(F.when(own, F.lit(1))).alias(f"fire_count{name}"))]
+    found = pairs.groupBy("location_id", "date").agg(*sums)
+    zero = {f"fire_{what}{name}": value for name in named for what, value in (("frp", 0.0), ("count", 0))}
+    return days.select("location_id", "date").distinct().join(found, ["location_id", "date"], "left").na.fill(zero)
 
-def fires_circular(days: DataFrame, fires: DataFrame, buffer_km: float = 200.0, hours: int = 72) -> DataFrame:
+
+def circular_pairs(days: DataFrame, fires: DataFrame, buffer_km: float, hours: int) -> DataFrame:
     """Fires within a circle in the hours before each location's date (``at``)."""
-    return _fire_sums(days, _fires(days, fires, buffer_km, hours, None))
+    return _fires(days, fires, buffer_km, hours, None)
 
 
-def fires_oriented(days: DataFrame, fires: DataFrame, half_angle: float = 45.0, hours: int = 72, max_km: float = 1000.0) -> DataFrame:
+def oriented_pairs(days: DataFrame, fires: DataFrame, half_angle: float, max_km: float, hours: int) -> DataFrame:
     """Fires upwind: within ``half_angle`` of where the wind comes from (``wd``), and no further than it
     travels in that time at ``ws`` m/s."""
     turn = F.abs(bearing_deg(F.col("lat"), F.col("lon"), F.col("r_lat"), F.col("r_lon")) - F.col("wd"))
     upwind = (F.least(turn, 360 - turn) <= half_angle) & (F.col("distance_km") <= F.col("ws") * 3.6 * hours)
-    return _fire_sums(days, _fires(days, fires, max_km, hours, upwind))
+    return _fires(days, fires, max_km, hours, upwind)
 
 
-def fires_trajectory(points: DataFrame, fires: DataFrame, buffer_km: float = 10.0, hours: int = 24) -> DataFrame:
-    """Fires near any point of a location's air-mass trajectory in the hours before the point's time; a
-    fire counts once a location and date."""
+def trajectory_pairs(points: DataFrame, fires: DataFrame, buffer_km: float, hours: int) -> DataFrame:
+    """Fires near any point of a location's air-mass trajectory in the hours before the point's time; a fire counts once
+    a location and date: by ``fire_id``, where fires have one, or else by its time, place and power."""
     p = points.withColumnRenamed("point_ts", "at")
-    near = _fires(p, fires, buffer_km, hours, None).select("location_id", "date", "fire_ts", "r_lat", "r_lon", "frp").distinct()
-    return _fire_sums(p, near)
+    one = ["fire_id"] if "fire_id" in fires.columns else ["fire_ts", "r_lat", "r_lon", "frp"]
+    near = _fires(p, fires, buffer_km, hours, None)
+    # ages count from the date, not from the points on the way
+    return near.groupBy("location_id", "date", *one).agg(*(F.first(c).alias(c) for c in ("fire_ts", "frp", "region") if c in near.columns and c not in one)).withColumn("at", F.col("date").cast("timestamp"))
+
+
+#: Fires of a cell and day that are compared one by one; how often a cell with more is halved.
+FEW_FIRES, HALVINGS = 32, 4
+_DAY_S = 86_400.0
+
+
+def fire_leaves(fires: DataFrame, buffer_km: float, few: int = FEW_FIRES, halvings: int = HALVINGS) -> tuple[DataFrame, DataFrame]:
+    """A tree of cells over the fires of each day, as deep as they are many: (leaves, points).
+
+    A day holds what burns after one midnight up to the next. A cube of the buffer's width is a leaf if it holds
+    ``few`` fires or less; others are halved in each direction, up to ``halvings`` times. Leaves have their sums,
+    points (fires of one time and place are one) their leaf. Counts are made from the sums of the finest
+    cells, so that no task sees the fires of a hot cell together.
+    """
+    at = F.col("ts").cast("timestamp").cast("double")
+    once = fires.groupBy("ts", "lat", "lon").agg(F.sum("frp").alias("frp"), F.count(F.lit(1)).alias("n"))
+    fine = [c.alias(f"_f{k}") for k, c in enumerate(cell(F.col("lat"), F.col("lon"), buffer_km / 2**halvings))]
+    placed = once.select("ts", F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon"), "frp", "n", F.ceil(at / _DAY_S).alias("_day"), *fine)
+    names = [f"_f{k}" for k in range(3)]
+    finest = placed.groupBy(*names, "_day").agg(F.sum("n").alias("n"))
+    up = lambda name, level: F.floor(F.col(name) / 2 ** (halvings - level))
+    level = F.lit(halvings)
+    for own in range(halvings - 1, -1, -1):  # the widest cell with few fires
+        held = F.sum("n").over(Window.partitionBy("_day", *(up(c, own) for c in names)))
+        level = F.when(held <= few, F.lit(own)).otherwise(level)
+    mapped = finest.select(*names, "_day", level.alias("_level"))
+    to_level = lambda name: F.floor(F.col(name) / F.pow(F.lit(2.0), F.lit(halvings) - F.col("_level"))).cast("long")
+    mapped = mapped.select("*", *(to_level(c).alias(f"_l{k}") for k, c in enumerate(names)), *(up(c, 0).cast("long").alias(c0) for c, c0 in zip(names, _CELL, strict=True)))
+    # made once, read by the leaves and by what is on a border
+    points = written(placed.join(mapped, [*names, "_day"]).drop(*names), "fire-points")
+    leaves = points.groupBy("_day", "_level", "_l0", "_l1", "_l2", *_CELL).agg(F.sum("frp").alias("frp"), F.sum("n").alias("n"))
+    return leaves, points
+
+
+def fires_circular(days: DataFrame, fires: DataFrame, buffer_km: float = 200.0, hours: int = HOURS, few: int = FEW_FIRES, halvings: int = HALVINGS) -> DataFrame:
+    """fire_frp and fire_count within a circle in the hours before each location's date (``at``), those of
+    :func:`circular_pairs`, but not from all pairs: leaves (:func:`fire_leaves`) that lie wholly within circle and hours
+    answer from their sums, only those on the border send their fires."""
+    leaves, points = fire_leaves(fires, buffer_km, few, halvings)
+    end = F.col("at").cast("timestamp").cast("double")
+    day = F.explode(F.sequence(F.floor((end - hours * 3600.0) / _DAY_S) + 1, F.ceil(end / _DAY_S)))
+    asked = days.select("location_id", "date", "lat", "lon", "at").distinct()
+    around = _celled(asked.withColumn("_day", day), "lat", "lon", buffer_km, around=True)
+    met = around.join(leaves, [*_CELL, "_day"]).drop(*_CELL)
+    # the leaf's cube against the location's place on the sphere, in km of straight lines
+    width = F.lit(buffer_km) / F.pow(F.lit(2.0), F.col("_level"))
+    near2 = far2 = F.lit(0.0)
+    for k, x in enumerate(sphere_km(F.col("lat"), F.col("lon"))):
+        low, high = F.col(f"_l{k}") * width, (F.col(f"_l{k}") + 1) * width
+        below, above = low - x, x - high
+        near2 = near2 + F.pow(F.greatest(below, above, F.lit(0.0)), 2)
+        far2 = far2 + F.pow(F.greatest(F.abs(low - x), F.abs(high - x)), 2)
+    chord = 2 * EARTH_KM * math.sin(min(buffer_km / (2 * EARTH_KM), math.pi / 2))
+    whole_day = ((F.col("_day") - 1) * _DAY_S >= end - hours * 3600.0) & (F.col("_day") * _DAY_S <= end)
+    slack = 1e-6 * EARTH_KM
+    sided = met.withColumns({"_in": (F.sqrt(far2) <= chord - slack) & whole_day, "_out": F.sqrt(near2) > chord + slack}).filter(~F.col("_out"))
+    inside = sided.filter("_in").select("location_id", "date", "frp", "n")
+    border = sided.filter(~F.col("_in")).select("location_id", "date", "lat", "lon", "at", "_day", "_level", "_l0", "_l1", "_l2")
+    close = border.join(points.select("ts", "r_lat", "r_lon", "frp", "n", "_day", "_level", "_l0", "_l1", "_l2"), ["_day", "_level", "_l0", "_l1", "_l2"])
+    recent = (F.col("ts") <= F.col("at")) & (F.col("ts") > F.col("at") - F.make_dt_interval(F.lit(0), F.lit(hours)))
+    close = close.filter(recent & (haversine_km(F.col("lat"), F.col("lon"), F.col("r_lat"), F.col("r_lon")) <= buffer_km)).select("location_id", "date", "frp", "n")
+    sums = inside.unionByName(close).groupBy("location_id", "date").agg(F.sum("frp").alias("fire_frp"), F.sum("n").alias("fire_count"))
+    return days.select("location_id", "date").distinct().join(sums, ["location_id", "date"], "left").na.fill({"fire_frp": 0.0, "fire_count": 0})
+
+
+def fires_oriented(days: DataFrame, fires: DataFrame, half_angle: float = 45.0, hours: int = HOURS, max_km: float = 200.0) -> DataFrame:
+    """The sums of :func:`oriented_pairs`."""
+    return fire_sums(days, oriented_pairs(days, fires, half_angle, max_km, hours))
+
+
+def fires_trajectory(points: DataFrame, fires: DataFrame, buffer_km: float = 10.0, hours: int = 24) -> DataFrame:
+    """The sums of :func:`trajectory_pairs`."""
+    return fire_sums(points, trajectory_pairs(points, fires, buffer_km, hours))
 
 
-def fires_split(days: DataFrame, fires: DataFrame, regions: Sequence[str], buffer_km: float = 200.0, hours: int = 72) -> DataFrame:
+def fires_split(days: DataFrame, fires: DataFrame, regions: Sequence[str], buffer_km: float = 200.0, hours: int = HOURS) -> DataFrame:
     """As :func:`fires_circular`, in a column for each region (``fire_frp_{region}``)."""
-    pairs = _fires(days, fires, buffer_km, hours, None)
-    wide = pairs.groupBy("location_id", "date").pivot("region", list(regions)).agg(F.sum("frp"))
-    wide = wide.withColumnsRenamed({r: f"fire_frp_{r}" for r in regions})
-    return days.select("location_id", "date").distinct().join(wide, ["location_id", "date"], "left").na.fill(0.0)
+    wide = fire_sums(days, circular_pairs(days, fires, buffer_km, hours), regions=regions)
+    return wide.select("location_id", "date", *(f"fire_frp_{r}" for r in regions))
 
 
-def fires_by_age(days: DataFrame, fires: DataFrame, buffer_km: float = 200.0, hours: int = 72) -> DataFrame:
+def fires_by_age(days: DataFrame, fires: DataFrame, buffer_km: float = 200.0, hours: int = HOURS) -> DataFrame:
     """As :func:`fires_circular`, in a column for each age in days."""
-    ages = [str(k) for k in range(hours // 24 + 1)]
-    age = F.datediff("at", "fire_ts").cast("string")
-    wide = _fires(days, fires, buffer_km, hours, None).withColumn("age", age).groupBy("location_id", "date").pivot("age", ages).agg(F.sum("frp"))
-    return days.select("location_id", "date").distinct().join(wide.withColumnsRenamed({a: f"fire_frp_age{a}" for a in ages}), ["location_id", "date"], "left").na.fill(0.0)
+    wide = fire_sums(days, circular_pairs(days, fires, buffer_km, hours), ages=hours // 24)
+    return wide.select("location_id", "date", *(f"fire_frp_age{k}" for k in range(hours // 24 + 1)))
 
 
 def needs_fire(weather: DataFrame, height: float | None = None) -> DataFrame:

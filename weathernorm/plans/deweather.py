@@ -14,6 +14,7 @@ from ..operators import effects, model
 from ..operators.aggregates import fit_metrics
 from ..operators.joins import key_join, with_weather
 from ..operators.yoy import yoy_attribution
+from ..sources.store import Store, written
 from .prep import prep_data
 
 #: Fits of a series that one task predicts.
@@ -46,29 +47,56 @@ def deweather_configs(meas: DataFrame, weather: DataFrame, configs: Sequence[mod
     return {"result": effects.long_result(wide, by), "models": models, "performance": fit_metrics(predicted, [*by, "replicate"]), "importance": effects.importance(models, key), "rows": rows}
 
 
-def deweather(meas: DataFrame, weather: DataFrame, weather_vars: Sequence[str], output: str = "anomaly", key: Sequence[str] = tuple(SERIES), since: str | None = "2020-01-01", time_vars: Sequence[str] | None = None, **options) -> dict[str, DataFrame]:
-    """:func:`deweather_configs` of one output; ``options`` are those of :class:`model.Config`, a list of values
-    gives a configuration for each. Fire variables count if they are among ``weather_vars``."""
-    own = {k: options.pop(k) for k in ("training_start", "training_end", "excluded") if k in options}
+def deweather(meas: DataFrame, weather: DataFrame, weather_vars: Sequence[str], output: str | Sequence[str] = "anomaly", key: Sequence[str] = tuple(SERIES), since: str | None = "2020-01-01", time_vars: Sequence[str] | None = None, preset: Mapping[str, object] | None = None, override: Mapping[str, object] | None = None, **options) -> dict[str, DataFrame]:
+    """:func:`deweather_configs` of one output or several; ``options`` are those of :class:`model.Config`, a list of values
+    gives a configuration for each, and training dates may be given for each output ({"trend": ...}). A process's
+    ``preset`` replaces these arguments, ``override`` replaces both. Fire variables count if they are among
+    ``weather_vars``."""
+    args = presets({"weather_vars": weather_vars, "output": output, "time_vars": time_vars, **options}, preset, override)
+    weather_vars, output, time_vars = (args.pop(k) for k in ("weather_vars", "output", "time_vars"))
+    outputs = {o: {} for o in ([output] if isinstance(output, str) else output)}
+    for name in ("training_start", "training_end", "excluded"):
+        if name in args:
+            value = args.pop(name)
+            for o, own in outputs.items():
+                if not isinstance(value, Mapping) or o in value:
+                    own[name] = value[o] if isinstance(value, Mapping) else value
     if time_vars is not None:
-        own["time_vars"] = time_vars
+        for own in outputs.values():
+            own["time_vars"] = time_vars
     fire = any(v.startswith(model.FIRE_PREFIXES) for v in weather_vars)
-    configs = model.config_grid({output: own}, weather_vars, **{"add_fire": fire, **options})
+    configs = model.config_grid(outputs, weather_vars, **{"add_fire": fire, **args})
     return deweather_configs(meas, weather, configs, key, since)
 
 
-def deweather_yoy(meas: DataFrame, weather: DataFrame, weather_vars: Sequence[str], months: Sequence[str], key: Sequence[str] = tuple(SERIES), since: str | None = "2020-01-01", **options) -> DataFrame:
+def deweather_yoy(meas: DataFrame, weather: DataFrame, weather_vars: Sequence[str], months: Sequence[str], key: Sequence[str] = tuple(SERIES), since: str | None = "2020-01-01", keep_originals: bool = False, sink: Store | None = None, constants: Mapping[str, str] | None = None, **options) -> DataFrame:
     """(series, date, variable, value) of each month's year-over-year parts; the days of the month and of
-    the year before are kept out of the training. Months are configurations of one plan."""
+    the year before are kept out of the training. Months are configurations of one plan.
+
+    With ``keep_originals`` the results that they are made from stay as well, in a column ``month`` for each month. With
+    a ``sink``, the rows (with ``constants``, such as the process) are also upserted there.
+    """
     fire = any(v.startswith(model.FIRE_PREFIXES) for v in weather_vars)
     configs = []
     for k, month in enumerate(months):
         (one,) = model.config_grid({"anomaly": {"excluded": compared_days(month)}}, weather_vars, **{"add_fire": fire, **options})
         configs.append(replace(one, config_id=k))
-    found = deweather_configs(meas, weather, configs, key, since)["result"]
+    whole = deweather_configs(meas, weather, configs, key, since)["result"]
+    out = yoy_of_months(whole, key, months, keep_originals)
+    if sink is not None:
+        out = written(out, "yoy")
+        sink.put_results(out, **(constants or {}))
+    return out
+
+
+def yoy_of_months(results: DataFrame, key: Sequence[str], months: Sequence[str], keep_originals: bool = False) -> DataFrame:
+    """The year-over-year parts of each month from the results of its own configuration (config_id is the month's place)."""
     out = None
     for k, month in enumerate(months):
-        part = yoy_attribution(found.filter(F.col("config_id") == k).drop("config_id"), key, month)
+        own = results.filter(F.col("config_id") == k).drop("config_id")
+        part = yoy_attribution(own, key, month)
+        if keep_originals:
+            part = own.unionByName(part).withColumn("month", F.lit(month).cast("date"))
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -11,7 +11,7 @@ from ..operators import aggregates as agg
 from ..operators import cleaning, effects, joins, model
 from ..sources import store, tables
 from . import weather as plans
-from .queries_space import _CIRCLE, _KNN, _stations
+from .queries_space import _BEAR, _CIRCLE, _KNN, _RECENT, _REGIONS, _km, _stations
 from .queries_tables import _STATION
 from .register import registrar
 
@@ -62,7 +62,53 @@ def boundary_layer(location, hourly):
 @query("add_fire", f"WITH pairs AS ({_CIRCLE}), s AS (SELECT location_id, date, sum(frp) AS frp, count(*) AS n FROM pairs GROUP BY ALL), w AS (SELECT DISTINCT location_id, date, CASE WHEN location_id % 3 = 0 THEN CAST(location_id AS DOUBLE) END AS fire_frp FROM place_days) --FINAL-- SELECT location_id, date, coalesce(fire_frp, frp, 0) AS fire_frp, CASE WHEN fire_frp IS NULL THEN coalesce(n, 0) END AS fire_count FROM w LEFT JOIN s USING (location_id, date)", "fire_frp", "place_days", "fires")
 def add_fire(days, fires):
     weather = days.select("location_id", "date", F.when(F.col("location_id") % 3 == 0, F.col("location_id").cast("double")).alias("fire_frp")).distinct()
-    return plans.add_fire(weather, days.select("location_id", "lat", "lon").distinct(), fires, buffer_km=500.0)
+    return plans.add_fire(weather, days.select("location_id", "lat", "lon").distinct(), fires, buffer_km=500.0, hours=72)
+
+
+_FIRE_WEATHER = "SELECT DISTINCT location_id, date, wd, ws, CASE WHEN location_id % 3 = 0 THEN CAST(location_id AS DOUBLE) END AS fire_frp FROM place_days"
+
+
+def _fire_weather(days, *columns):
+    return days.select("location_id", "date", *columns, F.when(F.col("location_id") % 3 == 0, F.col("location_id").cast("double")).alias("fire_frp")).distinct()
+
+
+_ORIENTED = f"SELECT location_id, date, frp, region, age FROM (SELECT p.location_id, p.date, p.ws, f.frp, f.region, date_diff('day', CAST(f.ts AS DATE), p.date) AS age, {_km('p.lat', 'p.lon', 'f.lat', 'f.lon')} AS km, abs({_BEAR} - 360 * floor({_BEAR} / 360) - p.wd) AS turn FROM place_days p JOIN fires f ON {_RECENT.format(120)}) WHERE km <= 1000 AND least(turn, 360 - turn) <= 45.5 AND km <= ws * 3.6 * 120"
+
+
+@query("add_fire_oriented", f"WITH pairs AS ({_ORIENTED}), s AS (SELECT location_id, date, sum(frp) AS frp, count(*) AS n FROM pairs GROUP BY ALL), w AS ({_FIRE_WEATHER}) --FINAL-- SELECT location_id, date, wd, ws, coalesce(fire_frp, frp, 0) AS fire_frp, CASE WHEN fire_frp IS NULL THEN coalesce(n, 0) END AS fire_count FROM w LEFT JOIN s USING (location_id, date)", "wd ws fire_frp", "place_days", "fires")
+def add_fire_oriented(days, fires):
+    return plans.add_fire(_fire_weather(days, "wd", "ws"), days.select("location_id", "lat", "lon").distinct(), fires, "oriented", buffer_km=1000.0, half_angle=45.5)
+
+
+_ALONG = f"SELECT location_id, date, frp, region, date_diff('day', CAST(ts AS DATE), date) AS age FROM (SELECT DISTINCT p.location_id, p.date, f.ts, f.lat, f.lon, f.frp, f.region FROM traj_points p JOIN fires f ON f.ts <= p.point_ts AND f.ts > p.point_ts - INTERVAL 24 HOUR WHERE {_km('p.lat', 'p.lon', 'f.lat', 'f.lon')} <= 300)"
+
+
+@query("add_fire_trajectory", f"WITH pairs AS ({_ALONG}), s AS (SELECT location_id, date, sum(frp) AS fire_frp, count(*) AS fire_count FROM pairs GROUP BY ALL), w AS (SELECT DISTINCT location_id, date FROM traj_points) --FINAL-- SELECT location_id, date, coalesce(fire_frp, 0) AS fire_frp, coalesce(fire_count, 0) AS fire_count FROM w LEFT JOIN s USING (location_id, date)", "fire_frp", "traj_points", "fires")
+def add_fire_trajectory(points, fires):
+    weather = points.select("location_id", "date").distinct()
+    locations = weather.select("location_id", F.lit(0.0).alias("lat"), F.lit(0.0).alias("lon")).distinct()
+    # trajectories of two heights: those of 10 m are next to the default
+    both = points.withColumn("height", F.lit(10.0)).unionByName(points.withColumn("height", F.lit(500.0)).withColumn("lat", -F.col("lat")))
+    return plans.add_fire(weather, locations, fires, points=both, buffer_km=300.0)
+
+
+_SPLIT = [f"fire_{what}{name}" for name in ("", *(f"_{r}" for r in _REGIONS)) for what in ("frp", "count")]
+
+
+@query("add_fire_by_region", f"WITH pairs AS ({_CIRCLE}) --FINAL-- SELECT d.location_id, d.date, coalesce(sum(frp), 0) AS fire_frp, count(frp) AS fire_count, " + ", ".join(f"coalesce(sum(frp) FILTER (region = '{r}'), 0) AS fire_frp_{r}, count(*) FILTER (region = '{r}') AS fire_count_{r}" for r in _REGIONS) + " FROM (SELECT DISTINCT location_id, date FROM place_days) d LEFT JOIN pairs USING (location_id, date) GROUP BY ALL", " ".join(c for c in _SPLIT if "frp" in c), "place_days", "fires")
+def add_fire_by_region(days, fires):
+    """What a first call computes goes to the store; the second takes all of it from there."""
+    weather, at = days.select("location_id", "date").distinct(), days.select("location_id", "lat", "lon").distinct()
+    cache = store.Store(days.sparkSession, f"{store.scratch(days.sparkSession)}/fires-{uuid.uuid4().hex}", plans.FIRE_KEY, buckets=4)
+    options = {"mode": "circular", "buffer_km": 500.0, "hours": 72, "regions": tuple(_REGIONS), "cache": cache}
+    plans.add_fire(weather, at, fires, save=True, **options)
+    return plans.add_fire(weather, at, fires.limit(0), **options)
+
+
+@query("add_fire_by_age", f"WITH pairs AS ({_ORIENTED}) --FINAL-- SELECT d.location_id, d.date, coalesce(sum(frp), 0) AS fire_frp, count(frp) AS fire_count, " + ", ".join(f"coalesce(sum(frp) FILTER (age = {k}), 0) AS fire_frp_age{k}, count(*) FILTER (age = {k}) AS fire_count_age{k}" for k in range(6)) + " FROM (SELECT DISTINCT location_id, date FROM place_days) d LEFT JOIN pairs USING (location_id, date) GROUP BY ALL", "fire_frp " + " ".join(f"fire_frp_age{k}" for k in range(6)), "place_days", "fires")
+def add_fire_by_age(days, fires):
+    weather = days.select("location_id", "date", "wd", "ws").distinct()
+    return plans.add_fire(weather, days.select("location_id", "lat", "lon").distinct(), fires, "oriented", buffer_km=1000.0, half_angle=45.5, by_age=True).drop("wd", "ws")
 
 
 @query("add_cached_fire", "WITH w AS (SELECT DISTINCT location_id, date FROM traj_points) --FINAL-- SELECT location_id, date, CASE WHEN location_id % 2 = 0 THEN 7.0 END AS fire_frp FROM w", "fire_frp", "traj_points")
@@ -88,6 +134,26 @@ def collect_weather(location, station, hourly):
     return plans.collect_weather(location.select("location_id", "lat", "lon"), ["air_temp_min", "precip", "sunshine"], _stations(station), hourly, add_sunshine=True, km=1500.0)
 
 
+_WHOLE = ["air_temp_min", "air_temp_max", "precip", "ws", "pbl_min", "pbl_max"]
+_GRID_DAY = "g AS (SELECT location_id, date, t0 AS air_temp_min, t1 AS air_temp_max, tp AS precip, ws FROM location l JOIN (SELECT round(cell_lat / 4) * 4 AS cell_lat, round(cell_lon / 4) * 4 AS cell_lon, CAST(ts AS DATE) AS date, min(t2m) - 273.15 AS t0, max(t2m) - 273.15 AS t1, sum(tp) * 1000 AS tp, avg(sqrt(u10 * u10 + v10 * v10)) AS ws FROM hourly GROUP BY ALL HAVING count(DISTINCT hour(ts)) >= 2) h ON {0})"
+
+
+@query("collect_weather_of_all_sources", f"""WITH {_KNN}, d AS ({_STATION}), j AS (SELECT location_id, d.*, 1 / greatest(1.0, distance_km) AS w FROM knn JOIN d USING (code) WHERE rn <= 4), st AS (SELECT location_id, date, {_MEANS} FROM j GROUP BY ALL), {_GRID_DAY.format(_CELL)}, {_LAYERS},
+  dd AS (SELECT DISTINCT date FROM (SELECT date FROM st UNION ALL SELECT date FROM g)), total AS (SELECT count(*) AS n FROM dd),
+  u AS (SELECT location_id, date, {_list("g.{0} AS g_{0}, st.{0} AS s_{0}", _WHOLE[:4])}, g.location_id IS NOT NULL AS in_g, st.location_id IS NOT NULL AS in_s FROM g FULL JOIN st USING (location_id, date)),
+  n AS (SELECT location_id, {_list("count(g_{0}) / (SELECT n FROM total) >= 0.25 AS gok_{0}, count(s_{0}) / (SELECT n FROM total) >= 0.25 AS sok_{0}", _WHOLE[:4])} FROM u GROUP BY 1),
+  c AS (SELECT location_id, date, {_list("CASE WHEN gok_{0} THEN g_{0} WHEN sok_{0} THEN s_{0} END AS {0}", _WHOLE[:4])} FROM u JOIN n USING (location_id) WHERE {" OR ".join(f"(CASE WHEN gok_{v} THEN in_g WHEN sok_{v} THEN in_s ELSE false END)" for v in _WHOLE[:4])})
+  --FINAL-- SELECT location_id, date, {", ".join(_WHOLE)} FROM c LEFT JOIN l USING (location_id, date)""", " ".join(_WHOLE), "location", "station", "station_hourly", "hourly")
+def collect_weather_of_all_sources(location, station, station_hourly, hourly):
+    at = location.select("location_id", "lat", "lon", (F.col("location_id") % 11 - 5 + 0.5).alias("offset_hours"))
+    grid = hourly.select((F.round(F.col("cell_lat") / 4) * 4).alias("cell_lat"), (F.round(F.col("cell_lon") / 4) * 4).alias("cell_lon"), "ts", "u10", "v10", "t2m", "d2m", "sp", "tp")
+    layers = hourly.select("cell_lat", "cell_lon", "ts", "blh")
+    path = f"{store.scratch(location.sparkSession)}/weather-{uuid.uuid4().hex}"
+    arguments = {"stations": _stations(station), "station_hourly": station_hourly, "grid_hourly": grid, "step": 4.0, "km": 1500.0, "layers_hourly": layers, "save_to": path, "grid_hours": 2, "least": 0.25}
+    plans.collect_weather(at, _WHOLE, **arguments)
+    return plans.collect_weather(at, _WHOLE, **arguments)  # from the snapshot
+
+
 _TURN = "degrees(atan2(sum(ws * sin(radians(wd))), sum(ws * cos(radians(wd))))) + 360"
 
 

@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import extraterrestrial_radiation
-from ..operators.aggregates import grid_daily, inverse_distance_mean, local_day_extremes, station_daily
+from ..operators.aggregates import day_bits, grid_daily, inverse_distance_mean, local_day_extremes, station_daily
 from ..operators.cleaning import date_range
 from ..operators.joins import coalesce_join, natural_left
-from ..operators.space_time import fires_circular, fires_oriented, fires_trajectory, grid_cell_value, nearest_stations, needs_fire
-from ..sources.tables import GRID_NAMES, STATION_NAMES, in_units, renamed
+from ..operators.space_time import BUFFERS, HOURS, circular_pairs, fire_sums, fires_circular, grid_cell_value, nearest_stations, needs_fire, oriented_pairs, trajectory_pairs
+from ..sources.store import Store, normal_key, written
+from ..sources.tables import GRID_NAMES, STATION_NAMES, in_units, renamed, snapshot
 
 STATION_VARS = ["air_temp_min", "air_temp_max", "atmos_pres", "wd", "ws", "ws_max", "ceil_hgt", "visibility", "precip", "RH", "RH_max"]
 
@@ -50,16 +52,19 @@ def combine_weathers(weathers: Mapping[str, DataFrame], variables: Sequence[str]
         has[source] = [v for v in variables if v in df.columns]
         part = df.select(*place, F.lit(True).alias(f"_{source}"), *(F.col(v).alias(f"_{source}_{v}") for v in has[source]))
         tagged = part if tagged is None else tagged.unionByName(part, allowMissingColumns=True)
-    dates = tagged.agg(F.countDistinct("date").alias("_dates"))
     cells = [c for c in tagged.columns if c not in place]
     wide = tagged.repartition("location_id").groupBy(*place).agg(*(F.first(c, ignorenulls=True).alias(c) for c in cells))
+    # days as bits, and the values of each source in all; of the same columns, so that the shuffle serves this as well
+    bucket, bit = day_bits(F.col("date"))
+    bitmaps = wide.groupBy(bucket.alias("_bucket")).agg(F.bitmap_count(F.bitmap_construct_agg(bit)).alias("_dates"), *(F.count(c).alias(f"_all{c}") for c in cells))
+    dates = bitmaps.agg(F.sum("_dates").alias("_dates"), *(F.sum(f"_all{c}").alias(f"_all{c}") for c in cells))
     own = Window.partitionBy("location_id")
     seen = wide.withColumns({f"_n{c}": F.count(c).over(own) for c in cells if any(c == f"_{s}_{v}" for s in has for v in has[s])}).join(F.broadcast(dates), how="cross")
     values, here = {}, F.lit(False)
     for v in variables:
         value, used = F.lit(None), F.lit(False)
         for source in reversed([s for s in has if v in has[s]]):
-            enough = F.col(f"_n_{source}_{v}") / F.col("_dates") >= least
+            enough = (F.col(f"_n_{source}_{v}") / F.col("_dates") >= least) & (F.col(f"_all_{source}_{v}") > 0) & (F.col(f"_all_{source}") > 0)
             value = F.when(enough, F.col(f"_{source}_{v}")).otherwise(value)
             used = F.when(enough, F.col(f"_{source}").isNotNull()).otherwise(used)
         values[v], here = value, here | used
@@ -76,39 +81,127 @@ def boundary_layer(weather: DataFrame, locations: DataFrame, hourly: DataFrame,
 
 def with_cached_fire(weather: DataFrame, cached: DataFrame) -> DataFrame:
     """Fire columns from stored results, where there are any."""
-    return coalesce_join(weather, cached, ["location_id", "date"], ["fire_frp", "fire_count"])
-
-
-def add_fire(weather: DataFrame, locations: DataFrame, fires: DataFrame, mode: str = "circular", points: DataFrame | None = None, cached: DataFrame | None = None, hours: int = 72, buffer_km: float | None = None) -> DataFrame:
-    """Fills fire columns: from the cache first (trajectories only), then from the fires themselves."""
-    columns = ["fire_frp", "fire_count"]
-    if cached is not None and mode == "trajectory":
-        weather = with_cached_fire(weather, cached)
-    todo = needs_fire(weather).join(locations.select("location_id", "lat", "lon"), "location_id").withColumn("at", F.col("date").cast("timestamp"))
-    if mode == "circular":
-        found = fires_circular(todo, fires, buffer_km or 200.0, hours)
-    elif mode == "oriented":
-        found = fires_oriented(todo, fires, hours=hours, max_km=buffer_km or 1000.0)
-    elif mode == "trajectory":
-        # points of the rows that lack fires only
-        found = fires_trajectory(points.join(todo.select("location_id", "date").distinct(), ["location_id", "date"], "left_semi"), fires, buffer_km or 10.0, hours)
+    return coalesce_join(weather, cached, ["location_id", "date"], [c for c in cached.columns if c.startswith("fire_")])
+
+
+@dataclass(frozen=True)
+class FireOptions:
+    """How fires are attached: the mode ("circular", "oriented" or "trajectory"), the hours that they count back, and
+    for trajectories the hours before each point; the buffer (None: the mode's own); columns for regions or for
+    ages in days; the height of trajectories (None: the middle of the boundary layer, or 10 m)."""
+
+    mode: str = "circular"
+    hours: int = HOURS
+    delay_hours: int = 24
+    buffer_km: float | None = None
+    half_angle: float = 45.0
+    regions: tuple[str, ...] = ()
+    by_age: bool = False
+    height: float | None = None
+    source: str = "viirs"
+
+    def __post_init__(self) -> None:
+        if self.mode not in BUFFERS:
+            raise ValueError(f"unknown fire mode {self.mode!r}")
+
+    @property
+    def buffer(self) -> float:
+        return BUFFERS[self.mode] if self.buffer_km is None else self.buffer_km
+
+    @property
+    def columns(self) -> list[str]:
+        names = ["", *(f"_{r}" for r in self.regions), *(f"_age{k}" for k in range(self.hours // 24 + 1) if self.by_age)]
+        return [f"fire_{what}{name}" for name in names for what in ("frp", "count")]
+
+    @property
+    def key(self) -> dict[str, str | None]:
+        """What a stored result is known by, besides its location and date."""
+        values = {"mode": self.mode, "duration_hour": self.hours, "height": self.height, "buffer_km": self.buffer, "fire_source": self.source, "fire_split_regions": list(self.regions) or "none"}
+        return {k: normal_key(v) for k, v in values.items()}
+
+
+FIRE_KEY = ["location_id", "date", "mode", "duration_hour", "height", "buffer_km", "fire_source", "fire_split_regions"]
+
+
+def stored_fires(cache: Store, options: FireOptions) -> DataFrame:
+    """(location_id, date, fire columns) of what the store holds for these options."""
+    found = cache.read()
+    for name, value in options.key.items():
+        found = found.filter(F.col(name).eqNullSafe(F.lit(value)))
+    return found.select("location_id", "date", *(c for c in options.columns if c in found.columns))
+
+
+def at_height(points: DataFrame, todo: DataFrame) -> DataFrame:
+    """The points of the trajectory whose height is next to what each (location_id, date) asks for; all points, where
+    they have no heights."""
+    wanted = todo.select("location_id", "date", "trajs_height").groupBy("location_id", "date").agg(F.min("trajs_height").alias("trajs_height"))
+    near = points.join(wanted, ["location_id", "date"])
+    if "height" in points.columns:
+        off = F.abs(F.col("height") - F.col("trajs_height"))
+        w = Window.partitionBy("location_id", "date")
+        near = near.withColumn("_least", F.min(F.struct(off.alias("off"), F.col("height").alias("height"))).over(w)).filter(F.col("height").eqNullSafe(F.col("_least.height"))).drop("_least")
+    return near.select(*points.columns)
+
+
+def fire_columns(todo: DataFrame, fires: DataFrame, options: FireOptions, points: DataFrame | None = None) -> DataFrame:
+    """(location_id, date, the options' columns) of rows with lat, lon, at, and wd and ws or trajs_height as the mode needs."""
+    if options.mode == "circular" and not options.regions and not options.by_age:
+        return fires_circular(todo, fires, options.buffer, options.hours)
+    if options.mode == "circular":
+        pairs = circular_pairs(todo, fires, options.buffer, options.hours)
+    elif options.mode == "oriented":
+        if missing := {"wd", "ws"} - set(todo.columns):
+            raise ValueError(f"oriented fires need {', '.join(sorted(missing))}")
+        pairs = oriented_pairs(todo, fires, options.half_angle, options.buffer, options.hours)
     else:
-        raise ValueError(f"unknown fire mode {mode!r}")
-    return coalesce_join(weather, found, ["location_id", "date"], columns)
-
-
-def collect_weather(locations: DataFrame, variables: Sequence[str], stations: DataFrame | None = None, station_hourly: DataFrame | None = None, grid_hourly: DataFrame | None = None, add_sunshine: bool = False, fires: DataFrame | None = None, fire_mode: str = "circular", priority: Sequence[str] = ("grid", "station", "sun"), step: float = 0.25, km: float = 100.0) -> DataFrame:
-    """All sources of weather for the locations, combined; fires attached if there are any."""
+        if points is None:
+            raise ValueError("fires along trajectories need the points of the trajectories")
+        pairs = trajectory_pairs(at_height(points, todo), fires, options.buffer, options.delay_hours)
+    return fire_sums(todo, pairs, options.regions, options.hours // 24 if options.by_age else None).select("location_id", "date", *options.columns)
+
+
+def add_fire(weather: DataFrame, locations: DataFrame, fires: DataFrame, mode: str | None = None, points: DataFrame | None = None, cached: DataFrame | None = None, cache: Store | None = None, save: bool = False, **options) -> DataFrame:
+    """Fills fire columns: from what is stored first (a table ``cached`` in trajectory mode, or a store ``cache`` with the
+    key ``FIRE_KEY`` in every mode), then from the fires themselves; with ``save``, what was computed goes to the
+    store. The mode is "trajectory" if points are given, or else "circular"; ``options`` are those of
+    :class:`FireOptions`."""
+    options = FireOptions(mode=mode or ("circular" if points is None else "trajectory"), **options)
+    if cached is not None and options.mode == "trajectory":
+        weather = with_cached_fire(weather, cached)
+    if cache is not None:
+        weather = with_cached_fire(weather, stored_fires(cache, options))
+    todo = needs_fire(weather, options.height).join(locations.select("location_id", "lat", "lon"), "location_id").withColumn("at", F.col("date").cast("timestamp"))
+    found = fire_columns(todo, fires, options, points)
+    if cache is not None and save:
+        # written once, read by the store's write and by the result
+        found = written(found, "fires")
+        cache.put(found.select("location_id", "date", *(F.lit(v).cast("string").alias(k) for k, v in options.key.items()), *options.columns))
+    return coalesce_join(weather, found, ["location_id", "date"], options.columns)
+
+
+def collect_weather(locations: DataFrame, variables: Sequence[str], stations: DataFrame | None = None, station_hourly: DataFrame | None = None, grid_hourly: DataFrame | None = None, add_sunshine: bool = False, fires: DataFrame | None = None, fire_mode: str | None = None, priority: Sequence[str] = ("grid", "station", "sun"), step: float = 0.25, km: float = 100.0, points: DataFrame | None = None, layers_hourly: DataFrame | None = None, save_to: str | None = None, grid_hours: int = 24, least: float = 0.5, **fire) -> DataFrame:
+    """All sources of weather for the locations, combined; the boundary layer by local day from ``layers_hourly`` (the
+    locations then have offset_hours) and fires attached, if there are any; ``fire`` has further arguments of
+    :func:`add_fire`. With ``save_to``, the table is stored there, and read from there the next time."""
+    if save_to is not None:
+        return snapshot(locations.sparkSession, save_to, lambda: collect_weather(locations, variables, stations, station_hourly, grid_hourly, add_sunshine, fires, fire_mode, priority, step, km, points, layers_hourly, None, grid_hours, least, **fire))
     found: dict[str, DataFrame] = {}
     if station_hourly is not None:
         found["station"] = station_weather(locations, stations, station_hourly, km)
     if grid_hourly is not None:
-        found["grid"] = grid_weather(locations, grid_hourly, step)
+        found["grid"] = grid_weather(locations, grid_hourly, step, grid_hours)
     if add_sunshine:
         dates = None
         for df in found.values():
             part = df.select("date").distinct()
             dates = part if dates is None else dates.union(part)
         found["sun"] = sunshine(locations, dates.distinct())
-    out = combine_weathers({s: found[s] for s in priority if s in found}, variables)
-    return out if fires is None else add_fire(out, locations, fires, fire_mode)
+    layers = [v for v in variables if v in ("pbl_min", "pbl_max", "pbl")] if layers_hourly is not None else []
+    # what the fires' mode needs is kept until they are attached
+    helpers = [] if fires is None else [v for v in ("wd", "ws", "pbl_min", "pbl_max") if v not in variables and any(v in df.columns for df in found.values())]
+    out = combine_weathers({s: found[s] for s in priority if s in found}, [*(v for v in variables if v not in layers), *helpers], least)
+    if layers:
+        out = boundary_layer(out, locations, layers_hourly, step, layers)
+    if fires is not None:
+        out = add_fire(out, locations, fires, fire_mode, points, **fire)
+    return out.drop(*helpers)

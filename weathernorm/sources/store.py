@@ -34,6 +34,13 @@ def scratch(spark: SparkSession) -> str:
     return at
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the scratch folder: computed once, however often it is read."""
+    at = f"{scratch(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
 def same_key(key: Sequence[str], prefix: str = "_") -> Column:
     """Whether the key equals the columns of its names with a prefix; NULLs are equal."""
     same = F.lit(True)
