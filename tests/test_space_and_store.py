@@ -257,3 +257,55 @@ def test_stored_fires_are_not_computed_again(spark, tmp_path):
     assert plans.add_fire(met, loc, fires, cache=cache, save=True).first()["fire_frp"] == 2.0
     assert plans.add_fire(met, loc, fires.limit(0), cache=cache).first()["fire_frp"] == 2.0
     assert plans.add_fire(met, loc, fires.limit(0), cache=cache, hours=48).first()["fire_frp"] == 0.0  # of other options nothing is stored
+
+
+def _read_rows(df):
+    """Rows that the scans of a query put out."""
+    df.collect()
+    found, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        if node.nodeName().startswith("AdaptiveSparkPlan"):
+            todo.append(node.executedPlan())
+            continue
+        if node.nodeName().startswith("Scan"):
+            found += node.metrics().get("numOutputRows").get().value()
+        children = node.children()
+        todo += [children.apply(k) for k in range(children.size())]
+    return found
+
+
+def test_a_search_reads_the_row_groups_that_may_hold_it(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store, "ROW_GROUP", 64 << 10)
+    s = store.Store(spark, f"file://{tmp_path}/s", ["location_id", "poll", "date"], buckets=2, sort_by=["poll", "date"])
+    rows = spark.range(120_000).selectExpr("cast(id % 50 as int) location_id", "concat('p', id % 40) poll", "date_add(date '2020-01-01', cast(id / 2000 as int)) date", "rand(3) value")
+    s.put(rows)
+    found = s.find(poll="p7")
+    assert found.count() == 3000 and _read_rows(found) < 0.35 * 120_000
+    assert s.find(location_id=7, poll="p7").count() == rows.filter("location_id = 7 and poll = 'p7'").count()
+    assert s.find(location_id="no number").count() == 0 and s.find(date="2020-01-05").count() == 2000
+
+
+def test_a_unique_store_refuses_a_repeated_key(spark, tmp_path):
+    twice = spark.createDataFrame([("1", "x", 1.0), ("1", "x", 2.0)], "location_id string, variable string, value double")
+    s = store.Store(spark, f"file://{tmp_path}/s", ["location_id", "variable"], unique=True)
+    with pytest.raises(ValueError, match="repeated"):
+        s.put(twice)
+    assert s.read().count() == 0
+    s.put(twice.limit(1))
+    many = store.Store(spark, f"file://{tmp_path}/t", ["location_id", "variable"])
+    many.put(twice)  # a key's rows are replaced together
+    many.put(twice.limit(1))
+    assert many.read().count() == 1
+
+
+def test_a_large_bucket_is_several_tasks(spark, tmp_path):
+    s = store.Store(spark, f"file://{tmp_path}/s", ["location_id", "date"], buckets=4)
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+    try:
+        s.put(spark.range(60_000).selectExpr("case when id % 10 < 9 then 1 else cast(id as int) end location_id", "id date", "rand(1) value"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    assert s.read().count() == 60_000
+    files = [p for p in tmp_path.rglob("*.parquet")]
+    assert len(files) > 6

@@ -62,15 +62,25 @@ def normal_key(value) -> str | None:
     return None if value is None else str(value)
 
 
+#: Bytes of a row group before compression: what a search may pass over.
+ROW_GROUP = 4 << 20
+
+
 class ConcurrentWrite(RuntimeError):
     """Another writer was faster; nothing was changed."""
 
 
 class Store:
-    """A keyed table below a path that all executors share."""
+    """A keyed table below a path that all executors share.
+
+    A key may have many rows, which a write replaces together; with ``unique`` a write that repeats a key is refused.
+    Rows are sorted by ``sort_by`` (the key) in files whose row groups have statistics of these columns, and Bloom
+    filters, so that a search reads the row groups that may hold what it asks for.
+    """
 
-    def __init__(self, spark: SparkSession, path: str, key: Sequence[str], partition: Sequence[str] = ("location_id",), schema: T.StructType | str | None = None, buckets: int = 64) -> None:
+    def __init__(self, spark: SparkSession, path: str, key: Sequence[str], partition: Sequence[str] = ("location_id",), schema: T.StructType | str | None = None, buckets: int = 64, unique: bool = False, sort_by: Sequence[str] | None = None) -> None:
         self.spark, self.path, self.key, self.partition, self.buckets = spark, path.rstrip("/"), list(key), list(partition), buckets
+        self.unique, self.sort_by = unique, list(sort_by or key)
         empty = schema or ", ".join(f"{k} string" for k in key)
         self.schema = T._parse_datatype_string(empty) if isinstance(empty, str) else empty
 
@@ -132,8 +142,9 @@ class Store:
             buckets = [one.select(self._bucket()).first()[0]]
         df = self._rows(snapshot, buckets)
         for name, value in wanted.items():
-            column = F.coalesce(F.col(name).cast("string"), F.lit("none")) if name.endswith("regions") else F.col(name).cast("string")
-            df = df.filter(column == value)
+            # in the column's own type, which Parquet's statistics know
+            same = F.col(name) == F.lit(value).try_cast(df.schema[name].dataType)
+            df = df.filter(same | F.col(name).isNull() if name.endswith("regions") and value == "none" else same)
         return df
 
     def keys(self) -> DataFrame:
@@ -143,7 +154,12 @@ class Store:
     def _replace(self, number: int, snapshot: dict | None, rows: DataFrame, touched: Sequence[int]) -> None:
         """Makes ``rows`` the whole content of the buckets touched."""
         folder = f"rows-{uuid.uuid4().hex}"
-        rows.withColumn("_bucket", self._bucket()).repartition("_bucket").write.partitionBy("_bucket").parquet(f"{self.path}/{folder}")
+        # tasks of about one size, whatever the buckets' sizes: large ones are split, small ones share a task
+        dealt = rows.withColumn("_bucket", self._bucket()).hint("rebalance", F.col("_bucket")).sortWithinPartitions("_bucket", *self.sort_by)
+        writer = dealt.write.partitionBy("_bucket").option("parquet.block.size", ROW_GROUP)
+        for c in self.key:
+            writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true")
+        writer.parquet(f"{self.path}/{folder}")
         fs, path = self._at(folder)
         written = {s.getPath().getName().removeprefix("_bucket=") for s in fs.listStatus(path)}
         kept = {b: f for b, f in (snapshot or {"buckets": {}})["buckets"].items() if int(b) not in touched}
@@ -159,6 +175,8 @@ class Store:
             stored = {f.name: f.dataType for f in T.StructType.fromJson(snapshot["schema"])}
             if other := [f"{f.name}: {f.dataType.simpleString()}" for f in new.schema if stored.get(f.name, f.dataType) != f.dataType]:
                 raise TypeError(f"columns of other types are stored: {', '.join(other)}")
+        if self.unique and not new.groupBy(*self.key).count().filter("count > 1").isEmpty():
+            raise ValueError("a key is repeated")
         touched = self._touched(new)
         if touched:
             self._replace(number, snapshot, new if snapshot is None else upserted(self._rows(snapshot, touched), new, self.key), touched)
