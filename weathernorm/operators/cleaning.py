@@ -80,12 +80,15 @@ def impact_filter(df: DataFrame, polls: Sequence[str], least: int | None = None)
     return out if least is None else out.filter(F.col("country_count") >= least)
 
 
-def fill_series(df: DataFrame, key: Sequence[str], columns: Sequence[str], date: str = "date", max_gap: int = 5) -> DataFrame:
+def fill_series(df: DataFrame, key: Sequence[str], columns: Sequence[str], date: str = "date", max_gap: int = 5, place: str | None = None, has: str | None = None) -> DataFrame:
     """Fills weather columns of each series, all on one sort of the series by date and one back:
 
     a column without any value becomes 0; ``precip*`` and ``fire_*`` get 0 for NULL; temperatures,
     pressures, dewpoints, ceilings, boundary layers and sunshine are interpolated in date over runs of
     at most ``max_gap`` missing rows between two values. Wind and humidity are never filled.
+
+    For a part of a series, ``place`` has each row's number in the whole one, and ``{has}{column}`` says whether the
+    whole one has a value.
     """
     whole = Window.partitionBy(*key)
     ordered = whole.orderBy(date)
@@ -94,8 +97,8 @@ def fill_series(df: DataFrame, key: Sequence[str], columns: Sequence[str], date:
     after = whole.orderBy(F.desc("_rn")).rowsBetween(Window.unboundedPreceding, 0)
     zero = [c for c in columns if c.startswith(("precip", "fire_"))]
     bent = [c for c in columns if c.startswith(("sunshine", "atmos_pres", "air_temp", "ceil_hgt", "pbl_", "dewpoint_temp"))]
-    out = df.withColumn("_rn", F.row_number().over(ordered)).withColumn("_t", F.unix_date(date).cast("double"))
-    seen = {f"_n_{c}": F.count(c).over(whole) for c in columns}
+    out = df.withColumn("_rn", F.col(place) if place else F.row_number().over(ordered)).withColumn("_t", F.unix_date(date).cast("double"))
+    seen = {f"_n_{c}": F.col(f"{has}{c}").cast("int") if has else F.count(c).over(whole) for c in columns}
     ends = {}
     for c in bent:
         here = F.when(F.col(c).isNotNull(), F.struct(F.col(c).alias("v"), F.col("_t").alias("t"), F.col("_rn").alias("r")))

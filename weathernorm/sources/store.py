@@ -181,6 +181,23 @@ class Store:
         if touched:
             self._replace(number, snapshot, new if snapshot is None else upserted(self._rows(snapshot, touched), new, self.key), touched)
 
+    def rows_of(self, keys: DataFrame) -> DataFrame:
+        """The stored rows that have the values of some columns, the partition's among them; reads their buckets only."""
+        snapshot, names = self._current()[1], keys.columns
+        rows = self._rows(snapshot, self._touched(keys)) if snapshot is not None else self._rows(None)
+        return rows.join(keys.select(*(F.col(k).alias(f"_{k}") for k in names)).distinct(), same_key(names), "left_semi")
+
+    def exchange(self, gone: DataFrame, new: DataFrame) -> None:
+        """Takes out the rows that have the values of ``gone`` (columns of the key, the partition's among them) and puts in
+        the new ones, in one write of the buckets of both."""
+        number, snapshot = self._current()
+        touched = sorted({*self._touched(gone), *self._touched(new)})
+        if touched:
+            names = gone.columns
+            match = gone.select(*(F.col(k).alias(f"_{k}") for k in names)).distinct()
+            rows = new if snapshot is None else self._rows(snapshot, touched).join(match, same_key(names), "left_anti").unionByName(new, allowMissingColumns=True)
+            self._replace(number, snapshot, rows, touched)
+
     def put_results(self, results: DataFrame, **constants: str) -> None:
         """Results with constant columns (process, pollutant, unit, source) attached, upserted."""
         self.put(results.withColumns({k: F.lit(v) for k, v in constants.items()}))
