@@ -42,6 +42,29 @@ def _mixed(z: np.ndarray) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
+def best_splits(n: np.ndarray, s: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By group, the best split's gain, variable and bin, from counts and sums by (group, variable, bin)."""
+    groups = len(n)
+    nc, sc = n[:, :, :BINS].cumsum(2), s[:, :, :BINS].cumsum(2)
+    nl, sl = nc[:, :, :-1], sc[:, :, :-1]
+    nr, sr = nc[:, :, -1:] - nl, sc[:, :, -1:] - sl
+    missing = s[:, :, BINS:] ** 2 / np.maximum(n[:, :, BINS:], 1)
+    total = (sc[:, 0, -1] + s[:, 0, BINS]) ** 2 / np.maximum(1, nc[:, 0, -1] + n[:, 0, BINS])
+    few = np.minimum(nl, nr) < least
+    gain = sl * sl
+    gain /= np.maximum(nl, 1)
+    sr *= sr
+    sr /= np.maximum(nr, 1)
+    gain += sr
+    gain += missing - total[:, None, None]
+    gain[few] = -np.inf
+    flat = gain.reshape(groups, -1)
+    if not flat.shape[1]:
+        return np.full(groups, -np.inf), np.zeros(groups, np.int64), np.zeros(groups, np.int64)
+    k = flat.argmax(1)
+    return flat[np.arange(groups), k], k // (BINS - 1), k % (BINS - 1)
+
+
 class Lockstep:
     """Squared loss; the trees of all fits grow best-first to ``splits`` splits, each with a left, a right and a
     NULL child. Node 0 is the root, the children of the s-th split are 1 + 3 s and the two after it."""
@@ -81,23 +104,7 @@ class Lockstep:
         size = groups * width * (BINS + 1)
         n = np.bincount(at, minlength=size).reshape(groups, width, -1)
         s = np.bincount(at, np.broadcast_to(own, (width, len(own))).ravel(), size).reshape(groups, width, -1).astype(float, copy=False)
-        nc, sc = n[:, :, :BINS].cumsum(2), s[:, :, :BINS].cumsum(2)
-        nl, sl = nc[:, :, :-1], sc[:, :, :-1]
-        nr, sr = nc[:, :, -1:] - nl, sc[:, :, -1:] - sl
-        missing = s[:, :, BINS:] ** 2 / np.maximum(n[:, :, BINS:], 1)
-        total = (sc[:, 0, -1] + s[:, 0, BINS]) ** 2 / np.maximum(1, nc[:, 0, -1] + n[:, 0, BINS])
-        few = np.minimum(nl, nr) < self.least
-        sl = sl * sl
-        sl /= np.maximum(nl, 1)
-        sr *= sr
-        sr /= np.maximum(nr, 1)
-        sl += sr
-        sl += missing - total[:, None, None]
-        gain = sl
-        gain[few] = -np.inf
-        flat = gain.reshape(groups, -1)
-        k = flat.argmax(1) if flat.shape[1] else np.zeros(groups, np.int64)
-        return (flat[np.arange(groups), k] if flat.shape[1] else np.full(groups, -np.inf)), k // (BINS - 1), k % (BINS - 1)
+        return best_splits(n, s, self.least)
 
     def grow(self) -> tuple[dict[str, np.ndarray], np.ndarray]:
         """One tree of every fit, as arrays by (fit, node); ``f`` moves on. Also the rows that were drawn."""

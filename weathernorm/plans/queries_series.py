@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.columns import season, weekday_number
 from ..operators import aggregates as agg
 from ..operators import cleaning, joins, model
+from ..sources import store
 from . import weather as weather_plans
 from .prep import prep_data
+from .refresh import refresh
 from .register import registrar
 
 QUERIES, ORACLE = {}, {}
@@ -87,12 +91,27 @@ def running_mode(daily):
 _PREP = "WITH " + _MAD.format(times=10) + ", " + _filled_sql("cleaned") + ", " + _SPINE.format("filled") + ", wide AS (SELECT location_id, date, filled.* EXCLUDE (location_id, date), CAST(floor(wd / 45) AS INT) % 8 AS wd_factor FROM spine LEFT JOIN filled USING (location_id, date)), lagged AS (SELECT *, " + ", ".join(f"lag({c}) OVER w AS {c}_lag1" for c in VARS) + " FROM wide WINDOW w AS (PARTITION BY location_id ORDER BY date)), recent AS (SELECT location_id FROM lagged GROUP BY 1 HAVING max(date) >= DATE '2000-01-01')"
 
 
-@query("prep_features", _PREP + " --FINAL-- SELECT location_id, date, value, wd_factor, " + ", ".join(VARS + [f"{c}_lag1" for c in VARS]) + ", year(date) + (dayofyear(date) - 1) / CAST(dayofyear(make_date(year(date), 12, 31)) AS DOUBLE) AS date_unix, CAST(isodow(date) AS INT) AS wday FROM lagged SEMI JOIN recent USING (location_id) WHERE " + " AND ".join(f"{c} IS NOT NULL" for c in VARS), "value date_unix " + " ".join(VARS + [f"{c}_lag1" for c in VARS]), "daily")
+PREPARED_SQL = _PREP + " --FINAL-- SELECT location_id, date, value, wd_factor, " + ", ".join(VARS + [f"{c}_lag1" for c in VARS]) + ", year(date) + (dayofyear(date) - 1) / CAST(dayofyear(make_date(year(date), 12, 31)) AS DOUBLE) AS date_unix, CAST(isodow(date) AS INT) AS wday FROM lagged SEMI JOIN recent USING (location_id) WHERE " + " AND ".join(f"{c} IS NOT NULL" for c in VARS)
+
+
+@query("prep_features", PREPARED_SQL, "value date_unix " + " ".join(VARS + [f"{c}_lag1" for c in VARS]), "daily")
 def prep_features(daily):
     out = prep_data(daily, KEY, VARS, lag=1, since="2000-01-01")
     return out.select("location_id", "date", "value", "wd_factor", *VARS, *(f"{c}_lag1" for c in VARS), "date_unix", "wday")
 
 
+@query("refresh_prepared", PREPARED_SQL, "value date_unix " + " ".join(VARS + [f"{c}_lag1" for c in VARS]), "daily")
+def refresh_prepared(daily):
+    """A fiftieth of the places' days come in later: what they reach is prepared again, the rest stays as it is."""
+    spark, late = daily.sparkSession, (F.col("location_id") % 7 == 0) & (F.dayofyear("date") % 40 == 3)
+    daily = store.written(daily, "daily")
+    raw, prepared = (store.Store(spark, f"{store.scratch(spark)}/{name}-{uuid.uuid4().hex}", [*KEY, "date"], buckets=8) for name in ("raw", "prepared"))
+    raw.put(daily.filter(~late))
+    prepared.put(prep_data(daily.filter(~late), KEY, VARS, lag=1, since="2000-01-01"))
+    refresh(raw, prepared, daily.filter(late), KEY, VARS, 1, "2000-01-01")
+    return prepared.read().select("location_id", "date", "value", "wd_factor", *VARS, *(f"{c}_lag1" for c in VARS), "date_unix", "wday")
+
+
 @query("not_finite_to_null", "SELECT location_id, date, CASE WHEN CAST(wd AS INT) % 4 < 3 THEN ws END AS ws FROM daily", "ws", "daily")
 def not_finite_to_null(daily):
     k = F.col("wd").cast("int") % 10
