@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 from weathernorm.operators import aggregates as agg
 from weathernorm.operators import effects, joins, model
 from weathernorm.operators import space_time as st
+from weathernorm.operators.joins import with_weather
 from weathernorm.plans import deweather as plan
 from weathernorm.plans import weather
+from weathernorm.plans.prep import prep_data
 from weathernorm.sources import tables
+from weathernorm.sources.store import Store
 
 KEY = ["location_id", "poll"]
 
@@ -118,3 +121,62 @@ def test_small_sources(spark):
     assert local["local_date"] == dt.date(2024, 1, 2)
     with pytest.raises(ValueError, match="no measurements"):
         tables.required(hours.limit(0), "measurements")
+
+
+def test_several_outputs_with_presets_and_overrides(spark):
+    meas, met = world(spark, 200)
+    options = {"key": KEY, "lag": 0, "trees": 500, "learning_rate": 0.1, "cv_folds": 0, "training_end": {"anomaly": "2023-06-01"}}
+    out = plan.deweather(meas, met, ["air_temp_min"], output=["anomaly", "trend"], preset={"trees": 25}, override={"ntrainings": 2}, **options)
+    models = out["models"].collect()
+    assert {(r["config_id"], r["replicate"]) for r in models} == {(0, 0), (0, 1), (1, 0), (1, 1)} and all(r["n_trees_opt"] <= 25 for r in models)
+    names = {(r["config_id"], r["variable"]) for r in out["result"].filter("value is not null").select("config_id", "variable").distinct().collect()}
+    assert (1, "trend") in names and (0, "trend") not in names
+    n = {r["config_id"]: r["n_training"] for r in models}
+    assert n[0] < n[1]  # only the anomaly has an end
+
+
+def test_null_keys_keep_their_trend_and_fires(spark):
+    meas, met = world(spark, 200)
+    both = meas.filter("location_id = 1").withColumn("process_id", F.explode(F.array(F.lit("a"), F.lit(None).cast("string"))))
+    weather_rows = met.withColumn("fire_frp", F.when(F.dayofyear("date") % 9 == 0, 5.0).otherwise(0.0))
+    out = plan.deweather(both, weather_rows, ["air_temp_min", "fire_frp"], output="trend", key=[*KEY, "process_id"], lag=0, trees=20, learning_rate=0.1, cv_folds=2)
+    n = {(r["process_id"], r["variable"]): r["n"] for r in out["result"].filter("value is not null").groupBy("process_id", "variable").agg(F.count("value").alias("n")).collect()}
+    for name in ("trend", "predicted", "predicted_nofire", "observed"):
+        assert n["a", name] == n[None, name] >= 200
+
+
+def test_yoy_keeps_originals_and_goes_to_the_sink(spark, tmp_path):
+    meas, met = world(spark)
+    sink = Store(spark, f"file://{tmp_path}/yoy", [*KEY, "month", "date", "variable", "process"])
+    options = {"key": KEY, "lag": 0, "trees": 20, "learning_rate": 0.1, "cv_folds": 0}
+    months = ["2024-01-01", "2024-02-01"]
+    out = plan.deweather_yoy(meas, met, ["air_temp_min", "ws"], months, keep_originals=True, sink=sink, constants={"process": "yoy"}, **options)
+    names = {r[0] for r in out.select("variable").distinct().collect()}
+    assert {"observed", "predicted", "anomaly", "total", "weather", "emission"} <= names
+    assert {r["month"].month for r in out.select("month").distinct().collect()} == {1, 2}
+    assert sink.read().count() == out.count() and sink.read().filter("process <> 'yoy'").count() == 0
+    # the parts alone are those of the plain call
+    plain = plan.deweather_yoy(meas, met, ["air_temp_min", "ws"], months, **options)
+    parts = out.filter(F.col("variable").isin("total", "weather", "emission", "total_rel", "weather_rel", "emission_rel")).drop("month")
+    assert plain.count() == parts.count() == 24
+
+
+def test_bucketed_tables_reach_the_fit_without_a_shuffle(spark):
+    meas, met = world(spark, 120)
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        m, w = (tables.write_bucketed(df, name, buckets=4) for df, name in ((meas, "meas_by_place"), (met, "weather_by_place")))
+        data = prep_data(with_weather(m, w), KEY, ["air_temp_min", "ws"], 1)
+        grid = model.config_grid({"anomaly": {}}, ["air_temp_min", "ws"], trees=20, learning_rate=0.1, lag=1, cv_folds=2)
+        rows, models = model.fit_configs(data, KEY, grid, clustered=True)
+        plan_text = rows.unpersist()._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan_text and plan_text.count("Bucketed: true") >= 2
+        assert {r["status"] for r in models.collect()} == {"ok"} and models.count() == 2
+        _, dealt = model.fit_configs(prep_data(with_weather(meas, met), KEY, ["air_temp_min", "ws"], 1), KEY, grid)
+        assert {r["model"] for r in dealt.collect()} == {r["model"] for r in models.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+        spark.conf.unset(tables.CO_PARTITION)
+        spark.sql("DROP TABLE IF EXISTS meas_by_place")
+        spark.sql("DROP TABLE IF EXISTS weather_by_place")

@@ -10,6 +10,7 @@ from dataclasses import astuple, dataclass, fields
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -197,7 +198,7 @@ def fit(df: DataFrame, key: Sequence[str], columns: Sequence[str], trees: int =
     return fit_configs(df, key, [one], seed)
 
 
-def fit_configs(df: DataFrame, key: Sequence[str], configs: Sequence[Config], seed: int = 42, patience: int | None = 1_000) -> tuple[DataFrame, DataFrame]:
+def fit_configs(df: DataFrame, key: Sequence[str], configs: Sequence[Config], seed: int = 42, patience: int | None = 1_000, clustered: bool = False) -> tuple[DataFrame, DataFrame]:
     """The rows, with bitmaps of the splits that train on them (:func:`with_splits`), and the models: a row a (series,
     config_id, replicate) with the number of its split, n_trees_opt, n_training, status ("ok" or "failed"),
     message, link, the model (:class:`Booster`) and ``errors``, the mean squared error by number of trees.
@@ -210,6 +211,9 @@ def fit_configs(df: DataFrame, key: Sequence[str], configs: Sequence[Config], se
     folds the out-of-bag estimate decides. A fit that fails, or has nothing to learn from, is a row with its
     message; it touches no other.
 
+    ``clustered`` says that each partition of ``df`` has whole series, as tables in buckets of (some of) the key's columns
+    do (``sources.tables.write_bucketed``): then blocks are made where the rows lie, and nothing is shuffled.
+
     Both tables are persisted: call ``unpersist()`` on them when all results are written.
     """
     key, by_id = list(key), {c.config_id: c for c in configs}
@@ -266,6 +270,24 @@ def fit_configs(df: DataFrame, key: Sequence[str], configs: Sequence[Config], se
         done = [table[k].take(picked) for k in key] + [pa.array(out[f.name], to_arrow_type(f.dataType)) for f in schema.fields[len(key) :]]
         return pa.table(done, names=schema.names)
 
+    def fit_partition(batches):
+        waiting, n = [], 0
+        for batch in batches:
+            waiting.append(batch)
+            n += batch.num_rows
+            if n >= BLOCK_ROWS:  # the last series may go on
+                table = pa.Table.from_batches(waiting)
+                more = pc.equal(table[SERIES_ID], table[SERIES_ID][n - 1])
+                yield from fit_block((0, pa.scalar(0)), table.filter(pc.invert(more))).to_batches()
+                waiting = table.filter(more).to_batches()
+                n = sum(b.num_rows for b in waiting)
+        if waiting:
+            yield from fit_block((0, pa.scalar(0)), pa.Table.from_batches(waiting)).to_batches()
+
+    if clustered:
+        lanes = 1
+        sent = rows.select(*dict.fromkeys([*key, "date", "value", *columns]), TRAINS, F.to_json(F.struct(*key)).alias(SERIES_ID)).sortWithinPartitions(SERIES_ID)
+        return rows, sent.mapInArrow(fit_partition, schema).persist(StorageLevel.MEMORY_AND_DISK)
     block = F.pmod(F.xxhash64(F.to_json(F.struct(*key))), F.lit(blocks))
     sent = rows.select(*dict.fromkeys([*key, "date", "value", *columns]), TRAINS, F.to_json(F.struct(*key)).alias(SERIES_ID), block.alias("_block"), F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("_lane"))
     models = sent.groupBy("_block", "_lane").applyInArrow(fit_block, schema)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..operators import aggregates as agg
 from ..operators import effects, model
 from .prep import prep_data
@@ -26,6 +28,16 @@ def _fitted(spark, sf_dir):
     return model.fit(data, KEY, COLUMNS, trees=40, rate=0.1, splits=2, cv_folds=2, fraction=0.8, training_end=END)
 
 
+def best_numbers_of_trees(spark, sf_dir):
+    """Fits at full settings: 10,000 trees at most, rate 0.01, three folds."""
+    data = prep_data(view(spark, sf_dir, "daily"), KEY, VARS, since=None)
+    _, models = model.fit(data, KEY, COLUMNS, trees=10_000, rate=0.01, splits=2, cv_folds=3, fraction=0.9, training_end=END)
+    return rounded(models.select(*KEY, "n_training", "n_trees_opt", F.array_min("errors").alias("least_error"), F.size("errors").alias("n_trees_tried")))
+
+
+QUERIES["best_numbers_of_trees"] = best_numbers_of_trees
+
+
 @query
 def fit_predict(rows, models):
     return model.predict(rows, models, KEY).select("location_id", "date", "set", "value", "predicted")
