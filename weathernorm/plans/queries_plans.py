@@ -118,9 +118,9 @@ def add_cached_fire(points):
     return plans.with_cached_fire(days, cached).drop("fire_count")
 
 
-@query("sunshine", "WITH d AS (SELECT DISTINCT date, dayofyear(date) AS j FROM meas WHERE year(date) = 1996), g AS (SELECT location_id, radians(lat) AS phi FROM location WHERE location_id % 10 = 0), x AS (SELECT location_id, date, phi, 1 + 0.033 * cos(2 * pi() / 365 * j) AS dr, 0.409 * sin(2 * pi() / 365 * j - 1.39) AS dec FROM d, g), s AS (SELECT *, acos(greatest(-1.0, least(1.0, -tan(phi) * tan(dec)))) AS ws FROM x) --FINAL-- SELECT location_id, date, 24 * 60 / pi() * 0.0820 * dr * (ws * sin(phi) * sin(dec) + cos(phi) * cos(dec) * sin(ws)) AS sunshine FROM s", "sunshine", "meas", "location")
-def sunshine(meas, location):
-    return plans.sunshine(location.filter("location_id % 10 = 0"), meas.filter("year(date) = 1996"))
+@query("sunshine", "WITH d AS (SELECT DISTINCT CAST(ts AS DATE) AS date, dayofyear(ts) AS j FROM fires), g AS (SELECT location_id, radians(lat) AS phi FROM location), x AS (SELECT location_id, date, phi, 1 + 0.033 * cos(2 * pi() / 365 * j) AS dr, 0.409 * sin(2 * pi() / 365 * j - 1.39) AS dec FROM d, g), s AS (SELECT *, acos(greatest(-1.0, least(1.0, -tan(phi) * tan(dec)))) AS ws FROM x) --FINAL-- SELECT location_id, date, 24 * 60 / pi() * 0.0820 * dr * (ws * sin(phi) * sin(dec) + cos(phi) * cos(dec) * sin(ws)) AS sunshine FROM s", "sunshine", "fires", "location")
+def sunshine(fires, location):
+    return plans.sunshine(location, fires.select(F.to_date("ts").alias("date")))
 
 
 _SUN = "24 * 60 / pi() * 0.0820 * dr * (sunset * sin(phi) * sin(dec) + cos(phi) * cos(dec) * sin(sunset))"
@@ -194,21 +194,21 @@ def date_in_name(meas):
     return paths.select("path", fn.date_in_name(F.col("path")).alias("found"))
 
 
-@query("daily_store", "SELECT location_id, date, CASE WHEN month(date) = 7 THEN value + 1 ELSE value END AS value FROM (SELECT location_id, date, avg(value) AS value FROM meas WHERE year(date) = 1997 GROUP BY ALL) WHERE month(date) IN (6, 7)", "value", "meas")
+@query("daily_store", "SELECT location_id, date, CASE WHEN month(date) = 7 THEN value + 1 ELSE value END AS value FROM (SELECT location_id, date, avg(value) AS value FROM meas GROUP BY ALL) WHERE year(date) = 1997 AND month(date) IN (6, 7)", "value", "meas")
 def daily_store(meas):
-    daily = meas.filter("year(date) = 1997").groupBy("location_id", "date").agg(F.avg("value").alias("value")).withColumn("month", F.trunc("date", "MM"))
+    daily = meas.groupBy("location_id", "date").agg(F.avg("value").alias("value")).withColumn("month", F.trunc("date", "MM"))
     path = f"{store.scratch(meas.sparkSession)}/daily-{uuid.uuid4().hex}"
     tables.write_daily(daily, path, "month")
     tables.write_daily(daily.filter("month(date) = 7").withColumn("value", F.col("value") + 1), path, "month")
     return tables.read_daily(meas.sparkSession, path, ["1997-06-01", "1997-07-01", "1890-01-01"], "month").drop("month")
 
 
-_STORED = "old AS (SELECT location_id, poll, date, avg(value) AS value FROM meas WHERE year(date) IN (1996, 1997) GROUP BY ALL), new AS (SELECT location_id, poll, date, value + 1 AS value FROM old WHERE location_id % 7 = 0 AND month(date) = 3), kept AS (SELECT * FROM old WHERE NOT EXISTS (SELECT 1 FROM new WHERE new.location_id = old.location_id AND new.poll = old.poll AND new.date = old.date) UNION ALL SELECT * FROM new)"
+_STORED = "old AS (SELECT location_id, poll, date, avg(value) AS value FROM meas GROUP BY ALL), new AS (SELECT location_id, poll, date, value + 1 AS value FROM old WHERE location_id % 7 = 0 AND month(date) = 3), kept AS (SELECT * FROM old WHERE NOT EXISTS (SELECT 1 FROM new WHERE new.location_id = old.location_id AND new.poll = old.poll AND new.date = old.date) UNION ALL SELECT * FROM new)"
 
 
 def _filled(meas):
     s = store.Store(meas.sparkSession, f"{store.scratch(meas.sparkSession)}/store-{uuid.uuid4().hex}", ["location_id", "poll", "date"], buckets=8)
-    old = meas.filter("year(date) IN (1996, 1997)").groupBy("location_id", "poll", "date").agg(F.avg("value").alias("value"))
+    old = meas.groupBy("location_id", "poll", "date").agg(F.avg("value").alias("value"))
     s.put(old)
     s.put(old.filter("location_id % 7 = 0 AND month(date) = 3").withColumn("value", F.col("value") + 1))
     return s
@@ -306,9 +306,9 @@ def comma_keys(meas):
     return meas.groupBy("location_id").agg(F.collect_list("poll").alias("p")).select("location_id", fn.comma_key(F.col("p")).alias("polls"))
 
 
-@query("config_signatures", """SELECT DISTINCT poll, '{"engine":"gbm","lag":1,"output":"' || poll || '","time_vars":["date_unix","yday"],"weather_vars":["' || source || '","precip"]}' AS signature FROM meas WHERE source > 'n'""", "", "meas")
+@query("config_signatures", """SELECT DISTINCT poll, '{"engine":"gbm","lag":1,"output":"' || poll || '","time_vars":["date_unix","yday"],"weather_vars":["' || source || '","precip"]}' AS signature FROM meas""", "", "meas")
 def config_signatures(meas):
-    c = meas.filter("source > 'n'").select("poll", "source").distinct()
+    c = meas.select("poll", "source").distinct()
     return c.select("poll", fn.config_signature(F.col("poll"), F.lit("gbm"), F.lit(1), F.array(F.lit("precip"), F.col("source")), F.array(F.lit("yday"), F.lit("date_unix"))).alias("signature"))
 
 

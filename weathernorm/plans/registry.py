@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import queries_model, queries_plans, queries_series, queries_space, queries_tables
+from . import queries_model, queries_plans, queries_series, queries_sources, queries_space, queries_tables
 
-_MODULES = (queries_tables, queries_series, queries_space, queries_plans, queries_model)
+_MODULES = (queries_tables, queries_series, queries_space, queries_plans, queries_sources, queries_model)
 
 
 def queries():
