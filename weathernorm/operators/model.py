@@ -204,7 +204,7 @@ def fit_configs(df: DataFrame, key: Sequence[str], configs: Sequence[Config], se
     message, link, the model (:class:`Booster`) and ``errors``, the mean squared error by number of trees.
 
     All configurations are one plan: a row is prepared, persisted and shuffled once, whatever the grid. Series
-    are dealt in blocks of about ``BLOCK_ROWS`` rows, and a block's task grows the trees of all its fits, folds
+    are dealt in blocks of ``BLOCK_ROWS`` rows at most, about, and a block's task grows the trees of all its fits, folds
     included, side by side from one copy of the rows; where there are few series, the fits are dealt out as well
     (``lanes``). The number of trees is where the mean error over the folds is least; a fit stops looking when its
     curve has turned: the least is ``patience`` trees back, and as many as came before it (None: never). Without
@@ -229,8 +229,9 @@ def fit_configs(df: DataFrame, key: Sequence[str], configs: Sequence[Config], se
     # fits and predictions read the prepared rows: a lost part is made again from its inputs
     rows = with_splits(df, key, list(splits), seed).persist(StorageLevel.MEMORY_AND_DISK)
     size = rows.select(F.struct(*key).alias("k")).agg(F.count(F.lit(1)).alias("rows"), F.approx_count_distinct(F.to_json("k")).alias("series")).first()
-    blocks = max(1, -(-size["rows"] // BLOCK_ROWS))
-    lanes = min(len(fits), max(1, -(-2 * df.sparkSession.sparkContext.defaultParallelism // max(1, min(blocks, size["series"])))))
+    tasks = 2 * df.sparkSession.sparkContext.defaultParallelism
+    blocks = max(1, -(-size["rows"] // BLOCK_ROWS), min(size["series"], tasks))
+    lanes = min(len(fits), max(1, -(-tasks // max(1, min(blocks, size["series"])))))
     schema = _schema(df, key, "config_id int, replicate int, split int, n_trees_opt int, n_training int, status string, message string, link string, model binary, errors array<double>")
 
     def fit_block(names: tuple, table: pa.Table) -> pa.Table:
