@@ -298,7 +298,8 @@ def _visited(index_rows: DataFrame, sent, dealt: DataFrame, k: int, same_label:
             mine = own[anchors_here, None] == label[part][None]
             fits = (mine & (who[anchors_here, None] != ids[part][None])) if same_label else ~mine
             s = np.where(fits, s, _NONE)[back]
-            s = np.where((s >= low[line, None]) & (s <= high[line, None]), s, _NONE)
+            # rows below the floor are of no use: enough better ones are known
+            s = np.where((s >= np.maximum(low, floor)[line, None]) & (s <= high[line, None]), s, _NONE)
             new_score, new_id = best(s, ids[part], k)
             top_score[line], top_id[line] = best(np.concatenate([top_score[line], new_score], 1), np.concatenate([top_id[line], new_id], 1), k)
         line, rank = np.nonzero(top_score != _NONE)
