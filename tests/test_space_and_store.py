@@ -309,3 +309,22 @@ def test_a_large_bucket_is_several_tasks(spark, tmp_path):
     assert s.read().count() == 60_000
     files = [p for p in tmp_path.rglob("*.parquet")]
     assert len(files) > 6
+
+
+@pytest.mark.parametrize("hours", [24, 7, 60])
+def test_trajectory_sums_are_those_of_all_pairs(spark, hours):
+    fires, _ = _clustered_fires(spark)
+    fires = fires.drop("fire_id").withColumn("lat", F.round("lat", 1)).withColumn("lon", F.round("lon", 1))
+    # the region goes with the place: which of a repeated fire's regions counts is open
+    fires = fires.withColumns({"frp": F.when(F.col("lat") > 14, float("inf")).otherwise(F.col("frp")), "region": F.when(F.round(F.col("lat") * 10) % 2 == 0, "A").otherwise("B")})
+    rng = np.random.default_rng(9)
+    steps = []
+    for k in range(12):
+        for d in (2, 4, 6):
+            steps += [(k, dt.date(2024, 1, 1 + d), dt.datetime(2024, 1, 1) + dt.timedelta(days=d, minutes=int(m)), float(np.round(10 + rng.normal(0, 2), 1)), float(np.round(20 + rng.normal(0, 2), 1))) for m in rng.choice([0, 17, 300, 1440, 2000, -900], 4)]
+    points = spark.createDataFrame(steps, "location_id int, date date, point_ts timestamp, lat double, lon double")
+    regions = ["A", "B"]
+    got = st.trajectory_sums(points, fires, 150.0, hours, regions, 3).collect()
+    want = st.fire_sums(points, st.trajectory_pairs(points, fires, 150.0, hours), regions, 3).collect()
+    assert {tuple(sorted(r.asDict().items())) for r in got} == {tuple(sorted(r.asDict().items())) for r in want}
+    assert max(r["fire_count"] for r in got) > 20

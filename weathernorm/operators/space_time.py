@@ -8,8 +8,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import EARTH_KM, bearing_deg, cell, fold_name, haversine_km, sphere_km
+from ..functions.columns import EARTH_KM, bearing_deg, cell, finite, fold_name, haversine_km, sphere_km
 from ..sources.store import written
+from .joins import key_join
 
 _CELL = ["_cx", "_cy", "_cz"]
 
@@ -101,12 +102,13 @@ def _fires(days: DataFrame, fires: DataFrame, km: float, hours: int, condition:
 HOURS, BUFFERS = 120, {"circular": 200.0, "oriented": 200.0, "trajectory": 10.0}
 
 
-def fire_sums(days: DataFrame, pairs: DataFrame, regions: Sequence[str] | None = None, ages: int | None = None) -> DataFrame:
+def fire_sums(days: DataFrame, pairs: DataFrame, regions: Sequence[str] | None = None, ages: int | None = None, n: str | None = None) -> DataFrame:
     """fire_frp and fire_count of every (location_id, date): 0 where there is no fire. With ``regions`` also columns for
     each of them (``fire_frp_{region}``, ``fire_count_{region}``), with ``ages`` for each age in days up to it
-    (``fire_frp_age{k}``, ``fire_count_age{k}``)."""
+    (``fire_frp_age{k}``, ``fire_count_age{k}``). A pair may be several fires, ``n`` of them."""
+    number = F.lit(1) if n is None else F.col(n)
     named = {"": F.lit(True)} | {f"_{r}": F.col("region") == r for r in regions or ()} | {f"_age{k}": F.datediff("at", "fire_ts") == k for k in range((ages if ages is not None else -1) + 1)}
-    sums = [x for name, own in named.items() for x in (F.sum(F.when(own, F.col("frp"))).alias(f"fire_frp{name}"), F.count(F.when(own, F.lit(1))).alias(f"fire_count{name}"))]
+    sums = [x for name, own in named.items() for x in (F.sum(F.when(own, F.col("frp"))).alias(f"fire_frp{name}"), F.coalesce(F.sum(F.when(own, number)), F.lit(0)).cast("long").alias(f"fire_count{name}"))]
     found = pairs.groupBy("location_id", "date").agg(*sums)
     zero = {f"fire_{what}{name}": value for name in named for what, value in (("frp", 0.0), ("count", 0))}
     return days.select("location_id", "date").distinct().join(found, ["location_id", "date"], "left").na.fill(zero)
@@ -135,6 +137,63 @@ def trajectory_pairs(points: DataFrame, fires: DataFrame, buffer_km: float, hour
     return near.groupBy("location_id", "date", *one).agg(*(F.first(c).alias(c) for c in ("fire_ts", "frp", "region") if c in near.columns and c not in one)).withColumn("at", F.col("date").cast("timestamp"))
 
 
+_MICROS = 1_000_000
+
+
+def trajectory_sums(points: DataFrame, fires: DataFrame, buffer_km: float, hours: int, regions: Sequence[str] | None = None, ages: int | None = None) -> DataFrame:
+    """The sums of :func:`trajectory_pairs`, not from pairs of points and fires: a point meets each place that burns in a
+    span of time once. Spans are a day, or the window if that is shorter, so that a window that ends within a span
+    began before it: all windows of a location and date cover a place's span up to the latest end and from the
+    earliest start, and what burnt until then is a running sum over the place's fires. Fires with a
+    ``fire_id`` may have one id in several places; they are compared one by one."""
+    if "fire_id" in fires.columns:
+        return fire_sums(points, trajectory_pairs(points, fires, buffer_km, hours), regions, ages)
+    width, length = min(24, hours) * 3600 * _MICROS, hours * 3600 * _MICROS
+    once = fires.groupBy("ts", "lat", "lon", "frp").agg(F.count(F.lit(1)), *(F.first(c).alias(c) for c in ("region",) if regions))
+    t = F.unix_micros(F.col("ts").cast("timestamp"))
+    # sums of numbers that are not finite have no differences: such fires are places of their own, which are counted
+    odd = F.when(finite(F.col("frp")).isNull(), F.col("frp"))
+    parts = ["_odd", *(["region"] if regions else []), *(["_fire_day"] if ages is not None else [])]
+    placed = once.filter("ts IS NOT NULL").select(F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon"), t.alias("_t"), F.ceil(t / width).alias("_bin"), F.to_date("ts").alias("_fire_day"), finite(F.col("frp")).alias("frp"), odd.alias("_odd"), *(["region"] if regions else []))
+    place = ["r_lat", "r_lon", "_bin", *parts]
+    # written, so that the numbers stay what they are
+    places = written(placed.groupBy(*place).agg(F.count(F.lit(1)).alias("_n")).drop("_n").withColumn("_place", F.monotonically_increasing_id()), "fire-places")
+    burnt = key_join(placed, places, place).select("_place", "_t", "frp")
+
+    end = F.unix_micros(F.col("point_ts").cast("timestamp"))
+    bins = F.explode(F.sequence(F.floor((end - length) / width) + 1, F.ceil(end / width)))
+    asked = points.filter("point_ts IS NOT NULL").select("location_id", "date", "lat", "lon", end.alias("_end"), bins.alias("_bin"))
+    low, high = F.col("_end") - length, F.col("_end")
+    asked = asked.select("location_id", "date", "lat", "lon", "_bin", F.when(low > (F.col("_bin") - 1) * width, low).alias("_low"), F.when(high < F.col("_bin") * width, high).alias("_high"))
+    there = _celled(asked.select("lat", "lon", "_bin").distinct(), "lat", "lon", buffer_km, around=True)
+    far = haversine_km(F.col("lat"), F.col("lon"), F.col("r_lat"), F.col("r_lon"))
+    near = there.join(_celled(places, "r_lat", "r_lon", buffer_km), [*_CELL, "_bin"]).filter(far <= buffer_km).select("lat", "lon", "_bin", "_place", *parts)
+    met = asked.join(near, ["lat", "lon", "_bin"]).groupBy("location_id", "date", "_place").agg(
+        F.min("_low").alias("_low"),
+        F.max("_high").alias("_high"),
+        F.max(F.col("_low").isNull() & F.col("_high").isNull()).alias("_whole"),
+        *(F.first(c).alias(c) for c in parts),
+    )
+    whole = F.col("_whole") | F.coalesce(F.col("_high") >= F.col("_low"), F.lit(False))
+    # both ends without the middle between them are two questions
+    kinds = F.when(whole, F.array(F.lit(0))).when(F.col("_low").isNull(), F.array(F.lit(1))).when(F.col("_high").isNull(), F.array(F.lit(2))).otherwise(F.array(F.lit(1), F.lit(2)))
+    looked = met.withColumn("_kind", F.explode(kinds)).select("location_id", "date", "_place", *parts, "_kind", F.when(F.col("_kind") == 1, F.col("_high")).when(F.col("_kind") == 2, F.col("_low")).otherwise(F.lit(0)).alias("_t"))
+    line = looked.unionByName(burnt.withColumn("_kind", F.lit(-1)), allowMissingColumns=True)
+    own = Window.partitionBy("_place")
+    until = own.orderBy("_t").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    fire = F.when(F.col("_kind") == -1, F.lit(1)).otherwise(F.lit(0))
+    line = line.withColumns({"_sum": F.sum("frp").over(until), "_count": F.sum(fire).over(until), "_all_sum": F.sum("frp").over(own), "_all_count": F.sum(fire).over(own)})
+
+    def asked_of(part: str):
+        so_far, all_ = F.coalesce(F.col(f"_{part}"), F.lit(0)), F.coalesce(F.col(f"_all_{part}"), F.lit(0))
+        return F.when(F.col("_kind") == 0, all_).when(F.col("_kind") == 1, so_far).otherwise(all_ - so_far)
+
+    n = asked_of("count")
+    found = line.filter(F.col("_kind") >= 0).select("location_id", "date", *parts, n.alias("n"), asked_of("sum").alias("frp")).filter("n > 0")
+    found = found.withColumn("frp", F.coalesce("_odd", "frp")).withColumn("at", F.col("date").cast("timestamp"))
+    return fire_sums(points, found.withColumnRenamed("_fire_day", "fire_ts"), regions, ages, "n")
+
+
 #: Fires of a cell and day that are compared one by one; how often a cell with more is halved.
 FEW_FIRES, HALVINGS = 32, 4
 _DAY_S = 86_400.0
@@ -206,7 +265,7 @@ def fires_oriented(days: DataFrame, fires: DataFrame, half_angle: float = 45.0,
 
 def fires_trajectory(points: DataFrame, fires: DataFrame, buffer_km: float = 10.0, hours: int = 24) -> DataFrame:
     """The sums of :func:`trajectory_pairs`."""
-    return fire_sums(points, trajectory_pairs(points, fires, buffer_km, hours))
+    return trajectory_sums(points, fires, buffer_km, hours)
 
 
 def fires_split(days: DataFrame, fires: DataFrame, regions: Sequence[str], buffer_km: float = 200.0, hours: int = HOURS) -> DataFrame:

@@ -12,7 +12,7 @@ from ..functions.columns import extraterrestrial_radiation
 from ..operators.aggregates import day_bits, grid_daily, inverse_distance_mean, local_day_extremes, station_daily
 from ..operators.cleaning import date_range
 from ..operators.joins import coalesce_join, natural_left
-from ..operators.space_time import BUFFERS, HOURS, circular_pairs, fire_sums, fires_circular, grid_cell_value, nearest_stations, needs_fire, oriented_pairs, trajectory_pairs
+from ..operators.space_time import BUFFERS, HOURS, circular_pairs, fire_sums, fires_circular, grid_cell_value, nearest_stations, needs_fire, oriented_pairs, trajectory_sums
 from ..sources.store import Store, normal_key, written
 from ..sources.tables import GRID_NAMES, STATION_NAMES, in_units, renamed, snapshot
 
@@ -156,7 +156,8 @@ def fire_columns(todo: DataFrame, fires: DataFrame, options: FireOptions, points
     else:
         if points is None:
             raise ValueError("fires along trajectories need the points of the trajectories")
-        pairs = trajectory_pairs(at_height(points, todo), fires, options.buffer, options.delay_hours)
+        ages = options.hours // 24 if options.by_age else None
+        return trajectory_sums(at_height(points, todo), fires, options.buffer, options.delay_hours, options.regions, ages).select("location_id", "date", *options.columns)
     return fire_sums(todo, pairs, options.regions, options.hours // 24 if options.by_age else None).select("location_id", "date", *options.columns)
 
 
