@@ -328,3 +328,25 @@ def test_trajectory_sums_are_those_of_all_pairs(spark, hours):
     want = st.fire_sums(points, st.trajectory_pairs(points, fires, 150.0, hours), regions, 3).collect()
     assert {tuple(sorted(r.asDict().items())) for r in got} == {tuple(sorted(r.asDict().items())) for r in want}
     assert max(r["fire_count"] for r in got) > 20
+
+
+@pytest.mark.parametrize("hours", [72, 31])
+def test_sums_by_place_and_day_are_those_of_all_pairs(spark, hours):
+    fires, days = _clustered_fires(spark)
+    fires = fires.withColumn("lat", F.round("lat", 1)).withColumn("lon", F.round("lon", 1))
+    days = days.withColumns({"wd": F.lit(80.0), "ws": F.lit(3.0)})
+    days = days.unionByName(days.withColumn("location_id", F.col("location_id") + 100))  # of one place
+    rows = lambda df: {tuple(sorted(r.asDict().items())) for r in df.collect()}
+    for ages, regions in ((hours // 24, ["A", "B"]), (None, None)):
+        got, want = st.fires_near(days, fires, 200.0, hours, regions, ages), st.fire_sums(days, st.circular_pairs(days, fires, 200.0, hours), regions, ages)
+        assert rows(got) == rows(want) and want.filter("fire_count > 10").count()
+        got, want = st.fires_oriented(days, fires, 60.0, hours, 200.0, regions, ages), st.fire_sums(days, st.oriented_pairs(days, fires, 60.0, 200.0, hours), regions, ages)
+        assert rows(got) == rows(want) and want.filter("fire_count > 10").count()
+
+
+def test_fires_of_a_place_and_day_are_one_row_of_the_tree(spark):
+    day = dt.datetime(2024, 1, 2)
+    fires = spark.range(2000).select((F.lit(day) + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.col("id"))).alias("ts"), F.lit(1.0).alias("lat"), F.lit(2.0).alias("lon"), F.lit(1.0).alias("frp"))
+    once = fires.groupBy("lat", "lon", F.lit(day + dt.timedelta(days=1)).alias("ts")).agg(F.sum("frp").alias("frp"), F.count(F.lit(1)).alias("n"))
+    leaves, points = st.fire_leaves(once, 200.0, n="n")
+    assert points.count() == 1 and leaves.first()["n"] == 2000

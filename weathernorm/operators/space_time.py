@@ -102,16 +102,21 @@ def _fires(days: DataFrame, fires: DataFrame, km: float, hours: int, condition:
 HOURS, BUFFERS = 120, {"circular": 200.0, "oriented": 200.0, "trajectory": 10.0}
 
 
-def fire_sums(days: DataFrame, pairs: DataFrame, regions: Sequence[str] | None = None, ages: int | None = None, n: str | None = None) -> DataFrame:
+def fire_sums(days: DataFrame, pairs: DataFrame, regions: Sequence[str] | None = None, ages: int | None = None, n: str | None = None, asks: Sequence[str] = ("location_id", "date")) -> DataFrame:
     """fire_frp and fire_count of every (location_id, date): 0 where there is no fire. With ``regions`` also columns for
     each of them (``fire_frp_{region}``, ``fire_count_{region}``), with ``ages`` for each age in days up to it
-    (``fire_frp_age{k}``, ``fire_count_age{k}``). A pair may be several fires, ``n`` of them."""
+    (``fire_frp_age{k}``, ``fire_count_age{k}``). A pair may be several fires, ``n`` of them. Pairs are
+    of what rows ``asks``, where that is not their location and date."""
     number = F.lit(1) if n is None else F.col(n)
     named = {"": F.lit(True)} | {f"_{r}": F.col("region") == r for r in regions or ()} | {f"_age{k}": F.datediff("at", "fire_ts") == k for k in range((ages if ages is not None else -1) + 1)}
     sums = [x for name, own in named.items() for x in (F.sum(F.when(own, F.col("frp"))).alias(f"fire_frp{name}"), F.coalesce(F.sum(F.when(own, number)), F.lit(0)).cast("long").alias(f"fire_count{name}"))]
-    found = pairs.groupBy("location_id", "date").agg(*sums)
+    found = pairs.groupBy(*asks).agg(*sums)
     zero = {f"fire_{what}{name}": value for name in named for what, value in (("frp", 0.0), ("count", 0))}
-    return days.select("location_id", "date").distinct().join(found, ["location_id", "date"], "left").na.fill(zero)
+    key = ["location_id", "date"]
+    if list(asks) == key:
+        return days.select(*key).distinct().join(found, key, "left").na.fill(zero)
+    rows = days.select(*key, *asks).distinct().join(found, list(asks), "left")
+    return rows.groupBy(*key).agg(*(F.sum(c).alias(c) for c in zero)).na.fill(zero)
 
 
 def circular_pairs(days: DataFrame, fires: DataFrame, buffer_km: float, hours: int) -> DataFrame:
@@ -122,9 +127,12 @@ def circular_pairs(days: DataFrame, fires: DataFrame, buffer_km: float, hours: i
 def oriented_pairs(days: DataFrame, fires: DataFrame, half_angle: float, max_km: float, hours: int) -> DataFrame:
     """Fires upwind: within ``half_angle`` of where the wind comes from (``wd``), and no further than it
     travels in that time at ``ws`` m/s."""
+    return _fires(days, fires, max_km, hours, _upwind(half_angle, hours))
+
+
+def _upwind(half_angle: float, hours: int) -> Column:
     turn = F.abs(bearing_deg(F.col("lat"), F.col("lon"), F.col("r_lat"), F.col("r_lon")) - F.col("wd"))
-    upwind = (F.least(turn, 360 - turn) <= half_angle) & (F.col("distance_km") <= F.col("ws") * 3.6 * hours)
-    return _fires(days, fires, max_km, hours, upwind)
+    return (F.least(turn, 360 - turn) <= half_angle) & (F.col("distance_km") <= F.col("ws") * 3.6 * hours)
 
 
 def trajectory_pairs(points: DataFrame, fires: DataFrame, buffer_km: float, hours: int) -> DataFrame:
@@ -199,16 +207,16 @@ FEW_FIRES, HALVINGS = 32, 4
 _DAY_S = 86_400.0
 
 
-def fire_leaves(fires: DataFrame, buffer_km: float, few: int = FEW_FIRES, halvings: int = HALVINGS) -> tuple[DataFrame, DataFrame]:
+def fire_leaves(fires: DataFrame, buffer_km: float, few: int = FEW_FIRES, halvings: int = HALVINGS, n: str | None = None) -> tuple[DataFrame, DataFrame]:
     """A tree of cells over the fires of each day, as deep as they are many: (leaves, points).
 
     A day holds what burns after one midnight up to the next. A cube of the buffer's width is a leaf if it holds
     ``few`` fires or less; others are halved in each direction, up to ``halvings`` times. Leaves have their sums,
-    points (fires of one time and place are one) their leaf. Counts are made from the sums of the finest
+    points (fires of one time and place are one; a row may be ``n`` fires) their leaf. Counts are made from the sums of the finest
     cells, so that no task sees the fires of a hot cell together.
     """
     at = F.col("ts").cast("timestamp").cast("double")
-    once = fires.groupBy("ts", "lat", "lon").agg(F.sum("frp").alias("frp"), F.count(F.lit(1)).alias("n"))
+    once = fires.groupBy("ts", "lat", "lon").agg(F.sum("frp").alias("frp"), (F.count(F.lit(1)) if n is None else F.sum(n)).alias("n"))
     fine = [c.alias(f"_f{k}") for k, c in enumerate(cell(F.col("lat"), F.col("lon"), buffer_km / 2**halvings))]
     placed = once.select("ts", F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon"), "frp", "n", F.ceil(at / _DAY_S).alias("_day"), *fine)
     names = [f"_f{k}" for k in range(3)]
@@ -227,15 +235,56 @@ def fire_leaves(fires: DataFrame, buffer_km: float, few: int = FEW_FIRES, halvin
     return leaves, points
 
 
-def fires_circular(days: DataFrame, fires: DataFrame, buffer_km: float = 200.0, hours: int = HOURS, few: int = FEW_FIRES, halvings: int = HALVINGS) -> DataFrame:
-    """fire_frp and fire_count within a circle in the hours before each location's date (``at``), those of
-    :func:`circular_pairs`, but not from all pairs: leaves (:func:`fire_leaves`) that lie wholly within circle and hours
-    answer from their sums, only those on the border send their fires."""
-    leaves, points = fire_leaves(fires, buffer_km, few, halvings)
+def _spans(asked: DataFrame, hours: int) -> DataFrame:
+    """A row for each day (``_day``, as in :func:`fire_leaves`) that the hours before ``at`` reach; ``_whole``: all of it."""
     end = F.col("at").cast("timestamp").cast("double")
     day = F.explode(F.sequence(F.floor((end - hours * 3600.0) / _DAY_S) + 1, F.ceil(end / _DAY_S)))
-    asked = days.select("location_id", "date", "lat", "lon", "at").distinct()
-    around = _celled(asked.withColumn("_day", day), "lat", "lon", buffer_km, around=True)
+    whole = ((F.col("_day") - 1) * _DAY_S >= end - hours * 3600.0) & (F.col("_day") * _DAY_S <= end)
+    return asked.filter("at IS NOT NULL").withColumn("_day", day).withColumn("_whole", whole)
+
+
+def fires_near(days: DataFrame, fires: DataFrame, km: float, hours: int, regions: Sequence[str] | None = None, ages: int | None = None, wind: Sequence[str] = (), condition: Column | None = None) -> DataFrame:
+    """The sums of fires within ``km`` in the hours before each location's date (``at``) that meet ``condition``, which may
+    use ``distance_km`` and places (``lat``, ``lon``, ``r_lat``, ``r_lon``) and the columns ``wind``. Rows of one place, time and wind
+    ask once; the fires of one place and day, which are as far and in the same direction, answer with their
+    sums, and one by one only on days that the hours cover in part."""
+    asks = ["lat", "lon", "at", *wind]
+    parts = [*(["region"] if regions else []), *(["fire_ts"] if ages is not None else [])]
+    spans = _spans(days.select(*asks).distinct(), hours)
+    at = F.col("ts").cast("timestamp").cast("double")
+    each = fires.select(F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon"), "ts", F.ceil(at / _DAY_S).alias("_day"), "frp", *(F.to_date("ts").alias(c) if c == "fire_ts" else F.col(c) for c in parts))
+    place = ["r_lat", "r_lon", "_day", *parts]
+    daily = each.groupBy(*place).agg(F.sum("frp").alias("frp"), F.count(F.lit(1)).alias("n"))
+    far = haversine_km(F.col("lat"), F.col("lon"), F.col("r_lat"), F.col("r_lon"))
+    recent = (F.col("ts") <= F.col("at")) & (F.col("ts") > F.col("at") - F.make_dt_interval(F.lit(0), F.lit(hours)))
+
+    def met(asked: DataFrame, answers: DataFrame, when: Column) -> DataFrame:
+        both = _celled(asked, "lat", "lon", km, around=True).join(_celled(answers, "r_lat", "r_lon", km), [*_CELL, "_day"])
+        both = both.withColumn("distance_km", far).filter((F.col("distance_km") <= km) & when)
+        return both if condition is None else both.filter(condition)
+
+    # a whole day's sums are the same at whatever time they are asked for
+    on = ["lat", "lon", *wind, "_day"]
+    whole = spans.filter("_whole")
+    sums = met(whole.select(*on).distinct(), daily, F.lit(True)).groupBy(*on, *parts).agg(F.sum("frp").alias("frp"), F.sum("n").alias("n"))
+    partly = met(spans.filter("NOT _whole"), each.withColumn("n", F.lit(1).cast("long")), recent)
+    pairs = whole.join(sums, on).select(*asks, *parts, "frp", "n").unionByName(partly.select(*asks, *parts, "frp", "n"))
+    return fire_sums(days, pairs, regions, ages, "n", asks)
+
+
+def fires_circular(days: DataFrame, fires: DataFrame, buffer_km: float = 200.0, hours: int = HOURS, few: int = FEW_FIRES, halvings: int = HALVINGS) -> DataFrame:
+    """fire_frp and fire_count within a circle in the hours before each location's date (``at``), those of
+    :func:`circular_pairs`, but not from all pairs: on whole days, leaves (:func:`fire_leaves`) that lie wholly within the circle
+    answer from their sums, only those on the border send their fires, by place and day; on days that the hours
+    cover in part fires are compared one by one. Rows of one place and time ask once."""
+    asks = ["lat", "lon", "at"]
+    spans = _spans(days.select(*asks).distinct(), hours)
+    at = F.col("ts").cast("timestamp").cast("double")
+    daily = fires.groupBy("lat", "lon", F.ceil(at / _DAY_S).alias("_day")).agg(F.sum("frp").alias("frp"), F.count(F.lit(1)).alias("n"))
+    leaves, points = fire_leaves(daily.withColumn("ts", F.timestamp_seconds(F.col("_day") * 86_400)), buffer_km, few, halvings, "n")
+    # a whole day's sums are the same at whatever time they are asked for
+    on, whole = ["lat", "lon", "_day"], spans.filter("_whole")
+    around = _celled(whole.select(*on).distinct(), "lat", "lon", buffer_km, around=True)
     met = around.join(leaves, [*_CELL, "_day"]).drop(*_CELL)
     # the leaf's cube against the location's place on the sphere, in km of straight lines
     width = F.lit(buffer_km) / F.pow(F.lit(2.0), F.col("_level"))
@@ -246,21 +295,24 @@ def fires_circular(days: DataFrame, fires: DataFrame, buffer_km: float = 200.0,
         near2 = near2 + F.pow(F.greatest(below, above, F.lit(0.0)), 2)
         far2 = far2 + F.pow(F.greatest(F.abs(low - x), F.abs(high - x)), 2)
     chord = 2 * EARTH_KM * math.sin(min(buffer_km / (2 * EARTH_KM), math.pi / 2))
-    whole_day = ((F.col("_day") - 1) * _DAY_S >= end - hours * 3600.0) & (F.col("_day") * _DAY_S <= end)
     slack = 1e-6 * EARTH_KM
-    sided = met.withColumns({"_in": (F.sqrt(far2) <= chord - slack) & whole_day, "_out": F.sqrt(near2) > chord + slack}).filter(~F.col("_out"))
-    inside = sided.filter("_in").select("location_id", "date", "frp", "n")
-    border = sided.filter(~F.col("_in")).select("location_id", "date", "lat", "lon", "at", "_day", "_level", "_l0", "_l1", "_l2")
-    close = border.join(points.select("ts", "r_lat", "r_lon", "frp", "n", "_day", "_level", "_l0", "_l1", "_l2"), ["_day", "_level", "_l0", "_l1", "_l2"])
+    sided = met.withColumns({"_in": F.sqrt(far2) <= chord - slack, "_out": F.sqrt(near2) > chord + slack}).filter(~F.col("_out"))
+    inside = sided.filter("_in").select(*on, "frp", "n")
+    border = sided.filter(~F.col("_in")).select(*on, "_level", "_l0", "_l1", "_l2")
+    close = border.join(points.select("r_lat", "r_lon", "frp", "n", "_day", "_level", "_l0", "_l1", "_l2"), ["_day", "_level", "_l0", "_l1", "_l2"])
+    far = haversine_km(F.col("lat"), F.col("lon"), F.col("r_lat"), F.col("r_lon"))
+    close = close.filter(far <= buffer_km).select(*on, "frp", "n")
+    sums = inside.unionByName(close).groupBy(*on).agg(F.sum("frp").alias("frp"), F.sum("n").alias("n"))
+    each = fires.select(F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon"), "ts", F.ceil(at / _DAY_S).alias("_day"), "frp", F.lit(1).cast("long").alias("n"))
     recent = (F.col("ts") <= F.col("at")) & (F.col("ts") > F.col("at") - F.make_dt_interval(F.lit(0), F.lit(hours)))
-    close = close.filter(recent & (haversine_km(F.col("lat"), F.col("lon"), F.col("r_lat"), F.col("r_lon")) <= buffer_km)).select("location_id", "date", "frp", "n")
-    sums = inside.unionByName(close).groupBy("location_id", "date").agg(F.sum("frp").alias("fire_frp"), F.sum("n").alias("fire_count"))
-    return days.select("location_id", "date").distinct().join(sums, ["location_id", "date"], "left").na.fill({"fire_frp": 0.0, "fire_count": 0})
+    partly = _celled(spans.filter("NOT _whole"), "lat", "lon", buffer_km, around=True).join(_celled(each, "r_lat", "r_lon", buffer_km), [*_CELL, "_day"])
+    pairs = whole.join(sums, on).select(*asks, "frp", "n").unionByName(partly.filter(recent & (far <= buffer_km)).select(*asks, "frp", "n"))
+    return fire_sums(days, pairs, n="n", asks=asks)
 
 
-def fires_oriented(days: DataFrame, fires: DataFrame, half_angle: float = 45.0, hours: int = HOURS, max_km: float = 200.0) -> DataFrame:
+def fires_oriented(days: DataFrame, fires: DataFrame, half_angle: float = 45.0, hours: int = HOURS, max_km: float = 200.0, regions: Sequence[str] | None = None, ages: int | None = None) -> DataFrame:
     """The sums of :func:`oriented_pairs`."""
-    return fire_sums(days, oriented_pairs(days, fires, half_angle, max_km, hours))
+    return fires_near(days, fires, max_km, hours, regions, ages, ["wd", "ws"], _upwind(half_angle, hours))
 
 
 def fires_trajectory(points: DataFrame, fires: DataFrame, buffer_km: float = 10.0, hours: int = 24) -> DataFrame:
@@ -270,13 +322,13 @@ def fires_trajectory(points: DataFrame, fires: DataFrame, buffer_km: float = 10.
 
 def fires_split(days: DataFrame, fires: DataFrame, regions: Sequence[str], buffer_km: float = 200.0, hours: int = HOURS) -> DataFrame:
     """As :func:`fires_circular`, in a column for each region (``fire_frp_{region}``)."""
-    wide = fire_sums(days, circular_pairs(days, fires, buffer_km, hours), regions=regions)
+    wide = fires_near(days, fires, buffer_km, hours, regions)
     return wide.select("location_id", "date", *(f"fire_frp_{r}" for r in regions))
 
 
 def fires_by_age(days: DataFrame, fires: DataFrame, buffer_km: float = 200.0, hours: int = HOURS) -> DataFrame:
     """As :func:`fires_circular`, in a column for each age in days."""
-    wide = fire_sums(days, circular_pairs(days, fires, buffer_km, hours), ages=hours // 24)
+    wide = fires_near(days, fires, buffer_km, hours, ages=hours // 24)
     return wide.select("location_id", "date", *(f"fire_frp_age{k}" for k in range(hours // 24 + 1)))
 
 

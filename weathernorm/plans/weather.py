@@ -12,7 +12,7 @@ from ..functions.columns import extraterrestrial_radiation
 from ..operators.aggregates import day_bits, grid_daily, inverse_distance_mean, local_day_extremes, station_daily
 from ..operators.cleaning import date_range
 from ..operators.joins import coalesce_join, natural_left
-from ..operators.space_time import BUFFERS, HOURS, circular_pairs, fire_sums, fires_circular, grid_cell_value, nearest_stations, needs_fire, oriented_pairs, trajectory_sums
+from ..operators.space_time import BUFFERS, HOURS, fires_circular, fires_near, fires_oriented, grid_cell_value, nearest_stations, needs_fire, trajectory_sums
 from ..sources.store import Store, normal_key, written
 from ..sources.tables import GRID_NAMES, STATION_NAMES, in_units, renamed, snapshot
 
@@ -145,20 +145,20 @@ def at_height(points: DataFrame, todo: DataFrame) -> DataFrame:
 
 def fire_columns(todo: DataFrame, fires: DataFrame, options: FireOptions, points: DataFrame | None = None) -> DataFrame:
     """(location_id, date, the options' columns) of rows with lat, lon, at, and wd and ws or trajs_height as the mode needs."""
+    ages = options.hours // 24 if options.by_age else None
     if options.mode == "circular" and not options.regions and not options.by_age:
-        return fires_circular(todo, fires, options.buffer, options.hours)
-    if options.mode == "circular":
-        pairs = circular_pairs(todo, fires, options.buffer, options.hours)
+        found = fires_circular(todo, fires, options.buffer, options.hours)
+    elif options.mode == "circular":
+        found = fires_near(todo, fires, options.buffer, options.hours, options.regions, ages)
     elif options.mode == "oriented":
         if missing := {"wd", "ws"} - set(todo.columns):
             raise ValueError(f"oriented fires need {', '.join(sorted(missing))}")
-        pairs = oriented_pairs(todo, fires, options.half_angle, options.buffer, options.hours)
+        found = fires_oriented(todo, fires, options.half_angle, options.hours, options.buffer, options.regions, ages)
     else:
         if points is None:
             raise ValueError("fires along trajectories need the points of the trajectories")
-        ages = options.hours // 24 if options.by_age else None
-        return trajectory_sums(at_height(points, todo), fires, options.buffer, options.delay_hours, options.regions, ages).select("location_id", "date", *options.columns)
-    return fire_sums(todo, pairs, options.regions, options.hours // 24 if options.by_age else None).select("location_id", "date", *options.columns)
+        found = trajectory_sums(at_height(points, todo), fires, options.buffer, options.delay_hours, options.regions, ages)
+    return found.select("location_id", "date", *options.columns)
 
 
 def add_fire(weather: DataFrame, locations: DataFrame, fires: DataFrame, mode: str | None = None, points: DataFrame | None = None, cached: DataFrame | None = None, cache: Store | None = None, save: bool = False, **options) -> DataFrame:
