@@ -350,3 +350,35 @@ def test_fires_of_a_place_and_day_are_one_row_of_the_tree(spark):
     once = fires.groupBy("lat", "lon", F.lit(day + dt.timedelta(days=1)).alias("ts")).agg(F.sum("frp").alias("frp"), F.count(F.lit(1)).alias("n"))
     leaves, points = st.fire_leaves(once, 200.0, n="n")
     assert points.count() == 1 and leaves.first()["n"] == 2000
+
+
+def test_places_are_searched_once(spark, monkeypatch):
+    rng = random.Random(5)
+    spots = [(float(rng.randint(-3, 3)), float(rng.randint(-3, 3))) for _ in range(12)]
+    locations = [(k, *spots[k % 12]) for k in range(120)]
+    stations = [(k, *spots[k * 7 % 12], dt.date(2021 + k % 2, 1, 1)) for k in range(240)]
+    asked, within = [], st.within_km
+    monkeypatch.setattr(st, "within_km", lambda left, right, *more: asked.append((left.count(), right.count())) or within(left, right, *more))
+    near = st.nearest_stations(spark.createDataFrame(locations, "location_id int, lat double, lon double"), spark.createDataFrame(stations, "code int, lat double, lon double, end date"), 300.0, 3)
+    got = {(r["location_id"], r["rank"]): r["code"] for r in near.collect()}
+    want = {}
+    for k, *at in locations:
+        order = sorted((-end.toordinal(), km(at, p), code) for code, *p, end in stations if km(at, p) < 300.0)
+        want |= {(k, n + 1): code for n, (_, _, code) in enumerate(order[:3])}
+    assert got == want
+    cities = [(k, f"c{k}", "ab"[k % 2], *spots[k * 5 % 12]) for k in range(240)]
+    points = spark.createDataFrame([(k, "ab"[k // 60], *p) for k, *p in locations], "location_id int, country string, lat double, lon double")
+    found = {r["location_id"]: r["city_id"] for r in st.nearest_city(points, spark.createDataFrame(cities, "id int, name string, country string, lat double, lon double"), 300.0).collect()}
+    best = {k: min(((km(p, q), i) for i, _, c, *q in cities if c == "ab"[k // 60] and km(p, q) <= 300.0), default=(0, None))[1] for k, *p in locations}
+    assert found == {k: i for k, i in best.items() if i is not None}
+    assert all(left <= 24 and right <= 12 * 2 * 3 for left, right in asked) and len(asked) == 2
+
+
+def test_layers_by_cell_and_offset_are_those_by_location(spark, monkeypatch):
+    from weathernorm.operators import aggregates as agg
+
+    at = spark.range(40).selectExpr("cast(id as int) location_id", "0.1 * id lat", "359.0 + 0.07 * id lon", "id % 5 - 2 + 0.5 offset_hours")
+    hourly = spark.range(600).selectExpr("cast(id % 4 as double) cell_lat", "cast(id % 3 as double) cell_lon", "timestamp '2024-01-01' + make_dt_interval(0, 0, id * 7) ts", "cast(id * 37 % 101 as double) blh")
+    want = agg.local_day_extremes(st.grid_cell_value(at.drop("offset_hours"), hourly, 2.0), at.select("location_id", "offset_hours"))
+    rows = lambda df: sorted(tuple(r) for r in df.select("location_id", "date", "pbl_min", "pbl_max", F.round("pbl", 6)).collect())
+    assert rows(plans.local_layers(at, hourly, 2.0)) == rows(want) != []

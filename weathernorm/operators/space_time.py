@@ -37,19 +37,27 @@ def within_km(left: DataFrame, right: DataFrame, km: float, condition: Column |
 
 
 def nearest_stations(locations: DataFrame, stations: DataFrame, km: float = 100.0, n: int = 4, since: str = "2020-01-01") -> DataFrame:
-    """Of the stations that still report, within ``km``: the ``n`` latest, then nearest, of each location."""
+    """Of the stations that still report, within ``km``: the ``n`` latest, then nearest, of each location. Each place is
+    searched once, however many locations share it, among the first ``n`` stations of each place and end."""
     s = stations.filter(F.col("end") >= F.lit(since).cast("date")).withColumnsRenamed({"lat": "r_lat", "lon": "r_lon"})
-    near = within_km(locations, s, km).filter(F.col("distance_km") < km)
-    w = Window.partitionBy("location_id").orderBy(F.desc("end"), "distance_km", "code")
-    return near.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
+    alike = Window.partitionBy("r_lat", "r_lon", "end").orderBy("code")
+    s = s.withColumn("_nth", F.row_number().over(alike)).filter(F.col("_nth") <= n).drop("_nth")
+    near = within_km(locations.select("lat", "lon").distinct(), s, km).filter(F.col("distance_km") < km)
+    order = [F.desc("end"), F.col("distance_km"), F.col("code")]
+    best = near.withColumn("_nth", F.row_number().over(Window.partitionBy("lat", "lon").orderBy(*order))).filter(F.col("_nth") <= n).drop("_nth")
+    w = Window.partitionBy("location_id").orderBy(*order)
+    return locations.join(best, ["lat", "lon"]).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
 
 
 def nearest_city(points: DataFrame, cities: DataFrame, km: float = 20.0) -> DataFrame:
-    """The closest city of the same country within ``km``; points without one go."""
-    c = cities.select(F.col("id").alias("city_id"), F.col("name").alias("city_name"), F.col("country").alias("_country"), F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon"))
-    near = within_km(points, c, km, F.col("country") == F.col("_country"))
-    best = F.min_by(F.struct("city_id", "city_name", "distance_km"), F.struct("distance_km", "city_id"))
-    return near.groupBy("location_id").agg(best.alias("b")).select("location_id", "b.*")
+    """The closest city of the same country within ``km``; points without one go. Of cities of one country and place
+    the first counts, and points of one country and place are one."""
+    place = ["country", "lat", "lon"]
+    c = cities.groupBy(F.col("country").alias("_country"), F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon")).agg(F.min(F.struct(F.col("id").alias("city_id"), F.col("name").alias("city_name"))).alias("c"))
+    near = within_km(points.select(*place).distinct(), c.select("c.*", "_country", "r_lat", "r_lon"), km, F.col("country") == F.col("_country"))
+    best = lambda df, by: df.groupBy(*by).agg(F.min(F.struct("distance_km", "city_id", "city_name")).alias("b")).select(*by, "b.*")
+    found = points.select("location_id", *place).join(best(near, place), place)
+    return best(found, ["location_id"]).select("location_id", "city_id", "city_name", "distance_km")
 
 
 def fuzzy_city(stations: DataFrame, cities: DataFrame) -> DataFrame:
@@ -76,15 +84,18 @@ def fuzzy_city(stations: DataFrame, cities: DataFrame) -> DataFrame:
     return stations.join(best, "station_id", "left").select(*stations.columns, "b.city_id", "b.city_name")
 
 
-def grid_cell_value(points: DataFrame, grid: DataFrame, step: float) -> DataFrame:
-    """Each point with the values of the cell that it lies in; cells are named by their centre. Longitudes may go
-    from -180 to 180 or from 0 to 360, on either side."""
+def grid_index(df: DataFrame, lat: str, lon: str, step: float) -> DataFrame:
+    """Adds the cell (``_i``, ``_j``) of each point. Longitudes may go from -180 to 180 or from 0 to 360."""
     around = round(360 / step)
     snap = lambda c: F.round(c / step).cast("long")
     turn = lambda c: F.pmod(snap(c), F.lit(around)) if abs(around * step - 360) < 1e-6 else snap(c)
-    p = points.withColumn("_i", snap(F.col("lat"))).withColumn("_j", turn(F.col("lon")))
-    g = grid.withColumn("_i", snap(F.col("cell_lat"))).withColumn("_j", turn(F.col("cell_lon"))).drop("cell_lat", "cell_lon")
-    return p.join(g, ["_i", "_j"]).drop("_i", "_j")
+    return df.withColumn("_i", snap(F.col(lat))).withColumn("_j", turn(F.col(lon)))
+
+
+def grid_cell_value(points: DataFrame, grid: DataFrame, step: float) -> DataFrame:
+    """Each point with the values of the cell that it lies in; cells are named by their centre."""
+    g = grid_index(grid, "cell_lat", "cell_lon", step).drop("cell_lat", "cell_lon")
+    return grid_index(points, "lat", "lon", step).join(g, ["_i", "_j"]).drop("_i", "_j")
 
 
 def _fires(days: DataFrame, fires: DataFrame, km: float, hours: int, condition: Column | None) -> DataFrame:

@@ -54,7 +54,7 @@ _LAYERS = f"l AS (SELECT l.location_id, CAST(ts + INTERVAL 1 HOUR * CAST(floor(o
 @query("boundary_layer", f"WITH {_LAYERS}, w AS (SELECT location_id, date FROM l UNION SELECT location_id, DATE '2030-01-01' FROM location) --FINAL-- SELECT location_id, date, pbl_min, pbl_max FROM w LEFT JOIN l USING (location_id, date)", "pbl_min pbl_max", "location", "hourly")
 def boundary_layer(location, hourly):
     at = location.select("location_id", "lat", "lon", (F.col("location_id") % 11 - 5 + 0.5).alias("offset_hours"))
-    days = agg.local_day_extremes(plans.grid_cell_value(at.drop("offset_hours"), hourly.select("cell_lat", "cell_lon", "ts", "blh"), 4.0), at.select("location_id", "offset_hours")).select("location_id", "date")
+    days = plans.local_layers(at, hourly, 4.0).select("location_id", "date")
     weather = days.union(at.select("location_id", F.lit("2030-01-01").cast("date")))
     return plans.boundary_layer(weather, at, hourly, 4.0)
 

@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import extraterrestrial_radiation
-from ..operators.aggregates import day_bits, grid_daily, inverse_distance_mean, local_day_extremes, station_daily
+from ..operators.aggregates import day_bits, grid_daily, inverse_distance_mean, station_daily
 from ..operators.cleaning import date_range
 from ..operators.joins import coalesce_join, natural_left
-from ..operators.space_time import BUFFERS, HOURS, fires_circular, fires_near, fires_oriented, grid_cell_value, nearest_stations, needs_fire, trajectory_sums
+from ..operators.space_time import BUFFERS, HOURS, fires_circular, fires_near, fires_oriented, grid_cell_value, grid_index, nearest_stations, needs_fire, trajectory_sums
 from ..sources.store import Store, normal_key, written
 from ..sources.tables import GRID_NAMES, STATION_NAMES, in_units, renamed, snapshot
 
@@ -71,12 +71,28 @@ def combine_weathers(weathers: Mapping[str, DataFrame], variables: Sequence[str]
     return seen.filter(here).select(*place, *(x.alias(v) for v, x in values.items()))
 
 
+def local_layers(locations: DataFrame, hourly: DataFrame, step: float = 0.25) -> DataFrame:
+    """(location_id, date, pbl_min, pbl_max, pbl) by local day, of the grid cell that each location lies in. Hours are summed
+    up by cell, then by cell, offset and day; only these days meet the locations."""
+    cell, zone = ["_i", "_j"], ["_i", "_j", "offset_hours"]
+    at = grid_index(locations.select("location_id", "lat", "lon"), "lat", "lon", step).select("location_id", *cell).distinct()
+    at = at.join(locations.select("location_id", "offset_hours").distinct(), "location_id")
+    hours = grid_index(hourly, "cell_lat", "cell_lon", step).groupBy(*cell, F.date_trunc("hour", "ts").alias("ts")).agg(F.min("blh").alias("pbl_min"), F.max("blh").alias("pbl_max"), F.sum("blh").alias("_sum"), F.count("blh").alias("_n"))
+
+    def together(df: DataFrame, by) -> DataFrame:
+        return df.groupBy(*by, "date").agg(F.min("pbl_min").alias("pbl_min"), F.max("pbl_max").alias("pbl_max"), F.sum("_sum").alias("_sum"), F.sum("_n").alias("_n"))
+
+    zones = at.select(*zone).distinct().join(hours, cell)
+    local = F.to_date(F.col("ts") + F.make_dt_interval(F.lit(0), F.floor("offset_hours").cast("int")))
+    days = together(zones.withColumn("date", local), zone)
+    found = together(at.join(days, zone), ["location_id"])
+    return found.withColumn("pbl", F.try_divide("_sum", "_n")).drop("_sum", "_n")
+
+
 def boundary_layer(weather: DataFrame, locations: DataFrame, hourly: DataFrame, step: float = 0.25, wanted: Sequence[str] = ("pbl_min", "pbl_max")) -> DataFrame:
     """``weather`` with the extremes of the boundary layer by local day, of the grid cell that each location lies in.
     ``locations`` has lat, lon and offset_hours; ``hourly`` has cell_lat, cell_lon, ts and blh."""
-    cells = grid_cell_value(locations.select("location_id", "lat", "lon"), hourly.select("cell_lat", "cell_lon", "ts", "blh"), step)
-    layers = local_day_extremes(cells, locations.select("location_id", "offset_hours"))
-    return natural_left(weather, layers.select("location_id", "date", *wanted), ["location_id", "date"])
+    return natural_left(weather, local_layers(locations, hourly, step).select("location_id", "date", *wanted), ["location_id", "date"])
 
 
 def with_cached_fire(weather: DataFrame, cached: DataFrame) -> DataFrame:
