@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import season, weekday_number
 from ..operators import aggregates as agg
 from ..operators import cleaning, joins, model
-from ..sources import store
+from ..sources import store, tables
 from . import weather as weather_plans
 from .prep import prep_data
 from .refresh import refresh
@@ -96,7 +96,7 @@ PREPARED_SQL = _PREP + " --FINAL-- SELECT location_id, date, value, wd_factor, "
 
 @query("prep_features", PREPARED_SQL, "value date_unix " + " ".join(VARS + [f"{c}_lag1" for c in VARS]), "daily")
 def prep_features(daily):
-    out = prep_data(daily, KEY, VARS, lag=1, since="2000-01-01")
+    out = prep_data(tables.spread(daily, *KEY), KEY, VARS, lag=1, since="2000-01-01")
     return out.select("location_id", "date", "value", "wd_factor", *VARS, *(f"{c}_lag1" for c in VARS), "date_unix", "wday")
 
 
@@ -107,7 +107,7 @@ def refresh_prepared(daily):
     daily = store.written(daily, "daily")
     raw, prepared = (store.Store(spark, f"{store.scratch(spark)}/{name}-{uuid.uuid4().hex}", [*KEY, "date"], buckets=8) for name in ("raw", "prepared"))
     raw.put(daily.filter(~late))
-    prepared.put(prep_data(daily.filter(~late), KEY, VARS, lag=1, since="2000-01-01"))
+    prepared.put(prep_data(tables.spread(daily.filter(~late), *KEY), KEY, VARS, lag=1, since="2000-01-01"))
     refresh(raw, prepared, daily.filter(late), KEY, VARS, 1, "2000-01-01")
     return prepared.read().select("location_id", "date", "value", "wd_factor", *VARS, *(f"{c}_lag1" for c in VARS), "date_unix", "wday")
 
