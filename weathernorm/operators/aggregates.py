@@ -126,10 +126,12 @@ def legacy_metrics(pred: DataFrame, by: Sequence[str]) -> DataFrame:
     return ok.groupBy(*by).agg(*aggs)
 
 
-def replicate_summary(df: DataFrame, by: Sequence[str], column: str = "predicted") -> DataFrame:
-    """Mean and 2.5 % and 97.5 % quantiles (linear between order statistics) over replicates."""
+def replicate_summary(df: DataFrame, by: Sequence[str], column: str = "predicted", beside: Sequence[str] = ()) -> DataFrame:
+    """Mean and 2.5 % and 97.5 % quantiles (linear between order statistics) over replicates; columns ``beside`` them, which all
+    replicates share, stay (of several values one that is not NULL)."""
     q = F.percentile(column, F.array(F.lit(0.025), F.lit(0.975)))
-    return df.groupBy(*by).agg(F.avg(column).alias(column), q.alias("_q")).withColumns({f"{column}_p025": F.col("_q")[0], f"{column}_p975": F.col("_q")[1]}).drop("_q")
+    kept = [F.first(c, ignorenulls=True).alias(c) for c in beside]
+    return df.groupBy(*by).agg(F.avg(column).alias(column), *kept, q.alias("_q")).withColumns({f"{column}_p025": F.col("_q")[0], f"{column}_p975": F.col("_q")[1]}).drop("_q")
 
 
 def period_mean(df: DataFrame, by: Sequence[str], years: Sequence[int], days: Sequence[int]) -> DataFrame:

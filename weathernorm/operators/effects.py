@@ -19,9 +19,10 @@ from .joins import key_join
 from .model import SERIES_ID, _dates_of, _frame, _numbers, _schema, _series, fire_groups, met_by_series, predict, unlinked
 
 
-def anomaly(predictions: DataFrame, key: Sequence[str]) -> DataFrame:
-    """date, observed, predicted (mean over replicates, with quantiles) and their difference."""
-    out = replicate_summary(predictions.withColumnRenamed("value", "observed"), [*key, "date", "observed"])
+def anomaly(predictions: DataFrame, key: Sequence[str], beside: Sequence[str] = ()) -> DataFrame:
+    """date, observed, predicted (mean over replicates, with quantiles) and their difference; columns ``beside`` them, which
+    all replicates share, stay and need no join."""
+    out = replicate_summary(predictions.withColumnRenamed("value", "observed"), [*key, "date", "observed"], beside=beside)
     return out.withColumn("anomaly", F.col("observed") - F.col("predicted"))
 
 

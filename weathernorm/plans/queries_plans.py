@@ -330,7 +330,7 @@ def counterfactual_mean(df):
     return effects.counterfactual_mean(one.union(two), ["location_id"], ["predicted_nofire", "predicted_nofire_X"])
 
 
-@query("anomaly_of_replicates", "WITH r AS (SELECT location_id, date, observed, predicted + unnest([-3.0, 0.0, 9.0]) AS predicted FROM obs_pred) --FINAL-- SELECT location_id, date, observed, avg(predicted) AS predicted, quantile_cont(predicted, 0.025) AS predicted_p025, quantile_cont(predicted, 0.975) AS predicted_p975, observed - avg(predicted) AS anomaly FROM r GROUP BY location_id, date, observed", "observed predicted predicted_p025 predicted_p975 anomaly", "obs_pred")
+@query("anomaly_of_replicates", "WITH r AS (SELECT location_id, date, observed, predicted + unnest([-3.0, 0.0, 9.0]) AS predicted FROM obs_pred) --FINAL-- SELECT location_id, date, observed, avg(predicted) AS predicted, quantile_cont(predicted, 0.025) AS predicted_p025, quantile_cont(predicted, 0.975) AS predicted_p975, observed - avg(predicted) AS anomaly FROM r GROUP BY location_id, date, observed", "observed predicted predicted_p025 predicted_p975 anomaly", "obs_pred", dealt=True)
 def anomaly_of_replicates(df):
     replicates = df.select("location_id", "date", F.col("observed").alias("value"), "predicted", F.explode(F.array(F.lit(-3.0), F.lit(0.0), F.lit(9.0))).alias("d"))
     return effects.anomaly(replicates.withColumn("predicted", F.col("predicted") + F.col("d")).drop("d"), ["location_id"])
