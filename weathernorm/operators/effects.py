@@ -7,12 +7,13 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ..functions.columns import finite, from_decimal_year, season_number
+from ..functions.columns import finite, from_decimal_year
 from .aggregates import replicate_summary
 from .boost import Booster
 from .joins import key_join
@@ -105,22 +106,67 @@ def normalised_trend(rows: DataFrame, models: DataFrame, key: Sequence[str], col
     return found.groupBy(*key, "date").agg(F.avg(finite(F.col("normalised"))).alias("normalised"))
 
 
+#: Calendar variables whose values are 1 to so many.
+CALENDAR = {"yday": 366, "month": 12, "wday": 7, "season_number": 4}
+
+
+def _dates_of_years(x: np.ndarray) -> np.ndarray:
+    """:func:`from_decimal_year` of an array."""
+    years = np.floor(x)
+    start = (years.astype(np.int64) - 1970).astype("datetime64[Y]")
+    first = start.astype("datetime64[D]")
+    days = ((start + 1).astype("datetime64[D]") - first).astype(np.int64)
+    return first + np.floor((x - years) * days + 1e-6).astype(np.int64)
+
+
+def _mean_curve(curves: Sequence[np.ndarray], at: np.ndarray, size: int) -> np.ndarray:
+    """By place, the mean of the curves' values at it, those that are NaN left out."""
+    y, at = np.concatenate(curves), np.tile(at, len(curves))
+    there = ~np.isnan(y)
+    n = np.bincount(at[there], minlength=size)
+    return np.where(n > 0, np.bincount(at[there], y[there], size) / np.maximum(1, n), np.nan)
+
+
 def composite_time_effect(models: DataFrame, rows: DataFrame, key: Sequence[str]) -> DataFrame:
     """(series, date, effect): mean of the partial dependences on decimal year, day of year, month, weekday
-    and season (``season_number``), as far as the model has them, joined to the dates."""
-    steps = {"yday": (1, 366, 366), "month": (1, 12, 12), "wday": (1, 7, 7), "season_number": (1, 4, 4)}
-    out = rows.select(*key, "date", "date_unix").distinct()
-    parts = []
-    for name, (low, high, n) in steps.items():
-        ranges = rows.select(*key).distinct().withColumns({"low": F.lit(float(low)), "high": F.lit(float(high)), "points": F.lit(n)})
-        pdp = partial_dependence(models, key, ranges, name).groupBy(*key, F.round("x").cast("int").alias(name)).agg(F.avg("y").alias(f"effect_{name}"))
-        calendar = {"yday": F.dayofyear("date"), "month": F.month("date"), "wday": F.weekday("date") + 1, "season_number": season_number(F.col("date"))}[name]
-        out = key_join(out.withColumn(name, calendar), pdp, [*key, name], "left").drop(name)
-        parts.append(f"effect_{name}")
-    own = trend(models, rows, key).select(*key, "date", F.col("trend").alias("effect_trend"))
-    out = key_join(out, own, [*key, "date"], "left")
-    values = F.filter(F.array(*(F.col(p) for p in [*parts, "effect_trend"])), lambda x: x.isNotNull())
-    return out.withColumn("effect", F.try_divide(F.aggregate(values, F.lit(0.0), lambda a, x: a + x), F.size(values)))
+    and season (``season_number``), as far as the model has them, at the dates.
+
+    The dates and the models of a series meet once, in its block: no curve is shuffled or joined to the dates.
+    """
+    key, names = list(key), [*CALENDAR, "trend"]
+    schema = T.StructType([*(rows.schema[k] for k in [*key, "date", "date_unix"]), *(T.StructField(f"effect_{n}", T.DoubleType()) for n in names)])
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        left = left.group_by([SERIES_ID, *key, "date", "date_unix"], use_threads=False).aggregate([])  # each date once
+        (series, _), (models_of, _) = _series(left), _series(right)
+        fits = {right[SERIES_ID][int(f[0])].as_py(): f.tolist() for f in models_of}
+        date, unix = left["date"].cast(pa.date32()), left["date_unix"].cast(pa.float64()).to_numpy()
+        days, month = date.to_numpy().astype("datetime64[D]"), pc.month(date)
+        places = {"yday": pc.day_of_year(date), "month": month, "wday": pc.day_of_week(date, count_from_zero=False, week_start=1)}
+        places = {n: pc.fill_null(c, 0).to_numpy() for n, c in places.items()}
+        places["season_number"] = np.where(places["month"] > 0, places["month"] % 12 // 3 + 1, 0)
+        effect = {n: np.full(len(days), np.nan) for n in names}
+        for own in series:
+            boosters = [(Booster.loads(right["model"][k].as_py()), right["link"][k].as_py()) for k in fits.get(left[SERIES_ID][int(own[0])].as_py(), ())]
+            curves = lambda name, x: [unlinked(b.partial_dependence(name, x), link) for b, link in boosters if name in b.names]  # noqa: B023, E731
+            for name, last in CALENDAR.items():
+                if found := curves(name, np.linspace(1, last, last)):
+                    mean = _mean_curve(found, np.arange(1, last + 1), last + 1)  # 0 is no date
+                    effect[name][own] = mean[places[name][own]]
+            dated = own[~np.isnat(days[own]) & ~np.isnan(unix[own])]
+            if len(dated):
+                first, end = days[dated].min(), days[dated].max()
+                x = np.linspace(unix[dated].min(), unix[dated].max(), (end - first).astype(int) + 1)
+                if found := curves("date_unix", x):
+                    at, place = np.unique(_dates_of_years(x), return_inverse=True)
+                    mean, there = _mean_curve(found, place, len(at)), np.minimum(np.searchsorted(at, days[dated]), len(at) - 1)
+                    effect["trend"][dated] = np.where(at[there] == days[dated], mean[there], np.nan)
+        found = [pa.array(effect[n], from_pandas=True) for n in names]
+        return pa.table([*left.select([*key, "date", "date_unix"]).columns, *found], names=schema.names)
+
+    found = met_by_series(rows.select(*key, "date", "date_unix"), models.filter("status = 'ok'").select(*key, "config_id", "replicate", "link", "model"), key, run, schema)
+    values = F.filter(F.array(*(F.col(f"effect_{n}") for n in names)), lambda x: x.isNotNull())
+    return found.withColumn("effect", F.try_divide(F.aggregate(values, F.lit(0.0), lambda a, x: a + x), F.size(values)))
 
 
 def importance(models: DataFrame, key: Sequence[str]) -> DataFrame:

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ..operators import aggregates as agg
 from ..operators import effects, model
-from ..sources.tables import spread
 from .prep import prep_data
 from .rounding import rounded
 from .views import view
@@ -25,13 +24,13 @@ def query(f):
 
 
 def _fitted(spark, sf_dir):
-    data = prep_data(spread(view(spark, sf_dir, "daily"), *KEY), KEY, VARS, since=None)
+    data = prep_data(view(spark, sf_dir, "daily", dealt=True), KEY, VARS, since=None)
     return model.fit(data, KEY, COLUMNS, trees=40, rate=0.1, splits=2, cv_folds=2, fraction=0.8, training_end=END)
 
 
 def best_numbers_of_trees(spark, sf_dir):
     """Fits at full settings: 10,000 trees at most, rate 0.01, three folds."""
-    data = prep_data(spread(view(spark, sf_dir, "daily"), *KEY), KEY, VARS, since=None)
+    data = prep_data(view(spark, sf_dir, "daily", dealt=True), KEY, VARS, since=None)
     _, models = model.fit(data, KEY, COLUMNS, trees=10_000, rate=0.01, splits=2, cv_folds=3, fraction=0.9, training_end=END)
     return rounded(models.select(*KEY, "n_training", "n_trees_opt", F.array_min("errors").alias("least_error"), F.size("errors").alias("n_trees_tried")))
 

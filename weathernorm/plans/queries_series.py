@@ -94,9 +94,9 @@ _PREP = "WITH " + _MAD.format(times=10) + ", " + _filled_sql("cleaned") + ", " +
 PREPARED_SQL = _PREP + " --FINAL-- SELECT location_id, date, value, wd_factor, " + ", ".join(VARS + [f"{c}_lag1" for c in VARS]) + ", year(date) + (dayofyear(date) - 1) / CAST(dayofyear(make_date(year(date), 12, 31)) AS DOUBLE) AS date_unix, CAST(isodow(date) AS INT) AS wday FROM lagged SEMI JOIN recent USING (location_id) WHERE " + " AND ".join(f"{c} IS NOT NULL" for c in VARS)
 
 
-@query("prep_features", PREPARED_SQL, "value date_unix " + " ".join(VARS + [f"{c}_lag1" for c in VARS]), "daily")
+@query("prep_features", PREPARED_SQL, "value date_unix " + " ".join(VARS + [f"{c}_lag1" for c in VARS]), "daily", dealt=True)
 def prep_features(daily):
-    out = prep_data(tables.spread(daily, *KEY), KEY, VARS, lag=1, since="2000-01-01")
+    out = prep_data(daily, KEY, VARS, lag=1, since="2000-01-01")
     return out.select("location_id", "date", "value", "wd_factor", *VARS, *(f"{c}_lag1" for c in VARS), "date_unix", "wday")
 
 

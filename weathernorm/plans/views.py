@@ -49,8 +49,8 @@ VIEWS = {
 }
 
 
-#: Views that sum up a large table: the table, and what its rows are grouped by.
-GROUPED = {"obs_pred": ("lineitem", ("l_suppkey", "CAST(l_shipdate AS DATE)"))}
+#: Views that sum up a large table: the table, and what its rows are grouped by (by series only, where steps by series follow).
+GROUPED = {"obs_pred": ("lineitem", ("l_suppkey", "CAST(l_shipdate AS DATE)")), "daily": ("lineitem", ("l_suppkey",))}
 
 
 def view(spark: SparkSession, sf_dir: str, name: str, dealt: bool = False) -> DataFrame:
