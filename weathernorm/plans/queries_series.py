@@ -100,15 +100,17 @@ def prep_features(daily):
     return out.select("location_id", "date", "value", "wd_factor", *VARS, *(f"{c}_lag1" for c in VARS), "date_unix", "wday")
 
 
-@query("refresh_prepared", PREPARED_SQL, "value date_unix " + " ".join(VARS + [f"{c}_lag1" for c in VARS]), "daily")
+@query("refresh_prepared", PREPARED_SQL, "value date_unix " + " ".join(VARS + [f"{c}_lag1" for c in VARS]), "daily", dealt=True)
 def refresh_prepared(daily):
     """A fiftieth of the places' days come in later: what they reach is prepared again, the rest stays as it is."""
     spark, late = daily.sparkSession, (F.col("location_id") % 7 == 0) & (F.dayofyear("date") % 40 == 3)
-    daily = store.written(daily, "daily")
     raw, prepared = (store.Store(spark, f"{store.scratch(spark)}/{name}-{uuid.uuid4().hex}", [*KEY, "date"], buckets=8) for name in ("raw", "prepared"))
-    raw.put(daily.filter(~late))
-    prepared.put(prep_data(tables.spread(daily.filter(~late), *KEY), KEY, VARS, lag=1, since="2000-01-01"))
-    refresh(raw, prepared, daily.filter(late), KEY, VARS, 1, "2000-01-01")
+    # days lie by series: some parts of them are written by one task, so that files are few
+    raw.put(daily.filter(~late).coalesce(max(spark.sparkContext.defaultParallelism, tables.parts(daily) // 8)), lies=True)
+    stored = raw.read()
+    ready = prep_data(prepared.placed(stored, tables.parts(stored)), [store.PLACE, *KEY], VARS, lag=1, since="2000-01-01")
+    prepared.put(ready.drop(store.PLACE), lies=True)
+    refresh(raw, prepared, store.written(daily.filter(late), "late-days"), KEY, VARS, 1, "2000-01-01")
     return prepared.read().select("location_id", "date", "value", "wd_factor", *VARS, *(f"{c}_lag1" for c in VARS), "date_unix", "wday")
 
 

@@ -64,6 +64,10 @@ def normal_key(value) -> str | None:
 
 #: Bytes of a row group before compression: what a search may pass over.
 ROW_GROUP = 4 << 20
+#: Values of the partition columns that a write sends to every task, at most.
+FEW = 1_000_000
+#: The column by which rows that are :meth:`Store.placed` lie.
+PLACE = "_place"
 
 
 class ConcurrentWrite(RuntimeError):
@@ -151,25 +155,51 @@ class Store:
         return self.read().select(*self.key).distinct()
 
     # ---- writing -----------------------------------------------------------------------------
-    def _replace(self, number: int, snapshot: dict | None, rows: DataFrame, touched: Sequence[int]) -> None:
-        """Makes ``rows`` the whole content of the buckets touched."""
-        folder = f"rows-{uuid.uuid4().hex}"
-        # tasks of about one size, whatever the buckets' sizes: large ones are split, small ones share a task
-        dealt = rows.withColumn("_bucket", self._bucket()).hint("rebalance", F.col("_bucket")).sortWithinPartitions("_bucket", *self.sort_by)
-        writer = dealt.write.partitionBy("_bucket").option("parquet.block.size", ROW_GROUP)
+    def _replace(self, number: int, snapshot: dict | None, rows: DataFrame, touched: Sequence[int] | None, lying: DataFrame | None = None) -> None:
+        """Makes ``rows`` the whole content of the buckets touched (None: of all). They are dealt to tasks by bucket, but the rows
+        of ``lying``, which come with them, are written by the tasks that have them."""
+        folder, schema = f"rows-{uuid.uuid4().hex}", rows.schema
+        if rows is not lying:
+            # tasks of about one size, whatever the buckets' sizes: large ones are split, small ones share a task
+            rows = rows.withColumn("_bucket", self._bucket()).hint("rebalance", F.col("_bucket"))
+            if lying is not None:
+                rows = rows.unionByName(lying.withColumn("_bucket", self._bucket()), allowMissingColumns=True)
+        else:
+            rows = rows.withColumn("_bucket", self._bucket())
+        writer = rows.sortWithinPartitions("_bucket", *self.sort_by).write.partitionBy("_bucket").option("parquet.block.size", ROW_GROUP)
         for c in self.key:
             writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true")
         writer.parquet(f"{self.path}/{folder}")
         fs, path = self._at(folder)
-        written = {s.getPath().getName().removeprefix("_bucket=") for s in fs.listStatus(path)}
-        kept = {b: f for b, f in (snapshot or {"buckets": {}})["buckets"].items() if int(b) not in touched}
-        self._commit(number, {"schema": rows.schema.jsonValue(), "buckets": kept | {str(b): folder for b in touched if str(b) in written}})
+        written = {name.removeprefix("_bucket=") for s in fs.listStatus(path) if (name := s.getPath().getName()).startswith("_bucket=")}
+        if touched is None and not written:
+            return
+        kept = {b: f for b, f in (snapshot or {"buckets": {}})["buckets"].items() if touched is not None and int(b) not in touched}
+        self._commit(number, {"schema": schema.jsonValue(), "buckets": kept | {b: folder for b in sorted(written, key=int)}})
+
+    def _apart(self, rows: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+        """Of stored rows those whose partition columns have the values of some keys, and the others: they need no join and no
+        shuffle to be written again. Where the values are too many for each task (``FEW``), all rows are the first."""
+        values = written(keys.select(*(F.col(c).alias(f"_{c}") for c in self.partition)).distinct(), "partitions")
+        if values.count() > FEW:
+            return rows, None
+        same = same_key(self.partition)
+        return rows.join(F.broadcast(values), same, "left_semi"), rows.join(F.broadcast(values), same, "left_anti")
+
+    def placed(self, rows: DataFrame, parts: int) -> DataFrame:
+        """``rows`` with a column ``PLACE``, shuffled by it into at least ``parts`` parts, each of whole series of one bucket: steps by
+        it and other columns, and a write of what ``lies`` there, need no other shuffle."""
+        each = -(-parts // self.buckets)
+        part = F.pmod(F.xxhash64(*(F.col(c).cast("string") for c in self.partition), F.lit(PLACE)), F.lit(each)).cast("int")
+        return rows.withColumn(PLACE, self._bucket() * each + part).repartitionById(self.buckets * each, F.col(PLACE))
 
     def _touched(self, rows: DataFrame) -> list[int]:
         return sorted(r[0] for r in rows.select(self._bucket()).distinct().collect())  # at most ``buckets``
 
-    def put(self, new: DataFrame) -> None:
-        """Replaces what has the same keys. A column of another type than the stored one is an error."""
+    def put(self, new: DataFrame, lies: bool = False) -> None:
+        """Replaces what has the same keys. A column of another type than the stored one is an error. The first rows of a store
+        can be written by the tasks that have them (``lies``), in a file for each of their buckets: for rows that are :meth:`placed`,
+        or in few parts."""
         number, snapshot = self._current()
         if snapshot is not None:
             stored = {f.name: f.dataType for f in T.StructType.fromJson(snapshot["schema"])}
@@ -177,9 +207,11 @@ class Store:
                 raise TypeError(f"columns of other types are stored: {', '.join(other)}")
         if self.unique and not new.groupBy(*self.key).count().filter("count > 1").isEmpty():
             raise ValueError("a key is repeated")
-        touched = self._touched(new)
-        if touched:
-            self._replace(number, snapshot, new if snapshot is None else upserted(self._rows(snapshot, touched), new, self.key), touched)
+        if snapshot is None:  # computed once: its buckets are those that were written
+            self._replace(number, None, new, None, new if lies else None)
+        elif touched := self._touched(new):
+            own, others = self._apart(self._rows(snapshot, touched), new)
+            self._replace(number, snapshot, upserted(own, new, self.key), touched, others)
 
     def rows_of(self, keys: DataFrame) -> DataFrame:
         """The stored rows that have the values of some columns, the partition's among them; reads their buckets only."""
@@ -195,8 +227,9 @@ class Store:
         if touched:
             names = gone.columns
             match = gone.select(*(F.col(k).alias(f"_{k}") for k in names)).distinct()
-            rows = new if snapshot is None else self._rows(snapshot, touched).join(match, same_key(names), "left_anti").unionByName(new, allowMissingColumns=True)
-            self._replace(number, snapshot, rows, touched)
+            own, others = (None, None) if snapshot is None else self._apart(self._rows(snapshot, touched), gone)
+            rows = new if own is None else own.join(match, same_key(names), "left_anti").unionByName(new, allowMissingColumns=True)
+            self._replace(number, snapshot, rows, touched, others)
 
     def put_results(self, results: DataFrame, **constants: str) -> None:
         """Results with constant columns (process, pollutant, unit, source) attached, upserted."""
